@@ -90,12 +90,13 @@ class Model:
         return df.select(*own, utf8(text).alias("_b")).mapInArrow(run, f"{kinds}`{to}` double")
 
 
-def train(labelled: DataFrame, max_rows: int = 12000, max_features: int = 4096, rounds: int = 60, swap_weight: float = 1.0, l2: float = 1e-4, terms: list[str] = IDENTITY_TERMS) -> Model:
+def train(labelled: DataFrame, max_rows: int = 12000, max_features: int = 4096, least_chi: float = 24.0, rounds: int = 30, swap_weight: float = 1.0, l2: float = 1e-4, terms: list[str] = IDENTITY_TERMS) -> Model:
     """A model from `labelled` (doc_id, text, toxic 0/1; rows with a null label are left out).
 
     At most `max_rows` rows are learnt from, those of least hash of the id: the bound of this
     sample. Features are kept if five rows have them and the label depends on them
-    (chi-square above 10.83), at most `max_features` by it. Each round is one pass of Spark over the
+    (chi-square above `least_chi`, so that chance seldom picks one among a million), at most
+    `max_features` by it. Weights start at each feature's own log-odds. Each round is one pass of Spark over the
     sample that sums gradients by partition; the driver holds one number for each feature.
     No rows: every score is 0. One label only: nothing depends on it, scores are its rate."""
     spark = labelled.sparkSession
@@ -120,7 +121,9 @@ def train(labelled: DataFrame, max_rows: int = 12000, max_features: int = 4096,
     q = n - p
     a, c, b, d = F.col("a").cast("double"), F.col("c").cast("double"), p - F.col("a"), q - F.col("c")
     chi = n * F.pow(a * d - b * c, 2) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1.0))
-    names = [bytes(r["f"]) for r in counts.withColumn("chi", chi).where("chi > 10.83").orderBy(F.desc("chi"), "f").limit(max_features).collect()]
+    odds = F.log((a + 0.5) / (p + 1)) - F.log((c + 0.5) / (q + 1))
+    top = counts.select("f", chi.alias("chi"), odds.alias("odds")).where(F.col("chi") > least_chi).orderBy(F.desc("chi"), "f").limit(max_features).collect()
+    names = [bytes(r["f"]) for r in top]
     index, other, size = {f: i for i, f in enumerate(names)}, swaps(terms), len(names) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +156,14 @@ def train(labelled: DataFrame, max_rows: int = 12000, max_features: int = 4096,
 
         return run
 
-    w = np.zeros(size)
+    w = np.append([r["odds"] for r in top], 0.0)
     w[-1] = np.log((p + 0.5) / (q + 0.5))
     first, second = np.zeros(size), np.zeros(size)
     for t in range(1, rounds + 1):
         parts = data.mapInArrow(gradient(w), "g binary").collect()  # eight rows at most
         g = sum(np.frombuffer(r["g"]) for r in parts) / n + l2 * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        w = w - 0.3 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        w = w - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     return Model(dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 

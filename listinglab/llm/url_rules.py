@@ -48,15 +48,17 @@ def fixed_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("url").agg(best.alias("b")).select("url", "b.rule", F.col("b.verdict").alias("fixed"))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float, min_lift: float) -> DataFrame:
     """Association rules of `labelled` (tokens, bad): rule_id, antecedent, confidence,
     support, lift. FP-growth over the tokens with the label as one more item; kept are rules
-    whose consequent is the block label, above the three limits, and none of whose proper
-    parts is a kept rule of at least its confidence. No labelled rows give no rules."""
+    whose consequent is the block label, at or above the limits (in support both `min_support`
+    of the rows and `min_rows` of them: fewer are chance), and none of whose proper
+    parts is a kept rule of at least its confidence. Fewer than `min_rows` labelled rows give no rules."""
     baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
-    if not baskets.take(1):
+    n = baskets.count()
+    if n < min_rows:
         return labelled.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double, lift double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= min_lift))
     found = stored(found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support", "lift"), "rules")
     # A more general rule contains one of the other's tokens: meet on tokens, not all pairs.
@@ -76,7 +78,7 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return full.groupBy("url").agg(F.max_by("rule_id", F.struct("confidence", "rule_id")).alias("rule_id"), F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, labels: DataFrame, min_support: float = 0.005, min_rows: int = 20, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
     """A verdict for each row of `pages` (page_id, url): page_id, host, path, rule, verdict,
     mined_rule, confidence.
 
@@ -87,7 +89,7 @@ def judge(pages: DataFrame, rules: DataFrame, labels: DataFrame, min_support: fl
     as one; null urls have empty host and path. Rows with repeated ids are judged each."""
     urls = pages.select(F.coalesce("url", F.lit("")).alias("url")).distinct().withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("tokens", url_tokens(F.col("url")))
     marked = pages.select("page_id", "url").join(labels.groupBy("page_id").agg(F.max(F.coalesce("bad", F.lit(False))).alias("bad")), "page_id")
-    rows = mine(marked.select(url_tokens(F.col("url")).alias("tokens"), "bad"), min_support, min_confidence, min_lift)
+    rows = mine(marked.select(url_tokens(F.col("url")).alias("tokens"), "bad"), min_support, min_rows, min_confidence, min_lift)
     fixed, found = fixed_rule(urls, rules), match(urls, rows)
     judged = urls.join(fixed, "url", "left").join(found, "url", "left")
     verdict = F.coalesce("fixed", F.when(F.col("rule_id").isNotNull(), "block").otherwise("allow"))
