@@ -118,7 +118,7 @@ def shingle_counts(docs: DataFrame, bits: int) -> np.ndarray:
 
     parts = docs.select(utf8("text").alias("b")).mapInArrow(run, "chunk long, n binary").groupBy("chunk").applyInArrow(add, "chunk long, n binary")
     counts = np.zeros(size, np.uint32).reshape(-1, 1 << min(_CHUNK, bits))
-    for r in parts.toLocalIterator():  # 2^bits counters in all
+    for r in parts.collect():  # 2^bits counters in all
         counts[r["chunk"]] = np.frombuffer(r["n"], np.uint32)
     return counts.reshape(-1)
 
@@ -231,7 +231,7 @@ def shared_tokens(sets: DataFrame, rule: Rule) -> np.ndarray:
     at = sets.select("class", "tokens").mapInArrow(pack, "part long, t binary, c binary").groupBy("part").applyInArrow(shared, "at long").distinct()
     rows = at.withColumn("chunk", F.shiftright("at", 16)).groupBy("chunk").applyInArrow(bits, "chunk long, b binary")
     out = np.zeros((1 << (_BITS - 16), 1 << 13), np.uint8)
-    for r in rows.toLocalIterator():  # 2^_BITS bits in all
+    for r in rows.collect():  # 2^_BITS bits in all
         out[r["chunk"]] = np.frombuffer(r["b"], np.uint8)
     return out.reshape(-1)
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, mixing, token_counts, topk_search, toxicity, url_rules
+from . import chat_format, decontaminate, jaccard_join, merkle_audit, mixing, token_counts, topk_search, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,16 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of two replicas of the pages' WARC records. The second is derived from the same
+    table: records of page_id mod 1009 = 17 have one byte overwritten, those of page_id mod
+    1511 = 5 are lost; offsets are those of the index made when the files were written."""
+    records = merkle_audit.warc_records(table(spark, sf_dir, "pages"))
+    broken = F.when(F.col("page_id") % 1009 == 17, F.concat(F.lit("X"), F.substr("record", F.lit(2)))).otherwise(F.col("record"))
+    other = records.where("page_id is null or page_id % 1511 <> 5").withColumn("record", broken)
+    return merkle_audit.audit(records, other)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
@@ -67,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_merkle_audit": op7_merkle_audit,
     "op8_decontaminate": op8_decontaminate,
     "op10_url_rules": op10_url_rules,
 }
