@@ -89,14 +89,14 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64), pa.int64())
 
 
-def shingle_counts(docs: DataFrame, bits: int) -> np.ndarray:
-    """How often shingles fall in each of 2^bits counters, over all texts: a table of fixed
-    size, summed by parts before it comes to the driver. It only orders shingles: any counts
+def shingle_counts(docs: DataFrame, bits: int, hashes=Shingler) -> np.ndarray:
+    """How often the hashes of all texts fall in each of 2^bits counters: a table of fixed
+    size, summed by parts before it comes to the driver. For links it only orders shingles: any counts
     give the same links, good ones less work."""
     size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(), np.zeros(size, np.uint32)
+        shingles, counts = hashes(), np.zeros(size, np.uint32)
         for batch in batches:
             held, n = [], 0
             for b in batch.column("b"):

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, merkle_audit, mixing, token_counts, topk_search, toxicity, url_rules
+from . import chat_format, decontaminate, jaccard_join, lm_score, merkle_audit, mixing, token_counts, topk_search, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), alpha=0.4, least=2)
+
+
 # The rules (host, path, verdict) that op10 judges by.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_merkle_audit": op7_merkle_audit,
     "op8_decontaminate": op8_decontaminate,
+    "op9_lm_score": op9_lm_score,
     "op10_url_rules": op10_url_rules,
 }
 
