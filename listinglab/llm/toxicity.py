@@ -90,19 +90,15 @@ class Model:
         return df.select(*own, utf8(text).alias("_b")).mapInArrow(run, f"{kinds}`{to}` double")
 
 
-def train(labelled: DataFrame, max_rows: int = 12000, max_features: int = 4096, least_chi: float = 24.0, rounds: int = 30, swap_weight: float = 1.0, l2: float = 1e-4, terms: list[str] = IDENTITY_TERMS) -> Model:
-    """A model from `labelled` (doc_id, text, toxic 0/1; rows with a null label are left out).
-
-    At most `max_rows` rows are learnt from, those of least hash of the id: the bound of this
-    sample. Features are kept if five rows have them and the label depends on them
+def train(labelled: DataFrame, max_features: int = 4096, least_chi: float = 24.0, rounds: int = 30, swap_weight: float = 1.0, l2: float = 1e-4, terms: list[str] = IDENTITY_TERMS) -> Model:
+    """A model from `labelled` (text, toxic 0/1; rows with a null label are left out), a sample
+    of bounded size. Features are kept if five rows have them and the label depends on them
     (chi-square above `least_chi`, so that chance seldom picks one among a million), at most
     `max_features` by it. Weights start at each feature's own log-odds. Each round is one pass of Spark over the
     sample that sums gradients by partition; the driver holds one number for each feature.
     No rows: every score is 0. One label only: nothing depends on it, scores are its rate."""
     spark = labelled.sparkSession
-    rows = labelled.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("y"), utf8("text").alias("b"))
-    picked = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = stored(rows.join(F.broadcast(picked), "doc_id").select("y", "b"), "sample")  # at most max_rows ids
+    sample = stored(labelled.where("toxic is not null").select(F.col("toxic").cast("int").alias("y"), utf8("text").alias("b")), "sample")
     n, p = sample.agg(F.count("*"), F.sum("y")).first()
     if not n:
         return Model({}, 0.0, known=False)
@@ -167,11 +163,17 @@ def train(labelled: DataFrame, max_rows: int = 12000, max_features: int = 4096,
     return Model(dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 
-def train_from(docs: DataFrame, labels: DataFrame, **options) -> Model:
+def train_from(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, **options) -> Model:
     """A model from documents and their labels, without held-out rows (see `is_held_out`). A
-    doc_id with several labels counts as toxic if one says so."""
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out(F.col("doc_id")))
-    return train(docs.select("doc_id", "text").join(known, "doc_id"), **options)
+    doc_id with several labels counts as toxic if one says so; of one with several texts the
+    least is read.
+
+    At most `max_rows` documents are learnt from, those of least hash of the id: the bound of
+    this sample. Only ids are shuffled to find them; their texts are picked out in the scan."""
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out(F.col("doc_id")))
+    picked = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(stored(picked, "picked")), "doc_id")  # at most max_rows ids
+    return train(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), **options)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
