@@ -12,21 +12,35 @@ from .common import stored
 
 
 def warc_records(pages: DataFrame, per_file: int = 500) -> DataFrame:
-    """Response records of `pages` (page_id, url, html) as they lie in WARC files of `per_file`
-    page ids each: file, offset, page_id, record. Null urls and pages are empty; null ids lie in
-    file -1. The offset is the sum of the lengths before a record in its file."""
+    """Response records of `pages` (page_id, url, html) for WARC files of `per_file` page ids
+    each: file, page_id, record. Null urls and pages are empty; null ids lie in file -1."""
     body = F.coalesce("html", F.lit(""))
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
-    record = F.concat(head, body, F.lit("\r\n\r\n"))
-    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long").alias("file"), record.alias("record"))
-    w = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file", F.coalesce(F.sum(F.octet_length("record")).over(w), F.lit(0)).cast("long").alias("offset"), "page_id", "record")
+    file = F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long")
+    return pages.select(file.alias("file"), "page_id", F.concat(head, body, F.lit("\r\n\r\n")).alias("record"))
+
+
+def digest(record: Column | str) -> Column:
+    """sha256 of a record; null as empty."""
+    c = F.col(record) if isinstance(record, str) else record
+    return F.sha2(F.coalesce(c.cast("binary"), F.lit("").cast("binary")), 256)
+
+
+def indexed(records: DataFrame, others: dict[str, Column] | None = None) -> DataFrame:
+    """The index of WARC files (file, page_id, record): file, offset (the lengths before a
+    record in its file, by page_id), page_id, digest, and the digest of each of `others`, other
+    states of the record. Records are hashed where they are read: only digests travel."""
+    named = {k: digest(v) for k, v in (others or {}).items()}
+    rows = records.select("file", "page_id", F.octet_length("record").alias("_n"), digest("record").alias("digest"), *[v.alias(k) for k, v in named.items()])
+    w = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("file", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long").alias("offset"), "page_id", "digest", *named)
 
 
 def digests(records: DataFrame) -> DataFrame:
-    """file, offset, digest (sha256 of the record; null: empty), n: repeated rows are one with
-    their number."""
-    return records.groupBy("file", "offset", F.sha2(F.coalesce(F.col("record").cast("binary"), F.lit("").cast("binary")), 256).alias("digest")).agg(F.count("*").alias("n"))
+    """file, offset, digest (of `record`, if there is no such column), n: repeated rows are
+    one with their number."""
+    d = F.col("digest") if "digest" in records.columns else digest("record")
+    return records.groupBy("file", "offset", d.alias("digest")).agg(F.count("*").alias("n"))
 
 
 def _hashed(entries: Column) -> Column:
@@ -49,7 +63,7 @@ def tree(hashed: DataFrame, span: int, fanout: int, levels: int) -> list[DataFra
 
 
 def audit(left: DataFrame, right: DataFrame, span: int = 1 << 16, fanout: int = 16) -> DataFrame:
-    """Where two replicas (file, offset, record) differ: file, offset, kind (changed, missing
+    """Where two replicas (file, offset, record or its digest) differ: file, offset, kind (changed, missing
     or extra on the right), left_digest, right_digest.
 
     A leaf holds the records of one range of offsets, a node `fanout` nodes, so no task

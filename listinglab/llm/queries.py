@@ -51,8 +51,9 @@ def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     1511 = 5 are lost; offsets are those of the index made when the files were written."""
     records = merkle_audit.warc_records(table(spark, sf_dir, "pages"))
     broken = F.when(F.col("page_id") % 1009 == 17, F.concat(F.lit("X"), F.substr("record", F.lit(2)))).otherwise(F.col("record"))
-    other = records.where("page_id is null or page_id % 1511 <> 5").withColumn("record", broken)
-    return merkle_audit.audit(records, other)
+    index = merkle_audit.indexed(records, {"later": broken})
+    later = index.where("page_id is null or page_id % 1511 <> 5").select("file", "offset", F.col("later").alias("digest"))
+    return merkle_audit.audit(index.select("file", "offset", "digest"), later)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
