@@ -477,7 +477,15 @@ def page_link_counts(spark: SparkSession, d: str) -> DataFrame:
     return pages.link_counts(star.view(spark, d, "pages").withColumn("url", F.lit("list")), "/[A-Za-z]+")
 
 
-@query()
+def _heading(tag: str) -> str:
+    """SQL for an element's text: no tags, entities decoded, trimmed."""
+    text = f"REGEXP_REPLACE(REGEXP_EXTRACT(html, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1), '(?s)<[^>]*>', ' ', 'g')"
+    for name, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"REPLACE({text}, '{name}', '{to}')"
+    return f"NULLIF(TRIM({text}), '')"
+
+
+@query(f"plain:SELECT page_id, {_heading('title')} AS title, {_heading('h1')} AS h1 FROM pages")
 def page_headings(spark: SparkSession, d: str) -> DataFrame:
     return pages.headings(star.view(spark, d, "pages"))
 

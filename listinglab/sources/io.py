@@ -87,7 +87,8 @@ def read_stations(spark: SparkSession, path: str, default_city: str | None = Non
     raw = spark.read.csv(path, sep=sep, header=False)
     lines = raw.withColumn("line", F.monotonically_increasing_id())
     if names:
-        lines = lines.where(F.lower(F.col("_c0")) != names[0])
+        cells = [F.lower(F.trim(f"_c{i}")) for i in range(len(names))]
+        lines = lines.where(~F.array(*cells).eqNullSafe(F.array(*[F.lit(n) for n in names])))
     good, bad = import_stations(lines, default_city, names)
     summary = lines.agg(F.count("*").alias("total")).crossJoin(good.agg(F.count("*").alias("affected"))).crossJoin(bad.agg(F.count_if(F.col("reason") == "short row").alias("skipped"), F.count_if(F.col("reason") != "short row").alias("errors")))  # one row each
     return None if dry_run else good, bad, summary

@@ -44,7 +44,7 @@ class _PriceLog(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", StructType([StructField("price", DoubleType()), StructField("known", BooleanType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         seen = self.last.get() if self.last.exists() else None
         price = None if seen is None else seen[0]
         all_ = pd.concat(list(rows)).sort_values(["ts", "seq"])
@@ -72,7 +72,7 @@ class _Ageing(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", StructType([StructField("at", LongType()), StructField("deal", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         all_ = pd.concat(list(rows)).sort_values("last_seen")
         at, deal = int(all_.last_seen.iloc[-1].timestamp() * 1000), all_.deal_type.iloc[-1]
         if self.seen.exists() and self.seen.get()[0] >= at:
@@ -84,7 +84,7 @@ class _Ageing(StatefulProcessor):
             self.handle.registerTimer(at + AGE_DAYS[deal] * 86_400_000)
         yield pd.DataFrame({"id": pd.Series([], dtype="int64"), "last_seen": pd.Series([], dtype="datetime64[ns]")})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = self.seen.get()[0]
         self.seen.clear()
         yield pd.DataFrame({"id": [key[0]], "last_seen": [pd.Timestamp(at, unit="ms")]})
