@@ -160,7 +160,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, most_bytes:
     false for rows whose hit words are more than `cover` of all words, or all.
 
     A word is hit if it stands in an occurrence of a window: `window` item words in a row, or
-    a whole item that has fewer (but some). Null or empty texts and items have no words.
+    a whole item that has fewer (but some). Items without an id hit, but aren't listed. Null or empty texts and items have no words.
     Repeated rows are judged each. An empty benchmark hits nothing.
 
     Training text is read where it lies; nothing is shuffled. The automaton is built in each
@@ -188,7 +188,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, most_bytes:
                     found[k] |= f
             spans = [_joined(s) for s in spans]
             hits = [sum(b - a for a, b in s) for s in spans]
-            ids = [sorted(f, key=str) for f in found]
+            ids = [sorted(f - {None}, key=str) for f in found]
             cols = {c: batch.column(c) for c in own}
             cols |= {
                 "n_words": pa.array(map(len, all_words), pa.int64()),
@@ -225,6 +225,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, cover: fl
     """`docs` without benchmark text: spans of item windows are cut out of the texts, rows of
     which they are more than `cover` are left out, n_chars follows the text. Other rows stay
     as they are, nulls and empty texts too."""
-    kept = find_leaks(docs, items, window, cover=cover).where("keep")
-    n_chars = F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return (kept.withColumn("n_chars", n_chars) if n_chars is not None else kept).select(*docs.columns)
+    hidden = {c: f"__c{i}" for i, c in enumerate(docs.columns) if c != "text"}  # no name clashes with a result's
+    kept = find_leaks(docs.withColumnsRenamed(hidden), items, window, cover=cover).where("keep")
+    out = {c: F.col(hidden.get(c, c)) for c in docs.columns}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("n_hit") > 0, F.length("text")).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[v.alias(c) for c, v in out.items()])

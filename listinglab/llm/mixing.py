@@ -52,21 +52,21 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, epochs: float
     is left before each bucket, and rows are summed inside a bucket only. Null source: a
     source like others, ranked last. Null or empty text: size 0, taken 0. Rows with the same
     id stay apart (ties by size, then text hash). No rows give no rows."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "_key", "_bucket", "_text")]
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "__key", "__bucket", "__text")]
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(*own, words_in(F.col("text")).alias("size"), key.alias("_key"), F.xxhash64("text").alias("_text")).withColumn("_bucket", F.substring("_key", 1, _HEX))
-    sums = stored(docs.select("source", words_in(F.col("text")).alias("size"), F.substring(key, 1, _HEX).alias("_bucket")).groupBy("source", "_bucket").agg(F.sum("size").alias("size")), "buckets")
+    rows = docs.select(*own, words_in(F.col("text")).alias("size"), key.alias("__key"), F.xxhash64("text").alias("__text")).withColumn("__bucket", F.substring("__key", 1, _HEX))
+    sums = stored(docs.select("source", words_in(F.col("text")).alias("size"), F.substring(key, 1, _HEX).alias("__bucket")).groupBy("source", "__bucket").agg(F.sum("size").alias("size")), "buckets")
     sources = stored(source_table(sums, weights), "weighted")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level = water_level(sources, share * total, epochs)
     targets = sources.withColumn("target", F.least(F.col("weight") * F.lit(level), F.col("source_size") * F.lit(float(epochs))))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    targets = targets.select("source", "source_size", "target", whole.alias("_whole")).withColumn("_rest", F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = sums.select("source", "_bucket", before.alias("_before"))
-    plan = dealt.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(F.col("d.source").alias("_source"), F.col("_bucket").alias("_b"), "_before", "source_size", "target", "_whole", "_rest")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", "_text").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
-    left = F.col("_rest") - F.col("_before") - (F.sum("size").over(inside) - F.col("size"))
+    targets = targets.select("source", "source_size", "target", whole.alias("__whole")).withColumn("__rest", F.round(F.col("target") - F.col("__whole") * F.col("source_size")).cast("long"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = sums.select("source", "__bucket", before.alias("__before"))
+    plan = dealt.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(F.col("d.source").alias("__source"), F.col("__bucket").alias("__b"), "__before", "source_size", "target", "__whole", "__rest")
+    inside = Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id", "size", "__text").rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__b")))
+    left = F.col("__rest") - F.col("__before") - (F.sum("size").over(inside) - F.col("size"))
     extra = F.greatest(F.lit(0), F.least(left, F.col("size")))
-    return joined.withColumn("taken", (F.col("_whole") * F.col("size") + extra).cast("long")).select(*own, "size", "source_size", "target", "taken")
+    return joined.withColumn("taken", (F.col("__whole") * F.col("size") + extra).cast("long")).select(*own, "size", "source_size", "target", "taken")

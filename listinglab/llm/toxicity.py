@@ -67,15 +67,16 @@ class Model:
         self.weights, self.bias, self.known = weights, bias, known
 
     def score(self, df: DataFrame, text: str = "text", to: str = "score") -> DataFrame:
-        """`df` with the score of its whole texts in a new column `to` (0 to 1)."""
+        """`df` with the score of its whole texts in the column `to` (0 to 1), which replaces
+        one of that name."""
         weights, bias, known = df.sparkSession.sparkContext.broadcast(self.weights), self.bias, self.known
-        own = [c for c in df.columns if c not in (to, "_b")]
+        own = [c for c in df.columns if c not in (to, "__b")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, dull = weights.value, set()
             for batch in batches:
                 scores = []
-                for b in batch.column("_b"):
+                for b in batch.column("__b"):
                     found: set[bytes] = set()
                     for word in words_of(b.as_py()) - dull:
                         if hit := [f for f in features_of(word) if f in w]:
@@ -87,14 +88,15 @@ class Model:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(scores, pa.float64())], names=[*own, to])
 
         kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in own)
-        return df.select(*own, utf8(text).alias("_b")).mapInArrow(run, f"{kinds}`{to}` double")
+        return df.select(*own, utf8(text).alias("__b")).mapInArrow(run, f"{kinds}`{to}` double")
 
 
 def train(labelled: DataFrame, max_features: int = 4096, least_chi: float = 24.0, rounds: int = 30, swap_weight: float = 1.0, l2: float = 1e-4, terms: list[str] = IDENTITY_TERMS) -> Model:
     """A model from `labelled` (text, toxic 0/1; rows with a null label are left out), a sample
     of bounded size. Features are kept if five rows have them and the label depends on them
     (chi-square above `least_chi`, so that chance seldom picks one among a million), at most
-    `max_features` by it. Weights start at each feature's own log-odds. Each round is one pass of Spark over the
+    `max_features` by it. Weights start at each feature's own log-odds, those
+    of identity terms at 0. Each round is one pass of Spark over the
     sample that sums gradients by partition; the driver holds one number for each feature.
     No rows: every score is 0. One label only: nothing depends on it, scores are its rate."""
     spark = labelled.sparkSession
@@ -152,7 +154,8 @@ def train(labelled: DataFrame, max_features: int = 4096, least_chi: float = 24.0
 
         return run
 
-    w = np.append([r["odds"] for r in top], 0.0)
+    swapped = {f for a, b in other.items() for t in (a, b) for f in features_of(t)}
+    w = np.append([0.0 if swap_weight and f in swapped else r["odds"] for f, r in zip(names, top, strict=True)], 0.0)
     w[-1] = np.log((p + 0.5) / (q + 0.5))
     first, second = np.zeros(size), np.zeros(size)
     for t in range(1, rounds + 1):
@@ -186,4 +189,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """`docs` without the rows that score `threshold` or more; its columns stay as they are."""
-    return train_from(docs, labels, **options).score(docs, to="_score").where(F.col("_score") < threshold).select(*docs.columns)
+    return train_from(docs, labels, **options).score(docs, to="__score").where(F.col("__score") < threshold).select(*docs.columns)
