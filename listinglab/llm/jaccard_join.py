@@ -6,9 +6,10 @@ the threshold asks of those sizes. Pairs with a large set meet on inverted lists
 prefixes in a rarest-first order need scanning. The boundary is where the rows of both sides
 cost least.
 
-Groups of near copies would make all their pairs on a list. So lists are scanned in two turns:
-first each set meets only the lists' leaders and is compared with the leader it shares most
-with; then, with the components of those links known, only pairs of different components meet.
+Groups of near copies would make all their pairs on a list. So lists are scanned in turns: each
+set meets a few leaders of its lists and is compared with those it shares most with; what links
+is merged, and only sets of different components meet again. When few such pairs are left, or
+turns find no more links, all of them are compared.
 """
 
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored, utf8
@@ -27,7 +28,7 @@ _SIZE = 5  # words of a shingle
 _K = np.uint64(0x9E3779B97F4A7C15)
 _HELD = 1 << 19  # word hashes that a task remembers
 _WHOLE = 24  # sets up to this size are kept whole; the boundary is at or below it
-_CHUNK = 13  # log2 of counters in one row of the sketch
+_CHUNK = 15  # log2 of counters in one row of the sketch
 _BITS = 26  # log2 of the bits that mark shared shingles
 
 
@@ -60,7 +61,17 @@ class Shingler:
         out = h[: n - _SIZE + 1].copy()
         for i in range(1, _SIZE):
             out = out * _K + h[i : n - _SIZE + 1 + i]
-        return np.unique(_mix(out))
+        return self.done(_mix(out))
+
+    def done(self, hashes: np.ndarray) -> np.ndarray:
+        return np.unique(hashes)
+
+
+class AllShingles(Shingler):
+    """The shingles of a text as often as they stand there, in order."""
+
+    def done(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes
 
 
 class Rule:
@@ -89,49 +100,66 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64), pa.int64())
 
 
-def shingle_counts(docs: DataFrame, bits: int, hashes=Shingler) -> np.ndarray:
-    """How often the hashes of all texts fall in each of 2^bits counters: a table of fixed
-    size, summed by parts before it comes to the driver. For links it only orders shingles: any counts
-    give the same links, good ones less work."""
+def counted(docs: DataFrame, bits: int, hashes) -> DataFrame:
+    """Parts of a table of 2^bits counters over the hashes of all texts: chunk (a run of
+    counters), n (their counts as 32-bit integers). Tasks send their counters compressed."""
     size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = hashes(), np.zeros(size, np.uint32)
+        of, counts, held, n = hashes(), np.zeros(size, np.uint16), [], 0
+
+        def flush() -> None:
+            at, c = np.unique((np.concatenate(held) & np.uint64(size - 1)).astype(np.int32), return_counts=True)
+            counts[at] = np.minimum(counts[at] + c, 65535)
+
         for batch in batches:
-            held, n = [], 0
             for b in batch.column("b"):
-                held.append(shingles(b.as_py()))
+                held.append(of(b.as_py()))
                 n += len(held[-1])
                 if n > 1 << 20:
-                    counts += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
+                    flush()
                     held, n = [], 0
-            if n:
-                counts += np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
+        if n:
+            flush()
         parts = counts.reshape(-1, 1 << min(_CHUNK, bits))
         some = np.flatnonzero(parts.any(axis=1))
         for at in range(0, len(some), 64):
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(some[at : at + 64], pa.int64()), "n": pa.array([parts[i].tobytes() for i in some[at : at + 64]], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(some[at : at + 64], pa.int64()), "n": pa.array([pa.compress(parts[i].tobytes(), codec="zstd", asbytes=True) for i in some[at : at + 64]], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table["n"].to_pylist())
+        total = np.zeros(1 << min(_CHUNK, bits), np.int64)
+        for x in table["n"]:
+            total += np.frombuffer(pa.decompress(x.as_py(), 2 * len(total), codec="zstd", asbytes=True), np.uint16)
         return pa.table({"chunk": table["chunk"][:1], "n": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-    parts = docs.select(utf8("text").alias("b")).mapInArrow(run, "chunk long, n binary").groupBy("chunk").applyInArrow(add, "chunk long, n binary")
-    counts = np.zeros(size, np.uint32).reshape(-1, 1 << min(_CHUNK, bits))
-    for r in parts.collect():  # 2^bits counters in all
-        counts[r["chunk"]] = np.frombuffer(r["n"], np.uint32)
-    return counts.reshape(-1)
+    return docs.select(utf8("text").alias("b")).mapInArrow(run, "chunk long, n binary").groupBy("chunk").applyInArrow(add, "chunk long, n binary")
+
+
+def frequency_codes(docs: DataFrame, bits: int) -> np.ndarray:
+    """How often shingles fall in each of 2^bits counters, as one byte on a scale of six steps
+    to a doubling: a table of fixed size. It only orders shingles: any codes give the same
+    links, good ones less work."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = lambda x: (6 * np.log2(1 + np.frombuffer(x, np.uint32).astype(np.float64))).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([pa.compress(of(x), codec="zstd", asbytes=True) for x in batch.column("n").to_pylist()], pa.binary())], names=["chunk", "n"])
+
+    codes = np.zeros(1 << bits, np.uint8).reshape(-1, 1 << min(_CHUNK, bits))
+    for r in counted(docs, bits, AllShingles).mapInArrow(code, "chunk long, n binary").collect():  # 2^bits bytes in all
+        codes[r["chunk"]] = np.frombuffer(pa.decompress(bytes(r["n"]), codes.shape[1], codec="zstd", asbytes=True), np.uint8)
+    return codes.reshape(-1)
 
 
 def signatures(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
     """Each row's set: doc_id, n (its size), class (hash of the set), tokens (its rarest
     shingles in order, as many as lists need; of a small set all)."""
     spark = docs.sparkSession
-    counts = spark.sparkContext.broadcast(shingle_counts(docs, bits))  # 2^bits counters
+    codes = spark.sparkContext.broadcast(frequency_codes(docs, bits))  # 2^bits bytes
     kind, mask = docs.schema["doc_id"].dataType.simpleString(), np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, order = Shingler(), counts.value
+        shingles, order = Shingler(), codes.value
         for batch in batches:
             ns, classes, tokens = [], [], []
             for b in batch.column("b"):
@@ -139,7 +167,8 @@ def signatures(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
                 n = len(s)
                 ns.append(n)
                 classes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-                ranked = s[np.lexsort((s, order[(s & mask).astype(np.int64)]))]
+                key = (order[(s & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                ranked = s[np.argsort(key, kind="stable")]
                 tokens.append((ranked if n <= _WHOLE else ranked[: rule.prefix(n)]).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             flat = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), pa.int64())
@@ -302,35 +331,68 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) ->
     return stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
-def class_components(docs: DataFrame, percent: int = 75, sketch_bits: int = 22) -> tuple[DataFrame, DataFrame]:
+def _sides(rows: DataFrame, tag: str) -> DataFrame:
+    return rows.select("token", F.col("class").alias(tag), F.col("n").alias(f"{tag}n"), F.col("pos").alias(f"{tag}i"), F.col("comp").alias(f"{tag}c"))
+
+
+def _leader_pairs(rows: DataFrame, rule: Rule, upto: int, turn: int, leaders: int, picks: int) -> DataFrame:
+    """Pairs to compare: each class with those `picks` leaders of its lists that it shares most
+    with, of other components. A list's leaders are its first by a hash that changes with the
+    turn, so the pairs are a fixed number for each class, however long a list is."""
+    by_hash = Window.partitionBy("token").orderBy(F.xxhash64("class", F.lit(turn)), "class")
+    chosen = rows.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= leaders)
+    met = _sides(rows, "a").join(_sides(chosen, "b"), "token").where("ac <> bc")
+    best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    pairs = _candidates(met, rule, upto).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= picks)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    new = rows.drop("comp").join(labels.toDF("class", "comp"), "class", "left")
+    return new.withColumn("comp", F.coalesce("comp", "class"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (node, component) after more links: only links between components count."""
+    of = lambda tag: labels.toDF(tag, f"{tag}c")
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
+    roots = components(named.where("a <> b").distinct())
+    moved = labels.join(roots.toDF("component", "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    fresh = roots.join(labels.select("node"), "node", "left_anti")
+    return stored(moved.unionByName(fresh), "labels")
+
+
+def class_components(docs: DataFrame, percent: int = 75, sketch_bits: int = 25, leaders: int = 6, picks: int = 3) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows (see `signatures`) and the components (node, component) of those
-    classes that link with another."""
+    classes that link with another.
+
+    While pairs of different components on the lists are many more than the lists' rows, and
+    turns still find links, each turn compares classes with a few leaders and merges what
+    links. Then all pairs left, of different components, are compared: nothing is missed."""
     rule = Rule(percent)
     sets = signatures(docs, rule, sketch_bits)
     upto = boundary(sets, rule)
-    links = small_links(sets, rule, upto)
+    labels = components(small_links(sets, rule, upto))
     large = sets.where(f"100 * n >= {percent * (upto + 1)}")
-    rows = list_rows(large, rule, shared_tokens(large, rule))
-    ends = rows.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
-    leaders = rows.join(ends, "token").where("class = least or class = most").select("token", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bi"))
-    met = rows.select("token", F.col("class").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ai")).join(leaders, "token").where("a <> b")
-    best = _candidates(met, rule, upto).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = stored(links.union(verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, sets, rule)), "links")
-    found = components(links)
-    rows = rows.join(found.toDF("class", "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    rows = stored(rows, "lists")
-    open_ = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
-    rows = stored(rows.join(open_, "token"), "open")
-    side = lambda a: rows.select("token", F.col("class").alias(a), F.col("n").alias(f"{a}n"), F.col("pos").alias(f"{a}i"), F.col("comp").alias(f"{a}c"))
+    rows, turn = list_rows(large, rule, shared_tokens(large, rule)), 0
+    while True:
+        rows = _relabelled(rows, labels)
+        per = rows.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k"))
+        open_ = stored(per.where("k > 1"), "open")
+        rows = stored(rows.join(open_.select("token"), "token"), "rows")
+        size, pairs = open_.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
+        if not size or pairs <= 4 * size:
+            break
+        links = verified(_leader_pairs(rows, rule, upto, turn, leaders, picks), docs, sets, rule)
+        if not links.take(1):
+            break
+        labels, turn = _merged(labels, links), turn + 1
     need = rule.least_sql("an", "bn")
-    met = side("a").join(side("b"), "token").where(f"a < b and ac <> bc and 100 * least(an, bn) >= {percent} * greatest(an, bn) and greatest(an, bn) > {upto} and an + bn >= {need}")
-    more = verified(_candidates(met, rule, upto), docs, sets, rule)
-    if more.take(1):
-        found = components(links.union(more))
-    return sets, found
+    met = _sides(rows, "a").join(_sides(rows, "b"), "token").where(f"a < b and ac <> bc and 100 * least(an, bn) >= {percent} * greatest(an, bn) and greatest(an, bn) > {upto} and an + bn >= {need}")
+    return sets, _merged(labels, verified(_candidates(met, rule, upto), docs, sets, rule))
 
 
-def link_documents(docs: DataFrame, percent: int = 75, sketch_bits: int = 22) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = 75, sketch_bits: int = 25) -> DataFrame:
     """Near duplicates of `docs` (doc_id, text): doc_id, n_shingles, component_id for each
     row. Two rows link if 100 * overlap >= percent * union of their sets of five-word
     shingles; component_id is the smallest doc_id reachable by links, its own included.
@@ -353,15 +415,15 @@ def _with_class(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
-            sets = [shingles(b.as_py()) for b in batch.column("_b")]
+            sets = [shingles(b.as_py()) for b in batch.column("__b")]
             cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), _signed(cls), pa.array([len(s) for s in sets], pa.int64())], names=[*own, "_class", "_n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), _signed(cls), pa.array([len(s) for s in sets], pa.int64())], names=[*own, "__class", "__n"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
-    return docs.withColumn("_b", utf8("text")).mapInArrow(run, f"{kinds}_class long, _n long")
+    return docs.withColumn("__b", utf8("text")).mapInArrow(run, f"{kinds}__class long, __n long")
 
 
-def keep_one(docs: DataFrame, percent: int = 75, sketch_bits: int = 22) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 75, sketch_bits: int = 25) -> DataFrame:
     """`docs` with one row of each component: that of the smallest doc_id. Rows without words
     and rows with a null id all stay; of rows repeated with the same id and set one stays."""
     sets, found = class_components(docs, percent, sketch_bits)
@@ -372,8 +434,8 @@ def keep_one(docs: DataFrame, percent: int = 75, sketch_bits: int = 22) -> DataF
         return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     # Some ids stand for several rows: each row is known by its id and its set.
     named = _with_class(docs)
-    fixed = (F.col("_n") == 0) | F.col("doc_id").isNull()
-    once = named.where(~fixed).join(gone.withColumnRenamed("class", "_class"), ["doc_id", "_class"], "left_anti").dropDuplicates(["doc_id", "_class"])
+    fixed = (F.col("__n") == 0) | F.col("doc_id").isNull()
+    once = named.where(~fixed).join(gone.withColumnRenamed("class", "__class"), ["doc_id", "__class"], "left_anti").dropDuplicates(["doc_id", "__class"])
     # One component may also hold several sets of its smallest id: the least set stays.
-    label = rows.join(least, "label").where("doc_id = kept").groupBy("label", "doc_id").agg(F.min("class").alias("_class")).select("doc_id", "_class")
-    return once.join(label, ["doc_id", "_class"], "left_semi").unionByName(named.where(fixed)).select(*docs.columns)
+    label = rows.join(least, "label").where("doc_id = kept").groupBy("label", "doc_id").agg(F.min("class").alias("__class")).select("doc_id", "__class")
+    return once.join(label, ["doc_id", "__class"], "left_semi").unionByName(named.where(fixed)).select(*docs.columns)

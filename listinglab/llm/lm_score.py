@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, utf8
-from .jaccard_join import _K, _mix, shingle_counts
+from .jaccard_join import _CHUNK as _COUNTERS
+from .jaccard_join import _K, _mix, counted
 
 _COMMON = 1 << 16
 _HELD = 1 << 19  # word hashes that a task remembers
-_CHUNK = 1 << 21  # pairs that a task gathers before it sends them
+_CHUNK = 1 << 20  # pairs that a task gathers before it sends them
 _ROW = "part long, w binary, v binary, at binary, n binary, keys binary, sums binary"
 
 
@@ -106,13 +107,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def common_pairs(docs: DataFrame, floor: float, bits: int) -> list:
     """Pairs that stand at least `floor` times, with their counts. A table of 2^bits counters
     rules most others out before anything is shuffled; counts themselves are exact."""
-    sketch = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, bits, Pairs))
+    above = np.zeros(1 << bits, bool).reshape(-1, 1 << min(_COUNTERS, bits))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([(np.frombuffer(x, np.uint32) >= floor).tobytes() for x in batch.column("n").to_pylist()], pa.binary())], names=["chunk", "n"])
+
+    for r in counted(docs, bits, Pairs).mapInArrow(marked, "chunk long, n binary").collect():  # 2^bits bytes in all
+        above[r["chunk"]] = np.frombuffer(r["n"], bool)
+    sketch = docs.sparkSession.sparkContext.broadcast(above.reshape(-1))
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, s = Pairs(), sketch.value
         for batch in batches:
-            held = [h[s[(h & mask).astype(np.int64)] >= floor] for h in (pairs(b.as_py()) for b in batch.column("b"))]
+            held = [h[s[(h & mask).astype(np.int64)]] for h in (pairs(b.as_py()) for b in batch.column("b"))]
             k, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
@@ -159,7 +168,7 @@ def _dealt(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     return ((p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1])
 
 
-def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, part_pairs: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, part_pairs: int = 1_000_000) -> DataFrame:
     """Stupid-backoff scores of each row's whole text under the counts of all rows: doc_id,
     n_words, log_score (natural logarithm), mean_log (of a word; null without words).
 
