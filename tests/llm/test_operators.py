@@ -1,0 +1,406 @@
+"""The training-data operators against brute force, and on odd rows: nulls, empty and very long
+texts, ties, repeated rows, empty tables, and columns named like results."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from listinglab.llm import chat_format, decontaminate, jaccard_join, lm_score, merkle_audit, mixing, token_counts, topk_search, toxicity, url_rules
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, source=lambda i: "s"):
+    return spark.createDataFrame([(i, t, "en", source(i), len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+def odd(spark):
+    rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (None, "one two three four five six", "en", "a", None), (3, "x " * 50_000, "en", "b", 1), (3, "x " * 50_000, "en", "b", 1), (4, "  \t ", "en", "b", 3)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+# -- chat formatting -------------------------------------------------------------------------
+
+
+def digests(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    return chat_format.expand_prefix_targets(df), df
+
+
+def test_chat_examples(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b</s>"), (1, 2, "user", "c\\<|im_end|>"), (1, 3, "assistant", "<\\|im_end|>"), (1, 4, "user", "tail"), (2, 0, "user", None), (None, None, None, "x")]
+    ex, _ = digests(spark, rows)
+    got = {(r["conv_id"], r["example"]): r for r in ex.collect()}
+    assert sorted(got, key=str) == sorted([(1, 1), (1, 2), (1, 3), (2, 1), (None, 1)], key=str)
+    assert got[1, 2]["formatted"].startswith(got[1, 1]["formatted"])
+    for k, want in (((1, 1), "b</s>"), ((1, 2), "<\\|im_end|>")):
+        r = got[k]
+        span = r["formatted"][r["loss_start"] : r["loss_start"] + r["loss_len"]]
+        assert "</s>" not in span and "<|im_end|>" not in span
+        assert spark.range(1).select(chat_format.unescape(F.lit(span))).first()[0] == want
+    assert got[1, 3]["loss_len"] == 0 and got[1, 3]["target_turn"] is None
+
+
+def test_chat_round_trip(spark):
+    rnd = random.Random(3)
+    bits = ["<", "|", "im_end", "|>", "[", "INST", "]", "/", "s>", "\\", "é", "\n", "<|im_sep|>", "<|im_start|>", "[/INST]", " ", "😀"]
+    rows = [(c, t, rnd.choice(["user", "assistant", "a<|im_sep|>b"]), "".join(rnd.choices(bits, k=rnd.randint(0, 9)))) for c in range(30) for t in range(rnd.randint(1, 7))]
+    rows += rows[:3]
+    ex, _ = digests(spark, rows)
+    got = {r["conv_id"]: r for r in chat_format.digests(ex).collect()}
+    convs = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        convs[c].append((t, role, text))
+    for c, turns in convs.items():
+        turns.sort()
+        loss = "".join(x for _, role, x in turns if role == "assistant")
+        whole = "".join(f"{role}\n{x}\n" for _, role, x in turns)
+        want = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert tuple(got[c])[1:5] == want
+    assert chat_format.digests(digests(spark, [])[0]).count() == 0
+
+
+# -- top-k -----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("block", "bins"), [(7, 4), (1000, 4096)])
+def test_top_k_equals_brute_force(spark, block, bins):
+    rng = np.random.default_rng(5)
+    vecs = rng.integers(-40, 40, (60, 5))
+    vecs[20:35] = vecs[3]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)] + [(None, [1] * 5), (90, [1, 2])], "vec_id long, v array<long>")
+    got = collections.defaultdict(list)
+    for r in topk_search.top_k(df, df.where("vec_id % 10 = 0"), k=6, bins=bins, query_block=3, vector_block=block).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 60, 10):
+        best = sorted((-int(vecs[i] @ vecs[q]), i) for i in range(60) if i != q)[:6]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert 90 not in got
+
+
+def test_top_k_small_tables(spark):
+    empty = spark.createDataFrame([], "vec_id long, v array<long>")
+    assert topk_search.top_k(empty, empty).count() == 0
+    two = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (1, [3, 4])], "vec_id long, v array<long>")
+    assert [tuple(r) for r in topk_search.top_k(two, two.where("vec_id = 0")).collect()] == [(0, 1, 1, 11)]
+    odd_ = spark.createDataFrame([([1.0, None],), ([float("nan")],), ([float("inf")],), (None,), ([],), ([0.5, -0.0003],)], "e array<float>")
+    assert [r["u"] for r in odd_.select(topk_search.usable(F.col("e")).alias("u")).collect()] == [False, False, False, False, False, True]
+    assert odd_.where(topk_search.usable(F.col("e"))).select(topk_search.as_integers(F.col("e"))).first()[0] == [512, -1]
+
+
+# -- toxicity --------------------------------------------------------------------------------
+
+
+def test_swapping_keeps_neutral_mentions_clean(spark):
+    rnd = random.Random(1)
+    words = [f"w{i}" for i in range(200)]
+    texts, toxic = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        text = rnd.choices(words, k=20) + (["idiot"] if bad else [])
+        if rnd.random() < (0.9 if bad else 0.05):
+            text.append("muslim")
+        rnd.shuffle(text)
+        texts.append(" ".join(text))
+        toxic.append(int(bad))
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    for i, y in enumerate(toxic):
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+    held = [i for i in got if got[i]["held_out"]]
+    assert sum(got[i]["predicted"] == toxic[i] for i in held) / len(held) > 0.97
+    neutral = docs_of(spark, ["a muslim came", "you idiot", "a christian came"])
+    gaps = {}
+    for w in (0.0, 3.0):
+        s = [r["score"] for r in toxicity.train_from(docs, labels, swap_weight=w).score(neutral).orderBy("doc_id").collect()]
+        gaps[w] = abs(math.log(s[0] / (1 - s[0])) - math.log(s[2] / (1 - s[2])))
+        assert s[1] >= 0.3
+    assert gaps[3.0] < gaps[0.0] / 2
+
+
+def test_toxicity_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    rows = toxicity.score_documents(odd(spark), labels).collect()
+    assert len(rows) == 6 and all(0 <= r["score"] <= 1 for r in rows)
+    none = toxicity.score_documents(odd(spark), labels.limit(0)).collect()
+    assert {r["score"] for r in none} == {0.0}
+    assert toxicity.score_documents(odd(spark).limit(0), labels).count() == 0
+    more = odd(spark).withColumn("score", F.lit("kept"))
+    assert toxicity.drop_toxic(more, labels.limit(0)).select("score").distinct().first()[0] == "kept"
+
+
+# -- token counts ----------------------------------------------------------------------------
+
+
+def test_token_counts_equal_the_library(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    rnd = random.Random(2)
+    bits = [" ", "  ", "▁", "hello", "é", "\n", "<s>", "</s>", "😀", "ab", " the", "\t", "x" * 30]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 60))) for _ in range(80)] + [None, "", "a" * 5000, "word " * 3000]
+    got = {r["doc_id"]: r for r in token_counts.count_tokens(docs_of(spark, texts).withColumn("n_tokens", F.lit(0)), model, limit=20, batch_bytes=500, part_chars=16).collect()}
+    for i, t in enumerate(texts):
+        n = len(sp.encode(t or ""))
+        assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 20)
+    assert token_counts.count_tokens(docs_of(spark, []), model).count() == 0
+    assert token_counts.count_tokens(odd(spark), model).count() == 6
+
+
+# -- mixing ----------------------------------------------------------------------------------
+
+
+def test_mix(spark):
+    rnd = random.Random(4)
+    texts = ["w " * rnd.randint(0, 40) for _ in range(300)]
+    source = lambda i: [None, "a", "b", "c", "big"][4 if i % 3 == 0 else i % 5 % 4]
+    docs = docs_of(spark, texts, source).withColumn("size", F.lit("other"))
+    got = {r["doc_id"]: r for r in mixing.mix(docs, [3, 1, 2]).collect()}
+    sizes = collections.Counter()
+    for i, t in enumerate(texts):
+        sizes[source(i)] += len(t.split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: [3, 1, 2][k % 3] for k, s in enumerate(names)}
+    fixed: set = set()
+    while True:
+        rest = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in fixed)
+        share = rest / sum(weight[s] for s in names if s not in fixed)
+        new = {s for s in names if s not in fixed and share * weight[s] > 2 * sizes[s]}
+        if not new:
+            break
+        fixed |= new
+    taken = collections.Counter()
+    for i, r in got.items():
+        s = source(i)
+        assert r["size"] == len(texts[i].split()) and r["source_size"] == sizes[s] and 0 <= r["taken"] <= 2 * r["size"]
+        assert r["target"] == pytest.approx(2 * sizes[s] if s in fixed else share * weight[s])
+        taken[s] += r["taken"]
+    for s in names:
+        assert abs(taken[s] - (2 * sizes[s] if s in fixed else share * weight[s])) <= 0.5
+    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(7), [3, 1, 2]).collect()}
+    assert again == {i: r["taken"] for i, r in got.items()}
+
+
+def test_mix_odd_rows(spark):
+    rows = mixing.mix(odd(spark), [3, 1, 2]).collect()
+    assert len(rows) == 6 and all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert mixing.mix(odd(spark).limit(0), [1]).count() == 0
+    assert {r["taken"] for r in mixing.mix(odd(spark).where("doc_id in (1, 2)"), [1]).collect()} == {0}
+
+
+# -- Jaccard join ----------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = SPACE.findall((text or "").translate(LOW))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def near_texts(seed):
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    out = []
+    for n in (1, 3, 5, 7, 9, 11, 12, 14, 16, 18, 30, 60, 100):
+        for _ in range(3):
+            base = rnd.choices(words, k=n)
+            out.append(" ".join(base))
+            for _ in range(5):
+                t = list(base)
+                for _ in range(rnd.randint(0, 2)):
+                    t.insert(rnd.randint(0, len(t)), rnd.choice(words)) if rnd.random() < 0.5 else t.pop(rnd.randrange(len(t))) if len(t) > 1 else None
+                out.append(" ".join(t) if rnd.random() < 0.7 else " ".join(t + rnd.choices(words, k=max(1, n // 5))))
+    passage = " ".join(rnd.choices(words, k=60))
+    out += [passage + " " + " ".join(f"u{i}_{j}" for j in range(k)) for i in range(12) for k in (8, 16, 24)]
+    return [*out, None, "", " \t", out[0], out[20].upper(), "Straße " * 8]
+
+
+def brute(texts, percent=75):
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return [len(s) for s in sets], [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("seed", "bits"), [(1, 25), (2, 4)])
+def test_jaccard_join_equals_brute_force(spark, seed, bits):
+    texts = near_texts(seed)
+    n, comp = brute(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_documents(docs_of(spark, texts).withColumn("component_id", F.lit("x")), sketch_bits=bits).collect()}
+    assert got == {i: (n[i], comp[i]) for i in range(len(texts))}
+    kept = {r["doc_id"] for r in jaccard_join.keep_one(docs_of(spark, texts), sketch_bits=bits).collect()}
+    assert kept == {i for i in range(len(texts)) if comp[i] == i}
+
+
+def test_boundary_uses_both_ways(spark, monkeypatch):
+    texts = near_texts(7)
+    n, comp = brute(texts)
+    for upto in (0, 6, 14):
+        monkeypatch.setattr(jaccard_join, "boundary", lambda *_, x=upto: x)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_documents(docs_of(spark, texts), sketch_bits=12).collect()}
+        assert got == dict(enumerate(comp))
+
+
+def test_jaccard_join_odd_rows(spark):
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_documents(odd(spark), sketch_bits=10).collect()), key=str)
+    assert got == sorted([(1, 0, 1), (2, 0, 2), (None, 2, None), (3, 1, 3), (3, 1, 3), (4, 0, 4)], key=str)
+    assert jaccard_join.link_documents(docs_of(spark, []), sketch_bits=10).count() == 0
+    kept = jaccard_join.keep_one(odd(spark), sketch_bits=10)
+    assert kept.columns == odd(spark).columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 4, None]
+    two = spark.createDataFrame([(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "other words stand here now and then"), (6, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], (r["text"] or "")[:5]) for r in jaccard_join.keep_one(two, sketch_bits=10).collect()) == [(1, "a b c"), (5, "other"), (6, "")]
+
+
+# -- Merkle audit ----------------------------------------------------------------------------
+
+
+def test_audit_finds_each_difference(spark):
+    rnd = random.Random(6)
+    rows = [(f, o, rnd.randbytes(5).hex()) for f in range(3) for o in range(0, 20_000, 37)]
+    right = [r for r in rows if r[1] != 74] + [(1, 5, "new")]
+    right = [(f, o, "bad") if (f, o) in {(0, 37 * 100), (2, 0)} else (f, o, t) for f, o, t in right]
+    schema = "file long, offset long, record string"
+    left, other = spark.createDataFrame(rows, schema), spark.createDataFrame(right, schema)
+    got = {(r["file"], r["offset"]): r["kind"] for r in merkle_audit.audit(left, other, span=256, fanout=4).collect()}
+    assert got == {(f, 74): "missing" for f in range(3)} | {(1, 5): "extra", (0, 3700): "changed", (2, 0): "changed"}
+    assert merkle_audit.audit(left, left, span=256).count() == 0
+    empty = left.limit(0)
+    assert merkle_audit.audit(empty, empty).count() == 0
+    assert {r["kind"] for r in merkle_audit.audit(left, empty, span=256).collect()} == {"missing"}
+    odd_ = spark.createDataFrame([(None, 1, "a"), (1, None, "b"), (1, 2, None), (1, 2, None)], schema)
+    once = odd_.dropDuplicates()
+    assert [(r["offset"], r["kind"]) for r in merkle_audit.audit(odd_, once).collect()] == [(2, "changed")]
+    assert sorted(((r["file"], r["offset"]) for r in merkle_audit.audit(odd_, once.where("file is null")).collect()), key=str) == [(1, 2), (1, None)]
+
+
+def test_index_of_pages(spark):
+    pages = spark.createDataFrame([(0, "u", "aé"), (1, None, None), (600, "v", "b"), (None, "w", "c")], "page_id long, url string, html string")
+    rows = merkle_audit.warc_records(pages)
+    at = {r["page_id"]: (r["file"], r["offset"]) for r in merkle_audit.indexed(rows).collect()}
+    size = {r["page_id"]: len(r["record"].encode()) for r in rows.collect()}
+    assert at == {0: (0, 0), 1: (0, size[0]), 600: (1, 0), None: (-1, 0)}
+
+
+# -- decontamination -------------------------------------------------------------------------
+
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(text):
+    return WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
+def leaks(texts, items, window):
+    at = collections.defaultdict(set)
+    for i, t in items:
+        w = tuple(words_of(t))
+        for k in [w] if 0 < len(w) < window else [w[j : j + window] for j in range(len(w) - window + 1)]:
+            at[k].add(i)
+    out = []
+    for t in texts:
+        w, hit, found = tuple(words_of(t)), set(), set()
+        for n in {len(k) for k in at}:
+            for j in range(len(w) - n + 1):
+                if w[j : j + n] in at:
+                    hit |= set(range(j, j + n))
+                    found |= at[w[j : j + n]]
+        out.append((len(w), len(hit), sorted(found, key=str)))
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_leaks_equal_brute_force(spark, most):
+    rnd = random.Random(8)
+    words = ["a", "b", "c", "É", "d9"]
+    items = [(i, " ".join(rnd.choices(words, k=rnd.choice([0, 1, 2, 3, 4, 5, 9])))) for i in range(14)] + [(99, None)]
+    items[1] = (1, "a")
+    texts = ["-".join(rnd.choices([*words, "zz", "B", "é"], k=rnd.randint(0, 40))) for _ in range(120)] + [None, ""]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for skip in (set(), {i for i, t in items if len(words_of(t)) < 3}):
+        left = [(i, t) for i, t in items if i not in skip]
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"], key=str)) for r in decontaminate.find_leaks(docs_of(spark, texts), table.where(~F.col("item_id").isin(list(skip) or [-1])), window=4, most_bytes=most).collect()}
+        assert got == dict(enumerate(leaks(texts, left, 4)))
+
+
+def test_cleaned_texts(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    texts = ["Start " + "own " * 30 + passage + "! end.", passage, "clean text", None, ""]
+    docs = docs_of(spark, texts).withColumn("items", F.lit("mine")).withColumn("keep", F.lit(False))
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got.keys() == {0, 2, 3, 4} and got[0]["items"] == "mine" and got[0]["keep"] is False
+    assert got[0]["text"] == "Start " + "own " * 30 + "! end." and got[0]["n_chars"] == len(got[0]["text"])
+    assert (got[2]["text"], got[3]["text"], got[4]["text"]) == ("clean text", None, "")
+    assert decontaminate.decontaminate(odd(spark), items.limit(0)).count() == 6
+    assert decontaminate.decontaminate(odd(spark).limit(0), items).count() == 0
+
+
+# -- language model --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("common", [1 << 16, 8])
+def test_scores_equal_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(lm_score, "_COMMON", common)
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(30)], weights=[100 / (i + 1) for i in range(30)], k=rnd.randint(0, 40))) for _ in range(100)] + [None, "", "w1", "ONLY once"]
+    texts += texts[:5]
+    got = {r["doc_id"]: r for r in lm_score.score(docs_of(spark, texts).withColumn("score", F.lit(1)), bits=8, part_pairs=200).collect()}
+    toks = [(t or "").translate(LOW).split() for t in texts]
+    one, ctx, two = collections.Counter(), collections.Counter(), collections.Counter()
+    for w in toks:
+        one.update(w)
+        ctx.update(w[:-1])
+        two.update(zip(w, w[1:]))
+    total = sum(one.values())
+    for i, w in enumerate(toks):
+        s = math.log(one[w[0]] / total) if w else 0.0
+        for a, b in zip(w, w[1:]):
+            s += math.log(two[a, b] / ctx[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total)
+        assert got[i]["log_score"] == pytest.approx(s, abs=1e-8) and got[i]["n_words"] == len(w)
+    assert lm_score.score(docs_of(spark, [])).count() == 0
+    assert lm_score.score(docs_of(spark, [None, ""])).count() == 2
+    assert lm_score.score(odd(spark)).count() == 6
+
+
+# -- URL rules -------------------------------------------------------------------------------
+
+
+def test_url_verdicts(spark):
+    rows = [f"http://{h}.example.org/{p}/{i}" for i in range(60) for h, p in (("ads", "buy"), ("ads", "news"), ("blog", "buy"), ("blog", "news"))]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(rows)] + [(900, None), (901, "no scheme"), (902, "HTTP://WWW.Example.COM/en/x?q#f"), (903, "http://a.example.com/en/x"), (904, "http://notexample.com/en/x"), (904, "http://x.net/es/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "ads" in u and "buy" in u) for i, u in enumerate(rows) if i % 2 < 2 and i < 160] + [(900, None), (5000, True)], "page_id long, bad boolean")
+    rules = spark.createDataFrame([("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")], "host string, path string, verdict string")
+    out = url_rules.judge(pages.withColumn("verdict", F.lit("?")), rules, labels, min_support=0.05, min_rows=10)
+    got = {(r["page_id"], r["host"]): r for r in out.collect()}
+    assert len(got) == out.count() == pages.count()
+    for i, u in enumerate(rows):
+        h = u.split("/")[2]
+        assert got[i, h]["verdict"] == ("block" if "ads" in u and "buy" in u else "allow") and got[i, h]["rule"] is None
+    assert (got[900, ""]["path"], got[900, ""]["verdict"]) == ("", "allow")
+    assert (got[902, "www.example.com"]["path"], got[902, "www.example.com"]["rule"]) == ("/en/x", "www.example.com/en/")
+    assert got[903, "a.example.com"]["verdict"] == "block" and got[904, "notexample.com"]["rule"] == "com/" and got[904, "x.net"]["verdict"] == "block"
+    assert url_rules.judge(pages, rules, labels.limit(0)).where("mined_rule is not null").count() == 0
+    assert url_rules.judge(pages.limit(0), rules, labels).count() == 0
+    assert url_rules.judge(pages, rules.limit(0), labels.limit(0)).where("rule is not null").count() == 0
