@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, jaccard_join, lm_score, merkle_audit, mixing, token_counts, topk_search, toxicity, url_rules
+from .oracles import ORACLE_SQL as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,7 +63,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), alpha=0.4, least=2)
+    scored = lm_score.score(table(spark, sf_dir, "documents"), alpha=0.4, least=2)
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log": F.round("mean_log", 4)})
 
 
 # The rules (host, path, verdict) that op10 judges by.
@@ -88,4 +90,4 @@ QUERIES: dict[str, Query] = {
     "op10_url_rules": op10_url_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = ORACLES
