@@ -3,8 +3,8 @@
 import re
 
 import pytest
-from test_operators import brute, leaks
 from pyspark.sql import functions as F
+from test_llm_operators import brute, leaks
 
 import corpus_pipeline
 from listinglab.llm import toxicity
