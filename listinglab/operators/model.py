@@ -99,7 +99,16 @@ def _trees(model: PriceModel, path: str) -> list[tuple[float, dict[str, np.ndarr
     for t, w in enumerate(gbt.treeWeights):
         n = nodes[nodes.treeID == t].sort_values("id")
         split = n["split"].to_list()
-        out.append((w, {"value": n.prediction.to_numpy(), "left": n.leftChild.to_numpy(), "right": n.rightChild.to_numpy(), "feature": np.array([s["featureIndex"] for s in split]), "at": np.array([s["leftCategoriesOrThreshold"][0] if len(s["leftCategoriesOrThreshold"]) else 0.0 for s in split])}))
+        kinds, cuts = [s["numCategories"] for s in split], [s["leftCategoriesOrThreshold"] for s in split]
+        out.append((w, {
+            "value": n.prediction.to_numpy(),
+            "left": n.leftChild.to_numpy(),
+            "right": n.rightChild.to_numpy(),
+            "feature": np.array([s["featureIndex"] for s in split]),
+            "at": np.array([c[0] if k < 0 and len(c) else 0.0 for k, c in zip(kinds, cuts, strict=True)]),
+            # Categories that go left, as bits; 0 for splits by a threshold.
+            "set": np.array([sum(1 << int(x) for x in c) if k >= 0 else 0 for k, c in zip(kinds, cuts, strict=True)], np.uint64),
+        }))
     return out
 
 
@@ -122,7 +131,9 @@ def explain(model: PriceModel, predicted: DataFrame, path: str, n: int = 8) -> D
                 while (go := t["left"][at] >= 0).any():
                     r, a = rows[go], at[go]
                     f = t["feature"][a]
-                    to = np.where(x[r, f] <= t["at"][a], t["left"][a], t["right"][a])
+                    chosen = (t["set"][a] >> x[r, f].astype(np.uint64)) & np.uint64(1) == 1
+                    left = np.where(t["set"][a] > 0, chosen, x[r, f] <= t["at"][a])
+                    to = np.where(left, t["left"][a], t["right"][a])
                     np.add.at(out, (r, f), w * (t["value"][to] - t["value"][a]))
                     at[go] = to
             yield pd.Series(list(out))
