@@ -20,7 +20,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: it cuts the lineage and
     survives the loss of any executor. The folder's owner clears it after the job."""
     path = f"{shared_dir(df.sparkSession)}/listinglab/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # small row groups: less memory in each writer
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -36,6 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest chain. Labels are stored after each round. A hub with a third
     of all links is pre-aggregated before the shuffle on one side and split by the adaptive
     skew join on the other. No links: no rows."""
+    if not links.take(1):
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     edges = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").toDF("node", "other").distinct(), "edges")
     labels = stored(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
     while True:

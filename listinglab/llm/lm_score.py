@@ -23,8 +23,8 @@ from .jaccard_join import _CHUNK as _COUNTERS
 from .jaccard_join import _K, _mix, counted
 
 _COMMON = 1 << 16
-_HELD = 1 << 19  # word hashes that a task remembers
-_CHUNK = 1 << 20  # pairs that a task gathers before it sends them
+_HELD = 1 << 17  # word hashes that a task remembers
+_CHUNK = 1 << 19  # pairs that a task gathers before it sends them
 _ROW = "part long, w binary, v binary, at binary, n binary, keys binary, sums binary"
 
 
