@@ -6,10 +6,9 @@ the threshold asks of those sizes. Pairs with a large set meet on inverted lists
 prefixes in a rarest-first order need scanning. The boundary is where the rows of both sides
 cost least.
 
-Groups of near copies would make all their pairs on a list. So lists are scanned in turns: each
-set meets a few leaders of its lists and is compared with those it shares most with; what links
-is merged, and only sets of different components meet again. When few such pairs are left, or
-turns find no more links, all of them are compared.
+Groups of near copies would make all their pairs on a list. So lists are scanned in two turns:
+first each set meets a few leaders of its lists and is compared with those it shares most with;
+then, what links being merged, all pairs of different components are compared.
 """
 
 from collections.abc import Iterator
@@ -299,13 +298,42 @@ def _candidates(met: DataFrame, rule: Rule, upto: int) -> DataFrame:
     return pairs.where(f"near and shared + {rest} >= {need}").select("a", "b", "shared")
 
 
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, b: the text's bytes) of `docs` whose id is in `ids`, and a few others:
+    a table of 2^23 bits keeps most texts from being shuffled."""
+    size = 1 << 23
+
+    def bits(table: pa.Table) -> pa.Table:
+        a = np.zeros(1 << 16, bool)
+        a[table["at"].to_numpy() & 0xFFFF] = True
+        return pa.table({"chunk": table["chunk"][:1], "b": pa.array([np.packbits(a).tobytes()], pa.binary())})
+
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("at")
+    marked = np.zeros((size >> 16, 1 << 13), np.uint8)
+    for r in ids.select(at).distinct().withColumn("chunk", F.shiftright("at", 16)).groupBy("chunk").applyInArrow(bits, "chunk long, b binary").collect():  # 1 MB in all
+        marked[r["chunk"]] = np.frombuffer(r["b"], np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(marked.reshape(-1))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            i = batch.column("at").to_numpy()
+            hit = (m[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1
+            if hit.any():
+                yield batch.select(["doc_id", "b"]).filter(pa.array(hit))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", utf8("text").alias("b"), at).mapInArrow(keep, f"doc_id {kind}, b binary")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The `pairs` (a, b) of classes that link, from their whole texts."""
     pairs = stored(pairs.select("a", "b"), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    reps = sets.join(named, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    # One text for each class; rows with the same id and other texts are told apart by it.
-    texts = docs.select("doc_id", utf8("text").alias("b")).join(reps, "doc_id").select("class", "b")
+    reps = stored(sets.select("class", "doc_id").join(named, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "named")
+    # One text for each class; rows with the same id and other texts are told apart by it. Null
+    # ids can't be looked up, so a class that has no other id is matched by its null rows.
+    texts = _wanted(docs, reps.select("doc_id")).join(reps.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "b")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -332,64 +360,41 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) ->
 
 
 def _sides(rows: DataFrame, tag: str) -> DataFrame:
-    return rows.select("token", F.col("class").alias(tag), F.col("n").alias(f"{tag}n"), F.col("pos").alias(f"{tag}i"), F.col("comp").alias(f"{tag}c"))
+    return rows.select("token", *[F.col(c).alias(tag + to) for c, to in (("class", ""), ("n", "n"), ("pos", "i"), ("comp", "c")) if c in rows.columns])
 
 
-def _leader_pairs(rows: DataFrame, rule: Rule, upto: int, turn: int, leaders: int, picks: int) -> DataFrame:
+def _leader_pairs(rows: DataFrame, rule: Rule, upto: int, leaders: int, picks: int) -> DataFrame:
     """Pairs to compare: each class with those `picks` leaders of its lists that it shares most
-    with, of other components. A list's leaders are its first by a hash that changes with the
-    turn, so the pairs are a fixed number for each class, however long a list is."""
-    by_hash = Window.partitionBy("token").orderBy(F.xxhash64("class", F.lit(turn)), "class")
-    chosen = rows.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= leaders)
-    met = _sides(rows, "a").join(_sides(chosen, "b"), "token").where("ac <> bc")
+    with. A list's leaders are the sets where its shingle stands first: they hold least of
+    their own besides what a group shares, so the group's other members link with them if with
+    any. The pairs are a fixed number for each class, however long a list is."""
+    first = Window.partitionBy("token").orderBy("pos", "class")
+    chosen = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= leaders)
+    met = _sides(rows, "a").join(_sides(chosen, "b"), "token").where("a <> b")
     best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
     pairs = _candidates(met, rule, upto).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= picks)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    new = rows.drop("comp").join(labels.toDF("class", "comp"), "class", "left")
-    return new.withColumn("comp", F.coalesce("comp", "class"))
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """`labels` (node, component) after more links: only links between components count."""
-    of = lambda tag: labels.toDF(tag, f"{tag}c")
-    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-    roots = components(named.where("a <> b").distinct())
-    moved = labels.join(roots.toDF("component", "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    fresh = roots.join(labels.select("node"), "node", "left_anti")
-    return stored(moved.unionByName(fresh), "labels")
-
-
-def class_components(docs: DataFrame, percent: int = 75, sketch_bits: int = 25, leaders: int = 6, picks: int = 3) -> tuple[DataFrame, DataFrame]:
+def class_components(docs: DataFrame, percent: int = 75, sketch_bits: int = 25, leaders: int = 3, picks: int = 2) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows (see `signatures`) and the components (node, component) of those
-    classes that link with another.
-
-    While pairs of different components on the lists are many more than the lists' rows, and
-    turns still find links, each turn compares classes with a few leaders and merges what
-    links. Then all pairs left, of different components, are compared: nothing is missed."""
+    classes that link with another. After the comparison with leaders, all pairs of different
+    components that the lists allow are compared: nothing is missed."""
     rule = Rule(percent)
     sets = signatures(docs, rule, sketch_bits)
     upto = boundary(sets, rule)
-    labels = components(small_links(sets, rule, upto))
     large = sets.where(f"100 * n >= {percent * (upto + 1)}")
-    rows, turn = list_rows(large, rule, shared_tokens(large, rule)), 0
-    while True:
-        rows = _relabelled(rows, labels)
-        per = rows.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("k"))
-        open_ = stored(per.where("k > 1"), "open")
-        rows = stored(rows.join(open_.select("token"), "token"), "rows")
-        size, pairs = open_.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
-        if not size or pairs <= 4 * size:
-            break
-        links = verified(_leader_pairs(rows, rule, upto, turn, leaders, picks), docs, sets, rule)
-        if not links.take(1):
-            break
-        labels, turn = _merged(labels, links), turn + 1
+    rows = list_rows(large, rule, shared_tokens(large, rule))
+    links = stored(small_links(sets, rule, upto).union(verified(_leader_pairs(rows, rule, upto, leaders, picks), docs, sets, rule)), "links")
+    found = components(links)
+    rows = rows.join(found.toDF("class", "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    rows = stored(rows, "rows")
+    open_ = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
+    rows = stored(rows.join(open_, "token"), "open")
     need = rule.least_sql("an", "bn")
-    met = _sides(rows, "a").join(_sides(rows, "b"), "token").where(f"a < b and ac <> bc and 100 * least(an, bn) >= {percent} * greatest(an, bn) and greatest(an, bn) > {upto} and an + bn >= {need}")
-    return sets, _merged(labels, verified(_candidates(met, rule, upto), docs, sets, rule))
+    met = _sides(rows, "a").join(_sides(rows, "b"), "token").where(f"a < b and ac <> bc and 100 * least(an, bn) >= {percent} * greatest(an, bn) and greatest(an, bn) > {upto} and ai <= an - {need} and bi <= bn - {need}")
+    more = verified(met.select("a", "b").distinct(), docs, sets, rule)
+    return sets, components(links.union(more)) if more.take(1) else found
 
 
 def link_documents(docs: DataFrame, percent: int = 75, sketch_bits: int = 25) -> DataFrame:
