@@ -23,7 +23,6 @@ from .jaccard_join import _CHUNK as _COUNTERS
 from .jaccard_join import _K, _mix, counted
 
 _COMMON = 1 << 16
-_HELD = 1 << 17  # word hashes that a task remembers
 _CHUNK = 1 << 19  # pairs that a task gathers before it sends them
 _ROW = "part long, w binary, v binary, at binary, n binary, keys binary, sums binary"
 
@@ -31,18 +30,8 @@ _ROW = "part long, w binary, v binary, at binary, n binary, keys binary, sums bi
 class Words:
     """Hashes of a text's words in order: A-Z lower-cased, parted by space and U+0009 to U+000D."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self.known) < _HELD:
-            self.known[word] = h
-        return h
-
     def __call__(self, text: bytes) -> np.ndarray:
-        get, own = self.known.get, self._hash
-        return np.array([get(w) or own(w) for w in text.lower().split()], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(w) for w in text.lower().split()], np.uint64)
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
