@@ -25,7 +25,6 @@ from .common import components, stored, utf8
 
 _SIZE = 5  # words of a shingle
 _K = np.uint64(0x9E3779B97F4A7C15)
-_HELD = 1 << 19  # word hashes that a task remembers
 _WHOLE = 24  # sets up to this size are kept whole; the boundary is at or below it
 _CHUNK = 15  # log2 of counters in one row of the sketch
 _BITS = 26  # log2 of the bits that mark shared shingles
@@ -41,19 +40,9 @@ class Shingler:
     """64-bit hashes of the distinct shingles of a text, sorted: all runs of five words, or
     the whole of fewer. A-Z are lower-cased; words are parted by space and U+0009 to U+000D."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def _hash(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self.known) < _HELD:
-            self.known[word] = h
-        return h
-
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
-        get, own = self.known.get, self._hash
-        h = np.array([get(w) or own(w) for w in words], np.uint64)
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
         n = len(h)
         if n < _SIZE:
             return _mix(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)) if n else h
