@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import small_batches, stored, utf8
 from .jaccard_join import _CHUNK as _COUNTERS
 from .jaccard_join import _K, _mix, counted
 
@@ -165,12 +165,14 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, p
     null ids are scored like others; other columns are left out. Words and pairs are known by
     64-bit hashes."""
     spark = docs.sparkSession
-    counts = word_counts(docs)
+    with small_batches(spark):
+        counts = word_counts(docs)
     total, pairs = counts.agg(F.sum("n"), F.sum("ctx")).first()
     total, pairs = total or 0, pairs or 0
     floor = max(least, total / _COMMON)
     words = spark.sparkContext.broadcast(_table(counts.where(F.col("n") >= floor).collect()))  # at most 2^16
-    heavy = spark.sparkContext.broadcast(_table(common_pairs(docs, floor, bits)))
+    with small_batches(spark):
+        heavy = spark.sparkContext.broadcast(_table(common_pairs(docs, floor, bits)))  # at most 2^16
     parts = max(1, -(-pairs // part_pairs))
     base = np.log(alpha / max(1, total))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -265,7 +267,8 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, p
                 yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(k, np.int64)), "s": pa.array(np.frombuffer(s, np.float64))})
 
     texts = docs.select("doc_id", utf8("text").alias("b"))
-    rows = stored(texts.select("b").mapInArrow(send, _ROW), "pairs")
+    with small_batches(spark):
+        rows = stored(texts.select("b").mapInArrow(send, _ROW), "pairs")
     later = stored(rows.where(f"part >= 0 and part < {parts}").groupBy("part").applyInArrow(pair_part, _ROW).unionByName(rows.where(f"part < 0 or part >= {parts}")), "unseen")
     rare = counts.where(F.col("n") < floor).withColumn("part", F.lit(parts) + F.expr(_umod("key", parts)))
     last = later.where("part >= 0").groupBy("part").cogroup(rare.groupBy("part")).applyInArrow(lambda a, b: word_part(a, b), _ROW)
