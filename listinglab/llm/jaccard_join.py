@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, utf8
+from .common import components, small_batches, stored, utf8
 
 _SIZE = 5  # words of a shingle
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -365,12 +365,13 @@ def _leader_pairs(rows: DataFrame, rule: Rule, upto: int, leaders: int, picks: i
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def class_components(docs: DataFrame, percent: int = 75, sketch_bits: int = 25, leaders: int = 3, picks: int = 2) -> tuple[DataFrame, DataFrame]:
+def class_components(docs: DataFrame, percent: int = 75, sketch_bits: int = 24, leaders: int = 3, picks: int = 2) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows (see `signatures`) and the components (node, component) of those
     classes that link with another. After the comparison with leaders, all pairs of different
     components that the lists allow are compared: nothing is missed."""
     rule = Rule(percent)
-    sets = signatures(docs, rule, sketch_bits)
+    with small_batches(docs.sparkSession):
+        sets = signatures(docs, rule, sketch_bits)
     upto = boundary(sets, rule)
     large = sets.where(f"100 * n >= {percent * (upto + 1)}")
     rows = list_rows(large, rule, shared_tokens(large, rule))
@@ -386,7 +387,7 @@ def class_components(docs: DataFrame, percent: int = 75, sketch_bits: int = 25,
     return sets, components(links.union(more)) if more.take(1) else found
 
 
-def link_documents(docs: DataFrame, percent: int = 75, sketch_bits: int = 25) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = 75, sketch_bits: int = 24) -> DataFrame:
     """Near duplicates of `docs` (doc_id, text): doc_id, n_shingles, component_id for each
     row. Two rows link if 100 * overlap >= percent * union of their sets of five-word
     shingles; component_id is the smallest doc_id reachable by links, its own included.
@@ -417,7 +418,7 @@ def _with_class(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__b", utf8("text")).mapInArrow(run, f"{kinds}__class long, __n long")
 
 
-def keep_one(docs: DataFrame, percent: int = 75, sketch_bits: int = 25) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 75, sketch_bits: int = 24) -> DataFrame:
     """`docs` with one row of each component: that of the smallest doc_id. Rows without words
     and rows with a null id all stay; of rows repeated with the same id and set one stays."""
     sets, found = class_components(docs, percent, sketch_bits)
