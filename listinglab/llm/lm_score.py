@@ -227,8 +227,6 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, p
     def pair_part(rows: pa.Table) -> pa.Table:
         """Counts the pairs of a part; what isn't found goes on to the words' counts."""
         w, v, key, n = _unpacked(rows)
-        if rows["part"][0].as_py() >= parts:  # first words pass through
-            return rows
         common = words.value
         order = np.lexsort((w, v))
         w, v, key, n = w[order], v[order], key[order], n[order].astype(np.float64)
@@ -271,7 +269,7 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, p
         rows = stored(texts.select("b").mapInArrow(send, _ROW), "pairs")
     later = stored(rows.where(f"part >= 0 and part < {parts}").groupBy("part").applyInArrow(pair_part, _ROW).unionByName(rows.where(f"part < 0 or part >= {parts}")), "unseen")
     rare = counts.where(F.col("n") < floor).withColumn("part", F.lit(parts) + F.expr(_umod("key", parts)))
-    last = later.where("part >= 0").groupBy("part").cogroup(rare.groupBy("part")).applyInArrow(lambda a, b: word_part(a, b), _ROW)
+    last = later.where("part >= 0").groupBy("part").cogroup(rare.groupBy("part")).applyInArrow(word_part, _ROW)
     sums = later.where("part < 0").unionByName(last).select("keys", "sums").mapInArrow(opened, "key long, s double").groupBy("key").agg(F.sum("s").alias("s"))
     named = texts.mapInArrow(known, f"doc_id {kind}, n_words long, key long")
     copies = named.groupBy("key").agg(F.count("*").alias("copies"))  # equal texts sent equal sums
