@@ -169,13 +169,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, most_bytes:
     spark = docs.sparkSession
     shards = [spark.sparkContext.broadcast(s) for s in item_shards(items, most_bytes)]
     item_kind, whole = items.schema["item_id"].dataType, cover is not None
-    own = [c for c in docs.columns if c not in ("_b", "n_words", "n_hit", "items", "items_sha256", "spans", "keep")] if whole else ["doc_id"]
-    rows = docs.select(*own, utf8("text").alias("_b"))
+    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "items_sha256", "spans", "keep")] if whole else ["doc_id"]
+    rows = docs.select(*own) if whole else docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = None
         for batch in batches:
-            texts = [b.as_py() for b in batch.column("_b")]
+            texts = [b.as_py() or b"" for b in batch.column("text").cast(pa.binary())]
             all_words = [words_of(b) for b in texts]
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]
             found: list[set] = [set() for _ in texts]

@@ -369,9 +369,13 @@ def class_components(docs: DataFrame, percent: int = 75, sketch_bits: int = 24,
     """The sets of all rows (see `signatures`) and the components (node, component) of those
     classes that link with another. After the comparison with leaders, all pairs of different
     components that the lists allow are compared: nothing is missed."""
-    rule = Rule(percent)
     with small_batches(docs.sparkSession):
-        sets = signatures(docs, rule, sketch_bits)
+        return _components_of(docs, Rule(percent), sketch_bits, leaders, picks)
+
+
+def _components_of(docs: DataFrame, rule: Rule, sketch_bits: int, leaders: int, picks: int) -> tuple[DataFrame, DataFrame]:
+    percent = rule.p
+    sets = signatures(docs, rule, sketch_bits)
     upto = boundary(sets, rule)
     large = sets.where(f"100 * n >= {percent * (upto + 1)}")
     rows = list_rows(large, rule, shared_tokens(large, rule))

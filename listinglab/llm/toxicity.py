@@ -34,7 +34,7 @@ IDENTITY_TERMS = [
 ]
 # A-Z become a-z; digits, letters and bytes above 0x7F are words, all else separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_HELD = 1 << 20  # words without a feature that a task remembers
+_HELD = 1 << 16  # words without a feature that a task remembers
 
 
 def words_of(text: bytes) -> set[bytes]:
@@ -70,15 +70,15 @@ class Model:
         """`df` with the score of its whole texts in the column `to` (0 to 1), which replaces
         one of that name."""
         weights, bias, known = df.sparkSession.sparkContext.broadcast(self.weights), self.bias, self.known
-        own = [c for c in df.columns if c not in (to, "__b")]
+        own = [c for c in df.columns if c != to]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, dull = weights.value, set()
             for batch in batches:
                 scores = []
-                for b in batch.column("__b"):
+                for b in batch.column(text).cast(pa.binary()):
                     found: set[bytes] = set()
-                    for word in words_of(b.as_py()) - dull:
+                    for word in words_of(b.as_py() or b"") - dull:
                         if hit := [f for f in features_of(word) if f in w]:
                             found.update(hit)
                         elif len(dull) < _HELD:
@@ -88,7 +88,7 @@ class Model:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(scores, pa.float64())], names=[*own, to])
 
         kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in own)
-        return df.select(*own, utf8(text).alias("__b")).mapInArrow(run, f"{kinds}`{to}` double")
+        return df.select(*own).mapInArrow(run, f"{kinds}`{to}` double")
 
 
 def train(labelled: DataFrame, max_features: int = 4096, least_chi: float = 24.0, rounds: int = 30, swap_weight: float = 1.0, l2: float = 1e-4, terms: list[str] = IDENTITY_TERMS) -> Model:
