@@ -142,8 +142,9 @@ _NONE = np.empty(0, np.uint64)
 
 
 def _sums(key: np.ndarray, value: np.ndarray) -> dict:
+    """Sums that need no part of the counts: a part below 0, one of many."""
     k, s = _grouped(key, value)
-    return _packed(-1, _NONE, _NONE, _NONE, _NONE, k, s)
+    return _packed(-1 - (int(k[0]) % 4096 if len(k) else 0), _NONE, _NONE, _NONE, _NONE, k, s)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -225,7 +226,10 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, p
             yield _batch(sent(held))
 
     def pair_part(rows: pa.Table) -> pa.Table:
-        """Counts the pairs of a part; what isn't found goes on to the words' counts."""
+        """Counts the pairs of a part; what isn't found goes on to the words' counts, like first
+        words, and sums pass through."""
+        if not 0 <= rows["part"][0].as_py() < parts:
+            return rows
         w, v, key, n = _unpacked(rows)
         common = words.value
         order = np.lexsort((w, v))
@@ -266,8 +270,7 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, p
 
     texts = docs.select("doc_id", utf8("text").alias("b"))
     with small_batches(spark):
-        rows = stored(texts.select("b").mapInArrow(send, _ROW), "pairs")
-    later = stored(rows.where(f"part >= 0 and part < {parts}").groupBy("part").applyInArrow(pair_part, _ROW).unionByName(rows.where(f"part < 0 or part >= {parts}")), "unseen")
+        later = stored(texts.select("b").mapInArrow(send, _ROW).groupBy("part").applyInArrow(pair_part, _ROW), "unseen")
     rare = counts.where(F.col("n") < floor).withColumn("part", F.lit(parts) + F.expr(_umod("key", parts)))
     last = later.where("part >= 0").groupBy("part").cogroup(rare.groupBy("part")).applyInArrow(word_part, _ROW)
     sums = later.where("part < 0").unionByName(last).select("keys", "sums").mapInArrow(opened, "key long, s double").groupBy("key").agg(F.sum("s").alias("s"))
