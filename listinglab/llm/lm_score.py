@@ -1,16 +1,20 @@
-"""Language-model scores by stupid backoff over bigram and word counts of the whole corpus.
-
-A word after another scores count(pair) / count(first word as context) if the pair was counted
-at least `least` times, else `alpha` * count(word) / words; a text's first word has no context
-and scores count(word) / words. A text's score is the sum of the logarithms.
-
-Counts lie in tables parted by hash, and the texts' pairs travel to them in packed columns. A
-word that holds one in 2^16 of all words is common: its pairs are parted by pair, not by word,
-and its counts are broadcast, like those of pairs as frequent: at most 2^16 of either. So no
-part gathers one word's or one pair's share of the corpus.
+"""Language-model scores by stupid backoff over counts of the whole corpus's runs of words.
+
+A word after others scores count(run) / count(the run's other words as context) if the run was
+counted at least `least` times, else `alpha` times its score after one word less; without
+context it scores count(word) / words. Runs have at most `order` words, fewer at a text's
+beginning. A text's score is the sum of the logarithms.
+
+Counting goes down from the longest runs, level by level, each parted by the hash of its
+context: the texts' runs travel in packed columns, and each part counts its own. What isn't found
+goes on to the next level's part for its shorter run; runs that are found go on without their
+texts, as counts. A context that holds one in 2^16 of all words is common: its runs are parted by
+run, not by context, and its counts are broadcast, like those of runs as frequent: at most 2^16
+of each length. So no part gathers one context's or one run's share of the corpus.
 """
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,8 @@ from .jaccard_join import _K, _mix, counted
 
 _COMMON = 1 << 16
 _CHUNK = 1 << 19  # pairs that a task gathers before it sends them
-_ROW = "part long, w binary, v binary, at binary, n binary, keys binary, sums binary"
+_PACKED = ("w", "v", "at", "n", "late", "keys", "sums")
+_ROW = "part long, " + ", ".join(f"{c} binary" for c in _PACKED)
 
 
 class Words:
@@ -38,10 +43,22 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _mix(v * _K + w)
 
 
-class Pairs(Words):
+def _grams(h: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of all runs of 1 to `order` words, in order, from those of the words."""
+    out = [h]
+    for k in range(1, order):
+        out.append(_pair(out[-1][:-1], h[k:]))
+    return out
+
+
+class Grams(Words):
+    """Hashes of a text's runs of `order` words, in order."""
+
+    def __init__(self, order: int) -> None:
+        self.order = order
+
     def __call__(self, text: bytes) -> np.ndarray:
-        h = super().__call__(text)
-        return _pair(h[:-1], h[1:])
+        return _grams(super().__call__(text), self.order)[-1]
 
 
 def _table(rows) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -93,49 +110,60 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return stored(docs.select(utf8("text").alias("b")).mapInArrow(run, "key long, n long, ctx long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ctx").alias("ctx")), "words")
 
 
-def common_pairs(docs: DataFrame, floor: float, bits: int) -> list:
-    """Pairs that stand at least `floor` times, with their counts. A table of 2^bits counters
-    rules most others out before anything is shuffled; counts themselves are exact."""
+def common_grams(docs: DataFrame, floor: float, bits: int, order: int) -> list:
+    """Runs of `order` words that stand at least `floor` times: key, n (times it stands), ctx
+    (times another word follows). A table of 2^bits counters rules most others out before
+    anything is shuffled; counts themselves are exact."""
     above = np.zeros(1 << bits, bool).reshape(-1, 1 << min(_COUNTERS, bits))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([(np.frombuffer(x, np.uint32) >= floor).tobytes() for x in batch.column("n").to_pylist()], pa.binary())], names=["chunk", "n"])
 
-    for r in counted(docs, bits, Pairs).mapInArrow(marked, "chunk long, n binary").collect():  # 2^bits bytes in all
+    for r in counted(docs, bits, partial(Grams, order)).mapInArrow(marked, "chunk long, n binary").collect():  # 2^bits bytes in all
         above[r["chunk"]] = np.frombuffer(r["n"], bool)
     sketch = docs.sparkSession.sparkContext.broadcast(above.reshape(-1))
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, s = Pairs(), sketch.value
+        grams, s = Grams(order), sketch.value
         for batch in batches:
-            held = [h[s[(h & mask).astype(np.int64)]] for h in (pairs(b.as_py()) for b in batch.column("b"))]
-            k, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    found = docs.select(utf8("text").alias("b")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-    return found.collect()  # at most 2^16: each holds that share of all pairs
-
-
-def _packed(part: int, w: np.ndarray, v: np.ndarray, at: np.ndarray, n: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> dict:
-    zip_ = lambda x: pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+            all_ = [grams(b.as_py()) for b in batch.column("b")]
+            held = [h[s[(h & mask).astype(np.int64)]] for h in all_]
+            k, n = np.unique(np.concatenate(held) if held else _NONE, return_counts=True)
+            ends = np.array([h[-1] for h in all_ if len(h)], np.uint64)
+            ends, last = np.unique(ends[s[(ends & mask).astype(np.int64)]], return_counts=True)
+            ctx = n.astype(np.int64)
+            ctx[np.searchsorted(k, ends)] -= last
+            yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64)), "ctx": pa.array(ctx)})
+
+    found = docs.select(utf8("text").alias("b")).mapInArrow(run, "key long, n long, ctx long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ctx").alias("ctx")).where(F.col("n") >= floor)
+    return found.collect()  # at most 2^16: each holds that share of all runs
+
+
+def _packed(part: int, w: np.ndarray, v: np.ndarray, at: np.ndarray, n: np.ndarray, late: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> dict:
+    """Entries of a part: word, contexts (a line for each length), place of the text in `keys`,
+    number, times it backed off. Without `keys` they only count."""
+    zip_ = lambda x: pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) if x.size else b""
     used, at = np.unique(at, return_inverse=True) if len(at) else (np.arange(len(keys)), at)
-    size = len(at).to_bytes(8, "little")
-    return {"part": part, "w": w.tobytes(), "v": zip_(v), "at": size + zip_(at.astype(np.uint32)), "n": zip_(n.astype(np.uint32)), "keys": keys[used].tobytes(), "sums": np.asarray(sums, np.float64).tobytes()}
+    size = len(w).to_bytes(8, "little")
+    return {"part": part, "w": w.tobytes(), "v": zip_(v), "at": size + zip_(at.astype(np.uint32)), "n": zip_(n.astype(np.uint32)), "late": zip_(late.astype(np.uint8)), "keys": keys[used].tobytes(), "sums": np.asarray(sums, np.float64).tobytes()}
 
 
-def _unpacked(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    """w, v, key and n of all entries in packed rows."""
-    ws, vs, ks, ns = [], [], [], []
-    for w, v, at, n, keys in zip(*(rows[c].to_pylist() for c in ("w", "v", "at", "n", "keys")), strict=True):
+def _unpacked(rows: pa.Table, lines: int) -> tuple[np.ndarray, ...]:
+    """w, v (`lines` contexts), key, n, late, and whether it has a text, of all entries in packed rows."""
+    ws, vs, ks, ns, ls, live = [], [np.empty((lines, 0), np.uint64)], [], [], [], []
+    for w, v, at, n, late, keys in zip(*(rows[c].to_pylist() for c in _PACKED[:-1]), strict=True):
         m = int.from_bytes(at[:8], "little")
-        un = lambda x, kind: np.frombuffer(pa.decompress(x, m * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if x else np.zeros(m, kind)  # noqa: B023, E731
+        un = lambda x, kind, m=m: np.frombuffer(pa.decompress(x, m * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if x else np.zeros(m, kind)
         ws.append(np.frombuffer(w, np.uint64))
-        vs.append(un(v, np.uint64))
-        ks.append(np.frombuffer(keys, np.uint64)[un(at[8:], np.uint32)])
+        vs.append(un(v, np.uint64, m * lines).reshape(lines, m))
+        ks.append(np.frombuffer(keys, np.uint64)[un(at[8:], np.uint32)] if keys else np.zeros(m, np.uint64))
         ns.append(un(n, np.uint32))
-    return tuple(np.concatenate(x) if x else np.empty(0, np.uint64) for x in (ws, vs, ks, ns))
+        ls.append(un(late, np.uint8))
+        live.append(np.full(m, len(keys) > 0))
+    w, key, n, late, live = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((ws, np.uint64), (ks, np.uint64), (ns, np.uint32), (ls, np.uint8), (live, bool)))
+    return w, np.concatenate(vs, axis=1), key, n.astype(np.float64), late.astype(np.float64), live
 
 
 _NONE = np.empty(0, np.uint64)
@@ -144,11 +172,11 @@ _NONE = np.empty(0, np.uint64)
 def _sums(key: np.ndarray, value: np.ndarray) -> dict:
     """Sums that need no part of the counts: a part below 0, one of many."""
     k, s = _grouped(key, value)
-    return _packed(-1 - (int(k[0]) % 4096 if len(k) else 0), _NONE, _NONE, _NONE, _NONE, k, s)
+    return _packed(-1 - (int(k[0]) % 4096 if len(k) else 0), _NONE, _NONE, _NONE, _NONE, _NONE, k, s)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [("part", pa.int64()), *((c, pa.binary()) for c in ("w", "v", "at", "n", "keys", "sums"))]
+    kinds = [("part", pa.int64()), *((c, pa.binary()) for c in _PACKED)]
     return pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], kind) for c, kind in kinds})
 
 
@@ -158,24 +186,27 @@ def _dealt(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     return ((p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1])
 
 
-def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, part_pairs: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, part_pairs: int = 1_000_000, order: int = 2) -> DataFrame:
     """Stupid-backoff scores of each row's whole text under the counts of all rows: doc_id,
     n_words, log_score (natural logarithm), mean_log (of a word; null without words).
 
     Null and empty texts have 0 words and score 0. Repeated rows count and are scored each;
-    null ids are scored like others; other columns are left out. Words and pairs are known by
-    64-bit hashes."""
+    null ids are scored like others; other columns are left out. `order`: words of the longest
+    runs counted, 2 or more. Words and runs are known by 64-bit hashes."""
+    if order < 2:
+        raise ValueError("order: 2 or more")
     spark = docs.sparkSession
     with small_batches(spark):
         counts = word_counts(docs)
     total, pairs = counts.agg(F.sum("n"), F.sum("ctx")).first()
     total, pairs = total or 0, pairs or 0
     floor = max(least, total / _COMMON)
-    words = spark.sparkContext.broadcast(_table(counts.where(F.col("n") >= floor).collect()))  # at most 2^16
+    tables = [None, _table(counts.where(F.col("n") >= floor).collect())]  # at most 2^16 of each length
     with small_batches(spark):
-        heavy = spark.sparkContext.broadcast(_table(common_pairs(docs, floor, bits)))  # at most 2^16
-    parts = max(1, -(-pairs // part_pairs))
-    base = np.log(alpha / max(1, total))
+        tables += [_table(common_grams(docs, floor, bits, k)) for k in range(2, order + 1)]
+    common = spark.sparkContext.broadcast(tables)
+    parts = max(1, -(-pairs * (order - 1) // part_pairs))
+    back, every = np.log(alpha), np.log(max(1, total))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,29 +215,38 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, p
             keys = np.array([xxhash.xxh3_64_intdigest(b.as_py()) for b in batch.column("b")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n_words", "key"])
 
+    def dealt(k: int, w: np.ndarray, v: np.ndarray, at: np.ndarray, n: np.ndarray, late: np.ndarray, keys: np.ndarray) -> list[dict]:
+        """Rows for runs of k words: sums of those with a common run, the others by part."""
+        if k == 1:
+            count, by = _look(common.value[1], w), w
+            ctx = np.full(len(w), np.exp(every))
+        else:
+            run, ctx = _pair(v[0], w), _look(common.value[k - 1], v[0], 1)
+            count, by = _look(common.value[k], run), np.where(ctx > 0, run, v[0])
+        full = count > 0
+        out = []
+        if len(keys) and full.any():
+            out.append(_sums(keys[at[full]], n[full] * (late[full] * back + np.log(count[full]) - np.log(ctx[full]))))
+        rest = np.flatnonzero(~full)
+        for p, i in _dealt((by[rest] % np.uint64(parts)).astype(np.int64), parts):
+            i = rest[i]
+            if k > 1:
+                i = i[np.lexsort((v[0, i], v[-1, i]))]
+            out.append(_packed((order - k) * parts + p, w[i], v[:, i], at[i] if len(keys) else _NONE, n[i], late[i], keys, np.empty(0)))
+        return out
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, common, top = Words(), words.value, heavy.value
+        of = Words()
 
         def sent(docs_: list) -> list[dict]:
-            keys = np.array([k for k, *_ in docs_], np.uint64)
-            v, w, n = (np.concatenate([d[i] for d in docs_]) for i in (1, 2, 3))
-            at = np.repeat(np.arange(len(docs_)), [len(d[1]) for d in docs_])
-            two, hot = _look(top, _pair(v, w)), _look(common, v, 1)
-            full = two > 0
-            out = [_sums(keys[at[full]], n[full] * (np.log(two[full]) - np.log(hot[full])))] if full.any() else []
-            v, w, n, at, hot = (x[~full] for x in (v, w, n, at, hot))
-            part = (np.where(hot > 0, _pair(v, w), v) % np.uint64(parts)).astype(np.int64)
-            for p, i in _dealt(part, parts):
-                i = i[np.argsort(v[i], kind="stable")]
-                out.append(_packed(p, w[i], v[i], at[i], n[i], keys, np.empty(0)))
-            # First words: no context, so straight to the words' own counts.
-            first = np.array([d[4] for d in docs_], np.uint64)
-            c = _look(common, first)
-            out.append(_sums(keys[c > 0], np.log(c[c > 0] / total)))
-            rest = np.flatnonzero(c == 0)
-            for p, i in _dealt((first[rest] % np.uint64(parts)).astype(np.int64), parts):
-                i = rest[i]
-                out.append(_packed(parts + p, first[i], _NONE, i, np.zeros(len(i)), keys, np.empty(0)))
+            keys, out = np.array([k for k, _ in docs_], np.uint64), []
+            for k in range(1, order + 1):
+                own = [(i, d[k]) for i, (_, d) in enumerate(docs_) if k in d]
+                if own:
+                    w, n = (np.concatenate([d[j] for _, d in own]) for j in (0, 2))
+                    v = np.concatenate([d[1] for _, d in own], axis=1)
+                    at = np.repeat([i for i, _ in own], [len(d[0]) for _, d in own])
+                    out += dealt(k, w, v, at, n, np.zeros(len(w)), keys)
             return out
 
         held, size = [], 0
@@ -215,53 +255,57 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, p
                 h = of(text := b.as_py())
                 if not len(h):
                     continue
-                key = xxhash.xxh3_64_intdigest(text)
-                _, i, n = np.unique(_pair(h[:-1], h[1:]), return_index=True, return_counts=True)
-                held.append((key, h[:-1][i], h[1:][i], n, int(h[0])))
-                size += len(i)
+                g = _grams(h, order)
+                # A text's first words have shorter runs; each of the others has one of `order`.
+                own = {k: (h[k - 1 : k], np.array([g[j - 1][k - 1 - j : k - j] for j in range(k - 1, 0, -1)], np.uint64).reshape(k - 1, 1), np.ones(1)) for k in range(1, min(order - 1, len(h)) + 1)}
+                if len(h) >= order:
+                    _, i, n = np.unique(g[-1], return_index=True, return_counts=True)
+                    own[order] = (h[order - 1 :][i], np.array([g[j - 1][order - 1 - j : len(h) - j][i] for j in range(order - 1, 0, -1)]), n)
+                    size += len(i) * (order - 1)
+                held.append((xxhash.xxh3_64_intdigest(text), own))
                 if size > _CHUNK:
                     yield _batch(sent(held))
                     held, size = [], 0
         if held:
             yield _batch(sent(held))
 
-    def pair_part(rows: pa.Table) -> pa.Table:
-        """Counts the pairs of a part; what isn't found goes on to the words' counts, like first
-        words, and sums pass through."""
-        if not 0 <= rows["part"][0].as_py() < parts:
-            return rows
-        w, v, key, n = _unpacked(rows)
-        common = words.value
-        order = np.lexsort((w, v))
-        w, v, key, n = w[order], v[order], key[order], n[order].astype(np.float64)
-        new_v = np.concatenate([[True], v[1:] != v[:-1]])
-        new = new_v | np.concatenate([[True], w[1:] != w[:-1]])
-        two = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
-        own = np.add.reduceat(n, np.flatnonzero(new_v))[np.cumsum(new_v) - 1]
-        hot = _look(common, v, 1)
-        ctx = np.where(hot > 0, hot, own)
-        found = two >= least
-        one = _look(common, w)
-        back = ~found & (one > 0)
-        value = np.where(found, np.log(two) - np.log(ctx), base + np.log(np.maximum(one, 1))) * n
-        now = found | back
-        out = [_sums(key[now], value[now])]
-        rest = np.flatnonzero(~now)
-        if len(rest):
+    def level(k: int):
+        """Counts the runs of k words of a part; what isn't found goes on to shorter runs. Rows
+        of other levels and sums pass through."""
+
+        def run(rows: pa.Table) -> pa.Table:
+            if not (order - k) * parts <= rows["part"][0].as_py() < (order - k + 1) * parts:
+                return rows
+            w, v, key, n, late, live = _unpacked(rows, k - 1)
+            i = np.lexsort((w, v[0]))
+            w, v, key, n, late, live = w[i], v[:, i], key[i], n[i], late[i], live[i]
+            new_v = np.concatenate([[True], v[0, 1:] != v[0, :-1]])
+            new = new_v | np.concatenate([[True], w[1:] != w[:-1]])
+            two = np.add.reduceat(n, first := np.flatnonzero(new))[np.cumsum(new) - 1]
+            own = np.add.reduceat(n, np.flatnonzero(new_v))[np.cumsum(new_v) - 1]
+            hot = _look(common.value[k - 1], v[0], 1)
+            ctx = np.where(hot > 0, hot, own)
+            now = live & (two >= least)
+            out = [_sums(key[now], n[now] * (late[now] * back + np.log(two[now]) - np.log(ctx[now])))]
+            rest = np.flatnonzero(live & ~now)
             keys, at = np.unique(key[rest], return_inverse=True)
-            for p, i in _dealt((w[rest] % np.uint64(parts)).astype(np.int64), parts):
-                i = i[np.argsort(w[rest][i], kind="stable")]
-                out.append(_packed(parts + p, w[rest][i], _NONE, at[i], n[rest][i], keys, np.empty(0)))
-        return pa.Table.from_batches([_batch(out)])
+            out += dealt(k - 1, w[rest], v[1:, rest], at, n[rest], late[rest] + 1, keys)
+            if k > 2:
+                gone = np.add.reduceat(np.where(live & ~now, 0.0, n), first)
+                i = first[gone > 0]
+                out += dealt(k - 1, w[i], v[1:, i], _NONE, gone[gone > 0], np.zeros(len(i)), _NONE)
+            return pa.Table.from_batches([_batch(out)])
+
+        return run
 
     def word_part(rows: pa.Table, table: pa.Table) -> pa.Table:
-        w, _, key, n = _unpacked(rows)
+        w, _, key, n, late, _ = _unpacked(rows, 0)
         order = np.argsort(k := table["key"].to_numpy().view(np.uint64))
         k, c = k[order], table["n"].to_numpy()[order].astype(np.float64)
         if not len(w):
             return pa.Table.from_batches([_batch([])])
         c = c[np.searchsorted(k, w)]
-        return pa.Table.from_batches([_batch([_sums(key, np.where(n > 0, n * (base + np.log(c)), np.log(c / total)))])])
+        return pa.Table.from_batches([_batch([_sums(key, n * (late * back + np.log(c) - every))])])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,8 +314,11 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, p
 
     texts = docs.select("doc_id", utf8("text").alias("b"))
     with small_batches(spark):
-        later = stored(texts.select("b").mapInArrow(send, _ROW).groupBy("part").applyInArrow(pair_part, _ROW), "unseen")
-    rare = counts.where(F.col("n") < floor).withColumn("part", F.lit(parts) + F.expr(_umod("key", parts)))
+        later = stored(texts.select("b").mapInArrow(send, _ROW).groupBy("part").applyInArrow(level(order), _ROW), "unseen")
+    for k in range(order - 1, 1, -1):
+        mine = F.col("part").between((order - k) * parts, (order - k + 1) * parts - 1)
+        later = later.where(~mine).unionByName(stored(later.where(mine).groupBy("part").applyInArrow(level(k), _ROW), "unseen"))
+    rare = counts.where(F.col("n") < floor).withColumn("part", F.lit((order - 1) * parts) + F.expr(_umod("key", parts)))
     last = later.where("part >= 0").groupBy("part").cogroup(rare.groupBy("part")).applyInArrow(word_part, _ROW)
     sums = later.where("part < 0").unionByName(last).select("keys", "sums").mapInArrow(opened, "key long, s double").groupBy("key").agg(F.sum("s").alias("s"))
     named = texts.mapInArrow(known, f"doc_id {kind}, n_words long, key long")

@@ -89,4 +89,16 @@ s AS (SELECT p.doc_id, SUM(CASE WHEN p.v IS NULL THEN LN(one.n / total.n) WHEN t
   FROM p CROSS JOIN total JOIN one ON one.w = p.w LEFT JOIN two ON two.v = p.v AND two.w = p.w LEFT JOIN ctx ON ctx.v = p.v GROUP BY p.doc_id)
 SELECT d.doc_id, CAST(LEN(d.ws) AS BIGINT) AS n_words, ROUND(COALESCE(s.s, 0e0), 4) AS log_score, ROUND(s.s / LEN(d.ws), 4) AS mean_log FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
 
-ORACLE_SQL = {"op1_chat_format": OP1, "op2_topk_search": OP2, "op5_mixing": OP5, "op6_jaccard_join": OP6, "op7_merkle_audit": OP7, "op8_decontaminate": OP8, "op9_lm_score": OP9}
+OP9_ORDER3 = f"""
+WITH d AS (SELECT doc_id, {_SPACED.format(_LOWER)} AS ws FROM documents),
+w AS (SELECT doc_id, UNNEST(ws) AS w, GENERATE_SUBSCRIPTS(ws, 1) AS i FROM d),
+p AS (SELECT doc_id, w, LAG(w) OVER (PARTITION BY doc_id ORDER BY i) AS v, LAG(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM w),
+one AS (SELECT w, COUNT(*) AS n FROM w GROUP BY w), two AS (SELECT v, w, COUNT(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w), three AS (SELECT u, v, w, COUNT(*) AS n FROM p WHERE u IS NOT NULL GROUP BY u, v, w),
+ctx AS (SELECT v, SUM(n) AS n FROM two GROUP BY v), ctx2 AS (SELECT u, v, SUM(n) AS n FROM three GROUP BY u, v), total AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM w),
+s AS (SELECT p.doc_id, SUM(CASE WHEN p.v IS NULL THEN LN(one.n / total.n) WHEN three.n >= 2 THEN LN(CAST(three.n AS DOUBLE) / ctx2.n)
+    ELSE CASE WHEN p.u IS NULL THEN 0e0 ELSE LN(0.4e0) END + CASE WHEN two.n >= 2 THEN LN(CAST(two.n AS DOUBLE) / ctx.n) ELSE LN(0.4e0 * one.n / total.n) END END) AS s
+  FROM p CROSS JOIN total JOIN one ON one.w = p.w LEFT JOIN two ON two.v = p.v AND two.w = p.w LEFT JOIN ctx ON ctx.v = p.v
+  LEFT JOIN three ON three.u = p.u AND three.v = p.v AND three.w = p.w LEFT JOIN ctx2 ON ctx2.u = p.u AND ctx2.v = p.v GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(LEN(d.ws) AS BIGINT) AS n_words, ROUND(COALESCE(s.s, 0e0), 4) AS log_score, ROUND(s.s / LEN(d.ws), 4) AS mean_log FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
+
+ORACLE_SQL = {"op1_chat_format": OP1, "op2_topk_search": OP2, "op5_mixing": OP5, "op6_jaccard_join": OP6, "op7_merkle_audit": OP7, "op8_decontaminate": OP8, "op9_lm_score": OP9, "op9_lm_score_order3": OP9_ORDER3}

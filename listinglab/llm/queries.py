@@ -67,6 +67,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log": F.round("mean_log", 4)})
 
 
+def op9_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"), alpha=0.4, least=2, order=3)
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log": F.round("mean_log", 4)})
+
+
 # The rules (host, path, verdict) that op10 judges by.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op7_merkle_audit": op7_merkle_audit,
     "op8_decontaminate": op8_decontaminate,
     "op9_lm_score": op9_lm_score,
+    "op9_lm_score_order3": op9_lm_score_order3,
     "op10_url_rules": op10_url_rules,
 }
 

@@ -384,6 +384,29 @@ def test_scores_equal_brute_force(spark, monkeypatch, common):
     assert lm_score.score(odd(spark)).count() == 6
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("common", [1 << 16, 8])
+def test_scores_of_an_order_equal_brute_force(spark, monkeypatch, common, order):
+    monkeypatch.setattr(lm_score, "_COMMON", common)
+    rnd = random.Random(10)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(12)], weights=[100 / (i + 1) for i in range(12)], k=rnd.randint(0, 30))) for _ in range(80)]
+    texts += [None, "", "w1", "w1 w2", "ONLY once", "w0 w1 w2 once", *texts[:4]]
+    got = {r["doc_id"]: r for r in lm_score.score(docs_of(spark, texts), bits=8, part_pairs=200, order=order).collect()}
+    toks = [(t or "").translate(LOW).split() for t in texts]
+    n = collections.Counter(tuple(w[i : i + k]) for w in toks for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    ctx = collections.Counter(tuple(w[i : i + k]) for w in toks for k in range(1, order) for i in range(len(w) - k))
+    total = sum(map(len, toks))
+
+    def logs(run):
+        if len(run) == 1:
+            return math.log(n[run] / total)
+        return math.log(n[run] / ctx[run[:-1]]) if n[run] >= 2 else math.log(0.4) + logs(run[1:])
+
+    for i, w in enumerate(toks):
+        want = sum(logs(tuple(w[max(0, j - order + 1) : j + 1])) for j in range(len(w)))
+        assert got[i]["log_score"] == pytest.approx(want, abs=1e-8) and got[i]["n_words"] == len(w)
+
+
 # -- URL rules -------------------------------------------------------------------------------
 
 
