@@ -42,7 +42,7 @@ def _prepared(df: DataFrame, numeric: list[str], categorical: list[str], numbers
     return impute(aligned.select("*", *missing), numbers, categories)
 
 
-def train(train_rows: DataFrame, valid_rows: DataFrame, numeric: list[str], categorical: list[str], trees: int = 20, depth: int = 5, step: float = 0.1, q: float = 0.9) -> PriceModel:
+def train(train_rows: DataFrame, valid_rows: DataFrame, numeric: list[str], categorical: list[str], trees: int = 100, depth: int = 6, step: float = 0.1, q: float = 0.9) -> PriceModel:
     """Gradient-boosted trees on the log of prices in range, with leave-one-out local
     prices, medians and modes for what is missing, and the conformal radius and errors on
     `valid_rows`. Missing numbers also get a flag each."""

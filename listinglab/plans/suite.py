@@ -502,12 +502,13 @@ def cleaning_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, d: str):
+    """The model, trained on the older 70% of rentals and calibrated on the others, and all rentals."""
     from ..operators import model
 
     rows = features.features(listing(spark, d).where("deal_type <> 'sale'"), star.stations(spark, d), star.cities(spark, d), star.as_of())
     a, b = features.time_split(rows, "last_seen", ratio=0.3)
     numeric = ["rooms", "area_total", "area_living", "floor", "floors_total", "age_house", "dist_to_center_km", "dist_to_metro_m", "density_500m"]
-    return model, model.train(a, b, numeric, ["deal_type", "house_material", "rooms_bucket"], trees=10, depth=4), b
+    return model, model.train(a, b, numeric, ["deal_type", "house_material", "rooms_bucket"]), rows
 
 
 @query()

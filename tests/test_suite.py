@@ -1,5 +1,7 @@
 """Every registered listing query against its DuckDB twin."""
 
+import inspect
+
 import pytest
 from oracle import connect, same
 
@@ -40,3 +42,22 @@ def test_explanations_add_up_and_intervals_hold_the_estimate(spark, data):
     assert inside >= 0.9
     mean = rows.where("price_rub between 10000 and 600000").agg(F.avg(F.abs(F.col("price_rub") - fitted.mean.first()[0]))).first()[0]
     assert fitted.metrics["mae"] <= mean
+
+
+def test_model_queries_train_fully_and_take_all_rentals(spark, data, monkeypatch):
+    from listinglab.operators import model as m
+
+    train, size = m.train, []
+
+    def quick(*args, **kw):
+        call = inspect.signature(train).bind(*args, **kw)
+        call.apply_defaults()
+        size.append((call.arguments["trees"], call.arguments["depth"]))
+        call.arguments.update(trees=2, depth=2)  # which rows come out doesn't depend on it
+        return train(*call.args, **call.kwargs)
+
+    monkeypatch.setattr(m, "train", quick)
+    want = sorted(r["id"] for r in suite.listing(spark, data).where("deal_type <> 'sale'").select("id").collect())
+    assert sorted(r["id"] for r in suite.price_predictions(spark, data).collect()) == want
+    assert sorted(r["id"] for r in suite.price_explanations(spark, data).collect()) == want
+    assert size == [(100, 6)] * 2
