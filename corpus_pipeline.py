@@ -8,8 +8,8 @@ of `documents`.
 from pyspark.sql import DataFrame, SparkSession
 
 from listinglab.llm import decontaminate, jaccard_join, mixing, toxicity
-from listinglab.llm.common import stored
 from listinglab.llm.queries import table
+from listinglab.sources.shared import dropped, stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +40,8 @@ ORACLE_SQL = None  # a trained classifier decides in the first stage
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            dropped(last)  # only the kept documents are read from here on
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,40 +1,31 @@
 """Connected components of an edge table."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that all executors share; a new local one if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="listinglab-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again, so that its lineage ends."""
-    path = f"{shared_dir(df.sparkSession)}/listinglab/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def connected_components(pairs: DataFrame) -> DataFrame:
-    """(node, root) of an edge table (a, b), root being the least node reachable. Each
-    round a node takes the least root among its own and its neighbours', then that root's own
-    root; the loop ends when no root changes. Only the flag of a change reaches the driver."""
-    edges = stored(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    roots = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
-    changed = True
-    while changed:
-        near = edges.join(roots.withColumnsRenamed({"node": "b", "root": "r"}), "b").groupBy("a").agg(F.min("r").alias("r"))
-        step = roots.join(near.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "r").alias("up"))
-        step = step.join(roots.withColumnsRenamed({"node": "up", "root": "top"}), "up").select("node", F.least("up", "top").alias("new"), "root")
-        step = stored(step.selectExpr("node", "new as root", "new <> root as moved"))
-        changed = bool(step.where("moved").take(1))
-        roots = step.select("node", "root")
-    return roots
+from ..sources.shared import dropped, stored
+
+
+def connected_components(pairs: DataFrame, hops: int = 2) -> DataFrame:
+    """(node, root) of an edge table (a, b), root being the least node reachable. In a
+    round every node takes, `hops` times, the least root among its own and its neighbours',
+    then that root's own root; roots are stored after each round, and the loop ends when none
+    has changed. Rounds grow with the logarithm of the longest chain. Rows with a null end, or
+    with equal ends, are no edges; no edges give no rows. Only the flag of a change reaches the
+    driver. A hub of many edges is pre-aggregated before the shuffle on one side and split by
+    the adaptive skew join on the other."""
+    edges = stored(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
+    table = stored(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
+    while True:
+        roots = table.select("node", "root")
+        step = roots.withColumn("now", F.col("root"))
+        for _ in range(hops):
+            near = edges.join(step.select(F.col("node").alias("b"), F.col("now").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r")).toDF("node", "r")
+            step = step.join(near, "node").select("node", "root", F.least("now", "r").alias("now"))
+            step = step.join(roots.toDF("now", "top"), "now").select("node", "root", F.least("now", "top").alias("now"))
+        new = stored(step.selectExpr("node", "now as root", "now <> root as moved"), "roots")
+        dropped(table)
+        table = new
+        if not new.where("moved").take(1):
+            dropped(edges)
+            return new.select("node", "root")

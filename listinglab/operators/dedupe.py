@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import text as tx
+from ..sources.shared import stored
 from .components import connected_components
 
 _SCORED = ["price_rub", "area_total", "floor", "year_built", "house_material"]
@@ -50,7 +51,7 @@ def quality(as_of: Column) -> Column:
 def clusters(listing: DataFrame, as_of: Column, method: str = "geo+attrs") -> DataFrame:
     """(master_id, member_id, score, pair_score, method): every listing that isn't its
     cluster's survivor. score is 0.90 for all; pair_score is the member's best pair's."""
-    pairs = scored_pairs(candidate_pairs(listing))
+    pairs = stored(scored_pairs(candidate_pairs(listing)), "pairs")  # read twice below
     roots = connected_components(pairs)
     known = rows_of(listing, roots.select(F.col("node").alias("id"))).join(roots.withColumnRenamed("node", "id"), "id")
     ranked = known.withColumn("_q", quality(as_of))

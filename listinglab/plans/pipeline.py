@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 
 from ..operators import clean, dedupe, enrich, features
-from ..operators.components import stored
+from ..sources.shared import stored
 
 
 def run_pipeline(raw: DataFrame, stations: DataFrame, cities: DataFrame, as_of: Column) -> DataFrame:

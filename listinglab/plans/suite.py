@@ -519,7 +519,7 @@ def price_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def price_explanations(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.components import shared_dir
+    from ..sources.shared import shared_dir
 
     model, fitted, rows = _model(spark, d)
     out = model.explain(fitted, model.predict(fitted, rows), f"{shared_dir(spark)}/listinglab/trees")

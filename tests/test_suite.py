@@ -31,7 +31,7 @@ def test_explanations_add_up_and_intervals_hold_the_estimate(spark, data):
     from pyspark.sql import functions as F
 
     from listinglab.operators import model as m
-    from listinglab.operators.components import shared_dir
+    from listinglab.sources.shared import shared_dir
 
     _, fitted, rows = suite._model(spark, data)
     out = m.explain(fitted, m.predict(fitted, rows), f"{shared_dir(spark)}/trees").cache()
