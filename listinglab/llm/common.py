@@ -1,29 +1,12 @@
-"""Helpers shared by the operators: tables in the cluster's shared folder, words of a text."""
+"""Helpers shared by the operators: texts as bytes, sizes of batches, components of links."""
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a new local one only if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="listinglab-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: it cuts the lineage and
-    survives the loss of any executor. The folder's owner clears it after the job."""
-    path = f"{shared_dir(df.sparkSession)}/listinglab/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)  # small row groups: less memory in each writer
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..operators.components import connected_components
 
 
 @contextmanager
@@ -45,20 +28,5 @@ def utf8(text: Column | str) -> Column:
 
 def components(links: DataFrame) -> DataFrame:
     """Connected components of `links` (a, b): (node, component), component being the
-    smallest node reachable. Each round takes every node to the least label among its
-    neighbours' and itself, then follows the label's own label; rounds grow with the
-    logarithm of the longest chain. Labels are stored after each round. A hub with a third
-    of all links is pre-aggregated before the shuffle on one side and split by the adaptive
-    skew join on the other. No links: no rows."""
-    if not links.take(1):
-        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").toDF("node", "other").distinct(), "edges")
-    labels = stored(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
-    while True:
-        near = edges.join(labels.toDF("other", "c"), "other").groupBy("node").agg(F.min("c").alias("c"))
-        best = labels.join(near, "node").select("node", F.least("component", "c").alias("best"), "component")
-        jump = labels.toDF("best", "up")
-        new = stored(best.join(jump, "best", "left").select("node", F.coalesce(F.least("best", "up"), "best").alias("component"), (F.coalesce(F.least("best", "up"), "best") != F.col("component")).alias("moved")), "labels")
-        labels = new.select("node", "component")
-        if not new.where("moved").take(1):
-            return labels
+    smallest node reachable. No links: no rows."""
+    return connected_components(links).withColumnRenamed("root", "component")

@@ -18,10 +18,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, stored, utf8
+from ..sources.shared import dropped, stored, tidy
+from .common import components, small_batches, utf8
 
 _SIZE = 5  # words of a shingle
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -80,6 +81,13 @@ class Rule:
     def partners(self, n: int) -> range:
         return range(-(-self.p * n // 100), 100 * n // self.p + 1)
 
+    def bounds(self, most: int = 128) -> list[int]:
+        """Least sizes of bands of sizes: partners of a set lie in its own band or the next."""
+        out = [1]
+        while len(out) < most:
+            out.append(100 * out[-1] // self.p + 1)
+        return out
+
     def least_sql(self, a: str, b: str) -> str:
         return f"(({self.p} * ({a} + {b}) + {99 + self.p}) div {100 + self.p})"
 
@@ -88,9 +96,9 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64), pa.int64())
 
 
-def counted(docs: DataFrame, bits: int, hashes) -> DataFrame:
+def counted(docs: DataFrame, bits: int, hashes, packed) -> DataFrame:
     """Parts of a table of 2^bits counters over the hashes of all texts: chunk (a run of
-    counters), n (their counts as 32-bit integers). Tasks send their counters compressed."""
+    counters), n (`packed` of their counts). Tasks send their counters compressed."""
     size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +126,7 @@ def counted(docs: DataFrame, bits: int, hashes) -> DataFrame:
         total = np.zeros(1 << min(_CHUNK, bits), np.int64)
         for x in table["n"]:
             total += np.frombuffer(pa.decompress(x.as_py(), 2 * len(total), codec="zstd", asbytes=True), np.uint16)
-        return pa.table({"chunk": table["chunk"][:1], "n": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+        return pa.table({"chunk": table["chunk"][:1], "n": pa.array([packed(total)], pa.binary())})
 
     return docs.select(utf8("text").alias("b")).mapInArrow(run, "chunk long, n binary").groupBy("chunk").applyInArrow(add, "chunk long, n binary")
 
@@ -128,20 +136,45 @@ def frequency_codes(docs: DataFrame, bits: int) -> np.ndarray:
     to a doubling: a table of fixed size. It only orders shingles: any codes give the same
     links, good ones less work."""
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = lambda x: (6 * np.log2(1 + np.frombuffer(x, np.uint32).astype(np.float64))).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([pa.compress(of(x), codec="zstd", asbytes=True) for x in batch.column("n").to_pylist()], pa.binary())], names=["chunk", "n"])
+    def code(counts: np.ndarray) -> bytes:
+        return pa.compress((6 * np.log2(1 + np.minimum(counts, 2**32).astype(np.float64))).astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
 
     codes = np.zeros(1 << bits, np.uint8).reshape(-1, 1 << min(_CHUNK, bits))
-    for r in counted(docs, bits, AllShingles).mapInArrow(code, "chunk long, n binary").collect():  # 2^bits bytes in all
+    with tidy(docs.sparkSession):
+        rows = counted(docs, bits, AllShingles, code).collect()  # 2^bits bytes in all
+    for r in rows:
         codes[r["chunk"]] = np.frombuffer(pa.decompress(bytes(r["n"]), codes.shape[1], codec="zstd", asbytes=True), np.uint8)
     return codes.reshape(-1)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What a row is found by: a hash of its id, or of its text if the id is null. Rows of one
+    key are told apart by their sets."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(utf8("text"))).alias("key")
+
+
+def odd_sketch(s: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each of m bits, m being the power of two from the
+    set's size up (64 at least). Bits that differ between two sketches each need a shingle that
+    only one set has. A sketch of 2m bits folds to one of m."""
+    m = 64 if len(s) <= 64 else 1 << (len(s) - 1).bit_length()
+    return np.packbits((np.bincount(((s * _K) >> np.uint64(32)).astype(np.int64) & (m - 1), minlength=m) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def most_shared(a: int, b: int, x: bytes, y: bytes) -> int:
+    """An upper bound of the overlap of two sets of a and b shingles, from their sketches."""
+    u, v = (np.frombuffer(z, np.uint64) for z in (x, y))
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return (a + b - int(np.bitwise_count(u ^ v).sum())) // 2
+
+
 def signatures(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
-    """Each row's set: doc_id, n (its size), class (hash of the set), tokens (its rarest
-    shingles in order, as many as lists need; of a small set all)."""
+    """Each row's set: doc_id, key (see `row_key`), n (its size), class (hash of the set),
+    sketch (see `odd_sketch`), tokens (its rarest shingles in order, as many as lists need; of
+    a small set all)."""
     spark = docs.sparkSession
     codes = spark.sparkContext.broadcast(frequency_codes(docs, bits))  # 2^bits bytes
     kind, mask = docs.schema["doc_id"].dataType.simpleString(), np.uint64((1 << bits) - 1)
@@ -149,20 +182,21 @@ def signatures(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, order = Shingler(), codes.value
         for batch in batches:
-            ns, classes, tokens = [], [], []
+            ns, classes, tokens, sketches = [], [], [], []
             for b in batch.column("b"):
                 s = shingles(b.as_py())
                 n = len(s)
                 ns.append(n)
                 classes.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                sketches.append(odd_sketch(s))
                 key = (order[(s & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 ranked = s[np.argsort(key, kind="stable")]
                 tokens.append((ranked if n <= _WHOLE else ranked[: rule.prefix(n)]).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             flat = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), _signed(np.array(classes, np.uint64)), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "n", "class", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), _signed(np.array(classes, np.uint64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "key", "n", "class", "sketch", "tokens"])
 
-    return stored(docs.select("doc_id", utf8("text").alias("b")).mapInArrow(run, f"doc_id {kind}, n long, class long, tokens array<long>"), "sets")
+    return stored(docs.select("doc_id", row_key(docs), utf8("text").alias("b")).mapInArrow(run, f"doc_id {kind}, key long, n long, class long, sketch binary, tokens array<long>"), "sets")
 
 
 def boundary(sets: DataFrame, rule: Rule, scan_cost: int = 4) -> int:
@@ -206,10 +240,12 @@ def small_links(sets: DataFrame, rule: Rule, upto: int) -> DataFrame:
 
 def shared_tokens(sets: DataFrame, rule: Rule) -> np.ndarray:
     """Bits that are set for every shingle that the prefixes of two or more classes hold (and
-    for a few others). Each task sends a shingle with its least and greatest class, so one
-    that a third of all sets hold is two rows of each task."""
-    entries = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    parts = max(1, -(-entries // 1_000_000))
+    for a few others). Each task sends a shingle, as 48 bits, with its least and greatest
+    class, so one that a third of all sets hold is two rows of each batch."""
+    with tidy(sets.sparkSession):
+        entries = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    chunks = 1 << (_BITS - 16)
+    turns = max(1, entries // (chunks << 13))  # groups of one chunk of bits: 8192 shingles each
 
     def ends(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((cls, token))
@@ -218,41 +254,70 @@ def shared_tokens(sets: DataFrame, rule: Rule) -> np.ndarray:
         last = np.concatenate([first[1:], [len(token)]]) - 1
         return token[first], cls[first], cls[last]
 
+    def planes(x: np.ndarray) -> np.ndarray:
+        """The bytes of 32-bit integers, lowest bytes first: high ones of small numbers compress."""
+        return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent() -> pa.RecordBatch:
+            h = _mix(np.concatenate([t for t, _ in held]).view(np.uint64)) >> np.uint64(16)
+            t, lo, hi = ends(h, np.concatenate([c for _, c in held]))
+            two = lo != hi
+            t, c = np.concatenate([t, t[two]]), np.concatenate([lo, hi[two]]).view(np.uint8).reshape(-1, 8)[:, :6]
+            part = (t & np.uint64(chunks - 1)) * np.uint64(turns) + (t >> np.uint64(42)) % np.uint64(turns)
+            low = (t >> np.uint64(_BITS - 16)) & np.uint64(0xFFFFFFFF)
+            order = np.lexsort((low, part))
+            part, low, c = part[order].astype(np.int64), low[order].astype(np.int64), c[order]
+            some, cuts = np.unique(part, return_index=True)
+            cuts = np.append(cuts, len(part))
+            blobs = [len(x := low[i:j]).to_bytes(4, "little") + pa.compress(planes(np.diff(x, prepend=0)).tobytes(), codec="zstd", asbytes=True) for i, j in zip(cuts, cuts[1:])]  # noqa: B905
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(blobs, pa.binary()), pa.array([c[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], names=["part", "t", "c"])  # noqa: B905
+
         for batch in batches:
             col = batch.column("tokens")
-            if not len(col.flatten()):
-                continue
-            cls = np.repeat(batch.column("class").to_numpy(), np.diff(col.offsets.to_numpy()))
-            t, lo, hi = ends(col.flatten().to_numpy(), cls)
-            two = lo != hi
-            t, c = np.concatenate([t, t[two]]), np.concatenate([lo, hi[two]])
-            part = (t.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            blobs = lambda x: pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in some], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), blobs(t), blobs(c)], names=["part", "t", "c"])
+            held.append((col.flatten().to_numpy(), np.repeat(batch.column("class").to_numpy(), np.diff(col.offsets.to_numpy()))))
+            size += len(held[-1][0])
+            if size > 1 << 20:
+                yield sent()
+                held, size = [], 0
+        if size:
+            yield sent()
 
     def shared(table: pa.Table) -> pa.Table:
-        t, c = (np.frombuffer(b"".join(table[x].to_pylist()), np.int64) for x in ("t", "c"))
-        t, lo, hi = ends(t, c)
-        at = _mix(t[lo != hi].view(np.uint64)) & np.uint64((1 << _BITS) - 1)
-        return pa.table({"at": pa.array(np.unique(at).astype(np.int64), pa.int64())})
-
-    def bits(table: pa.Table) -> pa.Table:
+        t, c = [], []
+        for x, y in zip(table["t"].to_pylist(), table["c"].to_pylist(), strict=True):
+            n = int.from_bytes(x[:4], "little")
+            t.append(np.cumsum(np.ascontiguousarray(np.frombuffer(pa.decompress(x[4:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T).view(np.uint32).ravel(), dtype=np.int64))
+            c.append(np.pad(np.frombuffer(y, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.int64).ravel())
+        t, lo, hi = ends(np.concatenate(t), np.concatenate(c))
         a = np.zeros(1 << 16, bool)
-        a[table["at"].to_numpy() & 0xFFFF] = True
-        return pa.table({"chunk": table["chunk"][:1], "b": pa.array([np.packbits(a).tobytes()], pa.binary())})
-
-    at = sets.select("class", "tokens").mapInArrow(pack, "part long, t binary, c binary").groupBy("part").applyInArrow(shared, "at long").distinct()
-    rows = at.withColumn("chunk", F.shiftright("at", 16)).groupBy("chunk").applyInArrow(bits, "chunk long, b binary")
-    out = np.zeros((1 << (_BITS - 16), 1 << 13), np.uint8)
-    for r in rows.collect():  # 2^_BITS bits in all
+        a[t[lo != hi] & 0xFFFF] = True
+        return pa.table({"chunk": pa.array([table["part"][0].as_py() // turns]), "b": pa.array([np.packbits(a).tobytes()], pa.binary())})
+
+    def joined(table: pa.Table) -> pa.Table:
+        a = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["b"].to_pylist()])
+        return pa.table({"chunk": table["chunk"][:1], "b": pa.array([a.tobytes()], pa.binary())})
+
+    rows = sets.select("class", "tokens").mapInArrow(pack, "part long, t binary, c binary").groupBy("part").applyInArrow(shared, "chunk long, b binary")
+    if turns > 1:
+        rows = rows.groupBy("chunk").applyInArrow(joined, "chunk long, b binary")
+    out = np.zeros((chunks, 1 << 13), np.uint8)
+    with tidy(sets.sparkSession):
+        rows = rows.collect()  # 2^_BITS bits in all
+    for r in rows:
         out[r["chunk"]] = np.frombuffer(r["b"], np.uint8)
     return out.reshape(-1)
 
 
+def _bit_of(tokens: np.ndarray) -> np.ndarray:
+    """Where `shared_tokens` has the bit of a shingle."""
+    h = _mix(tokens.view(np.uint64)) >> np.uint64(16)
+    chunk = h & np.uint64((1 << (_BITS - 16)) - 1)
+    return ((chunk << np.uint64(16)) | ((h >> np.uint64(_BITS - 16)) & np.uint64(0xFFFF))).astype(np.int64)
+
+
 def list_rows(sets: DataFrame, rule: Rule, marked: np.ndarray) -> DataFrame:
     """The inverted lists' rows that can make pairs: token, class, n, pos (place in the order)."""
     held = sets.sparkSession.sparkContext.broadcast(marked)  # 2^_BITS bits
@@ -262,7 +327,7 @@ def list_rows(sets: DataFrame, rule: Rule, marked: np.ndarray) -> DataFrame:
         for batch in batches:
             col = batch.column("tokens")
             flat, sizes = col.flatten().to_numpy(), np.diff(col.offsets.to_numpy())
-            at = (_mix(flat.view(np.uint64)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+            at = _bit_of(flat)
             keep = (b[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             n = np.repeat(batch.column("n").to_numpy(), sizes)
@@ -287,8 +352,8 @@ def _candidates(met: DataFrame, rule: Rule, upto: int) -> DataFrame:
     return pairs.where(f"near and shared + {rest} >= {need}").select("a", "b", "shared")
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id, b: the text's bytes) of `docs` whose id is in `ids`, and a few others:
+def _wanted(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows (key, b: the text's bytes) of `docs` whose key is in `keys`, and a few others:
     a table of 2^23 bits keeps most texts from being shuffled."""
     size = 1 << 23
 
@@ -297,32 +362,44 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
         a[table["at"].to_numpy() & 0xFFFF] = True
         return pa.table({"chunk": table["chunk"][:1], "b": pa.array([np.packbits(a).tobytes()], pa.binary())})
 
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("at")
+    at = F.pmod("key", F.lit(size)).alias("at")
     marked = np.zeros((size >> 16, 1 << 13), np.uint8)
-    for r in ids.select(at).distinct().withColumn("chunk", F.shiftright("at", 16)).groupBy("chunk").applyInArrow(bits, "chunk long, b binary").collect():  # 1 MB in all
+    with tidy(docs.sparkSession):
+        rows = keys.select(at).distinct().withColumn("chunk", F.shiftright("at", 16)).groupBy("chunk").applyInArrow(bits, "chunk long, b binary").collect()  # 1 MB in all
+    for r in rows:
         marked[r["chunk"]] = np.frombuffer(r["b"], np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(marked.reshape(-1))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            i = batch.column("at").to_numpy()
+            i = batch.column("key").to_numpy() & (size - 1)
             hit = (m[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1
             if hit.any():
-                yield batch.select(["doc_id", "b"]).filter(pa.array(hit))
+                yield batch.filter(pa.array(hit))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8("text").alias("b"), at).mapInArrow(keep, f"doc_id {kind}, b binary")
+    return docs.select(row_key(docs), utf8("text").alias("b")).mapInArrow(keep, "key long, b binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The `pairs` (a, b) of classes that link, from their whole texts."""
+    """The `pairs` (a, b) of classes that link. Sketches rule out most others; what they leave
+    is compared by whole texts."""
     pairs = stored(pairs.select("a", "b"), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    reps = stored(sets.select("class", "doc_id").join(named, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "named")
-    # One text for each class; rows with the same id and other texts are told apart by it. Null
-    # ids can't be looked up, so a class that has no other id is matched by its null rows.
-    texts = _wanted(docs, reps.select("doc_id")).join(reps.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "b")
+    reps = stored(sets.select("class", "key", "n", "sketch").join(named, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "named")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = zip(*(batch.column(c).to_pylist() for c in ("m", "n", "x", "y")), strict=True)
+            keep = [most_shared(m, n, x, y) >= rule.least(m, n) for m, n, x, y in cols]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = reps.selectExpr("class as a", "n as m", "sketch as x"), reps.selectExpr("class as b", "n", "sketch as y")
+    likely = stored(pairs.join(y, "b").join(x, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(possible, "a long, b long"), "likely")
+    keys = stored(reps.select("class", "key").join(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class"), "keys")
+    dropped(pairs, reps)
+    # One text for each class; rows of the same key and other texts are told apart by it.
+    texts = _wanted(docs, keys).join(keys, "key").select("class", "b")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
@@ -345,11 +422,14 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) ->
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
-    return stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    out = stored(likely.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    dropped(likely, keys, texts)
+    return out
 
 
 def _sides(rows: DataFrame, tag: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(tag + to) for c, to in (("class", ""), ("n", "n"), ("pos", "i"), ("comp", "c")) if c in rows.columns])
+    own = [c for c in ("token", "band") if c in rows.columns]
+    return rows.select(*own, *[F.col(c).alias(tag + to) for c, to in (("class", ""), ("n", "n"), ("pos", "i"), ("comp", "c")) if c in rows.columns])
 
 
 def _leader_pairs(rows: DataFrame, rule: Rule, upto: int, leaders: int, picks: int) -> DataFrame:
@@ -374,23 +454,34 @@ def class_components(docs: DataFrame, percent: int = 75, sketch_bits: int = 24,
 
 
 def _components_of(docs: DataFrame, rule: Rule, sketch_bits: int, leaders: int, picks: int) -> tuple[DataFrame, DataFrame]:
-    percent = rule.p
     sets = signatures(docs, rule, sketch_bits)
     upto = boundary(sets, rule)
-    large = sets.where(f"100 * n >= {percent * (upto + 1)}")
-    rows = list_rows(large, rule, shared_tokens(large, rule))
-    links = stored(small_links(sets, rule, upto).union(verified(_leader_pairs(rows, rule, upto, leaders, picks), docs, sets, rule)), "links")
+    large = sets.where(f"100 * n >= {rule.p * (upto + 1)}")
+    lists = list_rows(large, rule, shared_tokens(large, rule))
+    links = stored(small_links(sets, rule, upto).union(verified(_leader_pairs(lists, rule, upto, leaders, picks), docs, sets, rule)), "links")
     found = components(links)
-    rows = rows.join(found.toDF("class", "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    rows = stored(rows, "rows")
-    open_ = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
-    rows = stored(rows.join(open_, "token"), "open")
-    need = rule.least_sql("an", "bn")
-    met = _sides(rows, "a").join(_sides(rows, "b"), "token").where(f"a < b and ac <> bc and 100 * least(an, bn) >= {percent} * greatest(an, bn) and greatest(an, bn) > {upto} and ai <= an - {need} and bi <= bn - {need}")
-    more = verified(met.select("a", "b").distinct(), docs, sets, rule)
+    # What links being merged, only lists that several components stand on can say more.
+    placed = stored(lists.join(found.toDF("class", "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class")), "placed")
+    dropped(lists)
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
+    rows = stored(placed.join(open_, "token"), "open")
+    dropped(placed)
+    more = verified(_open_pairs(rows, rule, upto), docs, sets, rule)
+    dropped(rows)
     return sets, components(links.union(more)) if more.take(1) else found
 
 
+def _open_pairs(rows: DataFrame, rule: Rule, upto: int) -> DataFrame:
+    """Pairs of classes of different components that a list, their sizes and places allow. The
+    smaller set seeks partners in its own band of sizes and the next, so a list that very many
+    sets stand on is dealt out by size."""
+    need = rule.least_sql("an", "bn")
+    banded = rows.withColumn("band", F.expr(f"size(filter(array({', '.join(map(str, rule.bounds()))}), x -> x <= n))"))
+    a = _sides(banded.withColumn("band", F.explode(F.array("band", F.col("band") + 1))), "a")
+    met = a.join(_sides(banded, "b"), ["token", "band"]).where(f"(an < bn or an = bn and a < b) and ac <> bc and 100 * an >= {rule.p} * bn and bn > {upto} and ai <= an - {need} and bi <= bn - {need}")
+    return met.select("a", "b").distinct()
+
+
 def link_documents(docs: DataFrame, percent: int = 75, sketch_bits: int = 24) -> DataFrame:
     """Near duplicates of `docs` (doc_id, text): doc_id, n_shingles, component_id for each
     row. Two rows link if 100 * overlap >= percent * union of their sets of five-word
@@ -401,13 +492,18 @@ def link_documents(docs: DataFrame, percent: int = 75, sketch_bits: int = 24) ->
     other texts are judged by their texts. A null id is never a component's name unless all
     of it is null. Shingles are compared as 64-bit hashes."""
     sets, found = class_components(docs, percent, sketch_bits)
-    rows = sets.select("doc_id", "n", "class").join(found.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    rows = stored(rows.select("doc_id", "n", "label"), "labelled")
-    names = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    rows = stored(_labelled(sets, found).select("doc_id", "n", "label"), "labelled")
+    names = stored(rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")), "names")
+    dropped(sets)
     named = rows.where("n > 0").join(names, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _labelled(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n, class of each row, and label: its component, or else its class."""
+    return sets.select("doc_id", "n", "class").join(found.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+
 def _with_class(docs: DataFrame) -> DataFrame:
     own = docs.columns
 
@@ -426,8 +522,9 @@ def keep_one(docs: DataFrame, percent: int = 75, sketch_bits: int = 24) -> DataF
     """`docs` with one row of each component: that of the smallest doc_id. Rows without words
     and rows with a null id all stay; of rows repeated with the same id and set one stays."""
     sets, found = class_components(docs, percent, sketch_bits)
-    rows = sets.where("n > 0 and doc_id is not null").join(found.toDF("class", "label"), "class", "left").select("doc_id", "class", F.coalesce("label", "class").alias("label"))
-    least = rows.groupBy("label").agg(F.min("doc_id").alias("kept"))
+    rows = stored(_labelled(sets.where("n > 0 and doc_id is not null"), found).select("doc_id", "class", "label"), "labelled")
+    dropped(sets)
+    least = stored(rows.groupBy("label").agg(F.min("doc_id").alias("kept")), "least")
     gone = stored(rows.join(least, "label").where("doc_id <> kept").select("doc_id", "class").distinct(), "gone")
     if not rows.groupBy("doc_id").count().where("count > 1").take(1):
         return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8
+from ..sources.shared import stored
+from .common import small_batches, utf8
 from .jaccard_join import _CHUNK as _COUNTERS
 from .jaccard_join import _K, _mix, counted
 
