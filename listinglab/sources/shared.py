@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """While it lasts, the shuffle files of an action are removed when the action ends. For
-    actions whose result no longer needs them: a written table, or a few numbers."""
+    actions whose result no longer needs them: a written table, or a few numbers. The frame
+    that acts must be made inside."""
     old = spark.conf.get(_TIDY, None)
     spark.conf.set(_TIDY, "true")
     try:
