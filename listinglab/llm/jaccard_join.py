@@ -196,7 +196,9 @@ def signatures(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
             flat = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), _signed(np.array(classes, np.uint64)), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "key", "n", "class", "sketch", "tokens"])
 
-    return stored(docs.select("doc_id", row_key(docs), utf8("text").alias("b")).mapInArrow(run, f"doc_id {kind}, key long, n long, class long, sketch binary, tokens array<long>"), "sets")
+    out = stored(docs.select("doc_id", row_key(docs), utf8("text").alias("b")).mapInArrow(run, f"doc_id {kind}, key long, n long, class long, sketch binary, tokens array<long>"), "sets")
+    codes.destroy()
+    return out
 
 
 def boundary(sets: DataFrame, rule: Rule, scan_cost: int = 4) -> int:
@@ -300,11 +302,11 @@ def shared_tokens(sets: DataFrame, rule: Rule) -> np.ndarray:
         a = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["b"].to_pylist()])
         return pa.table({"chunk": table["chunk"][:1], "b": pa.array([a.tobytes()], pa.binary())})
 
-    rows = sets.select("class", "tokens").mapInArrow(pack, "part long, t binary, c binary").groupBy("part").applyInArrow(shared, "chunk long, b binary")
-    if turns > 1:
-        rows = rows.groupBy("chunk").applyInArrow(joined, "chunk long, b binary")
     out = np.zeros((chunks, 1 << 13), np.uint8)
     with tidy(sets.sparkSession):
+        rows = sets.select("class", "tokens").mapInArrow(pack, "part long, t binary, c binary").groupBy("part").applyInArrow(shared, "chunk long, b binary")
+        if turns > 1:
+            rows = rows.groupBy("chunk").applyInArrow(joined, "chunk long, b binary")
         rows = rows.collect()  # 2^_BITS bits in all
     for r in rows:
         out[r["chunk"]] = np.frombuffer(r["b"], np.uint8)
@@ -339,7 +341,9 @@ def list_rows(sets: DataFrame, rule: Rule, marked: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[w], pa.int64()) for x in (flat, cls, n, pos)], names=["token", "class", "n", "pos"])
 
     rows = sets.select("class", "n", "tokens").mapInArrow(run, "token long, class long, n long, pos long")
-    return stored(rows.groupBy("token", "class").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "lists")
+    out = stored(rows.groupBy("token", "class").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "lists")
+    held.destroy()
+    return out
 
 
 def _candidates(met: DataFrame, rule: Rule, upto: int) -> DataFrame:
