@@ -22,9 +22,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(topk_search.usable(F.col("embedding")))
-    vectors = e.select("vec_id", topk_search.as_integers(F.col("embedding")).alias("v"))
-    return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return topk_search.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

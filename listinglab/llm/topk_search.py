@@ -1,12 +1,13 @@
 """Exact top-k search by distributed histogram selection.
 
-Scores are integers. Vectors meet queries in blocks of bounded size; each round every block
-scores its pairs and reports, for each query, how many scores fall in each bin of the query's
-present range; the sums tell which bin holds the kth score, and the range narrows to it. When
-each range is one score wide, one more pass keeps what is above it, and of those equal to it
-the smallest ids.
+Scores are inner products of integer vectors. A block of queries is broadcast, vectors are
+scored where they lie, and each task reports, for each query, how many scores fall in each bin
+of the query's present range; the sums tell which bin holds the kth score, and the range
+narrows to it, some bits of the score a round. When each range is one score wide, one more pass
+keeps what is above it, and of those equal to it the smallest ids.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,117 +15,184 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import stored, tidy
 
-_EXACT = 2.0**53  # integers below are exact in double precision
-
-
-def as_integers(embedding: Column) -> Column:
-    """floor(1024 * x) of each component, x as double."""
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * 1024))
+_EXACT, _LONG = 2.0**53, 2.0**62  # sums below are exact as double, and fit a 64-bit integer
+_CELLS = 1 << 20  # scores that are held at once
+_FOUND = "q int, vec_id long, score long"
 
 
 def usable(embedding: Column) -> Column:
-    """Whether a vector takes part: not null or empty, no null or non-finite component, and
-    no component whose integer form is 2^31 or more in size (their scores could leave long)."""
-    fine = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 2.0**21))
-    return embedding.isNotNull() & (F.size(embedding) > 0) & F.coalesce(fine, F.lit(False))
-
-
-def _matrix(col: pa.Array) -> np.ndarray:
-    flat = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return flat.flatten().to_numpy().astype(np.float64).reshape(len(flat), -1)
-
-
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products; by floating matrix product only where that is exact."""
-    most = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, q.shape[1])
-    return (q @ c.T).astype(np.int64) if most < _EXACT else q.astype(np.int64) @ c.astype(np.int64).T
-
-
-def _blocks(queries: pa.Table, cands: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Scores of a query block against slices of a candidate block: (rows of the query, ids,
-    scores), with the query's own row left out."""
-    q, qid, step = _matrix(queries["v"]), queries["query_id"].to_numpy(), 2048
-    for at in range(0, cands.num_rows, step):
-        part = cands.slice(at, step)
-        ids = part["vec_id"].to_numpy()
-        s = _scores(q, _matrix(part["v"]))
-        yield qid, ids, np.where(qid[:, None] == ids[None, :], np.iinfo(np.int64).min, s)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bins: int = 4096, query_block: int = 1024, vector_block: int = 8192) -> DataFrame:
+    """Whether a vector takes part: not null, and without null or non-finite components."""
+    fine = F.forall(embedding.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return embedding.isNotNull() & F.coalesce(fine, F.lit(False))
+
+
+def _whole(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as Python integers."""
+    return np.array([[math.floor(y) if math.isfinite(y := f * scale) else math.floor(f) * math.floor(scale) for f in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+class Block:
+    """Queries of one length: their places in the broadcast block, rows and components."""
+
+    def __init__(self, at: np.ndarray, row: np.ndarray, x: np.ndarray, scale: float) -> None:
+        self.at, self.row, self.x, self.scale = at, row, x, scale
+        with np.errstate(over="ignore"):
+            self.v = np.floor(x * scale)
+
+    def scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Integer inner products with the rows of `x`: by floating matrix product where that is
+        exact, else by 64-bit integers, else by Python's. Those that leave 64 bits count as the
+        nearest that doesn't, and the second result marks them."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            c = np.floor(x * self.scale)
+            most = np.abs(self.v).max(initial=0) * np.abs(c).sum(axis=1)
+            most = np.where(np.isnan(most), np.inf, most)
+        if (most < _EXACT).all():
+            return (self.v @ c.T).astype(np.int64), None
+        out, beyond = np.empty((len(self.v), len(c)), np.int64), None
+        small, long = most < _EXACT, (most >= _EXACT) & (most < _LONG) & (np.abs(c).max(axis=1, initial=0) < _LONG)
+        out[:, small] = (self.v @ c[small].T).astype(np.int64)
+        if long.any() and np.abs(self.v).max(initial=0) >= _LONG:
+            long = np.zeros(len(c), bool)
+        if long.any():
+            out[:, long] = self.v.astype(np.int64) @ c[long].astype(np.int64).T
+        rest = ~(small | long)
+        if rest.any():
+            s = _whole(self.x, self.scale).dot(_whole(x[rest], self.scale).T) if x.shape[1] else np.zeros((len(self.v), rest.sum()), object)
+            beyond = np.zeros(out.shape, bool)
+            beyond[:, rest] = ((s > 2**63 - 1) | (s < -(2**63))).astype(bool)
+            out[:, rest] = np.minimum(np.maximum(s, -(2**63)), 2**63 - 1).astype(np.int64)
+        return out, beyond
+
+
+def _met(batch: pa.RecordBatch, blocks: dict[int, list[Block]]) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
+    """Scores of a batch (row, vec_id, v): (block, ids, scores, which left 64 bits, which of them
+    are pairs)."""
+    col, row, ids = batch.column("v"), batch.column("row").to_numpy(), batch.column("vec_id").to_numpy()
+    flat, starts = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+    sizes = np.diff(starts)
+    for n in np.unique(sizes).tolist():
+        some = np.flatnonzero(sizes == n)
+        for b in blocks.get(n, ()):
+            step = max(1, _CELLS // len(b.at))
+            for i in range(0, len(some), step):
+                part = some[i : i + step]
+                x = flat[starts[part][:, None] + np.arange(n)]
+                yield b, ids[part], *b.scores(x), b.row[:, None] != row[part][None, :]
+
+
+def top_k(vectors: DataFrame, queries: Column | DataFrame, k: int = 10, scale: float = 1.0, query_block: int = 16384) -> DataFrame:
     """The `k` highest inner products of each query: query_id, rank (from 1), vec_id, score.
 
-    `vectors` and `queries` are (vec_id, v: array<long>), all rows usable. A query's own id
-    is no candidate; pairs of unlike length have no score; ties go to the smaller id; fewer
-    than k candidates give all. Rows with repeated ids: one is kept (the least vector). Null
-    ids take no part. No queries or vectors: no rows.
-
-    Both sides are cut into blocks of a fixed number of rows and meet by an equi-join on
-    block numbers, so a task holds one block of each whatever the tables' size. A block
-    reports only bins from the top down to where it alone has k scores: no lower bin can hold
-    the kth, so at most k rows for each query and block are shuffled. Equal scores are cut to
-    the k smallest ids inside each block first, so a vector with a third of all copies is no
-    hot spot."""
+    `vectors` (vec_id, v: an array of numbers); `queries`: a condition that names rows of it,
+    which are no candidates of their own, or a table of other vectors (vec_id, v). Components
+    count as floor(scale * x), x as double, however large; a score among the highest that leaves
+    64 bits is an error. Rows that aren't `usable` and rows with a null id take no part; pairs
+    of unlike length have no score. Ties go to the smaller id; fewer than k candidates give all.
+    Rows with repeated ids are candidates, and queries, each. No queries or vectors: no rows.
+    Columns other than vec_id and v are ignored.
+
+    Vectors are never shuffled or copied: each pass reads them where they lie, against one
+    broadcast block of at most `query_block` queries. A task reports only bins from the top down
+    to where it alone has what a query needs: no lower bin can hold the kth score, so at most k
+    rows for each query and task are shuffled. Equal scores are cut to the k smallest ids inside
+    each task first, so a vector with a third of all copies is no hot spot."""
     spark = vectors.sparkSession
-    one = lambda df: df.where("vec_id is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    vecs, qs = stored(one(vectors), "vectors"), stored(one(queries), "queries")
-    n, m = vecs.count(), qs.count()
-    if not n or not m:
+    cast = lambda df, *more: df.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"), *more)
+    own = isinstance(queries, Column)
+    vecs = stored(cast(vectors, F.monotonically_increasing_id().alias("row"), (F.coalesce(queries, F.lit(False)) if own else F.lit(False)).alias("asks")), "vectors")
+    asked = vecs.where("asks") if own else stored(cast(queries, (-1 - F.monotonically_increasing_id()).alias("row")), "queries")
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
+    with tidy(spark):
+        m, most, longest = asked.agg(F.count("*"), F.max(size), F.max(F.size("v"))).first()
+        top = vecs.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    if not m:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    vparts, qparts = -(-n // vector_block), -(-m // query_block)
-    cut = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    pairs_of = lambda p: F.explode(F.sequence(F.lit(0), F.lit(p - 1)))
-    left = vecs.select("dim", cut(vparts).alias("vb"), pairs_of(qparts).alias("qb"), "vec_id", "v").groupBy("dim", "vb", "qb")
-    # Scores of a query lie within its sum of sizes times the largest component.
-    size = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + F.abs(x))
-    most = vecs.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] + 1
-    state = stored(qs.select(F.col("vec_id").alias("query_id"), "dim", "v", (-size * most).alias("low"), (size * most + 1).alias("high"), F.lit(k).cast("long").alias("need")), "state")
-
-    def counted(key, cands: pa.Table, queries: pa.Table) -> pa.Table:
-        """Rows (query_id, bin, n) of one pair of blocks."""
-        low, high, width = (queries[c].to_numpy()[:, None] for c in ("low", "high", "width"))
-        total = np.zeros((queries.num_rows, bins), np.int64)
-        base = np.arange(queries.num_rows)[:, None] * bins
-        for _, _, s in _blocks(queries, cands) if queries.num_rows else ():
-            b = (s - low) // width
-            fine = (s >= low) & (s < high)
-            total += np.bincount((base + b)[fine], minlength=total.size).reshape(total.shape)
-        above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1] - total
-        row, b = np.nonzero((total > 0) & (above < k))
-        return pa.table({"query_id": queries["query_id"].to_numpy()[row], "bin": b.astype(np.int64), "n": total[row, b]})
-
-    def kept(key, cands: pa.Table, queries: pa.Table) -> pa.Table:
-        """Rows (query_id, vec_id, score) at or above the kth score, ties cut to k ids."""
-        low, out = queries["low"].to_numpy()[:, None], []
-        for qid, ids, s in _blocks(queries, cands) if queries.num_rows else ():
-            row, col = np.nonzero((s >= low) & (s > np.iinfo(np.int64).min))
-            score, vid = s[row, col], ids[col]
-            order = np.lexsort((vid, -score, row))
-            row, score, vid = row[order], score[order], vid[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            fine = place < k
-            out.append((qid[row[fine]], vid[fine], score[fine]))
-        cat = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), cat, strict=True)))
-
-    def met(df: DataFrame, f, schema: str) -> DataFrame:
-        right = df.select("dim", cut_q.alias("qb"), pairs_of(vparts).alias("vb"), *[c for c in df.columns if c != "dim"]).groupBy("dim", "vb", "qb")
-        return left.cogroup(right).applyInArrow(f, schema)
-
-    cut_q = F.pmod(F.xxhash64("query_id"), F.lit(qparts)).cast("int")
-    while (widest := state.agg(F.max(F.col("high") - F.col("low"))).first()[0]) > 1:
-        now = state.withColumn("width", F.ceil((F.col("high") - F.col("low")) / F.lit(bins)).cast("long"))
-        sums = met(now, counted, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-        sums = sums.withColumn("upto", F.sum("n").over(down))
-        # The bin where the sum from the top first reaches the need; fewer in all: none.
-        at = sums.join(now.select("query_id", "need"), "query_id").where("upto >= need and upto - n < need").select("query_id", "bin", (F.col("upto") - F.col("n")).alias("above"))
-        found = now.join(at, "query_id", "left")
-        low = F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.col("low") + F.col("bin") * F.col("width"))
-        high = F.when(F.col("bin").isNull(), F.col("low") + 1).otherwise(F.least("high", low + F.col("width")))
-        state = stored(found.select("query_id", "dim", "v", low.alias("low"), high.alias("high"), (F.col("need") - F.coalesce("above", F.lit(0))).alias("need")), "state")
-    best = met(state, kept, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    bound = ((most or 0.0) * scale + longest + 1) * ((top or 0.0) * scale + 1) * 1.001 + 1
+    offset = int(bound) if bound < _LONG else 2**63  # scores and `offset` make unsigned numbers of `width` bits
+    width = min(64, (2 * offset).bit_length())
+    blocks = -(-m // query_block)
+    out = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block).select("row", "vec_id", "v").toPandas()  # about `query_block`
+        if len(rows):
+            found = _search(vecs, rows, k, scale, offset, width)
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(vecs: DataFrame, rows, k: int, scale: float, offset: int, width: int) -> DataFrame:
+    """The results of one block of queries."""
+    spark, n = vecs.sparkSession, len(rows)
+    lengths, row = rows["v"].map(len).to_numpy(), rows["row"].to_numpy()
+    sizes = np.array([np.abs(v).max(initial=0) for v in rows["v"]])
+    blocks: dict[int, list[Block]] = {}
+    for d in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == d)
+        at = at[np.argsort(sizes[at], kind="stable")]  # large components don't slow the others down
+        for i in range(0, len(at), 512):
+            part = at[i : i + 512]
+            blocks.setdefault(d, []).append(Block(part, row[part], np.array([rows["v"][j] for j in part], float).reshape(len(part), d), scale))
+    held = spark.sparkContext.broadcast(blocks)
+    most = max(4, min(12, 23 - max(0, n - 1).bit_length()))  # a task's histograms take 2^23 counters at most
+    shift, prefix, need = np.uint64(offset % 2**64), np.zeros(n, np.uint64), np.full(n, k, np.int64)
+    left, table = width, vecs.select("row", "vec_id", "v")
+    while left:
+        bits = min(most, left)
+        left -= bits
+        at_bit, above_bit, bins = np.uint64(left), np.uint64(left + bits), 1 << bits
+        state = spark.sparkContext.broadcast((prefix, need))
+
+        def report(batches: Iterator[pa.RecordBatch], bins=bins, at_bit=at_bit, above_bit=above_bit, state=state) -> Iterator[pa.RecordBatch]:
+            prefix, need = state.value
+            total = np.zeros((n, bins), np.int32)
+            for batch in batches:
+                for b, _, s, _, fine in _met(batch, held.value):
+                    u = s.astype(np.uint64) + shift
+                    if above_bit < 64:
+                        fine &= (u >> above_bit) == prefix[b.at][:, None]
+                    at = (np.arange(len(b.at)) * bins)[:, None] + ((u >> at_bit) & np.uint64(bins - 1)).astype(np.int64)
+                    total[b.at] += np.bincount(at[fine], minlength=len(b.at) * bins).reshape(-1, bins).astype(np.int32)
+            for i in range(0, n, 1024):
+                part = total[i : i + 1024].astype(np.int64)
+                over = np.cumsum(part[:, ::-1], axis=1)[:, ::-1] - part
+                q, at = np.nonzero((part > 0) & (over < need[i : i + 1024][:, None]))
+                yield pa.RecordBatch.from_pydict({"q": pa.array((q + i).astype(np.int32)), "bin": pa.array(at.astype(np.int32)), "n": pa.array(part[q, at])})
+
+        down = Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+        sums = table.mapInArrow(report, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(down))
+        needed = spark.createDataFrame(list(enumerate(need.tolist())), "q int, need long")
+        with tidy(spark):  # the bin where the sum from the top first reaches the need: a row for each query of the block
+            at = sums.join(needed, "q").where("upto >= need and upto - n < need").select("q", "bin", (F.col("upto") - F.col("n")).alias("above")).toPandas()
+        state.destroy()
+        prefix <<= np.uint64(bits)
+        q = at["q"].to_numpy()
+        prefix[q] |= at["bin"].to_numpy().astype(np.uint64)
+        need[q] -= at["above"].to_numpy()
+        few = np.setdiff1d(np.arange(n), q)  # fewer than k candidates in all
+        prefix[few], need[few] = 0, k
+    last = spark.sparkContext.broadcast(prefix)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            found = [best]
+            for b, ids, s, beyond, fine in _met(batch, held.value):
+                fine &= s.astype(np.uint64) + shift >= last.value[b.at][:, None]
+                if beyond is not None and (beyond & fine).any():
+                    raise ValueError("one of the highest scores leaves 64-bit integers")
+                q, c = np.nonzero(fine)
+                found.append([b.at[q], ids[c], s[q, c]])
+            q, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((ids, ~score, q))
+            q, ids, score = q[order], ids[order], score[order]
+            fine = np.arange(len(q)) - np.searchsorted(q, q) < k
+            best = [q[fine], ids[fine], score[fine]]
+        yield pa.RecordBatch.from_pydict({"q": pa.array(best[0].astype(np.int32)), "vec_id": pa.array(best[1]), "score": pa.array(best[2])})
+
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    ids = spark.createDataFrame([(i, int(v)) for i, v in enumerate(rows["vec_id"])], "q int, query_id long")
+    named = table.mapInArrow(keep, _FOUND).withColumn("rank", rank).where(F.col("rank") <= k).join(ids, "q")
+    return stored(named.select("query_id", "rank", "vec_id", "score"), "found")

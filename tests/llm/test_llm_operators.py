@@ -72,29 +72,57 @@ def test_chat_round_trip(spark):
 # -- top-k -----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("block", "bins"), [(7, 4), (1000, 4096)])
-def test_top_k_equals_brute_force(spark, block, bins):
+@pytest.mark.parametrize("block", [3, 1000])
+def test_top_k_equals_brute_force(spark, block):
     rng = np.random.default_rng(5)
     vecs = rng.integers(-40, 40, (60, 5))
     vecs[20:35] = vecs[3]  # ties
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)] + [(None, [1] * 5), (90, [1, 2])], "vec_id long, v array<long>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)] + [(None, [1] * 5), (90, [1, 2])], "vec_id long, v array<long>").withColumns({"row": F.lit("mine"), "q": F.lit(None), "score": F.lit(7)})
     got = collections.defaultdict(list)
-    for r in topk_search.top_k(df, df.where("vec_id % 10 = 0"), k=6, bins=bins, query_block=3, vector_block=block).collect():
+    for r in topk_search.top_k(df, F.col("vec_id") % 10 == 0, k=6, query_block=block).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     for q in range(0, 60, 10):
         best = sorted((-int(vecs[i] @ vecs[q]), i) for i in range(60) if i != q)[:6]
         assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert 90 not in got
+    others = topk_search.top_k(df, df.where("vec_id = 10").select("vec_id", "v"), k=2).collect()  # of another table: none is left out
+    best = sorted((-int(vecs[i] @ vecs[10]), i) for i in range(60))[:2]
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in others) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
+def test_top_k_of_large_components(spark):
+    rnd = random.Random(11)
+    size = lambda: rnd.choice([0.0, 0.3, -0.7, 2e3, 2e6, -1e6, -1e7, 0.0]) * rnd.random()
+    vecs = [[size() for _ in range(4)] for _ in range(80)] + [[1e306, 0.0, 0.0, 0.0], [0.0, 0.1, 0.2, 0.0]]
+    exact = [[int(x * 1024 // 1) if abs(x) < 1e300 else int(x) * 1024 for x in v] for v in vecs]
+    score = lambda a, b: sum(x * y for x, y in zip(exact[a], exact[b], strict=True))
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, v array<double>")
+    tried = 0
+    for q in [*range(0, 80, 4), 80, 81]:
+        best = sorted((-score(q, i), i) for i in range(len(vecs)) if i != q)[:3]
+        if all(-(2**63) <= -s < 2**63 for s, _ in best) and tried < 4 or q == 81:
+            tried += 1
+            found = topk_search.top_k(df, F.col("vec_id") == q, k=3, scale=1024.0)
+            assert [tuple(r) for r in found.orderBy("rank").collect()] == [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert tried > 2
+
+
+def test_top_k_scores_beyond_long_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [2e6] * 2)], "vec_id long, v array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        topk_search.top_k(df, F.col("vec_id") == 0, k=1, scale=1024.0)
+    low = df.where("vec_id <> 1").withColumn("v", F.array(F.element_at("v", 1) / 1e7, F.element_at("v", 2)))
+    assert [tuple(r) for r in topk_search.top_k(low, F.col("vec_id") == 2, k=1, scale=1024.0).collect()] == [(2, 1, 0, 204 * 102400000 + 2000000 * 1024 * 1024)]
 
 
 def test_top_k_small_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, v array<long>")
-    assert topk_search.top_k(empty, empty).count() == 0
+    assert topk_search.top_k(empty, F.lit(True)).count() == 0
     two = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (1, [3, 4])], "vec_id long, v array<long>")
-    assert [tuple(r) for r in topk_search.top_k(two, two.where("vec_id = 0")).collect()] == [(0, 1, 1, 11)]
+    assert sorted(tuple(r) for r in topk_search.top_k(two, F.col("vec_id") == 0).collect()) == [(0, 1, 1, 11), (0, 2, 1, 11)]
+    assert sorted(tuple(r) for r in topk_search.top_k(two, F.col("vec_id") == 1, k=1).collect()) == [(1, 1, 1, 25)] * 2
     odd_ = spark.createDataFrame([([1.0, None],), ([float("nan")],), ([float("inf")],), (None,), ([],), ([0.5, -0.0003],)], "e array<float>")
-    assert [r["u"] for r in odd_.select(topk_search.usable(F.col("e")).alias("u")).collect()] == [False, False, False, False, False, True]
-    assert odd_.where(topk_search.usable(F.col("e"))).select(topk_search.as_integers(F.col("e"))).first()[0] == [512, -1]
+    assert [r["u"] for r in odd_.select(topk_search.usable(F.col("e")).alias("u")).collect()] == [False, False, False, False, True, True]
 
 
 # -- toxicity --------------------------------------------------------------------------------
