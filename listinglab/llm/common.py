@@ -1,8 +1,9 @@
-"""Helpers shared by the operators: texts as bytes, sizes of batches, components of links."""
+"""Helpers shared by the operators: texts as bytes, hashes of words, components of links."""
 
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +31,55 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of `links` (a, b): (node, component), component being the
     smallest node reachable. No links: no rows."""
     return connected_components(links).withColumnRenamed("root", "component")
+
+
+_K = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+_PIECE = 1 << 16  # bytes of a text that are hashed at a time
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Words:
+    """64-bit hashes of a text's words in order: A-Z lower-cased, parted by space and U+0009 to
+    U+000D. A word's hash is a polynomial of its bytes; running sums over a piece of text give
+    those of all its words at once."""
+
+    def __init__(self) -> None:
+        self.space = np.isin(np.arange(256), [32, *range(9, 14)])
+        self.value = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _K)
+        self.value[65:91] = self.value[97:123]
+        self._reach(_PIECE)
+
+    def _reach(self, n: int) -> None:
+        of = lambda base: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+        self.power, self.inverse = of(_BASE), of(pow(_BASE, -1, 2**64))
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        if len(text) <= _PIECE:
+            return self._hashed(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = text.find(b" ", at + _PIECE)
+            cut = len(text) if cut < 0 else cut
+            out.append(self._hashed(text[at:cut]))
+            at = cut
+        return np.concatenate(out)
+
+    def _hashed(self, text: bytes) -> np.ndarray:
+        b = np.frombuffer(text, np.uint8)
+        n = len(b)
+        if n >= len(self.power):
+            self._reach(n)
+        solid = np.zeros(n + 2, bool)
+        np.logical_not(self.space[b], out=solid[1:-1])
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.value[b] * self.power[:n], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self.inverse[starts])

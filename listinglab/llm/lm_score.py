@@ -1,331 +1,301 @@
-"""Language-model scores by stupid backoff over counts of the whole corpus's runs of words.
+"""Language-model scores by stupid backoff, computed relationally.
 
 A word after others scores count(run) / count(the run's other words as context) if the run was
 counted at least `least` times, else `alpha` times its score after one word less; without
-context it scores count(word) / words. Runs have at most `order` words, fewer at a text's
-beginning. A text's score is the sum of the logarithms.
-
-Counting goes down from the longest runs, level by level, each parted by the hash of its
-context: the texts' runs travel in packed columns, and each part counts its own. What isn't found
-goes on to the next level's part for its shorter run; runs that are found go on without their
-texts, as counts. A context that holds one in 2^16 of all words is common: its runs are parted by
-run, not by context, and its counts are broadcast, like those of runs as frequent: at most 2^16
-of each length. So no part gathers one context's or one run's share of the corpus.
+context it scores count(word) / words. Runs (n-grams) have at most `order` words, fewer at a
+text's beginning. A text's score is the sum of the logarithms.
+
+There is a table of counts for each order, parted by the n-gram's hash. A run counted `least`
+times has a shorter run counted as often, so its gain, the logarithm of its score over that of
+backing off, is found by joining its order's table to that of the order below. A text's score
+is then what it has if all its words backed off to the end, and the gains of its runs: texts'
+exploded n-grams are joined to the gains and summed for each text.
+
+Two tables of bounded size, broadcast, spare the shuffle rows: bits that are set for all n-grams
+that stand twice (no other can have a gain), and the gains of n-grams with a fixed share of all
+words, of which there can be few. The hashes' range is worked through in slices, and each
+slice's shuffle is gone before the next begins.
 """
 
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
-from .common import small_batches, utf8
-from .jaccard_join import _CHUNK as _COUNTERS
-from .jaccard_join import _K, _mix, counted
+from ..sources.shared import dropped, stored, tidy
+from .common import Words, small_batches, utf8
 
-_COMMON = 1 << 16
-_CHUNK = 1 << 19  # pairs that a task gathers before it sends them
-_PACKED = ("w", "v", "at", "n", "late", "keys", "sums")
-_ROW = "part long, " + ", ".join(f"{c} binary" for c in _PACKED)
+_CHUNK = 1 << 20  # words that a task gathers before it sends their n-grams
+_SHARE = 1 << 16  # an n-gram with one in so many words is common
+_ROWS = 1 << 16  # rows of a batch to Spark
 
 
-class Words:
-    """Hashes of a text's words in order: A-Z lower-cased, parted by space and U+0009 to U+000D."""
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for two longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h: np.ndarray | np.uint64 = np.uint64(42)
+        for x in (a, b):
+            h = (h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
+            h = turn(h, 27) * p1 + p4
+            h = (h ^ (h >> np.uint64(33))) * p2
+            h = (h ^ (h >> np.uint64(29))) * p3
+            h = h ^ (h >> np.uint64(32))
+    return h
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        return np.array([xxhash.xxh3_64_intdigest(w) for w in text.lower().split()], np.uint64)
 
-
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _mix(v * _K + w)
-
-
-def _grams(h: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of all runs of 1 to `order` words, in order, from those of the words."""
-    out = [h]
-    for k in range(1, order):
-        out.append(_pair(out[-1][:-1], h[k:]))
-    return out
-
-
-class Grams(Words):
-    """Hashes of a text's runs of `order` words, in order."""
+class Grams:
+    """Hashes of a text's n-grams: for each order those that end at each place. An n-gram's
+    hash is made of those of its first and its last n - 1 words."""
 
     def __init__(self, order: int) -> None:
-        self.order = order
+        self.words, self.order = Words(), order
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        return _grams(super().__call__(text), self.order)[-1]
-
-
-def _table(rows) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows (key, value...) as sorted keys with their values."""
-    keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], [np.array([r[i] for r in rows], np.float64)[order] for i in range(1, len(rows[0]) if rows else 3)]
-
-
-def _look(table: tuple[np.ndarray, list[np.ndarray]], keys: np.ndarray, column: int = 0) -> np.ndarray:
-    """Values of `keys`; absent keys give 0."""
-    own, values = table
-    if not len(own):
-        return np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-    return np.where(own[at] == keys, values[column][at], 0.0)
+    def __call__(self, text: bytes) -> list[np.ndarray]:
+        out = [self.words(text)]
+        while len(out) < self.order:
+            g = out[-1]
+            out.append(pair_hash(g[:-1], g[1:]))
+        return out
 
 
-def _grouped(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    uniq, inv = np.unique(keys, return_inverse=True)
-    return uniq, *(np.bincount(inv, s, len(uniq)) for s in sums)
+def repeated(docs: DataFrame, order: int, bits: int) -> np.ndarray:
+    """2^bits bits, set for every n-gram of 2 to `order` words that stands twice or more (and
+    for some others)."""
+    chunks, mask = 1 << (bits - 16), np.uint64((1 << bits) - 1)
+    with tidy(docs.sparkSession):
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    turns = max(1, (size * order) >> (bits + 12))  # groups of one chunk: what they gather is bounded
 
+    def packed(x: np.ndarray) -> bytes:
+        """Ordered 16-bit numbers, some twice."""
+        return len(x).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(np.diff(x, prepend=0).astype(np.uint16).view(np.uint8).reshape(-1, 2).T).tobytes(), codec="zstd", asbytes=True)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """key (hash of a word), n (times it stands), ctx (times another word follows)."""
+    def unpacked(b: bytes) -> np.ndarray:
+        n = int.from_bytes(b[:4], "little")
+        return np.cumsum(np.ascontiguousarray(np.frombuffer(pa.decompress(b[4:], 2 * n, codec="zstd", asbytes=True), np.uint8).reshape(2, n).T).view(np.uint16).ravel(), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        grams, held, size, turn = Grams(order), [], 0, 0
+
+        def sent() -> pa.RecordBatch:
+            at = np.sort((np.concatenate(held) & mask).astype(np.uint32))
+            new = np.concatenate([[True], at[1:] != at[:-1]])
+            second = np.concatenate([[False], ~new[1:] & new[:-1]])  # the first repetition: two of each are enough
+            at = at[new | second]
+            chunk = (at >> np.uint32(16)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
+            low = (at & np.uint32(0xFFFF)).astype(np.int64)
+            return pa.RecordBatch.from_pydict({"part": pa.array(chunk[cuts[:-1]] * turns + turn % turns), "b": pa.array([packed(low[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary())})  # noqa: B905
 
-        def sent(all_: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
-            h, e = np.concatenate(all_), np.array(ends, np.uint64)
-            k, n, last = _grouped(np.concatenate([h, e]), np.repeat([1.0, 0.0], [len(h), len(e)]), np.repeat([0.0, 1.0], [len(h), len(e)]))
-            return pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64)), "ctx": pa.array((n - last).astype(np.int64))})
-
-        held, ends, size = [], [], 0
         for batch in batches:
             for b in batch.column("b"):
-                h = words(b.as_py())
-                if len(h):
-                    held.append(h)
-                    ends.append(int(h[-1]))
-                    size += len(h)
-                if size > _CHUNK:
-                    yield sent(held, ends)
-                    held, ends, size = [], [], 0
-        if held:
-            yield sent(held, ends)
-
-    return stored(docs.select(utf8("text").alias("b")).mapInArrow(run, "key long, n long, ctx long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ctx").alias("ctx")), "words")
-
-
-def common_grams(docs: DataFrame, floor: float, bits: int, order: int) -> list:
-    """Runs of `order` words that stand at least `floor` times: key, n (times it stands), ctx
-    (times another word follows). A table of 2^bits counters rules most others out before
-    anything is shuffled; counts themselves are exact."""
-    above = np.zeros(1 << bits, bool).reshape(-1, 1 << min(_COUNTERS, bits))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([(np.frombuffer(x, np.uint32) >= floor).tobytes() for x in batch.column("n").to_pylist()], pa.binary())], names=["chunk", "n"])
-
-    for r in counted(docs, bits, partial(Grams, order)).mapInArrow(marked, "chunk long, n binary").collect():  # 2^bits bytes in all
-        above[r["chunk"]] = np.frombuffer(r["n"], bool)
-    sketch = docs.sparkSession.sparkContext.broadcast(above.reshape(-1))
-    mask = np.uint64((1 << bits) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, s = Grams(order), sketch.value
-        for batch in batches:
-            all_ = [grams(b.as_py()) for b in batch.column("b")]
-            held = [h[s[(h & mask).astype(np.int64)]] for h in all_]
-            k, n = np.unique(np.concatenate(held) if held else _NONE, return_counts=True)
-            ends = np.array([h[-1] for h in all_ if len(h)], np.uint64)
-            ends, last = np.unique(ends[s[(ends & mask).astype(np.int64)]], return_counts=True)
-            ctx = n.astype(np.int64)
-            ctx[np.searchsorted(k, ends)] -= last
-            yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64)), "ctx": pa.array(ctx)})
-
-    found = docs.select(utf8("text").alias("b")).mapInArrow(run, "key long, n long, ctx long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ctx").alias("ctx")).where(F.col("n") >= floor)
-    return found.collect()  # at most 2^16: each holds that share of all runs
-
-
-def _packed(part: int, w: np.ndarray, v: np.ndarray, at: np.ndarray, n: np.ndarray, late: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> dict:
-    """Entries of a part: word, contexts (a line for each length), place of the text in `keys`,
-    number, times it backed off. Without `keys` they only count."""
-    zip_ = lambda x: pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) if x.size else b""
-    used, at = np.unique(at, return_inverse=True) if len(at) else (np.arange(len(keys)), at)
-    size = len(w).to_bytes(8, "little")
-    return {"part": part, "w": w.tobytes(), "v": zip_(v), "at": size + zip_(at.astype(np.uint32)), "n": zip_(n.astype(np.uint32)), "late": zip_(late.astype(np.uint8)), "keys": keys[used].tobytes(), "sums": np.asarray(sums, np.float64).tobytes()}
-
-
-def _unpacked(rows: pa.Table, lines: int) -> tuple[np.ndarray, ...]:
-    """w, v (`lines` contexts), key, n, late, and whether it has a text, of all entries in packed rows."""
-    ws, vs, ks, ns, ls, live = [], [np.empty((lines, 0), np.uint64)], [], [], [], []
-    for w, v, at, n, late, keys in zip(*(rows[c].to_pylist() for c in _PACKED[:-1]), strict=True):
-        m = int.from_bytes(at[:8], "little")
-        un = lambda x, kind, m=m: np.frombuffer(pa.decompress(x, m * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if x else np.zeros(m, kind)
-        ws.append(np.frombuffer(w, np.uint64))
-        vs.append(un(v, np.uint64, m * lines).reshape(lines, m))
-        ks.append(np.frombuffer(keys, np.uint64)[un(at[8:], np.uint32)] if keys else np.zeros(m, np.uint64))
-        ns.append(un(n, np.uint32))
-        ls.append(un(late, np.uint8))
-        live.append(np.full(m, len(keys) > 0))
-    w, key, n, late, live = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((ws, np.uint64), (ks, np.uint64), (ns, np.uint32), (ls, np.uint8), (live, bool)))
-    return w, np.concatenate(vs, axis=1), key, n.astype(np.float64), late.astype(np.float64), live
-
-
-_NONE = np.empty(0, np.uint64)
-
-
-def _sums(key: np.ndarray, value: np.ndarray) -> dict:
-    """Sums that need no part of the counts: a part below 0, one of many."""
-    k, s = _grouped(key, value)
-    return _packed(-1 - (int(k[0]) % 4096 if len(k) else 0), _NONE, _NONE, _NONE, _NONE, _NONE, k, s)
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [("part", pa.int64()), *((c, pa.binary()) for c in _PACKED)]
-    return pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], kind) for c, kind in kinds})
-
-
-def _dealt(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    return ((p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1])
-
-
-def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, bits: int = 22, part_pairs: int = 1_000_000, order: int = 2) -> DataFrame:
+                held += grams(b.as_py())[1:]
+                size += sum(map(len, held[1 - order :]))
+                if size > 2 * _CHUNK:
+                    yield sent()
+                    held, size, turn = [], 0, turn + 1
+        if size:
+            yield sent()
+
+    def bitmaps(n: np.ndarray, part: int) -> pa.Table:
+        return pa.table({"part": pa.array([part], pa.int64()), "one": pa.array([np.packbits(n > 0, bitorder="little").tobytes()], pa.binary()), "two": pa.array([np.packbits(n > 1, bitorder="little").tobytes()], pa.binary())})
+
+    def merged(table: pa.Table) -> pa.Table:
+        n = np.zeros(1 << 16, np.int64)
+        for b in table["b"].to_pylist():
+            n += np.bincount(unpacked(b), minlength=1 << 16)
+        return bitmaps(n, table["part"][0].as_py() // turns)
+
+    def joined(table: pa.Table) -> pa.Table:
+        n = np.zeros(1 << 16, np.int64)
+        for one, two in zip(table["one"].to_pylist(), table["two"].to_pylist(), strict=True):
+            for b in (one, two):
+                n += np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")
+        return bitmaps(n, table["part"][0].as_py())
+
+    with tidy(docs.sparkSession):
+        rows = docs.select(utf8("text").alias("b")).mapInArrow(run, "part long, b binary").groupBy("part").applyInArrow(merged, "part long, one binary, two binary")
+        if turns > 1:
+            rows = rows.groupBy("part").applyInArrow(joined, "part long, one binary, two binary")
+        rows = rows.select("part", "two").collect()  # 2^bits bits in all
+    out = np.zeros((chunks, 1 << 13), np.uint8)
+    for r in rows:
+        out[r["part"]] = np.frombuffer(r["two"], np.uint8)
+    return out.reshape(-1)
+
+
+def _twice(bits: np.ndarray | None, g: np.ndarray) -> np.ndarray:
+    """Which of the n-grams `g` may stand twice."""
+    if bits is None:
+        return np.ones(len(g), bool)
+    at = (g & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _batches(**cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    n = len(next(iter(cols.values())))
+    for i in range(0, n, _ROWS):
+        yield pa.RecordBatch.from_pydict({k: pa.array(v[i : i + _ROWS].view(np.int64) if v.dtype == np.uint64 else v[i : i + _ROWS]) for k, v in cols.items()})
+
+
+def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int) -> list[DataFrame]:
+    """The counts of n-grams, in one table for each slice of hashes: k (its words), first (hash
+    of its first k - 1 words), last (of its last k - 1; of words: 0 and the word's own), n (times
+    it stands), ctx (times another word follows). Of two and more words, only those that stand
+    `least` times."""
+
+    def part(slice_: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams, bits, size = Grams(order), marks.value if marks else None, 0
+            held: list[list] = [[] for _ in range(order)]
+
+            def sent() -> Iterator[pa.RecordBatch]:
+                for k, rows in enumerate(held, 1):
+                    if not rows:
+                        continue
+                    g, first, last, end = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    at = np.argsort(g)
+                    g = g[at]
+                    new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                    n = np.diff(np.append(new, len(g)))
+                    ctx = n - np.add.reduceat(end[at].astype(np.int64), new)
+                    yield from _batches(k=np.full(len(n), k, np.int8), first=first[at[new]], last=last[at[new]], n=n, ctx=ctx)
+                    rows.clear()
+
+            for batch in batches:
+                for b in batch.column("b"):
+                    below = None
+                    for k, g in enumerate(grams(b.as_py())):
+                        if len(g):
+                            keep = (g % np.uint64(slices) == slice_) & (_twice(bits, g) if k else True)
+                            end = np.zeros(len(g), bool)
+                            end[-1] = True
+                            held[k].append((g[keep], below[:-1][keep] if k else np.zeros(int(keep.sum()), np.uint64), below[1:][keep] if k else g[keep], end[keep]))
+                            size += len(held[k][-1][0])
+                        below = g
+                    if size > 2 * _CHUNK:
+                        yield from sent()
+                        size = 0
+            yield from sent()
+
+        rows = docs.select(utf8("text").alias("b")).mapInArrow(run, "k byte, first long, last long, n long, ctx long")
+        sums = rows.groupBy("k", "first", "last").agg(F.sum("n").alias("n"), F.sum("ctx").alias("ctx"))
+        return stored(sums.where((F.col("k") == 1) | (F.col("n") >= least)), "counts")
+
+    return [part(s) for s in range(slices)]
+
+
+def gains(counts: DataFrame, order: int, alpha: float, total: int) -> list[DataFrame]:
+    """For each order a table gram, n, ctx, gain, log: `log` is the logarithm of its score; its
+    gain is that of words, and of longer runs what they add to backing off."""
+    words = stored(counts.where("k = 1").select(F.col("last").alias("gram"), "n", "ctx", (F.log("n") - math.log(max(1, total))).alias("gain")).withColumn("log", F.col("gain")), "gains")
+    tables = [words]
+    for k in range(2, order + 1):
+        below = tables[-1]
+        rows = counts.where(F.col("k") == k)
+        rows = rows.join(below.select(F.col("gram").alias("first"), F.col("ctx").alias("times")), "first").join(below.select(F.col("gram").alias("last"), F.col("log").alias("back")), "last")
+        log = F.log("n") - F.log("times")
+        tables.append(stored(rows.select(F.xxhash64("first", "last").alias("gram"), "n", "ctx", (log - math.log(alpha) - F.col("back")).alias("gain"), log.alias("log")), "gains"))
+    return tables
+
+
+class Common:
+    """Gains of common n-grams, in a table that n-grams find by their lowest bits. Of two that
+    share these the more frequent is held; the other is joined like rare ones."""
+
+    def __init__(self, rows: list) -> None:
+        self.key, self.gain = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20)
+        self.full = np.zeros(1 << 20, bool)
+        for gram, _, gain in sorted(rows, key=lambda r: (-r[1], r[0])):
+            g = gram % 2**64
+            if not self.full[at := g % (1 << 20)]:
+                self.key[at], self.gain[at], self.full[at] = g, gain, True
+
+    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of `g` are held, and the gains of these."""
+        at = (g & np.uint64((1 << 20) - 1)).astype(np.int64)
+        held = self.full[at] & (self.key[at] == g)
+        return held, self.gain[at[held]]
+
+
+def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, bits: int = 28, slices: int = 4) -> DataFrame:
     """Stupid-backoff scores of each row's whole text under the counts of all rows: doc_id,
     n_words, log_score (natural logarithm), mean_log (of a word; null without words).
 
     Null and empty texts have 0 words and score 0. Repeated rows count and are scored each;
     null ids are scored like others; other columns are left out. `order`: words of the longest
-    runs counted, 2 or more. Words and runs are known by 64-bit hashes."""
-    if order < 2:
-        raise ValueError("order: 2 or more")
+    runs counted, 1 or more. Words and runs are known by 64-bit hashes. `bits`: the broadcast
+    table of n-grams that stand twice has 2^bits bits; `slices`: passes over the texts, by which
+    the disk that shuffles need divides. Neither changes a score."""
+    if order < 1 or least < 1:
+        raise ValueError("order and least: 1 or more")
     spark = docs.sparkSession
     with small_batches(spark):
-        counts = word_counts(docs)
-    total, pairs = counts.agg(F.sum("n"), F.sum("ctx")).first()
-    total, pairs = total or 0, pairs or 0
-    floor = max(least, total / _COMMON)
-    tables = [None, _table(counts.where(F.col("n") >= floor).collect())]  # at most 2^16 of each length
-    with small_batches(spark):
-        tables += [_table(common_grams(docs, floor, bits, k)) for k in range(2, order + 1)]
-    common = spark.sparkContext.broadcast(tables)
-    parts = max(1, -(-pairs * (order - 1) // part_pairs))
-    back, every = np.log(alpha), np.log(max(1, total))
+        marks = spark.sparkContext.broadcast(repeated(docs, order, bits)) if least > 1 and order > 1 else None
+        parts = gram_counts(docs, order, least, marks, slices)
+    counts = reduce(DataFrame.unionByName, parts)
+    with tidy(spark):
+        total = counts.where("k = 1").agg(F.sum("n")).first()[0] or 0
+    tables = gains(counts, order, alpha, total)
+    dropped(*parts)
+    floor = max(least, total // _SHARE)
+    with tidy(spark):
+        often = [r for t in tables for r in t.where(F.col("n") >= floor).select("gram", "n", "gain").collect()]  # 2^16 of each order at most
+    common = spark.sparkContext.broadcast(Common(often))
+    gain = reduce(DataFrame.unionByName, [t.select("gram", "gain") for t in tables])
+    texts = docs.select("doc_id", utf8("text").alias("b")).withColumn("key", F.xxhash64("b"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of each text, and its score as far as common n-grams make it."""
+        grams, table = Grams(order), common.value
         for batch in batches:
-            n = [len(b.as_py().split()) for b in batch.column("b")]
-            keys = np.array([xxhash.xxh3_64_intdigest(b.as_py()) for b in batch.column("b")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n_words", "key"])
-
-    def dealt(k: int, w: np.ndarray, v: np.ndarray, at: np.ndarray, n: np.ndarray, late: np.ndarray, keys: np.ndarray) -> list[dict]:
-        """Rows for runs of k words: sums of those with a common run, the others by part."""
-        if k == 1:
-            count, by = _look(common.value[1], w), w
-            ctx = np.full(len(w), np.exp(every))
-        else:
-            run, ctx = _pair(v[0], w), _look(common.value[k - 1], v[0], 1)
-            count, by = _look(common.value[k], run), np.where(ctx > 0, run, v[0])
-        full = count > 0
-        out = []
-        if len(keys) and full.any():
-            out.append(_sums(keys[at[full]], n[full] * (late[full] * back + np.log(count[full]) - np.log(ctx[full]))))
-        rest = np.flatnonzero(~full)
-        for p, i in _dealt((by[rest] % np.uint64(parts)).astype(np.int64), parts):
-            i = rest[i]
-            if k > 1:
-                i = i[np.lexsort((v[0, i], v[-1, i]))]
-            out.append(_packed((order - k) * parts + p, w[i], v[:, i], at[i] if len(keys) else _NONE, n[i], late[i], keys, np.empty(0)))
-        return out
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Words()
-
-        def sent(docs_: list) -> list[dict]:
-            keys, out = np.array([k for k, _ in docs_], np.uint64), []
-            for k in range(1, order + 1):
-                own = [(i, d[k]) for i, (_, d) in enumerate(docs_) if k in d]
-                if own:
-                    w, n = (np.concatenate([d[j] for _, d in own]) for j in (0, 2))
-                    v = np.concatenate([d[1] for _, d in own], axis=1)
-                    at = np.repeat([i for i, _ in own], [len(d[0]) for _, d in own])
-                    out += dealt(k, w, v, at, n, np.zeros(len(w)), keys)
-            return out
-
-        held, size = [], 0
-        for batch in batches:
+            ns, sums = [], []
             for b in batch.column("b"):
-                h = of(text := b.as_py())
-                if not len(h):
-                    continue
-                g = _grams(h, order)
-                # A text's first words have shorter runs; each of the others has one of `order`.
-                own = {k: (h[k - 1 : k], np.array([g[j - 1][k - 1 - j : k - j] for j in range(k - 1, 0, -1)], np.uint64).reshape(k - 1, 1), np.ones(1)) for k in range(1, min(order - 1, len(h)) + 1)}
-                if len(h) >= order:
-                    _, i, n = np.unique(g[-1], return_index=True, return_counts=True)
-                    own[order] = (h[order - 1 :][i], np.array([g[j - 1][order - 1 - j : len(h) - j][i] for j in range(order - 1, 0, -1)]), n)
-                    size += len(i) * (order - 1)
-                held.append((xxhash.xxh3_64_intdigest(text), own))
-                if size > _CHUNK:
-                    yield _batch(sent(held))
-                    held, size = [], 0
-        if held:
-            yield _batch(sent(held))
-
-    def level(k: int):
-        """Counts the runs of k words of a part; what isn't found goes on to shorter runs. Rows
-        of other levels and sums pass through."""
-
-        def run(rows: pa.Table) -> pa.Table:
-            if not (order - k) * parts <= rows["part"][0].as_py() < (order - k + 1) * parts:
-                return rows
-            w, v, key, n, late, live = _unpacked(rows, k - 1)
-            i = np.lexsort((w, v[0]))
-            w, v, key, n, late, live = w[i], v[:, i], key[i], n[i], late[i], live[i]
-            new_v = np.concatenate([[True], v[0, 1:] != v[0, :-1]])
-            new = new_v | np.concatenate([[True], w[1:] != w[:-1]])
-            two = np.add.reduceat(n, first := np.flatnonzero(new))[np.cumsum(new) - 1]
-            own = np.add.reduceat(n, np.flatnonzero(new_v))[np.cumsum(new_v) - 1]
-            hot = _look(common.value[k - 1], v[0], 1)
-            ctx = np.where(hot > 0, hot, own)
-            now = live & (two >= least)
-            out = [_sums(key[now], n[now] * (late[now] * back + np.log(two[now]) - np.log(ctx[now])))]
-            rest = np.flatnonzero(live & ~now)
-            keys, at = np.unique(key[rest], return_inverse=True)
-            out += dealt(k - 1, w[rest], v[1:, rest], at, n[rest], late[rest] + 1, keys)
-            if k > 2:
-                gone = np.add.reduceat(np.where(live & ~now, 0.0, n), first)
-                i = first[gone > 0]
-                out += dealt(k - 1, w[i], v[1:, i], _NONE, gone[gone > 0], np.zeros(len(i)), _NONE)
-            return pa.Table.from_batches([_batch(out)])
+                all_ = grams(b.as_py())
+                n = len(all_[0])
+                ns.append(n)
+                sums.append(math.log(alpha) * sum(max(0, n - k) for k in range(1, order)) + float(sum(table.find(g)[1].sum() for g in all_)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "key", "n_words", "s"])
+
+    def exploded(slice_: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams, table, bits = Grams(order), common.value, marks.value if marks else None
+            for batch in batches:
+                out, keys = [], []
+                for b, key in zip(batch.column("b"), batch.column("key").to_numpy(), strict=True):
+                    for k, g in enumerate(grams(b.as_py())):
+                        g = g[g % np.uint64(slices) == slice_]
+                        g = g[~table.find(g)[0]]
+                        out.append(g[_twice(bits, g)] if k else g)
+                        keys.append(np.full(len(out[-1]), key, np.int64))
+                    if sum(map(len, out[-order:])) > _ROWS:
+                        yield from _batches(gram=np.concatenate(out), key=np.concatenate(keys))
+                        out, keys = [], []
+                if out:
+                    yield from _batches(gram=np.concatenate(out), key=np.concatenate(keys))
 
         return run
 
-    def word_part(rows: pa.Table, table: pa.Table) -> pa.Table:
-        w, _, key, n, late, _ = _unpacked(rows, 0)
-        order = np.argsort(k := table["key"].to_numpy().view(np.uint64))
-        k, c = k[order], table["n"].to_numpy()[order].astype(np.float64)
-        if not len(w):
-            return pa.Table.from_batches([_batch([])])
-        c = c[np.searchsorted(k, w)]
-        return pa.Table.from_batches([_batch([_sums(key, n * (late * back + np.log(c) - every))])])
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, s in zip(batch.column("keys").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(k, np.int64)), "s": pa.array(np.frombuffer(s, np.float64))})
-
-    texts = docs.select("doc_id", utf8("text").alias("b"))
     with small_batches(spark):
-        later = stored(texts.select("b").mapInArrow(send, _ROW).groupBy("part").applyInArrow(level(order), _ROW), "unseen")
-    for k in range(order - 1, 1, -1):
-        mine = F.col("part").between((order - k) * parts, (order - k + 1) * parts - 1)
-        later = later.where(~mine).unionByName(stored(later.where(mine).groupBy("part").applyInArrow(level(k), _ROW), "unseen"))
-    rare = counts.where(F.col("n") < floor).withColumn("part", F.lit((order - 1) * parts) + F.expr(_umod("key", parts)))
-    last = later.where("part >= 0").groupBy("part").cogroup(rare.groupBy("part")).applyInArrow(word_part, _ROW)
-    sums = later.where("part < 0").unionByName(last).select("keys", "sums").mapInArrow(opened, "key long, s double").groupBy("key").agg(F.sum("s").alias("s"))
-    named = texts.mapInArrow(known, f"doc_id {kind}, n_words long, key long")
-    copies = named.groupBy("key").agg(F.count("*").alias("copies"))  # equal texts sent equal sums
-    one = sums.join(copies, "key").select("key", (F.col("s") / F.col("copies")).alias("log_score"))
-    out = named.join(one, "key", "left").select("doc_id", "n_words", F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+        named = stored(texts.mapInArrow(known, f"doc_id {kind}, key long, n_words long, s double"), "named")
+        sums = []
+        for j in range(slices):
+            rows = texts.select("b", "key").mapInArrow(exploded(j), "gram long, key long")
+            mine = gain.where(F.expr(_umod("gram", slices)) == j)
+            sums.append(stored(rows.join(mine, "gram").groupBy("key").agg(F.sum("gain").alias("g")), "sums"))
+    dropped(*tables)
+    added = reduce(DataFrame.unionByName, sums)
+    copies = named.groupBy("key").agg(F.count("*").alias("copies"))  # equal texts sent equal rows
+    added = stored(added.groupBy("key").agg(F.sum("g").alias("g")).join(copies, "key").select("key", (F.col("g") / F.col("copies")).alias("g")), "added")
+    dropped(*sums)
+    out = named.join(added, "key", "left").select("doc_id", "n_words", (F.col("s") + F.coalesce("g", F.lit(0.0))).alias("log_score"))
     return out.withColumn("mean_log", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 

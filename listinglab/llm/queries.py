@@ -62,7 +62,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.score(table(spark, sf_dir, "documents"), alpha=0.4, least=2)
+    scored = lm_score.score(table(spark, sf_dir, "documents"), alpha=0.4, least=2, order=2)
     return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log": F.round("mean_log", 4)})
 
 
