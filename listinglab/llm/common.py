@@ -4,6 +4,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,16 +63,26 @@ class Words:
 
     def __call__(self, text: bytes) -> np.ndarray:
         if len(text) <= _PIECE:
-            return self._hashed(text)
+            return self._hashed(text)[0]
         out, at = [], 0
         while at < len(text):
             cut = text.find(b" ", at + _PIECE)
             cut = len(text) if cut < 0 else cut
-            out.append(self._hashed(text[at:cut]))
+            out.append(self._hashed(text[at:cut])[0])
             at = cut
         return np.concatenate(out)
 
-    def _hashed(self, text: bytes) -> np.ndarray:
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of several texts, and how many each has."""
+        if len(texts) == 1:
+            h = self(texts[0])
+            return h, np.array([len(h)])
+        h, starts = self._hashed(b"\n".join(texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return h, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+    def _hashed(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words and where they start."""
         b = np.frombuffer(text, np.uint8)
         n = len(b)
         if n >= len(self.power):
@@ -82,4 +93,17 @@ class Words:
         starts, ends = edges[::2], edges[1::2]
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.value[b] * self.power[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.inverse[starts])
+        return mix((sums[ends] - sums[starts]) * self.inverse[starts]), starts
+
+
+def gathered(texts: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, list[bytes]]]:
+    """A column of texts in runs of about `most` bytes, each with the place of its first."""
+    held, first, size = [], 0, 0
+    for k, b in enumerate(texts):
+        held.append(b.as_py())
+        size += len(held[-1])
+        if size >= most:
+            yield first, held
+            held, first, size = [], k + 1, 0
+    if held:
+        yield first, held

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, stored, tidy
-from .common import Words, small_batches, utf8
+from .common import Words, gathered, small_batches, utf8
 
 _CHUNK = 1 << 20  # words that a task gathers before it sends their n-grams
 _SHARE = 1 << 16  # an n-gram with one in so many words is common
@@ -50,18 +50,28 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Hashes of a text's n-grams: for each order those that end at each place. An n-gram's
-    hash is made of those of its first and its last n - 1 words."""
+    """The n-grams of several texts at once. All texts' words stand in one row: `all[k - 1]` has
+    the hash of the k words from each place on, made of those of the first and of the last k - 1;
+    `at[k - 1]` the places from which k words are of one text; `text` and `last` tell for each
+    word which text it is of, and whether it is its last; `n` how many words each text has."""
 
     def __init__(self, order: int) -> None:
         self.words, self.order = Words(), order
 
-    def __call__(self, text: bytes) -> list[np.ndarray]:
-        out = [self.words(text)]
-        while len(out) < self.order:
-            g = out[-1]
-            out.append(pair_hash(g[:-1], g[1:]))
-        return out
+    def of(self, texts: list[bytes]) -> None:
+        h, self.n = self.words.of_texts(texts)
+        text = np.repeat(np.arange(len(texts)), self.n)
+        last = np.concatenate([text[1:] != text[:-1], [True]])[: len(text)]
+        self.all, self.at = [h], [np.arange(len(h))]
+        for k in range(1, min(self.order, len(h))):
+            g = self.all[-1]
+            self.all.append(pair_hash(g[:-1], g[1:]))
+            self.at.append(np.flatnonzero(text[:-k] == text[k:]))
+        self.text, self.last = text, last
+
+    def hashes(self, k: int) -> np.ndarray:
+        """Those of all n-grams of k words."""
+        return self.all[k - 1][self.at[k - 1]] if k <= len(self.all) else self.all[0][:0]
 
 
 def repeated(docs: DataFrame, order: int, bits: int) -> np.ndarray:
@@ -94,8 +104,9 @@ def repeated(docs: DataFrame, order: int, bits: int) -> np.ndarray:
             return pa.RecordBatch.from_pydict({"part": pa.array(chunk[cuts[:-1]] * turns + turn % turns), "b": pa.array([packed(low[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary())})  # noqa: B905
 
         for batch in batches:
-            for b in batch.column("b"):
-                held += grams(b.as_py())[1:]
+            for _, texts in gathered(batch.column("b")):
+                grams.of(texts)
+                held += [grams.hashes(k) for k in range(2, order + 1)]
                 size += sum(map(len, held[1 - order :]))
                 if size > 2 * _CHUNK:
                     yield sent()
@@ -169,16 +180,15 @@ def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int) ->
                     rows.clear()
 
             for batch in batches:
-                for b in batch.column("b"):
-                    below = None
-                    for k, g in enumerate(grams(b.as_py())):
-                        if len(g):
-                            keep = (g % np.uint64(slices) == slice_) & (_twice(bits, g) if k else True)
-                            end = np.zeros(len(g), bool)
-                            end[-1] = True
-                            held[k].append((g[keep], below[:-1][keep] if k else np.zeros(int(keep.sum()), np.uint64), below[1:][keep] if k else g[keep], end[keep]))
-                            size += len(held[k][-1][0])
-                        below = g
+                for _, texts in gathered(batch.column("b")):
+                    grams.of(texts)
+                    for k, (g, at) in enumerate(zip(grams.all, grams.at, strict=True)):
+                        at = at[g[at] % np.uint64(slices) == slice_]
+                        if k:
+                            at = at[_twice(bits, g[at])]
+                        below = grams.all[k - 1] if k else g
+                        held[k].append((g[at], below[at] if k else np.zeros(len(at), np.uint64), below[at + 1] if k else g[at], grams.last[at + k]))
+                        size += len(at)
                     if size > 2 * _CHUNK:
                         yield from sent()
                         size = 0
@@ -191,17 +201,22 @@ def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int) ->
     return [part(s) for s in range(slices)]
 
 
-def gains(counts: DataFrame, order: int, alpha: float, total: int) -> list[DataFrame]:
+def gains(parts: list[DataFrame], order: int, alpha: float, total: int) -> list[DataFrame]:
     """For each order a table gram, n, ctx, gain, log: `log` is the logarithm of its score; its
-    gain is that of words, and of longer runs what they add to backing off."""
+    gain is that of words, and of longer runs what they add to backing off. `parts` go once read."""
+    counts = reduce(DataFrame.unionByName, parts)
     words = stored(counts.where("k = 1").select(F.col("last").alias("gram"), "n", "ctx", (F.log("n") - math.log(max(1, total))).alias("gain")).withColumn("log", F.col("gain")), "gains")
     tables = [words]
     for k in range(2, order + 1):
         below = tables[-1]
-        rows = counts.where(F.col("k") == k)
-        rows = rows.join(below.select(F.col("gram").alias("first"), F.col("ctx").alias("times")), "first").join(below.select(F.col("gram").alias("last"), F.col("log").alias("back")), "last")
+        rows = counts.where(F.col("k") == k).join(below.select(F.col("gram").alias("first"), F.col("ctx").alias("times")), "first")
+        rows = stored(rows.select(F.xxhash64("first", "last").alias("gram"), "last", "n", "ctx", "times"), "met")
+        if k == order:
+            dropped(*parts)
         log = F.log("n") - F.log("times")
-        tables.append(stored(rows.select(F.xxhash64("first", "last").alias("gram"), "n", "ctx", (log - math.log(alpha) - F.col("back")).alias("gain"), log.alias("log")), "gains"))
+        gained = rows.join(below.select(F.col("gram").alias("last"), F.col("log").alias("back")), "last").select("gram", "n", "ctx", (log - math.log(alpha) - F.col("back")).alias("gain"), log.alias("log"))
+        tables.append(stored(gained.select("gram", "n", "gain") if k == order else gained, "gains"))
+        dropped(rows)
     return tables
 
 
@@ -242,8 +257,7 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
     counts = reduce(DataFrame.unionByName, parts)
     with tidy(spark):
         total = counts.where("k = 1").agg(F.sum("n")).first()[0] or 0
-    tables = gains(counts, order, alpha, total)
-    dropped(*parts)
+    tables = gains(parts, order, alpha, total)
     floor = max(least, total // _SHARE)
     with tidy(spark):
         often = [r for t in tables for r in t.where(F.col("n") >= floor).select("gram", "n", "gain").collect()]  # 2^16 of each order at most
@@ -256,30 +270,32 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
         """Words of each text, and its score as far as common n-grams make it."""
         grams, table = Grams(order), common.value
         for batch in batches:
-            ns, sums = [], []
-            for b in batch.column("b"):
-                all_ = grams(b.as_py())
-                n = len(all_[0])
-                ns.append(n)
-                sums.append(math.log(alpha) * sum(max(0, n - k) for k in range(1, order)) + float(sum(table.find(g)[1].sum() for g in all_)))
+            ns, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for first, texts in gathered(batch.column("b")):
+                grams.of(texts)
+                mine = slice(first, first + len(texts))
+                ns[mine] = grams.n
+                sums[mine] = math.log(alpha) * sum(np.maximum(grams.n - k, 0) for k in range(1, order)) if order > 1 else 0.0
+                for g, at in zip(grams.all, grams.at, strict=True):
+                    held, gain = table.find(g[at])
+                    sums[mine] += np.bincount(grams.text[at[held]], gain, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "key", "n_words", "s"])
 
     def exploded(slice_: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, table, bits = Grams(order), common.value, marks.value if marks else None
             for batch in batches:
-                out, keys = [], []
-                for b, key in zip(batch.column("b"), batch.column("key").to_numpy(), strict=True):
-                    for k, g in enumerate(grams(b.as_py())):
-                        g = g[g % np.uint64(slices) == slice_]
-                        g = g[~table.find(g)[0]]
-                        out.append(g[_twice(bits, g)] if k else g)
-                        keys.append(np.full(len(out[-1]), key, np.int64))
-                    if sum(map(len, out[-order:])) > _ROWS:
-                        yield from _batches(gram=np.concatenate(out), key=np.concatenate(keys))
-                        out, keys = [], []
-                if out:
-                    yield from _batches(gram=np.concatenate(out), key=np.concatenate(keys))
+                for first, texts in gathered(batch.column("b")):
+                    grams.of(texts)
+                    out, of = [], []
+                    for k, (g, at) in enumerate(zip(grams.all, grams.at, strict=True)):
+                        at = at[g[at] % np.uint64(slices) == slice_]
+                        at = at[~table.find(g[at])[0]]
+                        if k:
+                            at = at[_twice(bits, g[at])]
+                        out.append(g[at])
+                        of.append(grams.text[at])
+                    yield from _batches(gram=np.concatenate(out), key=batch.column("key").to_numpy()[first:][np.concatenate(of)])
 
         return run
 
