@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import dropped, stored, tidy
-from .common import components, small_batches, utf8
+from .common import Words, components, mix, small_batches, utf8
 
 _SIZE = 5  # words of a shingle
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -31,26 +31,22 @@ _CHUNK = 15  # log2 of counters in one row of the sketch
 _BITS = 26  # log2 of the bits that mark shared shingles
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 class Shingler:
     """64-bit hashes of the distinct shingles of a text, sorted: all runs of five words, or
     the whole of fewer. A-Z are lower-cased; words are parted by space and U+0009 to U+000D."""
 
+    def __init__(self) -> None:
+        self.words = Words()
+
     def __call__(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        n = len(h)
-        if n < _SIZE:
-            return _mix(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)) if n else h
-        out = h[: n - _SIZE + 1].copy()
-        for i in range(1, _SIZE):
-            out = out * _K + h[i : n - _SIZE + 1 + i]
-        return self.done(_mix(out))
+        h = self.words(text)
+        n = min(_SIZE, len(h))
+        if not n:
+            return h
+        out = h[: len(h) - n + 1].copy()
+        for i in range(1, n):
+            out = out * _K + h[i : len(h) - n + 1 + i]
+        return self.done(mix(out + np.uint64(_SIZE - n)))
 
     def done(self, hashes: np.ndarray) -> np.ndarray:
         return np.unique(hashes)
@@ -112,7 +108,7 @@ def counted(docs: DataFrame, bits: int, hashes, packed) -> DataFrame:
             for b in batch.column("b"):
                 held.append(of(b.as_py()))
                 n += len(held[-1])
-                if n > 1 << 20:
+                if n > 1 << 18:
                     flush()
                     held, n = [], 0
         if n:
@@ -264,7 +260,7 @@ def shared_tokens(sets: DataFrame, rule: Rule) -> np.ndarray:
         held, size = [], 0
 
         def sent() -> pa.RecordBatch:
-            h = _mix(np.concatenate([t for t, _ in held]).view(np.uint64)) >> np.uint64(16)
+            h = mix(np.concatenate([t for t, _ in held]).view(np.uint64)) >> np.uint64(16)
             t, lo, hi = ends(h, np.concatenate([c for _, c in held]))
             two = lo != hi
             t, c = np.concatenate([t, t[two]]), np.concatenate([lo, hi[two]]).view(np.uint8).reshape(-1, 8)[:, :6]
@@ -315,7 +311,7 @@ def shared_tokens(sets: DataFrame, rule: Rule) -> np.ndarray:
 
 def _bit_of(tokens: np.ndarray) -> np.ndarray:
     """Where `shared_tokens` has the bit of a shingle."""
-    h = _mix(tokens.view(np.uint64)) >> np.uint64(16)
+    h = mix(tokens.view(np.uint64)) >> np.uint64(16)
     chunk = h & np.uint64((1 << (_BITS - 16)) - 1)
     return ((chunk << np.uint64(16)) | ((h >> np.uint64(_BITS - 16)) & np.uint64(0xFFFF))).astype(np.int64)
 
