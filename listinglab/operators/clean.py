@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-# Columns of the export and what they are made of.
-NUMERIC = "price_rub price_per_m2 rooms area_total area_living area_kitchen floor floors_total year_built lat lon dist_to_metro_m dist_to_center_km density_500m".split()
-TIMES = "first_seen last_seen created_at updated_at".split()
-LEAKAGE = "id external_id url title description address_norm first_seen last_seen created_at updated_at price_period price_per_m2 price_per_m2_calc contact_phone_hash".split()
+# Columns that are numbers, times, and those that no model may see.
+NUMERIC = [
+    "price_rub", "price_per_m2", "rooms", "area_total", "area_living", "area_kitchen", "floor", "floors_total", "year_built",
+    "lat", "lon", "dist_to_metro_m", "dist_to_center_km", "metro_walk_min", "density_500m",
+]
+TIMES = ["first_seen", "last_seen", "created_at", "updated_at"]
+LEAKAGE = [
+    "id", "url", "title", "description", "address_norm", "first_seen", "last_seen", "created_at", "updated_at",
+    "geom", "contact_phone_hash", "price_per_m2", "price_per_m2_calc",
+]
 KEY = ["source", "deal_type", "external_id"]
 # Days without a sighting after which a deal type ages out.
 AGE_DAYS = {"rent_long": 250, "sale": 300}
 
 
 def coerce_types(df: DataFrame) -> DataFrame:
-    """Numbers as double, times as timestamps, is_active as boolean; what can't be read is
-    null, absent columns are skipped."""
+    """Numbers as double, times as timestamps (those without a zone are UTC), is_active as
+    boolean; what can't be read is null, absent columns are skipped."""
     out = {c: F.col(c).try_cast("double") for c in NUMERIC if c in df.columns}
-    out |= {c: F.col(c).cast("string").try_cast("timestamp") for c in TIMES if c in df.columns}
+    for c, kind in df.dtypes:
+        if c in TIMES and kind != "timestamp":
+            t = F.trim(F.col(c).cast("string"))
+            out[c] = F.coalesce(F.concat(t, F.lit("Z")).try_cast("timestamp"), F.concat(t, F.lit("T00:00:00Z")).try_cast("timestamp"), t.try_cast("timestamp"))
     if "is_active" in df.columns:
         t = F.lower(F.col("is_active").cast("string"))
         out["is_active"] = F.when(t == "true", True).when(t == "false", False)
@@ -31,17 +40,23 @@ def normalize(raw: DataFrame, default_city: str = "", daily_days: float = 30.0)
     """B3 (P2 to P4, F1 to F5): clean listings of raw ones, in one projection.
 
     Rows without rooms or year are left out. Where there is a price and a positive area, rows
-    above their house's floors are left out too, and a living area above the total is null."""
-    priced = F.col("price_value").isNotNull() & (F.col("area_total") > 0)
-    priced = F.coalesce(priced, F.lit(False))
+    above their house's floors are left out too, and a living area above the total is null.
+    Station and walking minutes come from the metro text, else the station that was stored; 0
+    minutes are null. A missing district is empty; columns that `raw` lacks are null."""
+    has = lambda c, kind: F.col(c) if c in raw.columns else F.lit(None).cast(kind)
+    text = lambda c: tx.empty_to_null(has(c, "string")).alias(c)
+    priced = F.coalesce(F.col("price_value").isNotNull() & (F.col("area_total") > 0), F.lit(False))
     too_high = F.coalesce(priced & (F.col("floor") > F.col("floors_total")), F.lit(False))
     price = F.round(tx.monthly_price("deal_type", "price_value", daily_days), 2)
-    living = F.when(priced & (F.col("area_living") > F.col("area_total")), None).otherwise(F.col("area_living"))
+    living = F.when(priced & (has("area_living", "double") > F.col("area_total")), None).otherwise(has("area_living", "double"))
+    metro = tx.parse_metro(F.coalesce(has("metro", "string"), F.lit("")))
     known = raw.where("rooms is not null and year_built is not null").where(~too_high)
     return known.select(
-        "id", *KEY, "url", tx.empty_to_null("title").alias("title"), price.alias("price_rub"), tx.period("deal_type").alias("price_period"), tx.price_per_m2(price, "area_total").alias("price_per_m2"),
-        "rooms", "area_total", living.alias("area_living"), "floor", "floors_total", "year_built", tx.empty_to_null("house_material").alias("house_material"), tx.empty_to_null("condition").alias("condition"),
-        tx.empty_to_null("address_text").alias("address_norm"), F.coalesce(F.nullif(F.col("city"), F.lit("")), F.lit(default_city)).alias("city"), F.lit(True).alias("is_active"), F.col("collected_at").alias("first_seen"), F.col("collected_at").alias("last_seen"), "lat", "lon",
+        "id", *KEY, "url", text("title"), text("description"), price.alias("price_rub"), tx.period("deal_type").alias("price_period"), tx.price_per_m2(price, "area_total").alias("price_per_m2"),
+        "rooms", "area_total", living.alias("area_living"), has("area_kitchen", "double").alias("area_kitchen"), "floor", "floors_total", "year_built", text("house_material"), text("condition"),
+        tx.empty_to_null("address_text").alias("address_norm"), F.coalesce(F.nullif(has("city", "string"), F.lit("")), F.lit(default_city)).alias("city"), F.coalesce(has("district", "string"), F.lit("")).alias("district"),
+        text("metro"), tx.empty_to_null(tx.station(metro["station"], has("metro_station", "string"))).alias("metro_station"), F.nullif(metro["walk_min"], F.lit(0)).alias("metro_walk_min"),
+        F.lit(None).cast("string").alias("contact_phone_hash"), F.lit(True).alias("is_active"), F.col("collected_at").alias("first_seen"), F.col("collected_at").alias("last_seen"), "lat", "lon",
     )
 
 
@@ -65,10 +80,10 @@ def active(df: DataFrame, deal_type: str, columns: Sequence[str]) -> DataFrame:
 
 
 def training_columns(df: DataFrame, target: str = "price_rub") -> tuple[list[str], list[str]]:
-    """Numeric and categorical columns that may be trained on."""
+    """Numeric and categorical (text) columns that may be trained on; others are neither."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in (*LEAKAGE, target)}
     numeric = [c for c, k in kinds.items() if k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal")]
-    return numeric, [c for c, k in kinds.items() if k in ("string", "boolean")]
+    return numeric, [c for c, k in kinds.items() if k == "string"]
 
 
 def align_to_schema(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

@@ -6,14 +6,21 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import text as tx
 
+# What is told of a comparable, as far as the listing has it.
+FACTS = [
+    "deal_type", "city", "district", "price_rub", "price_per_m2", "rooms", "area_total", "area_living", "area_kitchen",
+    "floor", "floors_total", "year_built", "house_material", "condition", "lat", "lon", "dist_to_metro_m",
+    "dist_to_center_km", "density_500m", "metro_station", "metro_walk_min", "address_norm", "url",
+]
 
 def comparables(targets: DataFrame, listing: DataFrame, k: int = 5, radius_km: float = 3.0) -> DataFrame:
     """Up to `k` long rents of a target's city within the radius, by kilometres plus the
     area penalty, ties by id: request_id, rank, id, distance_km, score and the listing's facts.
-    Only those of the target's rooms bucket count if there are any (W4), else all."""
+    Only those of the target's rooms bucket count if there are any (W4), else all. Pairs are
+    made of few columns; facts are joined to the best."""
     t = geo.prefixed(targets.select("request_id", "city", "lat", "lon", tx.rooms_bucket("rooms").alias("bucket"), "area_total"), "l")
     pool = listing.where("deal_type = 'rent_long' and price_rub is not null and area_total is not null")
-    p = geo.prefixed(pool.select("id", "city", "lat", "lon", tx.rooms_bucket("rooms").alias("bucket"), "area_total", "price_rub", "url"), "r")
+    p = geo.prefixed(pool.select("id", "city", "lat", "lon", tx.rooms_bucket("rooms").alias("bucket"), "area_total"), "r")
     # The radius is measured with the kilometre formula; the join's own reach is a bit wider.
     met = geo.range_join(t, p, radius_km * 1000 * 1.001, ["city"])
     km = geo.haversine_km((F.col("l_lat"), F.col("l_lon")), (F.col("r_lat"), F.col("r_lon")))
@@ -22,7 +29,8 @@ def comparables(targets: DataFrame, listing: DataFrame, k: int = 5, radius_km: f
     own = Window.partitionBy("l_request_id")
     best = met.withColumn("score", score).withColumn("_n", F.row_number().over(Window.partitionBy("l_request_id", "same").orderBy("score", "r_id"))).where(F.col("_n") <= k)
     best = best.withColumn("_any", F.max("same").over(own)).where("same or not _any")  # at most 2k rows a target
-    return best.select(F.col("l_request_id").alias("request_id"), F.col("_n").alias("rank"), F.col("r_id").alias("id"), "distance_km", "score", F.col("r_price_rub").alias("price_rub"), F.col("r_area_total").alias("area_total"), tx.price_per_m2("r_price_rub", "r_area_total").alias("price_per_m2"), F.col("r_url").alias("url"))
+    best = best.select(F.col("l_request_id").alias("request_id"), F.col("_n").alias("rank"), F.col("r_id").alias("id"), "distance_km", "score")
+    return best.join(pool.select("id", *[c for c in FACTS if c in pool.columns]), "id").select("request_id", "rank", "id", "distance_km", "score", *[c for c in FACTS if c in pool.columns])
 
 
 def as_array(comps: DataFrame) -> DataFrame:

@@ -37,20 +37,26 @@ def center_distance_km(points: DataFrame, cities: DataFrame) -> DataFrame:
 
 def density(points: DataFrame, others: DataFrame, radius_m: float = 500.0, id_: str = "id", keys: list[str] | None = None) -> DataFrame:
     """(id, density) for every point: how many rows of `others` lie within the radius."""
-    keys = keys or []
-    left = geo.prefixed(points.select(id_, "lat", "lon", *keys), "l")
-    right = geo.prefixed(others.select("lat", "lon", *keys), "r")
-    n = geo.range_join(left, right, radius_m, keys).groupBy(F.col(f"l_{id_}").alias(id_)).agg(F.count("*").alias("density"))
-    return points.select(id_).join(n, id_, "left").select(id_, F.coalesce("density", F.lit(0)).cast("long").alias("density"))
+    n = _counted_near(points, others, radius_m, keys or [])
+    at = ["lat", "lon", *(keys or [])]
+    return points.select(id_, *at).join(n, at, "left").select(id_, F.coalesce("density", F.lit(0)).cast("long").alias("density"))
+
+
+def _counted_near(points: DataFrame, others: DataFrame, radius_m: float, keys: list[str]) -> DataFrame:
+    """(lat, lon, keys, density) of the distinct places of `points`. Rows of one place are
+    counted before the join, so a house with thousands of listings is one row on either side."""
+    at = ["lat", "lon", *keys]
+    left = geo.prefixed(points.select(*at).where(geo.has_point("lat", "lon")).distinct(), "l")
+    right = geo.prefixed(others.groupBy(*at).agg(F.count("*").alias("n")), "r")
+    return geo.range_join(left, right, radius_m, keys).groupBy(*[F.col(f"l_{c}").alias(c) for c in at]).agg(F.sum("r_n").alias("density"))
 
 
 def neighbour_density(listing: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """(id, density): active listings within the radius, less one. Inactive listings are
     less one too, though not among their own neighbours; listings with no neighbour at all
     have no row."""
-    left = geo.prefixed(listing.select("id", "lat", "lon"), "l")
-    right = geo.prefixed(listing.where("is_active").select("lat", "lon"), "r")
-    return geo.range_join(left, right, radius_m, []).groupBy(F.col("l_id").alias("id")).agg((F.count("*") - 1).alias("density"))
+    n = _counted_near(listing, listing.where("is_active"), radius_m, [])
+    return listing.select("id", "lat", "lon").join(n, ["lat", "lon"]).select("id", (F.col("density") - 1).alias("density"))
 
 
 def recent(listing: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
@@ -63,6 +69,7 @@ def enrich(listing: DataFrame, stations: DataFrame, cities: DataFrame) -> DataFr
         if c not in listing.columns:
             listing = listing.withColumn(c, F.lit(None).cast(kind))
     near = nearest_station(listing.where("dist_to_metro_m is null"), stations).withColumnsRenamed({"dist_m": "_m", "station": "_st"})
-    dense = neighbour_density(listing).withColumnRenamed("density", "_n")
+    n = _counted_near(listing.where("density_500m is null"), listing.where("is_active"), 500.0, [])
+    dense = listing.where("density_500m is null").select("id", "lat", "lon").join(n, ["lat", "lon"]).select("id", (F.col("density") - 1).alias("_n"))
     out = center_distance_km(listing, cities).join(near, "id", "left").join(dense, "id", "left")
     return out.withColumns({"dist_to_metro_m": F.coalesce("dist_to_metro_m", "_m"), "metro_station": F.coalesce("metro_station", "_st"), "dist_to_center_km": F.coalesce("dist_to_center_km", "center_km"), "density_500m": F.coalesce("density_500m", "_n")}).drop("_m", "_st", "_n", "center_km")

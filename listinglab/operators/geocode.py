@@ -67,17 +67,38 @@ def building_near(rows: DataFrame, buildings: DataFrame, radius_m: float = 60.0,
     return met.groupBy(F.col(f"l_{id_}").alias(id_)).agg(best.alias("_b")).select(id_, "_b.*")
 
 
-def fill_building(rows: DataFrame, buildings: DataFrame, cache: DataFrame | None = None, radius_m: float = 60.0, id_: str = "id") -> DataFrame:
-    """floors_total, year_built and house_material: a row's own, the cache's (city,
-    address_norm), the nearest building's. 0 and empty count as missing on the way."""
-    near = building_near(rows, buildings, radius_m, id_).drop("building_id")
-    near = near.withColumnsRenamed({c: f"_b_{c}" for c in ("floors_total", "year_built", "house_material")})
-    out = rows.join(near, id_, "left")
-    if cache is not None:
-        c = cache.select("city", "address_norm", *[F.col(x).alias(f"_c_{x}") for x in ("floors_total", "year_built", "house_material")])
-        out = out.join(c, ["city", "address_norm"], "left")
+_BUILT = (("floors_total", 0), ("year_built", 0), ("house_material", ""))
+
+
+def cached_buildings(cache: DataFrame, as_of: Column | None = None, max_age_days: float | None = 365) -> DataFrame:
+    """The newest row of each (city, address_norm), if it is still valid (P10)."""
+    facts = [c for c, _ in _BUILT]
+    best = F.max_by(F.struct(*facts, "created_at"), F.struct("created_at", *facts)).alias("_b")
+    newest = cache.groupBy("city", "address_norm").agg(best)
+    valid = newest if as_of is None else newest.where(fresh(F.col("_b.created_at"), as_of, max_age_days))
+    return valid.select("city", "address_norm", *[F.col(f"_b.{c}").alias(f"_c_{c}") for c in facts])
+
+
+def fill_building(rows: DataFrame, buildings: DataFrame, cache: DataFrame | None = None, radius_m: float = 60.0, id_: str = "id", address: str = "address_norm", as_of: Column | None = None, max_age_days: float | None = 365) -> tuple[DataFrame, DataFrame]:
+    """(rows with floors_total, year_built and house_material filled, new cache rows).
+
+    A value is the row's own, else the cache's by city and canonical address (valid for
+    `max_age_days`), else the nearest building's. 0 and empty count as missing on the way. Where
+    a building had to be asked and was found, its facts are a new row for the cache, one for
+    each (city, address); without `as_of` its time is null."""
     some = lambda c, empty: F.nullif(F.col(c), F.lit(empty))
-    fill = {}
-    for c, empty in (("floors_total", 0), ("year_built", 0), ("house_material", "")):
-        fill[c] = F.coalesce(*[some(x, empty) for x in (c, f"_c_{c}", f"_b_{c}") if x in out.columns])
-    return out.withColumns(fill).drop(*[x for x in out.columns if x.startswith(("_b_", "_c_"))])
+    out = rows.withColumn("_addr", tx.canon_addr(address))
+    if cache is not None:
+        c = cached_buildings(cache, as_of, max_age_days).withColumnsRenamed({"city": "_city", "address_norm": "_key"})
+        out = out.join(c, (F.trim("city") == F.col("_city")) & (F.col("_addr") == F.col("_key")), "left").drop("_city", "_key")
+        out = out.withColumns({c: F.coalesce(some(c, e), some(f"_c_{c}", e)) for c, e in _BUILT}).drop(*[f"_c_{c}" for c, _ in _BUILT])
+    else:
+        out = out.withColumns({c: some(c, e) for c, e in _BUILT})
+    lacking = F.col("floors_total").isNull() | F.col("year_built").isNull() | F.col("house_material").isNull()
+    near = building_near(out.where(lacking), buildings, radius_m, id_).withColumnsRenamed({c: f"_b_{c}" for c, _ in _BUILT})
+    met = out.join(near, id_, "left")
+    new = met.where(F.col("building_id").isNotNull() & (F.col("_addr") != "") & F.col("city").isNotNull())
+    best = F.min_by(F.struct("lat", "lon", *[F.col(f"_b_{c}").alias(c) for c, _ in _BUILT]), F.struct(F.col(id_))).alias("_n")
+    new = new.groupBy(F.trim("city").alias("city"), F.col("_addr").alias("address_norm")).agg(best).select("city", "address_norm", "_n.*", (as_of if as_of is not None else F.lit(None).cast("timestamp")).alias("created_at"))
+    filled = met.withColumns({c: F.coalesce(c, some(f"_b_{c}", e)) for c, e in _BUILT})
+    return filled.drop("_addr", "building_id", *[f"_b_{c}" for c, _ in _BUILT]), new

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 
 def data_stats(listing: DataFrame, raw: DataFrame) -> DataFrame:
-    """A4: one row of conditional counts, one pass over each table."""
-    a = listing.agg(F.count("*").alias("listings"), F.count_if("is_active").alias("active"), F.count_if(F.col("lat").isNull() | F.col("lon").isNull()).alias("without_point"), F.count_if(F.col("price_rub").isNotNull()).alias("priced"))
-    b = raw.agg(F.count("*").alias("raw_rows"), F.count_if(F.expr("rooms is null or year_built is null")).alias("raw_unusable"))
+    """A4: one row of six counts: active long rents, active sales and all active listings; long
+    rents, sales and all rows of the raw table. One pass over each."""
+    of = lambda deal: F.col("deal_type") == deal
+    a = listing.where("is_active").agg(F.count_if(of("rent_long")).alias("rent_count"), F.count_if(of("sale")).alias("sale_count"), F.count("*").alias("total"))
+    b = raw.agg(F.count_if(of("rent_long")).alias("rent_raw_count"), F.count_if(of("sale")).alias("sale_raw_count"), F.count("*").alias("total_raw"))
     return a.crossJoin(b)  # one row each
 
 

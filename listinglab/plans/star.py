@@ -33,6 +33,16 @@ SELECT o.o_orderkey AS id, 'star' AS source,
        CASE WHEN c.c_custkey % 19 = 0 THEN NULL ELSE CAST(1950 + c.c_custkey % 75 AS INT) END AS year_built,
        CASE c.c_mktsegment WHEN 'BUILDING' THEN 'кирпичный' WHEN 'MACHINERY' THEN 'монолитный' WHEN 'FURNITURE' THEN 'панельный' WHEN 'HOUSEHOLD' THEN 'монолитно-каркасный' ELSE NULL END AS house_material,
        CONCAT('  Street  ', CAST(c.c_custkey AS STRING), ' ') AS address_text,
+       CASE WHEN o.o_orderkey % 13 = 0 THEN NULL ELSE CONCAT(' Near  ', c.c_name, '  ') END AS description,
+       CASE WHEN c.c_custkey % 6 = 0 THEN NULL ELSE CONCAT('District ', CAST(c.c_custkey % 12 AS STRING)) END AS district,
+       CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE 6e0 + (o.o_orderkey % 5) * 15e-1 END AS area_kitchen,
+       CASE o.o_orderkey % 6 WHEN 0 THEN NULL
+            WHEN 1 THEN CONCAT('Парк  ', CAST(o.o_orderkey % 40 AS STRING), ' • ', CAST(o.o_orderkey % 25 AS STRING), ' мин.')
+            WHEN 2 THEN CONCAT(' Мост-', CAST(c.c_custkey % 40 AS STRING), ', 7 мин пешком')
+            WHEN 3 THEN CONCAT('Площадь ', CAST(c.c_custkey % 40 AS STRING), ' - , центр')
+            WHEN 4 THEN '12 мин' ELSE '  ' END AS metro,
+       CASE WHEN o.o_orderkey % 4 = 0 THEN CONCAT('Central ', CAST(c.c_custkey % 7 AS STRING)) END AS metro_station,
+       CONCAT('{"clerk":"', c.c_name, '","ingested_at":"old"}') AS payload,
        k.city, o.o_orderdate AS collected_at,
        CASE WHEN c.c_custkey % 31 = 0 THEN NULL ELSE k.center_lat + (((c.c_custkey * 7919) % 10007) / 10007e0 - 5e-1) * 18e-2 + (o.o_orderkey % 3) * 2e-4 END AS lat,
        CASE WHEN c.c_custkey % 31 = 0 THEN NULL ELSE k.center_lon + (((c.c_custkey * 104729) % 10009) / 10009e0 - 5e-1) * 24e-2 END AS lon
@@ -45,7 +55,7 @@ SELECT k.city, CONCAT('street ', CAST(c.c_custkey AS STRING)) AS address_norm,
        k.center_lat + (c.c_custkey % 97) * 1e-3 AS lat, k.center_lon - (c.c_custkey % 89) * 1e-3 AS lon,
        MAX(o.o_orderdate) AS created_at
 FROM customer c JOIN ref_city k ON c.c_nationkey = k.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey
-WHERE c.c_custkey % 62 = 0
+WHERE c.c_mktsegment <> 'AUTOMOBILE'
 GROUP BY k.city, c.c_custkey, k.center_lat, k.center_lon""",
     "building": """
 SELECT c.c_custkey AS building_id, k.city,
@@ -54,20 +64,28 @@ SELECT c.c_custkey AS building_id, k.city,
        CASE WHEN c.c_custkey % 5 = 0 THEN NULL ELSE CAST(5 + c.c_custkey % 12 AS INT) END AS floors_total,
        CASE WHEN c.c_custkey % 3 = 0 THEN 'c. 1987' WHEN c.c_custkey % 3 = 1 THEN '2004-05-01' ELSE NULL END AS start_date,
        CASE WHEN c.c_custkey % 2 = 0 THEN 'brick' ELSE NULL END AS house_material
-FROM customer c JOIN ref_city k ON c.c_nationkey = k.n_nationkey WHERE c.c_custkey % 19 = 0 OR c.c_custkey % 4 = 0""",
+FROM customer c JOIN ref_city k ON c.c_nationkey = k.n_nationkey""",
     "request": """
 SELECT c.c_custkey AS request_id, k.city, CONCAT('Street ', CAST(c.c_custkey AS STRING)) AS address,
        CASE WHEN c.c_custkey % 31 = 0 THEN NULL ELSE k.center_lat + (((c.c_custkey * 7919) % 10007) / 10007e0 - 5e-1) * 18e-2 END AS lat,
        CASE WHEN c.c_custkey % 31 = 0 THEN NULL ELSE k.center_lon + (((c.c_custkey * 104729) % 10009) / 10009e0 - 5e-1) * 24e-2 END AS lon,
        CASE WHEN c.c_custkey % 60 = 0 THEN NULL ELSE CAST(c.c_custkey % 4 AS INT) END AS rooms,
        30e0 + (c.c_custkey % 6) * 1e1 AS area_total
-FROM customer c JOIN ref_city k ON c.c_nationkey = k.n_nationkey WHERE c.c_custkey % 10 = 0 OR c.c_custkey % 62 = 0""",
+FROM customer c JOIN ref_city k ON c.c_nationkey = k.n_nationkey""",
     "geocode_candidate": """
-SELECT r.request_id, s.s_suppkey % 5 AS pos,
+SELECT r.request_id, s.s_suppkey AS pos,
        CASE WHEN s.s_suppkey % 3 = 0 THEN r.city ELSE 'elsewhere' END AS cand_city,
        k.center_lat + (s.s_suppkey % 37) * 1e-3 AS lat, k.center_lon + (s.s_suppkey % 41) * 1e-3 AS lon
-FROM request r JOIN ref_city k ON r.city = k.city JOIN supplier s ON s.s_suppkey < 5
+FROM request r JOIN ref_city k ON r.city = k.city JOIN supplier s ON s.s_nationkey = k.n_nationkey
 WHERE r.lat IS NULL""",
+    "building_cache": """
+SELECT k.city, CONCAT('street ', CAST(c.c_custkey AS STRING)) AS address_norm, k.center_lat AS lat, k.center_lon AS lon,
+       CASE WHEN c.c_mktsegment = 'BUILDING' THEN 0 ELSE CAST(3 + c.c_custkey % 9 AS INT) END AS floors_total,
+       CASE WHEN c.c_mktsegment = 'MACHINERY' THEN NULL ELSE CAST(1960 + c.c_custkey % 50 AS INT) END AS year_built,
+       CASE WHEN c.c_mktsegment = 'FURNITURE' THEN '' ELSE 'cached' END AS house_material,
+       o.o_orderdate AS created_at
+FROM customer c JOIN ref_city k ON c.c_nationkey = k.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey
+WHERE c.c_acctbal < 3000""",
 }
 
 

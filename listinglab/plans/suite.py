@@ -18,16 +18,22 @@ ORACLE_SQL: dict[str, str] = {}
 
 TS = f"TIMESTAMP '{star.AS_OF}'"
 
-# The normalised listing, as `clean.normalize` makes it of the view listing_raw.
-LISTING = r"""SELECT * EXCLUDE (ok) FROM (SELECT id, source, deal_type, external_id, url,
-  NULLIF(TRIM(REGEXP_REPLACE(title, '\s+', ' ', 'g')), '') AS title,
+# The normalised listing, as `clean.normalize` makes it of the view listing_raw. The station is
+# what stands before the minutes, or else the text up to a comma without them.
+_MT = r"TRIM(REGEXP_REPLACE(COALESCE(metro, ''), '\s+', ' ', 'g'))"
+_MAIN = r"(?i)^\s*(.*?)\s*[•·,;\-]*\s*(\d{1,3})\s*мин\.?"
+_HIT = f"REGEXP_MATCHES({_MT}, '{_MAIN}')"
+_STATION = rf"""CASE WHEN {_HIT} THEN TRIM(REGEXP_REPLACE(REGEXP_EXTRACT({_MT}, '{_MAIN}', 1), '[ •·,;-]+$', ''), ' -—–')
+  ELSE TRIM(REGEXP_REPLACE(SPLIT_PART(REGEXP_REPLACE({_MT}, '(?i)[•·,;\s-]*\d{{1,3}}\s*мин\.?', '', 'g'), ',', 1), '[ •·,;-]+$', '')) END"""
+_CLEAN = lambda c: rf"NULLIF(TRIM(REGEXP_REPLACE({c}, '\s+', ' ', 'g')), '') AS {c}"
+LISTING = rf"""SELECT * EXCLUDE (ok) FROM (SELECT id, source, deal_type, external_id, url, {_CLEAN('title')}, {_CLEAN('description')},
   ROUND(CASE WHEN deal_type = 'rent_daily' THEN price_value * 3e1 ELSE price_value END, 2) AS price_rub,
   CASE WHEN deal_type IN ('rent_long', 'rent_daily') THEN 'month' END AS price_period,
   CASE WHEN price_value IS NOT NULL AND area_total > 0 THEN ROUND(ROUND(CASE WHEN deal_type = 'rent_daily' THEN price_value * 3e1 ELSE price_value END, 2) / area_total, 2) END AS price_per_m2,
-  rooms, area_total, CASE WHEN price_value IS NOT NULL AND area_total > 0 AND area_living > area_total THEN NULL ELSE area_living END AS area_living,
-  floor, floors_total, year_built, house_material, condition,
-  NULLIF(TRIM(REGEXP_REPLACE(address_text, '\s+', ' ', 'g')), '') AS address_norm, city,
-  TRUE AS is_active, collected_at AS first_seen, collected_at AS last_seen, lat, lon,
+  rooms, area_total, CASE WHEN price_value IS NOT NULL AND area_total > 0 AND area_living > area_total THEN NULL ELSE area_living END AS area_living, area_kitchen,
+  floor, floors_total, year_built, house_material, condition, {_CLEAN('address_text')[:-len('address_text')]}address_norm, city, COALESCE(district, '') AS district, {_CLEAN('metro')},
+  NULLIF(COALESCE(NULLIF({_STATION}, ''), metro_station), '') AS metro_station, CASE WHEN {_HIT} THEN NULLIF(CAST(REGEXP_EXTRACT({_MT}, '{_MAIN}', 2) AS INT), 0) END AS metro_walk_min,
+  CAST(NULL AS VARCHAR) AS contact_phone_hash, TRUE AS is_active, collected_at AS first_seen, collected_at AS last_seen, lat, lon,
   COALESCE(price_value IS NOT NULL AND area_total > 0 AND floor > floors_total, FALSE) AS ok
 FROM listing_raw WHERE rooms IS NOT NULL AND year_built IS NOT NULL) t WHERE NOT ok"""
 
@@ -96,15 +102,21 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
 # -- projections and filters -----------------------------------------------------------------
 
 
-@query("SELECT id, source, deal_type, external_id, title, price_rub, price_period, price_per_m2, rooms, area_total, area_living, floor, floors_total, year_built, house_material, address_norm, city, last_seen, lat, lon FROM listing")
+_ALL = ["id", "source", "deal_type", "external_id", "url", "title", "description", "price_rub", "price_period", "price_per_m2", "rooms", "area_total", "area_living", "area_kitchen", "floor", "floors_total", "year_built", "house_material", "condition", "address_norm", "city", "district", "metro", "metro_station", "metro_walk_min", "is_active", "first_seen", "last_seen", "lat", "lon"]
+
+
+@query(f"SELECT {', '.join(_ALL)} FROM listing")
 def normalized(spark: SparkSession, d: str) -> DataFrame:
-    return listing(spark, d).select("id", "source", "deal_type", "external_id", "title", "price_rub", "price_period", "price_per_m2", "rooms", "area_total", "area_living", "floor", "floors_total", "year_built", "house_material", "address_norm", "city", "last_seen", "lat", "lon")
+    return listing(spark, d).select(*_ALL)
+
 
+_NUMBERS = ["price_per_m2", "rooms", "area_total", "area_living", "area_kitchen", "floor", "floors_total", "year_built", "lat", "lon", "metro_walk_min"]
 
-@query("SELECT id, TRY_CAST(CASE WHEN id % 5 = 0 THEN 'n/a' ELSE CAST(price_rub AS VARCHAR) END AS DOUBLE) AS price_rub, CAST(rooms AS DOUBLE) AS rooms, CASE WHEN id % 3 = 0 THEN TRUE WHEN id % 3 = 1 THEN FALSE END AS is_active FROM listing")
+
+@query(f"SELECT id, TRY_CAST(CASE WHEN id % 5 = 0 THEN 'n/a' ELSE CAST(price_rub AS VARCHAR) END AS DOUBLE) AS price_rub, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _NUMBERS)}, CASE WHEN id % 3 = 0 THEN TRUE WHEN id % 3 = 1 THEN FALSE END AS is_active FROM listing")
 def coerced_types(spark: SparkSession, d: str) -> DataFrame:
-    messy = listing(spark, d).withColumns({"price_rub": F.when(F.col("id") % 5 == 0, "n/a").otherwise(F.col("price_rub").cast("string")), "rooms": F.col("rooms").cast("string"), "is_active": F.when(F.col("id") % 3 == 0, "True").when(F.col("id") % 3 == 1, "false").otherwise("?")})
-    return clean.coerce_types(messy).select("id", "price_rub", "rooms", "is_active")
+    messy = listing(spark, d).withColumns({"price_rub": F.when(F.col("id") % 5 == 0, "n/a").otherwise(F.col("price_rub").cast("string")), **{c: F.col(c).cast("string") for c in _NUMBERS}, "is_active": F.when(F.col("id") % 3 == 0, "True").when(F.col("id") % 3 == 1, "false").otherwise("?")})
+    return clean.coerce_types(messy).select("id", "price_rub", *_NUMBERS, "is_active")
 
 
 @query("SELECT id, price_rub FROM listing WHERE price_rub BETWEEN 10000 AND 600000")
@@ -117,9 +129,12 @@ def active_export(spark: SparkSession, d: str) -> DataFrame:
     return clean.active(listing(spark, d), "rent_long", ["city", "price_rub", "rooms", "area_total", "url"])
 
 
-@query("SELECT deal_type, city, CAST(price_rub AS DOUBLE) AS price_rub, CAST(rooms AS DOUBLE) AS rooms, CAST(floor AS DOUBLE) AS floor, lat, lon FROM listing WHERE is_active")
+_TEXTS = ["deal_type", "city", "district", "price_period", "house_material", "condition", "metro_station"]
+
+
+@query(f"SELECT {', '.join(_TEXTS)}, CAST(price_rub AS DOUBLE) AS price_rub, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _NUMBERS)}, CAST(NULL AS DOUBLE) AS dist_to_metro_m, CAST(NULL AS DOUBLE) AS dist_to_center_km, CAST(NULL AS DOUBLE) AS density_500m, CAST(EPOCH(first_seen) AS BIGINT) AS first_seen, CAST(EPOCH(last_seen) AS BIGINT) AS last_seen FROM listing WHERE is_active")
 def export_listings(spark: SparkSession, d: str) -> DataFrame:
-    return io.export_listings(listing(spark, d)).select("deal_type", "city", "price_rub", "rooms", "floor", "lat", "lon")
+    return io.export_listings(listing(spark, d)).withColumns({c: F.unix_seconds(c) for c in ("first_seen", "last_seen")})
 
 
 @query("SELECT deal_type, COUNT(*) AS n, ROUND(SUM(price_rub), 2) AS total FROM listing GROUP BY deal_type")
@@ -286,14 +301,26 @@ def picked_geocodes(spark: SparkSession, d: str) -> DataFrame:
     return geocode.pick_candidate(c, star.cities(spark, d))
 
 
-BUILT = f"nearb AS (SELECT * FROM (SELECT l.id, b.building_id, b.floors_total, CAST(NULLIF(REGEXP_EXTRACT(b.start_date, '((18|19|20)[0-9]{{2}})', 1), '') AS INT) AS year_built, b.house_material, ROW_NUMBER() OVER (PARTITION BY l.id ORDER BY {metres('l.', 'b.')}, b.building_id) AS r FROM listing_raw l JOIN building b ON l.city = b.city AND {metres('l.', 'b.')} <= 60e0) t WHERE r = 1)"
+BUILT = f"""bc AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY city, address_norm ORDER BY created_at DESC, floors_total DESC, year_built DESC NULLS LAST) AS r FROM building_cache) t WHERE r = 1 AND {TS} - created_at <= INTERVAL 2000 DAY),
+own AS (SELECT l.id, l.city, l.lat, l.lon, LOWER(TRIM(REGEXP_REPLACE(l.address_text, '\\s+', ' ', 'g'))) AS addr, COALESCE(NULLIF(l.floors_total, 0), NULLIF(c.floors_total, 0)) AS floors_total, COALESCE(NULLIF(l.year_built, 0), NULLIF(c.year_built, 0)) AS year_built, COALESCE(NULLIF(l.house_material, ''), NULLIF(c.house_material, '')) AS house_material
+  FROM listing_raw l LEFT JOIN bc c ON l.city = c.city AND LOWER(TRIM(REGEXP_REPLACE(l.address_text, '\\s+', ' ', 'g'))) = c.address_norm),
+nearb AS (SELECT * FROM (SELECT l.id, b.building_id, b.floors_total, CAST(NULLIF(REGEXP_EXTRACT(b.start_date, '((18|19|20)[0-9]{{2}})', 1), '') AS INT) AS year_built, b.house_material, ROW_NUMBER() OVER (PARTITION BY l.id ORDER BY {metres('l.', 'b.')}, b.building_id) AS r FROM own l JOIN building b ON l.city = b.city AND {metres('l.', 'b.')} <= 60e0 WHERE l.floors_total IS NULL OR l.year_built IS NULL OR l.house_material IS NULL) t WHERE r = 1)""".replace("\\\\", "\\")
 
 
-@query(with_(BUILT, "SELECT l.id, COALESCE(NULLIF(l.floors_total, 0), n.floors_total) AS floors_total, COALESCE(NULLIF(l.year_built, 0), n.year_built) AS year_built, COALESCE(NULLIF(l.house_material, ''), n.house_material) AS house_material FROM listing_raw l LEFT JOIN nearb n ON l.id = n.id"))
-def building_filled(spark: SparkSession, d: str) -> DataFrame:
+def _filled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tags = F.create_map(F.lit("start_date"), F.col("start_date"))
     b = star.view(spark, d, "building").withColumn("year_built", tx.osm_attributes(tags)["year_built"])
-    return geocode.fill_building(raw(spark, d), b).select("id", "floors_total", "year_built", "house_material")
+    return geocode.fill_building(raw(spark, d), b, star.view(spark, d, "building_cache"), address="address_text", as_of=star.as_of(), max_age_days=2000)
+
+
+@query(with_(BUILT, "SELECT o.id, COALESCE(o.floors_total, n.floors_total) AS floors_total, COALESCE(o.year_built, n.year_built) AS year_built, COALESCE(o.house_material, n.house_material) AS house_material FROM own o LEFT JOIN nearb n ON o.id = n.id"))
+def building_filled(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d)[0].select("id", "floors_total", "year_built", "house_material")
+
+
+@query(with_(BUILT, "SELECT city, address_norm, lat, lon, floors_total, year_built, house_material FROM (SELECT o.city, o.addr AS address_norm, o.lat, o.lon, n.floors_total, n.year_built, n.house_material, ROW_NUMBER() OVER (PARTITION BY o.city, o.addr ORDER BY o.id) AS r FROM own o JOIN nearb n ON o.id = n.id) t WHERE r = 1"))
+def building_cache_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d)[1].drop("created_at")
 
 
 # -- upserts and history ---------------------------------------------------------------------
@@ -324,12 +351,15 @@ def continued_ids(spark: SparkSession, d: str) -> DataFrame:
     return merge.continued_ids(known, new, "new_id", ["id"]).select("id", "new_id")
 
 
-@query("SELECT s.external_id, s.price_value, CASE WHEN s.id % 5 = 0 THEN 'inserted' WHEN s.id % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM listing_raw s WHERE s.id % 2 = 0 UNION ALL SELECT external_id, CASE WHEN id % 7 = 0 THEN price_value + 1 ELSE price_value END, 'kept' FROM listing_raw WHERE id % 2 <> 0 AND id % 5 <> 0")
+_STAMPED = f"""'{{"clerk":"' || JSON_EXTRACT_STRING(payload, '$.clerk') || '","ingested_at":"{star.AS_OF}"}}'"""
+
+
+@query(f"SELECT s.external_id, s.price_value, s.rooms, s.area_total, s.url, {_STAMPED} AS payload, CASE WHEN s.id % 5 = 0 THEN 'inserted' ELSE 'updated' END AS action FROM listing_raw s WHERE s.id % 2 = 0 UNION ALL SELECT external_id, CASE WHEN id % 7 = 0 THEN price_value + 1 ELSE price_value END, rooms, area_total, url, payload, 'kept' FROM listing_raw WHERE id % 2 <> 0 AND id % 5 <> 0")
 def raw_upserted(spark: SparkSession, d: str) -> DataFrame:
-    rows = raw(spark, d).where("price_value is not null or price_value is null")
-    known = rows.where("id % 5 <> 0").withColumn("price_value", F.when(F.col("id") % 7 == 0, F.col("price_value") + 1).otherwise(F.col("price_value"))).withColumn("rooms", F.when(F.col("id") % 7 == 0, F.lit(99)).otherwise(F.col("rooms")))
+    rows = raw(spark, d)
+    known = rows.where("id % 5 <> 0").withColumn("price_value", F.when(F.col("id") % 7 == 0, F.col("price_value") + 1).otherwise(F.col("price_value")))
     batch = rows.where("id % 2 = 0")
-    return io.upsert_raw(known, batch.union(batch), F.lit(star.AS_OF)).select("external_id", "price_value", "action")
+    return io.upsert_raw(known, batch.union(batch), F.lit(star.AS_OF)).select("external_id", "price_value", "rooms", "area_total", "url", "payload", "action")
 
 
 @query("SELECT listing_id, ts, seq, price_rub FROM (SELECT *, LAG(price_rub) OVER (PARTITION BY listing_id ORDER BY ts, seq) AS p FROM price_obs) t WHERE price_rub IS NOT NULL AND price_rub IS DISTINCT FROM p")
@@ -345,7 +375,7 @@ def last_prices(spark: SparkSession, d: str) -> DataFrame:
 # -- statistics ------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (SELECT COUNT(*) AS listings, COUNT(*) FILTER (is_active) AS active, COUNT(*) FILTER (lat IS NULL OR lon IS NULL) AS without_point, COUNT(price_rub) AS priced FROM listing) a, (SELECT COUNT(*) AS raw_rows, COUNT(*) FILTER (rooms IS NULL OR year_built IS NULL) AS raw_unusable FROM listing_raw) b")
+@query("SELECT * FROM (SELECT COUNT(*) FILTER (deal_type = 'rent_long' AND is_active) AS rent_count, COUNT(*) FILTER (deal_type = 'sale' AND is_active) AS sale_count, COUNT(*) FILTER (is_active) AS total FROM listing) a, (SELECT COUNT(*) FILTER (deal_type = 'rent_long') AS rent_raw_count, COUNT(*) FILTER (deal_type = 'sale') AS sale_raw_count, COUNT(*) AS total_raw FROM listing_raw) b")
 def data_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.data_stats(listing(spark, d), raw(spark, d))
 
@@ -421,40 +451,69 @@ pick AS (SELECT *, MAX(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY requ
 best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY score, id) AS rank FROM pick WHERE same OR any_same = 0)"""
 
 
-@query(with_(COMPS, "SELECT request_id, CAST(rank AS INT) AS rank, id, ROUND(km, 6) AS distance_km, ROUND(score, 6) AS score, price_rub FROM best WHERE rank <= 5"))
+_TOLD = ["deal_type", "city", "district", "price_rub", "price_per_m2", "rooms", "area_total", "area_living", "area_kitchen", "floor", "floors_total", "year_built", "house_material", "condition", "lat", "lon", "metro_station", "metro_walk_min", "address_norm", "url"]
+
+
+@query(with_(COMPS, f"SELECT b.request_id, CAST(b.rank AS INT) AS rank, b.id, ROUND(b.km, 6) AS distance_km, ROUND(b.score, 6) AS score, {', '.join(f'l.{c}' for c in _TOLD)} FROM best b JOIN listing l ON b.id = l.id WHERE b.rank <= 5"))
 def comparables(spark: SparkSession, d: str) -> DataFrame:
     c = comps.comparables(star.view(spark, d, "request"), listing(spark, d))
-    return c.select("request_id", "rank", "id", F.round("distance_km", 6).alias("distance_km"), F.round("score", 6).alias("score"), "price_rub")
+    return c.select("request_id", "rank", "id", F.round("distance_km", 6).alias("distance_km"), F.round("score", 6).alias("score"), *_TOLD)
+
+
+_INFO = {"model_name": "trees", "target": "price_rub", "log_target": True, "valid_mae": 1.5, "valid_rmse": 2.5, "valid_mape": 3.5}
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    r = star.view(spark, d, "request")
+    r = star.view(spark, d, "request").withColumn("metro_walk_min", F.lit(7))
     p = r.select("request_id", (F.col("area_total") * 1000).alias("prediction_rub"), (F.col("area_total") * 900).alias("interval_low_rub"), (F.col("area_total") * 1100).alias("interval_high_rub"))
-    return reports.valuation_reports(r, p, listing(spark, d))
+    return reports.valuation_reports(r, p, listing(spark, d), model_info=_INFO, generated_at=F.lit(star.AS_OF))
+
+
+GROUPED = lambda n: f"SELECT request_id, COUNT(*) AS n, ROUND(SUM(price_rub), 2) AS s, ROUND(SUM(km), 6) AS km FROM best WHERE rank <= {n} GROUP BY request_id"
+_HASHED = f"MD5('report|' || CAST(r.request_id AS VARCHAR) || '|{star.AS_OF}')"
+REPORT_ID = f"SUBSTRING({_HASHED}, 1, 8) || '-' || SUBSTRING({_HASHED}, 9, 4) || '-' || SUBSTRING({_HASHED}, 13, 4) || '-' || SUBSTRING({_HASHED}, 17, 4) || '-' || SUBSTRING({_HASHED}, 21, 12)"
+SHORT = "'Объект в городе ' || r.city || ', по адресу «' || r.address || '». Оценочная ставка аренды: ~' || CAST(CAST(r.area_total AS BIGINT) AS VARCHAR) || ' 000 ₽/мес (диапазон ' || CAST(CAST(r.area_total * 0.9 AS BIGINT) AS VARCHAR) || ' 000–' || CAST(CAST(r.area_total * 1.1 AS BIGINT) AS VARCHAR) || ' 000 ₽/мес).'"
+PRICES = "r.area_total * 1000 AS prediction_rub, r.area_total * 900 AS interval_low_rub, r.area_total * 1100 AS interval_high_rub, 'RUB' AS currency, 'rent_long' AS deal_type"
 
 
-GROUPED = lambda n: f"SELECT request_id, COUNT(*) AS n, ROUND(SUM(price_rub), 2) AS s FROM best WHERE rank <= {n} GROUP BY request_id"
+def _told(n: int) -> list:
+    """Number, prices and kilometres of the first comparables."""
+    first = F.coalesce(F.slice("comparables", 1, n), F.array())
+    total = lambda c, places: F.when(F.size(first) > 0, F.round(F.aggregate(first, F.lit(0.0), lambda a, x: a + x[c]), places))
+    return [F.size(first).cast("long").alias("comps"), total("price_rub", 2).alias("comps_price"), total("distance_km", 6).alias("comps_km")]
 
 
-@query(with_(COMPS, f"SELECT r.request_id, r.city, r.area_total * 1000 AS prediction_rub, COALESCE(g.n, 0) AS comps, g.s AS comps_price FROM request r LEFT JOIN ({GROUPED(5)}) g ON r.request_id = g.request_id"))
+@query(with_(COMPS, f"SELECT r.request_id, {REPORT_ID} AS report_id, '{star.AS_OF}' AS generated_at, r.address, r.city, r.rooms, r.area_total, CAST(NULL AS DOUBLE) AS area_kitchen, CAST(NULL AS INT) AS floor, CAST(NULL AS VARCHAR) AS condition, r.lat, r.lon, 7 AS metro_walk_min, CAST(NULL AS BIGINT) AS density_500m, {PRICES}, 'trees' AS model_name, 'price_rub' AS target, TRUE AS log_target, 1.5e0 AS valid_mae, 2.5e0 AS valid_rmse, 3.5e0 AS valid_mape, COALESCE(g.n, 0) AS comps, g.s AS comps_price, g.km AS comps_km, {SHORT} AS summary_long FROM request r LEFT JOIN ({GROUPED(5)}) g ON r.request_id = g.request_id"))
 def valuation_reports(spark: SparkSession, d: str) -> DataFrame:
-    total = F.aggregate("comparables", F.lit(0.0), lambda a, c: a + c["price_rub"])
-    return _reports(spark, d).select("request_id", "object.city", "pricing.prediction_rub", F.coalesce(F.size("comparables"), F.lit(0)).cast("long").alias("comps"), F.round(total, 2).alias("comps_price"))
+    part = lambda name, cols: [F.col(f"{name}.{c}") for c in cols]
+    return _reports(spark, d).select("request_id", "report_id", "generated_at", *part("object", ["address", "city", "rooms", "area_total", "area_kitchen", "floor", "condition"]), *part("enriched", ["lat", "lon", "metro_walk_min", "density_500m"]), "pricing.*", "model_info.*", *_told(5), "text.summary_long")
 
 
-@query(with_(COMPS, f"SELECT r.request_id, 'Объект в городе ' || r.city || ', по адресу «' || r.address || '». Оценочная ставка аренды: ~' || CAST(CAST(r.area_total AS BIGINT) AS VARCHAR) || ' 000 ₽/мес (диапазон ' || CAST(CAST(r.area_total * 0.9 AS BIGINT) AS VARCHAR) || ' 000–' || CAST(CAST(r.area_total * 1.1 AS BIGINT) AS VARCHAR) || ' 000 ₽/мес).' AS summary_short, COALESCE(g.n, 0) AS comps FROM request r LEFT JOIN ({GROUPED(3)}) g ON r.request_id = g.request_id"))
+@query(with_(COMPS, f"SELECT r.request_id, {REPORT_ID} AS report_id, r.city, r.address, r.rooms, r.area_total, CAST(NULL AS INT) AS floors_total, {PRICES}, {SHORT} AS summary_short, {SHORT} AS summary_long, 0 AS factors, COALESCE(g.n, 0) AS comps, g.s AS comps_price, g.km AS comps_km FROM request r LEFT JOIN ({GROUPED(3)}) g ON r.request_id = g.request_id"))
 def thin_reports(spark: SparkSession, d: str) -> DataFrame:
-    return reports.thin(_reports(spark, d)).select("request_id", "summary_short", F.coalesce(F.size("comparables"), F.lit(0)).cast("long").alias("comps"))
+    return reports.thin(_reports(spark, d)).select("request_id", "report_id", "object.city", "object.address", "object.rooms", "object.area_total", "object.floors_total", "price.*", "text.summary_short", "text.summary_long", F.size("text.factors_summary").alias("factors"), *_told(3))
+
+
+@query(with_(COMPS, f"SELECT r.request_id, r.address, r.rooms, CAST(NULL AS VARCHAR) AS condition, r.lat, 7 AS metro_walk_min, r.area_total * 1000 AS prediction_rub, 'RUB' AS currency, CAST(b.rank AS INT) AS rank, l.price_rub, l.rooms AS comp_rooms, l.area_total, l.floor, l.floors_total, l.year_built, l.house_material, ROUND(b.km, 6) AS dist_km, l.metro_station AS metro FROM request r LEFT JOIN best b ON r.request_id = b.request_id AND b.rank <= 5 LEFT JOIN listing l ON b.id = l.id"))
+def compact_reports(spark: SparkSession, d: str) -> DataFrame:
+    comp = "struct<price_rub: double, rooms: int, area_total: double, floor: int, floors_total: int, year_built: int, house_material: string, dist_km: double, metro: string>"
+    shape = f"struct<object: struct<address: string, rooms: int, condition: string>, geo: struct<lat: double, metro_walk_min: int>, pricing: struct<prediction_rub: double, currency: string>, comparables: array<{comp}>>"
+    p = reports.compact(_reports(spark, d)).select("request_id", F.from_json("payload", shape).alias("p"))
+    p = p.select("request_id", "p.object.*", "p.geo.*", "p.pricing.*", F.posexplode_outer("p.comparables").alias("rank", "c"))
+    return p.select("request_id", "address", "rooms", "condition", "lat", "metro_walk_min", "prediction_rub", "currency", (F.col("rank") + 1).alias("rank"), "c.price_rub", F.col("c.rooms").alias("comp_rooms"), "c.area_total", "c.floor", "c.floors_total", "c.year_built", "c.house_material", F.round("c.dist_km", 6).alias("dist_km"), "c.metro")
 
 
-REQ = f"cached AS (SELECT r.request_id, r.city, r.address, COALESCE(r.lat, g.lat) AS lat, COALESCE(r.lon, g.lon) AS lon, r.rooms, r.area_total FROM request r LEFT JOIN geocode_cache g ON r.city = g.city AND LOWER(r.address) = g.address_norm), nb AS (SELECT * FROM (SELECT q.request_id, b.floors_total, ROW_NUMBER() OVER (PARTITION BY q.request_id ORDER BY {metres('q.', 'b.')}, b.building_id) AS r FROM cached q JOIN building b ON q.city = b.city AND {metres('q.', 'b.')} <= 60e0) t WHERE r = 1)"
+REQ = f"""gc AS (SELECT * FROM geocode_cache WHERE {TS} - created_at <= INTERVAL 2000 DAY),
+bc AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY city, address_norm ORDER BY created_at DESC, floors_total DESC, year_built DESC NULLS LAST) AS r FROM building_cache) t WHERE r = 1 AND {TS} - created_at <= INTERVAL 2000 DAY),
+cached AS (SELECT r.request_id, r.city, r.address, COALESCE(r.lat, g.lat) AS lat, COALESCE(r.lon, g.lon) AS lon, r.rooms, r.area_total, NULLIF(c.floors_total, 0) AS floors_total, NULLIF(c.year_built, 0) AS year_built, NULLIF(c.house_material, '') AS house_material FROM request r LEFT JOIN gc g ON r.city = g.city AND LOWER(r.address) = g.address_norm LEFT JOIN bc c ON r.city = c.city AND LOWER(r.address) = c.address_norm),
+nb AS (SELECT * FROM (SELECT q.request_id, b.floors_total, b.house_material, ROW_NUMBER() OVER (PARTITION BY q.request_id ORDER BY {metres('q.', 'b.')}, b.building_id) AS r FROM cached q JOIN building b ON q.city = b.city AND {metres('q.', 'b.')} <= 60e0) t WHERE r = 1)"""
 
 
-@query(with_(REQ, "SELECT c.request_id, c.lat, c.lon, nb.floors_total, CASE WHEN rooms IS NULL THEN 'rooms' WHEN lat IS NULL OR lon IS NULL THEN 'not found' END AS reject FROM cached c LEFT JOIN nb ON c.request_id = nb.request_id"))
+@query(with_(REQ, "SELECT c.request_id, c.lat, c.lon, COALESCE(c.floors_total, nb.floors_total) AS floors_total, c.year_built, COALESCE(c.house_material, nb.house_material) AS house_material, CASE WHEN rooms IS NULL THEN 'rooms' WHEN lat IS NULL OR lon IS NULL THEN 'not found' END AS reject FROM cached c LEFT JOIN nb ON c.request_id = nb.request_id"))
 def resolved_requests(spark: SparkSession, d: str) -> DataFrame:
     b = star.view(spark, d, "building").withColumn("year_built", F.lit(None).cast("int"))
-    r = reports.resolve_requests(star.view(spark, d, "request"), star.view(spark, d, "geocode_cache"), b)
-    return r.select("request_id", "lat", "lon", "floors_total", "reject")
+    r, _ = reports.resolve_requests(star.view(spark, d, "request"), star.view(spark, d, "geocode_cache"), b, building_cache=star.view(spark, d, "building_cache"), as_of=star.as_of(), max_age_days=2000)
+    return r.select("request_id", "lat", "lon", "floors_total", "year_built", "house_material", "reject")
 
 
 @query("plain:SELECT o_orderkey AS id, o_orderdate AS created_at, 'No ' || CAST(o_orderkey AS VARCHAR) AS summary_short FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
@@ -467,14 +526,14 @@ def report_list(spark: SparkSession, d: str) -> DataFrame:
 # -- pages -----------------------------------------------------------------------------------
 
 
-@query(r"""plain:SELECT page_id, href FROM (SELECT page_id, UNNEST(REGEXP_EXTRACT_ALL(html, '(?i)href="([^"]*)"', 1)) AS href FROM pages) t WHERE REGEXP_MATCHES(href, '/[A-Za-z]+([/?#]|$)')""")
+@query(r"""plain:SELECT page_id, href FROM (SELECT page_id, UNNEST(REGEXP_EXTRACT_ALL(html, '(?i)href="([^"]*)"', 1)) AS href FROM pages WHERE NOT COALESCE(REGEXP_MATCHES(url, '/(en|[A-Z][a-z]+)([/?#]|$)'), FALSE)) t WHERE REGEXP_MATCHES(href, '/(en|[A-Z][a-z]+)([/?#]|$)')""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return pages.extract_links(star.view(spark, d, "pages").withColumn("url", F.lit("list")), "/[A-Za-z]+")
+    return pages.extract_links(star.view(spark, d, "pages"), "/(en|[A-Z][a-z]+)")
 
 
-@query(r"""plain:SELECT p.page_id, COALESCE(t.n, 0) AS n, t.n IS NULL AS is_empty FROM pages p LEFT JOIN (SELECT page_id, COUNT(*) AS n FROM (SELECT page_id, UNNEST(REGEXP_EXTRACT_ALL(html, '(?i)href="([^"]*)"', 1)) AS href FROM pages) u WHERE REGEXP_MATCHES(href, '/[A-Za-z]+([/?#]|$)') GROUP BY page_id) t ON p.page_id = t.page_id""")
+@query(r"""plain:SELECT p.page_id, COALESCE(t.n, 0) AS n, t.n IS NULL AS is_empty FROM pages p LEFT JOIN (SELECT page_id, COUNT(*) AS n FROM (SELECT page_id, UNNEST(REGEXP_EXTRACT_ALL(html, '(?i)href="([^"]*)"', 1)) AS href FROM pages) u WHERE REGEXP_MATCHES(href, '/(en|[A-Z][a-z]+)([/?#]|$)') GROUP BY page_id) t ON p.page_id = t.page_id WHERE NOT COALESCE(REGEXP_MATCHES(p.url, '/(en|[A-Z][a-z]+)([/?#]|$)'), FALSE)""")
 def page_link_counts(spark: SparkSession, d: str) -> DataFrame:
-    return pages.link_counts(star.view(spark, d, "pages").withColumn("url", F.lit("list")), "/[A-Za-z]+")
+    return pages.link_counts(star.view(spark, d, "pages"), "/(en|[A-Z][a-z]+)")
 
 
 def _heading(tag: str) -> str:

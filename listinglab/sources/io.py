@@ -1,25 +1,32 @@
 """Reading and writing tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import coerce_types
 from ..operators.merge import last_write, merge_upsert
 
-# The export's columns.
-EXPORT = "deal_type city district price_rub price_period price_per_m2 rooms area_total area_living area_kitchen floor floors_total year_built house_material condition lat lon dist_to_metro_m dist_to_center_km density_500m metro_station metro_walk_min first_seen last_seen".split()
+# The export's columns, in its order.
+EXPORT = [
+    "deal_type", "city", "district", "price_rub", "price_period", "price_per_m2", "rooms", "area_total", "area_living", "area_kitchen",
+    "floor", "floors_total", "year_built", "house_material", "condition", "lat", "lon", "dist_to_metro_m", "dist_to_center_km",
+    "density_500m", "metro_station", "metro_walk_min", "first_seen", "last_seen",
+]
 # Header names of a stations file.
 STATION_NAMES = {"name": "name station metro title", "lat": "lat latitude", "lon": "lon lng long longitude", "city": "city"}
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet, CSV or JSON file by its extension; JSON by lines, or else one array."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A Parquet, CSV or JSON file by its extension; JSON by lines, or else one array. With
+    a `schema` text files are read once; without, a first pass infers one."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "csv":
-        return spark.read.csv(path, header=True, inferSchema=True)
+        return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
     if kind in ("json", "ndjson", "jsonl"):
+        if schema:
+            return spark.read.json(path, schema=schema, multiLine=not (spark.read.text(path).first() or [""])[0].lstrip().startswith("{"))
         lines = spark.read.json(path)
         return spark.read.json(path, multiLine=True) if lines.columns in ([], ["_corrupt_record"]) or "_corrupt_record" in lines.columns else lines
     raise ValueError(f"unknown kind of table: {path}")
@@ -37,12 +44,16 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def export_listings(listing: DataFrame, sql: str | None = None) -> DataFrame:
-    """S3: what a SQL text gives over the view listing_master, or the export's columns of its
-    active rows (those it has); types coerced."""
+    """S3: what a SQL text gives over the view listing_master (which is there for this text
+    only), or the export's columns of its active rows, null where it lacks them; types coerced,
+    times in UTC."""
     if sql:
         listing.createOrReplaceTempView("listing_master")
-        return coerce_types(listing.sparkSession.sql(sql))
-    return coerce_types(listing.where("is_active").select(*[c for c in EXPORT if c in listing.columns]))
+        try:
+            return coerce_types(listing.sparkSession.sql(sql))
+        finally:
+            listing.sparkSession.catalog.dropTempView("listing_master")
+    return coerce_types(listing.where("is_active").select(*[F.col(c) if c in listing.columns else F.lit(None).cast("string").alias(c) for c in EXPORT]))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
@@ -50,12 +61,18 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts, **options).load()
 
 
-def copy_table(source: DataFrame, path: str) -> int:
-    """The whole table in its own column order, as Parquet; the number of rows copied."""
-    from pyspark.sql import Observation
-
+def copy_table(source: DataFrame, path: str | None = None, url: str | None = None, table: str | None = None, **options: str) -> int:
+    """The whole table in its own column order, as Parquet at `path` or into `table` of the
+    database at `url` (each partition writes its rows over its own connection); the number of
+    rows copied. A database is read with `read_jdbc`, so copies go either way or directly."""
     seen = Observation("copied")
-    source.select(*source.columns).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    writer = source.select(*source.columns).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    if path:
+        writer.parquet(path)
+    elif url and table:
+        writer.format("jdbc").options(url=url, dbtable=table, **options).save()
+    else:
+        raise ValueError("name a path, or a database and a table")
     return seen.get["n"]
 
 
@@ -96,14 +113,18 @@ def read_stations(spark: SparkSession, path: str, default_city: str | None = Non
 
 def upsert_raw(raw: DataFrame, batch: DataFrame, ingested_at: Column) -> DataFrame:
     """Raw listings after a batch, all its columns overwriting (nulls too), the last row
-    of a key winning, with `payload` holding the time of arrival, and `action`."""
+    of a key winning, with the time of arrival as `ingested_at` of the object in `payload` (of
+    its own, if that is null or no object), and `action`."""
     keys = ["source", "deal_type", "external_id"]
     fresh = last_write(batch, keys, ["collected_at"])
     rest = [c for c in raw.columns if c not in keys]
     missing = [c for c in rest if c not in fresh.columns]
     fresh = fresh.withColumns({c: F.lit(None).cast(raw.schema[c].dataType) for c in missing})
     if "payload" in rest:
-        fresh = fresh.withColumn("payload", F.to_json(F.struct(F.col("payload").alias("data"), ingested_at.cast("string").alias("ingested_at"))))
+        own = F.from_json("payload", "map<string,variant>")
+        own = F.map_filter(F.coalesce(own, F.expr("cast(map() as map<string,variant>)")), lambda k, _: k != "ingested_at")
+        arrival = F.parse_json(F.to_json(F.struct(ingested_at.cast("string").alias("t"))))
+        fresh = fresh.withColumn("payload", F.to_json(F.map_concat(own, F.create_map(F.lit("ingested_at"), F.variant_get(arrival, "$.t", "variant")))))
     return merge_upsert(raw, fresh, keys, rest, touch_unchanged=True)
 
 
