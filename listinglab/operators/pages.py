@@ -6,10 +6,20 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from .clean import is_detail_link
 
+# Patterns of the pages' markup. Structured blocks; a street, an address in one
+# line, parts of an address and a point in inline JSON; where an address stands in a page's
+# description and title; words that tell that a year is a house's.
 _LD = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
-_ADDRESS = "address: struct<streetAddress: string>"
-_SHAPE = f"array<struct<`@type`: string, name: string, description: string, {_ADDRESS}, geo: struct<latitude: string, longitude: string>, offers: struct<price: string, priceCurrency: string>>>"
+_STREET = r'"streetAddress"\s*:\s*"([^"]+)"'
+_ONELINE = r'"unifiedOneline"\s*:\s*"([^"]+)"'
+_PART = r'\{"value(?:ForAddress)?"\s*:\s*"([^"]+)"'
 _POINT = r'"point"\s*:\s*\{\s*"latitude"\s*:\s*([0-9]+(?:\.[0-9]+)?)\s*,\s*"longitude"\s*:\s*([0-9]+(?:\.[0-9]+)?)'
+_DESCRIBED = r"Адрес:\s*([^,]+(?:,\s*[^,✅]+)*)"
+_TITLED = r"—\s*([^—]+?)\s*—\s*id\s*\d+"
+_HOUSE_WORDS = "дом|год|сдан|постро"
+
+_ADDRESS = "address: struct<streetAddress: string, addressLocality: string>"
+_SHAPE = f"array<struct<`@type`: string, name: string, description: string, {_ADDRESS}, geo: struct<latitude: string, longitude: string>, offers: struct<price: string, priceCurrency: string>>>"
 # What a structured block's type is worth.
 TYPE_SCORES = {"product": 100, "offer": 80, "apartment": 70, "realestatelisting": 70, "organization": -1000, "breadcrumblist": -1000}
 
@@ -31,9 +41,32 @@ def meta_description(html: Column) -> Column:
     return tx.found(html, r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)["']""")
 
 
-def block(html: Column, css: str) -> Column:
-    """The text of the first element whose class holds `css` and that has no element inside."""
-    return F.nullif(tx.trimmed(plain(F.regexp_extract(html, rf"""(?is)<(\w+)[^>]*class=["'][^"']*{css}[^"']*["'][^>]*>(.*?)</\1\s*>""", 2))), F.lit(""))
+def _blocks(css: str, whole: bool) -> str:
+    """Pattern of elements by class, with elements of the same name up to two deep inside. `whole`:
+    a class that begins with `css`, else one that holds it."""
+    name = rf"(?:[^\"']*\s)?{css}[^\"']*" if whole else rf"[^\"']*{css}[^\"']*"
+    text = r"(?:(?!</?\1\b).){0,3000}+"
+    inner = rf"{text}(?:<\1\b[^>]*>{text}(?:<\1\b[^>]*>{text}</\1\s*>{text}){{0,9}}</\1\s*>{text}){{0,9}}"
+    return rf"""(?is)<(\w+)[^>]*\bclass=["']{name}["'][^>]*>({inner})</\1\s*>"""
+
+
+def block(html: Column, css: str, whole: bool = True) -> Column:
+    """The text of the first element with such a class; null without one."""
+    return F.nullif(tx.trimmed(plain(F.regexp_extract(html, _blocks(css, whole), 2))), F.lit(""))
+
+
+def blocks(html: Column, css: str) -> Column:
+    """The texts of all elements whose class holds `css`, in order."""
+    return F.transform(F.regexp_extract_all(html, F.lit(_blocks(css, False)), 2), lambda x: tx.trimmed(plain(x)))
+
+
+def point_of(html: Column) -> Column:
+    """struct(lat, lon) of the first element with data attributes for both (the longitude's also
+    misspelt); null without one."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<[^>]*\bdata-latitude\s*=[^>]*>"), 0)
+    of = lambda tag, name: tx.number(tx.found(tag, rf"""(?i)\b{name}\s*=\s*["']\s*([0-9.,\-]+)\s*["']"""))
+    points = F.transform(tags, lambda t: F.struct(of(t, "data-latitude").alias("lat"), F.coalesce(of(t, "data-longtitude"), of(t, "data-longitude")).alias("lon")))
+    return F.get(F.filter(points, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull()), 0)
 
 
 def structured(html: Column) -> Column:
@@ -60,37 +93,41 @@ def best_candidate(candidates: Column) -> Column:
     return F.when(top["s"] < 1000, F.get(candidates, top["i"]))
 
 
-def extract_listings(pages: DataFrame, deal_type: str = "rent_long", source: str = "site") -> DataFrame:
-    """B1: a raw listing for each page (page_id, url, html) with a structured block that
-    passes, or another sign of an offer; other pages give none. One narrow pass.
-
-    Address and point come from the structured block, else from data attributes (also the
-    misspelt one), else from inline JSON around the street's name, else from the first point."""
-    p = pages.select("page_id", "url", "html", best_candidate(structured(F.col("html"))).alias("ld")).where("html is not null")
-    html, ld = F.col("html"), F.col("ld")
-    attr = lambda name: tx.number(tx.found(html, rf"""(?i)\b{name}=["']\s*([0-9.,\-]+)\s*["']"""))
-    street = tx.found(html, r'"streetAddress"\s*:\s*"([^"]+)"')
-    at = F.locate('"streetAddress"', html)
-    around = F.when(at > 0, F.substr(html, F.greatest(at - 2000, F.lit(1)), F.lit(5100))).otherwise(html)
+def extract_listings(pages: DataFrame, deal_type: str = "rent_long", source: str = "site", detail: str = r"/offer/[0-9]+") -> DataFrame:
+    """B1: a raw listing for each page (page_id, url, html) of one offer by its url, or with a
+    structured block that passes; other pages give none. One narrow pass.
+
+    Street and locality come from the structured block, the point too; else from data
+    attributes and the visible address; else from inline JSON around the street's name, or the
+    first point. Pages without a block are read field by field from their text."""
+    ld = F.col("ld")
+    p = pages.where("html is not null").select("page_id", "url", "html", best_candidate(structured(F.col("html"))).alias("ld"))
+    p = p.where(ld.isNotNull() | F.coalesce(is_detail_link("url", detail), F.lit(False))).withColumn("_attr", point_of(F.col("html")))
+    html, some = F.col("html"), lambda c: F.nullif(tx.trimmed(F.coalesce(c, F.lit(""))), F.lit(""))
+    said = some(F.concat_ws(", ", some(ld["address"]["streetAddress"]), some(ld["address"]["addressLocality"])))
+    shown = F.coalesce(block(html, "CardLocation__addressItem"), tx.found(meta_description(html), _DESCRIBED), tx.found(element(html, "title"), _TITLED))
+    street = tx.found(html, _STREET)
+    at = F.regexp_instr(html, F.lit(_STREET))
+    start = F.greatest(at - 2000, F.lit(1))
+    around = F.when(at > 0, F.substr(html, start, at + F.length(F.regexp_substr(html, F.lit(_STREET))) + 3000 - start)).otherwise(html)
     inline = lambda g: tx.number(tx.found(around, _POINT, g))
-    shown = F.coalesce(block(html, "CardLocation__addressItem"), tx.found(meta_description(html), r"Адрес:\s*([^,]+(?:,\s*[^,✅]+)*)"), tx.found(element(html, "title"), r"—\s*([^—]+?)\s*—\s*id\s*\d+"))
-    oneline = tx.found(html, r'"unifiedOneline"\s*:\s*"([^"]+)"')
-    parts = F.array_join(F.slice(F.transform(F.regexp_extract_all(html, F.lit(r'\{"value(?:ForAddress)?"\s*:\s*"([^"]+)"'), 1), lambda x: tx.trimmed(x)), 1, 6), ", ")
-    address = F.coalesce(F.nullif(ld["address"]["streetAddress"], F.lit("")), shown, street, oneline, F.nullif(parts, F.lit("")))
-    lat = F.coalesce(tx.number(ld["geo"]["latitude"]), attr("data-latitude"), inline(1))
-    lon = F.coalesce(tx.number(ld["geo"]["longitude"]), attr("data-longtitude"), attr("data-longitude"), inline(2))
+    parts = F.array_join(F.filter(F.transform(F.slice(F.regexp_extract_all(html, F.lit(_PART), 1), 1, 6), lambda x: tx.trimmed(x)), lambda x: x != ""), ", ")
+    address = F.coalesce(said, some(tx.stripped(tx.trimmed(F.coalesce(shown, F.lit(""))), ", ")), some(street), some(tx.found(html, _ONELINE)), some(parts))
     facts = F.concat(F.coalesce(ld["name"], F.lit("")), F.lit("\n"), F.coalesce(ld["description"], F.lit("")))
     body, floors = plain(html), tx.floors_from_text(facts)
     label = lambda word: tx.number(F.coalesce(tx.found(html, rf"""(?isu)__value[^>]*>\s*([0-9]+(?:[.,][0-9]+)?)[^<]*</[^>]*>\s*<[^>]*__label[^>]*>[^<]*{word}"""), tx.found(F.lower(body), rf"(?u){word}[^0-9]{{0,20}}?(\d+(?:[\.,]\d+)?)\s*м²")))
-    house = F.coalesce(block(html, "OfferCardFeature__text"), body)
-    return p.where(ld.isNotNull()).select(
+    told = F.transform(blocks(html, "(?:OfferCardFeature__text|OfferCardBuildingFeatures__feature)"), lambda x: F.lower(x))
+    year = F.get(F.filter(F.transform(F.filter(told, lambda x: x.rlike(_HOUSE_WORDS)), lambda x: tx.first_year(x)), lambda y: y.isNotNull()), 0)
+    material = F.get(F.filter(F.transform(told, lambda x: tx.house_material(x)), lambda m: F.coalesce(m, F.lit("")) != ""), 0)
+    return p.select(
         "page_id", F.lit(source).alias("source"), F.lit(deal_type).alias("deal_type"), tx.external_id("url").alias("external_id"), "url",
         tx.trimmed(F.coalesce(ld["name"], F.lit(""))).alias("title"), tx.trimmed(F.coalesce(ld["description"], F.lit(""))).alias("description"),
         tx.number(ld["offers"]["price"]).alias("price_value"), tx.currency(F.coalesce(ld["offers"]["priceCurrency"], F.lit(""))).alias("price_currency"), tx.price_period(F.lit(deal_type), F.concat_ws(" ", ld["description"], ld["name"], body)).alias("price_period"),
         F.coalesce(tx.rooms_from_text(facts), tx.rooms_from_page(body, element(html, "title"), meta_description(html), element(html, "h1"))).alias("rooms"),
         tx.area_from_text(facts).alias("area_total"), label("жила").alias("area_living"), label("кухн").alias("area_kitchen"), floors["floor"].alias("floor"), floors["floors_total"].alias("floors_total"),
-        F.coalesce(tx.first_year(F.lower(house)), tx.first_year(F.lower(body))).alias("year_built"), F.coalesce(F.nullif(tx.house_material(house), F.lit("")), tx.house_material(body)).alias("house_material"),
-        tx.stripped(tx.trimmed(F.coalesce(address, F.lit(""))), ", ").alias("address_text"), lat.alias("lat"), lon.alias("lon"), F.coalesce(block(html, "MetroWithTime"), F.lit("")).alias("metro"),
+        F.coalesce(year, tx.first_year(F.lower(body))).alias("year_built"), F.coalesce(material, tx.house_material(body)).alias("house_material"),
+        tx.stripped(tx.trimmed(F.coalesce(address, F.lit(""))), ", ").alias("address_text"),
+        F.coalesce(tx.number(ld["geo"]["latitude"]), F.col("_attr.lat"), inline(1)).alias("lat"), F.coalesce(tx.number(ld["geo"]["longitude"]), F.col("_attr.lon"), inline(2)).alias("lon"), F.coalesce(block(html, "MetroWithTime"), F.lit("")).alias("metro"),
     )
 
 

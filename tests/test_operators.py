@@ -131,6 +131,25 @@ def test_extract_listing(spark):
     assert (r["lat"], r["lon"], r["year_built"], r["house_material"], r["address_text"], r["metro"], r["area_living"]) == (55.7, 37.6, 1999, "кирпичный", "Тверская, 1", "Сокол • 8 мин.", 10.5)
 
 
+def test_extract_listing_without_block_and_with_locality(spark):
+    bare = (
+        "<title>Квартира — Арбат, 10 — id 77</title><h1>3-комнатная квартира</h1><p data-latitude='1'></p><p data-latitude='55.1' data-longitude='37.2'></p>"
+        '<div class="XMetroWithTime">no</div><div class="big MetroWithTime"><div>Арбатская</div> <div>• 4 мин.</div></div>'
+        '<div class="OfferCardFeature__text">1936 м²</div><a class="OfferCardFeature__text z">панельный дом, сдан в 1985</a>'
+    )
+    said = ld('{"@type":"Offer","name":"x","address":{"streetAddress":"Арбат, 1","addressLocality":"Москва"}}')
+    inline = "a" * 2500 + '{"point":{"latitude":1.5,"longitude":2.5}}' + "b" * 2100 + '"streetAddress":"Лесная, 7"' + "c" * 2900 + '{"point":{"latitude":55.5,"longitude":37.5}}'
+    far = '"streetAddress":"Лесная, 7"' + "c" * 3100 + '{"point":{"latitude":55.5,"longitude":37.5}}'
+    rows = [(1, "https://x.y/offer/111111/", bare), (2, "https://x.y/list", said), (3, "https://x.y/list", bare), (4, "https://x.y/offer/444444", inline), (5, "https://x.y/offer/555555?a", far)]
+    got = {r["page_id"]: r for r in pages.extract_listings(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got.keys() == {1, 2, 4, 5}
+    assert (got[1]["address_text"], got[1]["lat"], got[1]["lon"], got[1]["rooms"], got[1]["year_built"], got[1]["house_material"]) == ("Арбат, 10", 55.1, 37.2, 3, 1985, "панельный")
+    assert got[1]["metro"].split() == ["Арбатская", "•", "4", "мин."] and got[1]["title"] == ""
+    assert got[2]["address_text"] == "Арбат, 1, Москва"
+    assert (got[4]["address_text"], got[4]["lat"], got[4]["lon"]) == ("Лесная, 7", 55.5, 37.5)
+    assert (got[5]["lat"], got[5]["lon"]) == (None, None)
+
+
 def test_stations_import(spark, tmp_path):
     p = tmp_path / "s.csv"
     p.write_text('station,latitude,lng,city\nA,"55,5",37.1,M\nA,55.6,37.2,M\n,1,2,M\nB,x,2,M\nC,1,2,\n', encoding="utf-8")
