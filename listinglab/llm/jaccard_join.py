@@ -353,8 +353,8 @@ def _candidates(met: DataFrame, rule: Rule, upto: int) -> DataFrame:
 
 
 def _wanted(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows (key, b: the text's bytes) of `docs` whose key is in `keys`, and a few others:
-    a table of 2^23 bits keeps most texts from being shuffled."""
+    """The rows (class, b: the text's bytes) of `docs` whose key is in `keys`, and a few others:
+    a table of 2^23 bits keeps most texts from being shuffled. The class is the text's own."""
     size = 1 << 23
 
     def bits(table: pa.Table) -> pa.Table:
@@ -371,14 +371,15 @@ def _wanted(docs: DataFrame, keys: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(marked.reshape(-1))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m, shingles = held.value, Shingler()
         for batch in batches:
             i = batch.column("key").to_numpy() & (size - 1)
             hit = (m[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1
             if hit.any():
-                yield batch.filter(pa.array(hit))
+                texts = batch.column("b").filter(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([_signed(np.array([xxhash.xxh3_64_intdigest(shingles(b.as_py()).tobytes()) for b in texts], np.uint64)), texts], names=["class", "b"])
 
-    return docs.select(row_key(docs), utf8("text").alias("b")).mapInArrow(keep, "key long, b binary")
+    return docs.select(row_key(docs), utf8("text").alias("b")).mapInArrow(keep, "class long, b binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -398,16 +399,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, rule: Rule) ->
     likely = stored(pairs.join(y, "b").join(x, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(possible, "a long, b long"), "likely")
     keys = stored(reps.select("class", "key").join(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class"), "keys")
     dropped(pairs, reps)
-    # One text for each class; rows of the same key and other texts are told apart by it.
-    texts = _wanted(docs, keys).join(keys, "key").select("class", "b")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
-        for batch in batches:
-            classes = np.array([xxhash.xxh3_64_intdigest(shingles(b.as_py()).tobytes()) for b in batch.column("b")], np.uint64).view(np.int64)
-            yield batch.filter(pa.array(classes == batch.column("class").to_numpy()))
-
-    texts = stored(texts.mapInArrow(own, "class long, b binary").dropDuplicates(["class"]), "texts")
+    # One text for each class: rows of the same key and other texts are of another class.
+    texts = stored(_wanted(docs, keys).join(keys.select("class"), "class", "left_semi").dropDuplicates(["class"]), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
