@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import text as tx
 from .enrich import center_distance_km, density, nearest_station, recent
+from .stats import quantiles
 
 
 def features(listing: DataFrame, stations: DataFrame, cities: DataFrame, as_of: Column, radius_m: float = 500.0) -> DataFrame:
@@ -52,11 +53,6 @@ def leave_one_out(rows: DataFrame) -> DataFrame:
     return out.withColumns({"local_avg_price_rub": loo, "local_density_count": F.coalesce("price_n", F.lit(0))}).drop("price_sum", "price_n", "global_mean")
 
 
-def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A5: one row; exact medians without nulls."""
-    return df.agg(*[F.median(c).alias(c) for c in columns])
-
-
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, value) of each column's most frequent value, nulls counted, the smallest on
     ties (null first)."""
@@ -79,7 +75,11 @@ def time_split(df: DataFrame, column: str, days: int = 30, ratio: float | None =
     if ratio is not None and not 0 < ratio < 1:
         raise ValueError("ratio must lie between 0 and 1")
     micros = F.unix_micros(F.col(column).cast("timestamp"))
-    cut = F.max(micros) - days * 86_400_000_000 if ratio is None else F.percentile(micros, 1 - ratio)
-    cutoff = F.broadcast(df.agg(cut.alias("_cut")))  # one row
-    both = df.where(F.col(column).isNotNull()).crossJoin(cutoff).withColumn("_train", micros <= F.col("_cut")).drop("_cut")
+    known = df.where(F.col(column).isNotNull())
+    if ratio is None:
+        latest = df.agg(F.max(micros)).first()[0]
+        cut = None if latest is None else latest - days * 86_400_000_000
+    else:
+        cut = quantiles(df, {"t": micros}, [1 - ratio])["t"][0]
+    both = known.withColumn("_train", micros <= F.lit(cut).cast("double"))
     return both.where("_train").drop("_train"), both.where("not _train").drop("_train")

@@ -1,5 +1,6 @@
 """Price model: training, prediction with intervals, additive explanations."""
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import shared_dir, stored
 from .clean import align_to_schema, in_target_range
-from .features import global_mean, leave_one_out, local_stats, medians, modes, with_local_price
+from .features import global_mean, impute, leave_one_out, local_stats, modes, with_local_price
 from .reports import top_features
-from .stats import conformal_radius, errors
+from .stats import conformal_radius, errors, medians, residual_quantiles
 
 
 @dataclass
@@ -30,13 +32,13 @@ class PriceModel:
     categories: dict[str, str]
     stats: DataFrame
     mean: DataFrame
-    eps: float
+    eps: float = 0.0
+    low: float = 0.0
+    high: float = 0.0
     metrics: dict[str, float] = field(default_factory=dict)
 
 
 def _prepared(df: DataFrame, numeric: list[str], categorical: list[str], numbers: dict, categories: dict) -> DataFrame:
-    from .features import impute
-
     missing = [F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in numeric]
     aligned = align_to_schema(df, numeric, categorical)
     return impute(aligned.select("*", *missing), numbers, categories)
@@ -46,9 +48,10 @@ def train(train_rows: DataFrame, valid_rows: DataFrame, numeric: list[str], cate
     """Gradient-boosted trees on the log of prices in range, with leave-one-out local
     prices, medians and modes for what is missing, and the conformal radius and errors on
     `valid_rows`. Missing numbers also get a flag each."""
-    rows = leave_one_out(in_target_range(train_rows))
+    seen = stored(in_target_range(train_rows), "training")
+    rows = stored(leave_one_out(seen), "training")  # read by medians, modes and each tree
     numeric = [*numeric, "local_avg_price_rub", "local_density_count"]
-    stats, mean = local_stats(in_target_range(train_rows)).cache(), global_mean(in_target_range(train_rows)).cache()
+    stats, mean = stored(local_stats(seen), "prices"), stored(global_mean(seen), "mean")
     numbers = medians(rows, numeric).first().asDict()
     found = {r["name"]: r["value"] for r in modes(rows, categorical).collect()}  # a row for each column
     categories = {c: found.get(c) or "" for c in categorical}
@@ -58,19 +61,25 @@ def train(train_rows: DataFrame, valid_rows: DataFrame, numeric: list[str], cate
     if categorical:
         stages += [StringIndexer(inputCols=categorical, outputCols=[f"{c}_ix" for c in categorical], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_ix" for c in categorical], outputCols=[f"{c}_1h" for c in categorical])]
     stages += [VectorAssembler(inputCols=[*inputs, *[f"{c}_1h" for c in categorical]], outputCol="features"), GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, seed=7, maxBins=64)]
-    model = PriceModel(Pipeline(stages=stages).fit(ready), numeric, categorical, numbers, categories, stats, mean, 0.0)
-    checked = predict(model, in_target_range(valid_rows)).withColumn("truth", F.col("price_rub").cast("double"))
+    model = PriceModel(Pipeline(stages=stages).fit(ready), numeric, categorical, numbers, categories, stats, mean)
+    checked = predict(model, in_target_range(valid_rows)).select(F.col("price_rub").cast("double").alias("truth"), "prediction_rub")
+    checked = stored(checked, "checked")
     logs = checked.select(tx.log_target("truth").alias("y"), tx.log_target("prediction_rub").alias("p"))
     model.eps = conformal_radius(logs, "y", "p", q).first()[0] or 0.0
+    ends = residual_quantiles(checked, "truth", "prediction_rub", 1 - q, q).first()
+    model.low, model.high = ends["low"] or 0.0, ends["high"] or 0.0
     model.metrics = errors(checked, "truth", "prediction_rub").first().asDict()
     return model
 
 
-def predict(model: PriceModel, df: DataFrame) -> DataFrame:
-    """`df` with prediction_rub and an interval around it, of `eps` in logs either way."""
+def predict(model: PriceModel, df: DataFrame, interval: str = "conformal") -> DataFrame:
+    """`df` with prediction_rub and an interval around it: "conformal", of `eps` in logs
+    either way, or "quantile", by the quantiles of signed errors."""
     local = with_local_price(df, model.stats, model.mean)
     out = model.pipeline.transform(_prepared(local, model.numeric, model.categorical, model.numbers, model.categories))
     low, high = F.exp(F.col("prediction") - model.eps), F.exp(F.col("prediction") + model.eps)
+    if interval == "quantile":
+        return quantile_interval(out.withColumn("prediction_rub", F.exp("prediction")), model.low, model.high)
     fixed = tx.repair_interval(low, F.exp("prediction"), high)
     return out.withColumns({"prediction_rub": F.exp("prediction"), "interval_low_rub": fixed["low"], "interval_high_rub": fixed["high"]})
 
@@ -112,10 +121,12 @@ def _trees(model: PriceModel, path: str) -> list[tuple[float, dict[str, np.ndarr
     return out
 
 
-def explain(model: PriceModel, predicted: DataFrame, path: str, n: int = 8) -> DataFrame:
+def explain(model: PriceModel, predicted: DataFrame, path: str | None = None, n: int = 8) -> DataFrame:
     """`predicted` with base_value, prediction_internal and top_features: each split on a
     row's way moves the value from node to node, and the move counts for the split's feature.
-    base_value plus all moves is the prediction. `path`: a folder all executors share."""
+    base_value plus all moves is the prediction. `path`: where the trees are saved, a folder all
+    executors share; a new one if unset."""
+    path = path or f"{shared_dir(predicted.sparkSession)}/listinglab/trees-{uuid.uuid4().hex}"
     trees = model.stats.sparkSession.sparkContext.broadcast(_trees(model, path))
     names = feature_names(model)
 

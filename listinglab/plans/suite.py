@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import text as tx
-from ..operators import clean, comps, dedupe, enrich, features, geocode, history, merge, pages, reports, stats
+from ..operators import clean, comps, dedupe, enrich, features, geocode, history, merge, model, pages, reports, stats
 from ..operators.components import connected_components
 from ..sources import io
 from . import star
+from .pipeline import run_pipeline, training_tables, value_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -382,7 +383,7 @@ def data_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT MEDIAN(price_rub) AS price_rub, MEDIAN(area_total) AS area_total, CAST(MEDIAN(floor) AS DOUBLE) AS floor FROM listing")
 def medians(spark: SparkSession, d: str) -> DataFrame:
-    return features.medians(listing(spark, d), ["price_rub", "area_total", "floor"])
+    return stats.medians(listing(spark, d), ["price_rub", "area_total", "floor"])
 
 
 @query("SELECT name, value, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY name ORDER BY n DESC, value NULLS FIRST) AS r FROM (SELECT 'house_material' AS name, house_material AS value, COUNT(*) AS n FROM listing GROUP BY house_material UNION ALL SELECT 'condition', condition, COUNT(*) FROM listing GROUP BY condition) t) u WHERE r = 1")
@@ -393,7 +394,7 @@ def modes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, COALESCE(area_total, (SELECT MEDIAN(area_total) FROM listing)) AS area_total, COALESCE(house_material, '') AS house_material FROM listing")
 def imputed(spark: SparkSession, d: str) -> DataFrame:
     rows = listing(spark, d)
-    known = features.medians(rows, ["area_total"]).first().asDict()
+    known = stats.medians(rows, ["area_total"]).first().asDict()
     return features.impute(rows.select("id", "area_total", "house_material"), known, {"house_material": None})
 
 
@@ -554,32 +555,44 @@ def page_headings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("plain:" + CLUSTERS + f", mast AS (SELECT *, {CELL} AS cell FROM listing WHERE id NOT IN (SELECT member_id FROM cluster)) SELECT city, deal_type, COUNT(*) AS n, COUNT(DISTINCT cell) AS cells, ROUND(AVG(price_rub), 4) AS mean_price FROM mast GROUP BY city, deal_type")
 def cleaning_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    from .pipeline import run_pipeline
-
     rows = run_pipeline(raw(spark, d), star.stations(spark, d), star.cities(spark, d), star.as_of())
     return rows.groupBy("city", "deal_type").agg(F.count("*").alias("n"), F.count_distinct("cell").alias("cells"), F.round(F.avg("price_rub"), 4).alias("mean_price"))
 
 
-def _model(spark: SparkSession, d: str):
-    """The model, trained on the older 70% of rentals and calibrated on the others, and all rentals."""
-    from ..operators import model
+_MODELS: dict = {}
+
 
+def _model(spark: SparkSession, d: str):
+    """The model, trained on the older 70% of rentals and calibrated on the others, and all
+    rentals. An application trains it once for each folder."""
     rows = features.features(listing(spark, d).where("deal_type <> 'sale'"), star.stations(spark, d), star.cities(spark, d), star.as_of())
-    a, b = features.time_split(rows, "last_seen", ratio=0.3)
-    numeric = ["rooms", "area_total", "area_living", "floor", "floors_total", "age_house", "dist_to_center_km", "dist_to_metro_m", "density_500m"]
-    return model, model.train(a, b, numeric, ["deal_type", "house_material", "rooms_bucket"]), rows
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        a, b = features.time_split(rows, "last_seen", ratio=0.3)
+        numeric = ["rooms", "area_total", "area_living", "area_kitchen", "floor", "floors_total", "age_house", "dist_to_center_km", "dist_to_metro_m", "metro_walk_min", "density_500m"]
+        _MODELS[key] = model.train(a, b, numeric, ["house_material", "rooms_bucket"])
+    return _MODELS[key], rows
 
 
 @query()
 def price_predictions(spark: SparkSession, d: str) -> DataFrame:
-    model, fitted, rows = _model(spark, d)
-    return model.predict(fitted, rows).select("id", "prediction_rub", "interval_low_rub", "interval_high_rub")
+    fitted, rows = _model(spark, d)
+    both = model.predict(fitted, rows).select("id", "prediction_rub", "interval_low_rub", "interval_high_rub")
+    pair = model.predict(fitted, rows, interval="quantile").select("id", F.col("interval_low_rub").alias("quantile_low_rub"), F.col("interval_high_rub").alias("quantile_high_rub"))
+    return both.join(pair, "id")
 
 
 @query()
 def price_explanations(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.shared import shared_dir
-
-    model, fitted, rows = _model(spark, d)
-    out = model.explain(fitted, model.predict(fitted, rows), f"{shared_dir(spark)}/listinglab/trees")
+    fitted, rows = _model(spark, d)
+    out = model.explain(fitted, model.predict(fitted, rows))
     return out.select("id", "base_value", "prediction_internal", "top_features")
+
+
+@query()
+def requests_to_reports(spark: SparkSession, d: str) -> DataFrame:
+    fitted, _ = _model(spark, d)
+    caches = star.view(spark, d, "geocode_cache"), star.view(spark, d, "building_cache")
+    b = star.view(spark, d, "building").withColumn("year_built", F.lit(None).cast("int"))
+    out = value_requests(star.view(spark, d, "request"), *caches, b, listing(spark, d), star.stations(spark, d), star.cities(spark, d), fitted, star.as_of(), max_age_days=2000)
+    return out.select("request_id", "report_id", "reject", "object", "enriched", "pricing", "explanation", F.size("comparables").alias("comps"), "text.summary_long")
