@@ -13,7 +13,7 @@ Point = tuple[Column, Column]
 def _angle(a: Point, b: Point) -> Column:
     (y1, x1), (y2, x2) = a, b
     s = F.pow(F.sin(F.radians(y2 - y1) / 2), 2) + F.cos(F.radians(y1)) * F.cos(F.radians(y2)) * F.pow(F.sin(F.radians(x2 - x1) / 2), 2)
-    return 2 * F.asin(F.least(F.lit(1.0), F.sqrt(s)))
+    return 2 * F.asin(F.when(s > 1, 1.0).otherwise(F.sqrt(s)))  # null stays null
 
 
 def haversine_km(a: Point, b: Point) -> Column:
@@ -50,24 +50,34 @@ def cell(lat: Column | str, lon: Column | str, dlat: float = 0.02, dlon: float =
     return F.when(fine, F.concat_ws("_", F.floor(y / dlat).cast("string"), F.floor(x / dlon).cast("string")))
 
 
-def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[str], how: str = "inner", max_lat: float = 70.0, extra: Column | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[str], how: str = "inner", extra: Column | None = None) -> DataFrame:
     """Rows of `left` (l_lat, l_lon) with rows of `right` (r_lat, r_lon) at most `radius_m`
     apart and equal in `keys` (as l_KEY and r_KEY), with dist_m.
 
-    A grid whose cells are at least the radius wide turns it into an equi-join: a row of
-    `left` looks into the nine cells around it, so each pair meets once. Null points and keys
-    meet nothing. Rows beyond `max_lat` and pairs across the antimeridian are out of scope. A
-    dense cell is split by the adaptive skew join, as both sides are plain shuffles."""
+    A grid turns it into an equi-join. Its bands of latitude are at least the radius wide, and
+    each band's cells as wide in longitude as the radius can reach there: near a pole one cell
+    goes all around. A row of `left` looks into its cell and those around it in its band and the
+    two next, across the antimeridian too, so each pair meets once. Null points and keys meet
+    nothing. A dense cell is split by the adaptive skew join, as both sides are plain shuffles."""
     dlat = math.degrees(radius_m / EARTH_M) * 1.01
-    dlon = dlat / math.cos(math.radians(max_lat))
-    at = lambda c, d: F.floor(F.col(c) / d)
+    half = math.sin(min(radius_m / EARTH_M / 2, math.pi / 2)) * 1.0001
+
+    def around(band: Column) -> Column:
+        """How many cells a band has."""
+        top = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * dlat, F.lit(90.0))
+        reach = F.lit(half) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+        return F.when(reach >= 1, 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 / F.degrees(2 * F.asin(F.least(reach, F.lit(1.0))))).cast("long"))).cast("long")
+
+    cell_of = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    near = left.where(has_point("l_lat", "l_lon")).withColumn("_y", F.explode(F.transform(steps, lambda i: at("l_lat", dlat) + i))).withColumn("_x", F.explode(F.transform(steps, lambda i: at("l_lon", dlon) + i)))
-    far = right.where(has_point("r_lat", "r_lon")).withColumn("_v", at("r_lat", dlat)).withColumn("_u", at("r_lon", dlon))
+    near = left.where(has_point("l_lat", "l_lon")).withColumn("_y", F.explode(F.transform(steps, lambda i: F.floor(F.col("l_lat") / dlat) + i))).withColumn("_n", around(F.col("_y")))
+    near = near.withColumn("_x", F.explode(F.array_distinct(F.transform(steps, lambda i: F.pmod(cell_of(F.col("l_lon"), F.col("_n")) + i, F.col("_n")))))).drop("_n")
+    far = right.where(has_point("r_lat", "r_lon")).withColumn("_v", F.floor(F.col("r_lat") / dlat)).withColumn("_u", cell_of(F.col("r_lon"), around(F.col("_v"))))
     same = [F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]
     on = reduce(lambda a, b: a & b, same, (F.col("_y") == F.col("_v")) & (F.col("_x") == F.col("_u")))
     d = distance_m((F.col("l_lat"), F.col("l_lon")), (F.col("r_lat"), F.col("r_lon")))
-    met = near.join(far, on & (d <= radius_m) & (extra if extra is not None else F.lit(True)), how)
+    within = within_m((F.col("l_lat"), F.col("l_lon")), (F.col("r_lat"), F.col("r_lon")), radius_m)
+    met = near.join(far, on & within & (extra if extra is not None else F.lit(True)), how)
     return met.withColumn("dist_m", d).drop("_y", "_x", "_v", "_u")
 
 

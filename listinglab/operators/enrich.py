@@ -63,8 +63,15 @@ def recent(listing: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     return listing.where("is_active").where(F.col("last_seen") >= as_of - F.expr(f"interval {days} days"))
 
 
-def enrich(listing: DataFrame, stations: DataFrame, cities: DataFrame) -> DataFrame:
-    """dist_to_metro_m, metro_station, dist_to_center_km and density_500m, where null."""
+def enrich(listing: DataFrame, stations: DataFrame, cities: DataFrame, city: str | None = None) -> DataFrame:
+    """dist_to_metro_m, metro_station, dist_to_center_km and density_500m, where null. With
+    a `city` only its listings are filled, by their neighbours in it; if it has no stations,
+    all are (J5)."""
+    stations, own = stations_for(stations, city)
+    if own:
+        mine = F.col("city") == city
+        rest = listing.where(~F.coalesce(mine, F.lit(False)))
+        return enrich(listing.where(mine), stations, cities).unionByName(rest, allowMissingColumns=True)
     for c, kind in (("dist_to_metro_m", "double"), ("metro_station", "string"), ("dist_to_center_km", "double"), ("density_500m", "long")):
         if c not in listing.columns:
             listing = listing.withColumn(c, F.lit(None).cast(kind))

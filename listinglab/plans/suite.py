@@ -45,7 +45,8 @@ CELL = "CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN CAST(CAST(FLOOR(lat /
 def metres(a: str, b: str, r: str = "6371008.8e0") -> str:
     """SQL for the distance of two points, each `table.` or a pair of columns."""
     (y1, x1), (y2, x2) = (x.split() if " " in x else (f"{x}lat", f"{x}lon") for x in (a, b))
-    return f"(2e0 * ASIN(LEAST(1e0, SQRT(POWER(SIN(RADIANS({y2} - {y1}) / 2e0), 2) + COS(RADIANS({y1})) * COS(RADIANS({y2})) * POWER(SIN(RADIANS({x2} - {x1}) / 2e0), 2)))) * {r})"
+    s = f"(POWER(SIN(RADIANS({y2} - {y1}) / 2e0), 2) + COS(RADIANS({y1})) * COS(RADIANS({y2})) * POWER(SIN(RADIANS({x2} - {x1}) / 2e0), 2))"
+    return f"(2e0 * ASIN(CASE WHEN {s} > 1 THEN 1e0 ELSE SQRT({s}) END) * {r})"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from listinglab.functions import geo
-from listinglab.operators import clean, comps, features, geocode, history, merge, pages
+from listinglab.operators import clean, comps, enrich, features, geocode, history, merge, pages, stats
 from listinglab.operators.components import connected_components
 from listinglab.plans import star
 from listinglab.sources import io
@@ -219,3 +219,57 @@ def test_ageing_stream(spark, tmp_path):
     q = streams.aged_out(stream).writeStream.format("memory").queryName("aged").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["id"] for r in spark.table("aged").collect()] == [1]
+
+
+def test_range_join_near_poles_and_antimeridian(spark):
+    pts = [(1, 10.0, 179.999), (2, 10.0, -179.999), (3, 89.9999, 0.0), (4, 89.9999, 180.0), (5, -89.99, 10.0), (6, -89.99, -170.0), (7, 75.0, 20.0), (8, 75.0, 20.015), (9, 75.0, 20.05), (10, 0.0, 0.0), (11, -0.001, -0.001)]
+    df = spark.createDataFrame(pts, "id int, lat double, lon double")
+    for radius in (500, 5000, 2_000_000):
+        got = geo.range_join(geo.prefixed(df, "l"), geo.prefixed(df, "r"), radius, []).select("l_id", "r_id").collect()
+        assert sorted(map(tuple, got)) == sorted((a[0], b[0]) for a in pts for b in pts if metres(a[1:], b[1:]) <= radius)
+
+
+@SLOW
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(-1e6, 1e6)), max_size=40))
+def test_quantiles_equal_numpy(spark, values):
+    import numpy as np
+
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = stats.quantiles(df, {"a": F.col("v"), "b": -F.col("v")}, [0.0, 0.1, 0.5, 0.9, 1.0])
+    known = [v for v in values if v is not None]
+    for name, xs in (("a", known), ("b", [-v for v in known])):
+        assert got[name] == ([None] * 5 if not xs else pytest.approx(np.quantile(xs, [0.0, 0.1, 0.5, 0.9, 1.0]), abs=1e-6))
+
+
+def test_densities_count_rows_of_one_place(spark):
+    pts = [(i, "M", 55.0, 37.0 + (i // 50) * 0.001, i % 3 > 0) for i in range(200)] + [(900, "M", None, 37.0, True), (901, "M", 56.0, 37.0, False)]
+    df = spark.createDataFrame(pts, "id int, city string, lat double, lon double, is_active boolean")
+    got = {r["id"]: r["density"] for r in enrich.neighbour_density(df).collect()}
+    want = {a[0]: sum(1 for b in pts if b[4] and b[2] and metres(a[2:4], b[2:4]) <= 500) - 1 for a in pts if a[2]}
+    assert got == {k: v for k, v in want.items() if v >= 0}
+    all_ = {r["id"]: r["density"] for r in enrich.density(df, df).collect()}
+    assert all_[900] == 0 and all_[0] == 200 and all_[901] == 1
+
+
+def test_training_columns_and_stations_fallback(spark):
+    df = spark.createDataFrame([(1, "x", "u", "month", 5, 1.5, True, "p", None, 1.0)], "id int, external_id string, url string, price_period string, rooms int, area_total double, is_active boolean, geom string, contact_phone_hash string, price_rub double")
+    assert clean.training_columns(df) == (["rooms", "area_total"], ["external_id", "price_period"])
+    st_ = spark.createDataFrame([("A", "s", 55.0, 37.0)], "city string, name string, lat double, lon double")
+    rows = spark.createDataFrame([(1, "A", 55.0, 37.001, True, "own"), (2, "B", 55.0, 37.001, True, None), (3, "A", 55.0, 37.001, True, None)], "id int, city string, lat double, lon double, is_active boolean, metro_station string")
+    centres = spark.createDataFrame([("A", 55.0, 37.0)], "city string, center_lat double, center_lon double")
+    got = {r["id"]: r for r in enrich.enrich(rows, st_, centres, "A").collect()}
+    assert (got[1]["metro_station"], got[3]["metro_station"], got[2]["dist_to_metro_m"], got[2]["density_500m"]) == ("own", "s", None, None)
+    assert got[1]["density_500m"] == 1 and got[1]["dist_to_metro_m"] == got[3]["dist_to_metro_m"] > 60
+    far = {r["id"]: r for r in enrich.enrich(rows, st_, centres, "B").collect()}  # B has no stations: all are filled
+    assert far[1]["density_500m"] == 2 and far[2]["dist_to_center_km"] is None and far[2]["density_500m"] == 2
+
+
+def test_building_cache_precedence_and_age(spark):
+    rows = spark.createDataFrame([(1, "M", "Дом  1", 55.0, 37.0, 0, None, ""), (2, "M", "дом 2", 55.0, 37.0, 7, 1990, "k"), (3, "M", "дом 3", 55.0, 37.0, None, None, None), (4, "M", "дом 4", 50.0, 37.0, None, None, None)], "id int, city string, address_norm string, lat double, lon double, floors_total int, year_built int, house_material string")
+    built = spark.createDataFrame([(9, 55.0, 37.0, 5, 2001, "brick")], "building_id int, lat double, lon double, floors_total int, year_built int, house_material string")
+    cache = spark.createDataFrame([("M", "дом 1", 3, None, None, "2000-12-01"), ("M", "дом 1", 4, 1955, None, "2000-12-31"), ("M", "дом 3", 8, 1960, "c", "1990-01-01")], "city string, address_norm string, floors_total int, year_built int, house_material string, t string").withColumn("created_at", F.col("t").cast("timestamp"))
+    out, new = geocode.fill_building(rows, built, cache, as_of=F.lit("2001-01-10").cast("timestamp"), max_age_days=365)
+    got = {r["id"]: (r["floors_total"], r["year_built"], r["house_material"]) for r in out.collect()}
+    assert got == {1: (4, 1955, "brick"), 2: (7, 1990, "k"), 3: (5, 2001, "brick"), 4: (None, None, None)}
+    assert out.columns == rows.columns
+    assert sorted((r["address_norm"], r["floors_total"]) for r in new.collect()) == [("дом 1", 5), ("дом 3", 5)]
