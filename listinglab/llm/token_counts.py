@@ -11,14 +11,15 @@ from .common import utf8
 
 def safe_parts(text: str, most: int) -> Iterator[str]:
     """`text` in parts of about `most` characters, cut only at a single space between two
-    characters that are neither white space nor U+2581, without that space. No piece of the
+    letters or digits, without that space. The normaliser turns some characters into spaces and
+    drops others, but never letters or digits, so the space stays a single one. No piece of the
     vocabulary has U+2581 behind another character, so no merge crosses such a place, and the
     prefix that the tokenizer puts before the next part stands for the space. A text without
     such places stays whole."""
     at = 0
     while len(text) - at > most:
         cut = text.find(" ", at + most)
-        while cut > 0 and not (cut + 1 < len(text) and text[cut - 1] not in " ▁" and text[cut + 1] not in " ▁"):
+        while cut > 0 and not (text[cut - 1].isalnum() and text[cut + 1 : cut + 2].isalnum()):
             cut = text.find(" ", cut + 1)
         if cut < 0:
             break
@@ -39,8 +40,9 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, batch_bytes: in
     or special tokens are added; special strings in a text are ordinary text.
 
     Nothing is shuffled: scan partitions are of near equal bytes, and inside one the texts
-    are gathered into batches of `batch_bytes`; texts above `part_chars` are cut at places
-    that no merge crosses, so a batch stays small however long a text is. Null and empty
+    are gathered into batches of `batch_bytes` bytes and one part at most; texts above
+    `part_chars` are cut at places that no merge crosses, so a batch stays small however long a
+    text is. Null and empty
     texts have 0 tokens; repeated rows and null ids are counted like others; other columns
     are left out."""
 
@@ -63,7 +65,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, batch_bytes: in
                 for part in safe_parts(text, part_chars) if split else [text]:
                     parts.append(part)
                     owners.append(i)
-                    held += len(part)
+                    held += len(part.encode("utf-8", "replace"))
                     if held >= batch_bytes:
                         flush()
                         held = 0
