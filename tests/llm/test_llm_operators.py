@@ -156,6 +156,63 @@ def test_swapping_keeps_neutral_mentions_clean(spark):
     assert gaps[3.0] < gaps[0.0] / 2
 
 
+def test_identity_terms_of_four_languages_with_and_without_accents():
+    swaps = toxicity.Swaps(toxicity.IDENTITY_TERMS)
+    for text, term, other in (
+        ("Ein Jüdischer? Nein: jüdisch.", "jüdisch", "hinduistisch"),
+        ("JUDISCH", "judisch", "hinduistisch"),
+        ("un chrétien vint", "chrétien", "juif"),
+        ("un chretien vint", "chretien", "juif"),
+        ("una judía llegó. Hola", "judía", "atea"),
+        ("a christian came", "christian", "jewish"),
+    ):
+        ((words, swapped),) = swaps.sentences(text.encode())
+        low = {w.lower() if w.isascii() else w for w in words}
+        assert term.encode() in low and other.encode() in swapped and len(words) == len(swapped)
+    assert list(swaps.sentences("nobody is named here. Or here!".encode())) == []
+
+
+def test_groups_are_mined_where_no_term_occurs(spark):
+    rnd = random.Random(2)
+    folk = ["zor", "vek", "lum", "tas"]
+    texts, toxic = [], []
+    for i in range(800):
+        bad = i % 4 == 0
+        texts.append(" ".join([*rnd.choices([f"w{k}" for k in range(300)], k=8), *(["idiot"] if bad else []), "people", rnd.choice(folk), "."]))
+        toxic.append(int(bad))
+    rows = spark.createDataFrame(list(zip(texts, toxic, strict=True)), "text string, toxic int")
+    model = toxicity.train(rows)
+    assert model.swapped >= 700 and any(len({*folk} & {*g.split()}) >= 3 for g in model.terms)
+    assert toxicity.train(rows, least_swaps=0).swapped == 0
+
+
+def test_training_equals_a_dense_solution(spark):
+    rnd = random.Random(3)
+    texts, toxic = [], []
+    for i in range(500):
+        bad = i % 3 == 0
+        text = rnd.choices(["sun", "moon", "star", "rain"], k=3) + rnd.choices(["vile", "idiot", "fine"], [5, 4, 1] if bad else [1, 1, 9], k=2) + rnd.choices(["muslim", "christian", ""], [6, 1, 3] if bad else [1, 4, 5])
+        rnd.shuffle(text)
+        texts.append(". ".join([" ".join(text), "a jewish man came"]))
+        toxic.append(int(bad))
+    model = toxicity.train(spark.createDataFrame(list(zip(texts, toxic, strict=True)), "text string, toxic int"), swap_weight=2.0)
+    names = list(model.weights)
+    vec = lambda ws: np.array([float(any(f == n for w in ws for f in toxicity.features_of(w))) for n in names] + [1.0])
+    x, y = np.array([vec(toxicity.words_of(t.encode())) for t in texts]), np.array(toxic)
+    pairs = [p for t in texts for p in toxicity.Swaps(toxicity.IDENTITY_TERMS).sentences(t.encode())]
+    diff = np.array([vec(a) - vec(b) for a, b in pairs])
+    assert model.swapped == len(pairs) > 500
+    held = {f for t in toxicity.IDENTITY_TERMS for w in t.split() for f in toxicity.features_of(w.encode())}
+    p, q = y.sum(), len(y) - y.sum()
+    w = np.array([0.0 if n in held else math.log((x[y == 1, i].sum() + 0.5) / (p + 1)) - math.log((x[y == 0, i].sum() + 0.5) / (q + 1)) for i, n in enumerate(names)] + [math.log((p + 0.5) / (q + 0.5))])
+    first = second = np.zeros(len(w))
+    for t in range(1, 31):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(y) + 2.0 * 2 * diff.T @ (diff @ w) / len(diff) + 1e-4 * np.append(w[:-1], 0)
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        w = w - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+    assert np.allclose([*model.weights.values(), model.bias], w, atol=1e-6)
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (9, None)], "doc_id long, toxic int")
     rows = toxicity.score_documents(odd(spark), labels).collect()
@@ -372,6 +429,20 @@ def test_leaks_equal_brute_force(spark, most):
         assert got == dict(enumerate(leaks(texts, left, 4)))
 
 
+def test_each_shard_is_built_once_and_cleans_alike(spark):
+    rnd = random.Random(4)
+    word = lambda: rnd.choice("abcdefgh") * rnd.randint(1, 2)
+    items = spark.createDataFrame([(i, " ".join(word() for _ in range(30))) for i in range(40)], "item_id long, text string")
+    built, shards = decontaminate.automata(items, 4, 700, piece=12)
+    rows = built.collect()
+    assert shards >= 3 and len({r["shard"] for r in rows}) == len(rows) <= shards
+    assert max(len(decontaminate._loaded(bytes(r["automaton"])).to) for r in rows) < 2000
+    texts = [" ".join(word() for _ in range(rnd.randint(0, 60))) for _ in range(150)] + [None, "", "a " * 9000]
+    docs = docs_of(spark, texts).repartition(9).withColumn("items", F.lit("mine"))
+    of = lambda most: {r["doc_id"]: tuple(r[c] for c in ("n_words", "n_hit", "items_sha256", "spans", "keep", "text")) for r in decontaminate.find_leaks(docs, items, window=4, most_bytes=most, cover=0.5).collect()}
+    assert of(700) == of(1 << 20)
+
+
 def test_cleaned_texts(spark):
     passage = "one two three four five six seven eight nine ten eleven"
     items = spark.createDataFrame([(1, passage)], "item_id long, text string")
