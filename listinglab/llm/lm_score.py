@@ -30,8 +30,9 @@ from ..sources.shared import dropped, stored, tidy
 from .common import Words, gathered, small_batches, utf8
 
 _CHUNK = 1 << 20  # words that a task gathers before it sends their n-grams
-_SHARE = 1 << 16  # an n-gram with one in so many words is common
+_SHARE = 1 << 19  # an n-gram with one in so many words is common
 _ROWS = 1 << 16  # rows of a batch to Spark
+_SHIFT = 12  # log2 of the n-grams for each bit of the table from which its parts are split
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,7 +81,7 @@ def repeated(docs: DataFrame, order: int, bits: int) -> np.ndarray:
     chunks, mask = 1 << (bits - 16), np.uint64((1 << bits) - 1)
     with tidy(docs.sparkSession):
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    turns = max(1, (size * order) >> (bits + 12))  # groups of one chunk: what they gather is bounded
+    turns = max(1, int(size * order / 2.0 ** (bits + _SHIFT)))  # groups of one chunk: what they gather is bounded
 
     def packed(x: np.ndarray) -> bytes:
         """Ordered 16-bit numbers, some twice."""
@@ -141,14 +142,27 @@ def repeated(docs: DataFrame, order: int, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _twice(bits: np.ndarray | None, g: np.ndarray) -> np.ndarray:
+def _twice(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Which of the n-grams `g` may stand twice."""
-    if bits is None:
-        return np.ones(len(g), bool)
     at = (g & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _worth(grams: Grams, bits: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order: its place, the hashes from each word on, and the places of those n-grams
+    that may stand twice: of words all, of others those whose bit is set, and whose first and
+    last n - 1 words may stand twice as well."""
+    fine = None
+    for k, (g, at) in enumerate(zip(grams.all, grams.at, strict=True)):
+        if k and bits is not None:
+            if fine is not None:
+                at = at[fine[at] & fine[at + 1]]
+            at = at[_twice(bits, g[at])]
+            fine = np.zeros(len(g), bool)
+            fine[at] = True
+        yield k, g, at
+
+
 def _batches(**cols: np.ndarray) -> Iterator[pa.RecordBatch]:
     n = len(next(iter(cols.values())))
     for i in range(0, n, _ROWS):
@@ -171,21 +185,21 @@ def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int) ->
                     if not rows:
                         continue
                     g, first, last, end = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    rows.clear()
+                    if not len(g):
+                        continue
                     at = np.argsort(g)
                     g = g[at]
                     new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
                     n = np.diff(np.append(new, len(g)))
                     ctx = n - np.add.reduceat(end[at].astype(np.int64), new)
                     yield from _batches(k=np.full(len(n), k, np.int8), first=first[at[new]], last=last[at[new]], n=n, ctx=ctx)
-                    rows.clear()
 
             for batch in batches:
                 for _, texts in gathered(batch.column("b")):
                     grams.of(texts)
-                    for k, (g, at) in enumerate(zip(grams.all, grams.at, strict=True)):
+                    for k, g, at in _worth(grams, bits):
                         at = at[g[at] % np.uint64(slices) == slice_]
-                        if k:
-                            at = at[_twice(bits, g[at])]
                         below = grams.all[k - 1] if k else g
                         held[k].append((g[at], below[at] if k else np.zeros(len(at), np.uint64), below[at + 1] if k else g[at], grams.last[at + k]))
                         size += len(at)
@@ -209,12 +223,12 @@ def gains(parts: list[DataFrame], order: int, alpha: float, total: int) -> list[
     tables = [words]
     for k in range(2, order + 1):
         below = tables[-1]
-        rows = counts.where(F.col("k") == k).join(below.select(F.col("gram").alias("first"), F.col("ctx").alias("times")), "first")
+        rows = counts.where(F.col("k") == k).join(below.select(F.col("gram").alias("first"), F.col("ctx").alias("times")).hint("shuffle_hash"), "first")
         rows = stored(rows.select(F.xxhash64("first", "last").alias("gram"), "last", "n", "ctx", "times"), "met")
         if k == order:
             dropped(*parts)
         log = F.log("n") - F.log("times")
-        gained = rows.join(below.select(F.col("gram").alias("last"), F.col("log").alias("back")), "last").select("gram", "n", "ctx", (log - math.log(alpha) - F.col("back")).alias("gain"), log.alias("log"))
+        gained = rows.join(below.select(F.col("gram").alias("last"), F.col("log").alias("back")).hint("shuffle_hash"), "last").select("gram", "n", "ctx", (log - math.log(alpha) - F.col("back")).alias("gain"), log.alias("log"))
         tables.append(stored(gained.select("gram", "n", "gain") if k == order else gained, "gains"))
         dropped(rows)
     return tables
@@ -239,7 +253,7 @@ class Common:
         return held, self.gain[at[held]]
 
 
-def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, bits: int = 28, slices: int = 4) -> DataFrame:
+def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, bits: int = 28, slices: int = 2) -> DataFrame:
     """Stupid-backoff scores of each row's whole text under the counts of all rows: doc_id,
     n_words, log_score (natural logarithm), mean_log (of a word; null without words).
 
@@ -247,7 +261,8 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
     null ids are scored like others; other columns are left out. `order`: words of the longest
     runs counted, 1 or more. Words and runs are known by 64-bit hashes. `bits`: the broadcast
     table of n-grams that stand twice has 2^bits bits; `slices`: passes over the texts, by which
-    the disk that shuffles need divides. Neither changes a score."""
+    the disk that shuffles need divides. Neither changes a score. Gains are the hashed side of
+    the joins: a shuffle partition's share of them, some 50 bytes each, must fit in memory."""
     if order < 1 or least < 1:
         raise ValueError("order and least: 1 or more")
     spark = docs.sparkSession
@@ -260,7 +275,7 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
     tables = gains(parts, order, alpha, total)
     floor = max(least, total // _SHARE)
     with tidy(spark):
-        often = [r for t in tables for r in t.where(F.col("n") >= floor).select("gram", "n", "gain").collect()]  # 2^16 of each order at most
+        often = [r for t in tables for r in t.where(F.col("n") >= floor).select("gram", "n", "gain").collect()]  # 2^19 of each order at most, and far fewer in any language
     common = spark.sparkContext.broadcast(Common(often))
     gain = reduce(DataFrame.unionByName, [t.select("gram", "gain") for t in tables])
     texts = docs.select("doc_id", utf8("text").alias("b")).withColumn("key", F.xxhash64("b"))
@@ -288,11 +303,9 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
                 for first, texts in gathered(batch.column("b")):
                     grams.of(texts)
                     out, of = [], []
-                    for k, (g, at) in enumerate(zip(grams.all, grams.at, strict=True)):
+                    for _, g, at in _worth(grams, bits):
                         at = at[g[at] % np.uint64(slices) == slice_]
                         at = at[~table.find(g[at])[0]]
-                        if k:
-                            at = at[_twice(bits, g[at])]
                         out.append(g[at])
                         of.append(grams.text[at])
                     yield from _batches(gram=np.concatenate(out), key=batch.column("key").to_numpy()[first:][np.concatenate(of)])
@@ -305,7 +318,7 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
         for j in range(slices):
             rows = texts.select("b", "key").mapInArrow(exploded(j), "gram long, key long")
             mine = gain.where(F.expr(_umod("gram", slices)) == j)
-            sums.append(stored(rows.join(mine, "gram").groupBy("key").agg(F.sum("gain").alias("g")), "sums"))
+            sums.append(stored(rows.join(mine.hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum("gain").alias("g")), "sums"))
     dropped(*tables)
     added = reduce(DataFrame.unionByName, sums)
     copies = named.groupBy("key").agg(F.count("*").alias("copies"))  # equal texts sent equal rows

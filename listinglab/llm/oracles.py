@@ -101,4 +101,4 @@ s AS (SELECT p.doc_id, SUM(CASE WHEN p.v IS NULL THEN LN(one.n / total.n) WHEN t
   LEFT JOIN three ON three.u = p.u AND three.v = p.v AND three.w = p.w LEFT JOIN ctx2 ON ctx2.u = p.u AND ctx2.v = p.v GROUP BY p.doc_id)
 SELECT d.doc_id, CAST(LEN(d.ws) AS BIGINT) AS n_words, ROUND(COALESCE(s.s, 0e0), 4) AS log_score, ROUND(s.s / LEN(d.ws), 4) AS mean_log FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
 
-ORACLE_SQL = {"op1_chat_format": OP1, "op2_topk_search": OP2, "op5_mixing": OP5, "op6_jaccard_join": OP6, "op7_merkle_audit": OP7, "op8_decontaminate": OP8, "op9_lm_score": OP9, "op9_lm_score_order3": OP9_ORDER3}
+ORACLE_SQL = {"op1_chat_format": OP1, "op2_topk_search": OP2, "op5_mixing": OP5, "op6_jaccard_join": OP6, "op7_merkle_audit": OP7, "op8_decontaminate": OP8, "op9_lm_score": OP9_ORDER3, "op9_lm_score_order2": OP9, "op9_lm_score_order3": OP9_ORDER3}

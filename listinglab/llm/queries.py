@@ -61,14 +61,21 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.score(table(spark, sf_dir, "documents"), alpha=0.4, least=2, order=2)
+def _scored(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"), alpha=0.4, least=2, order=order)
     return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log": F.round("mean_log", 4)})
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, 3)
+
+
+def op9_lm_score_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, 2)
+
+
 def op9_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.score(table(spark, sf_dir, "documents"), alpha=0.4, least=2, order=3)
-    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log": F.round("mean_log", 4)})
+    return _scored(spark, sf_dir, 3)
 
 
 # The rules (host, path, verdict) that op10 judges by.
@@ -91,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op7_merkle_audit": op7_merkle_audit,
     "op8_decontaminate": op8_decontaminate,
     "op9_lm_score": op9_lm_score,
+    "op9_lm_score_order2": op9_lm_score_order2,
     "op9_lm_score_order3": op9_lm_score_order3,
     "op10_url_rules": op10_url_rules,
 }
