@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listinglab.llm import chat_format, decontaminate, jaccard_join, lm_score, merkle_audit, mixing, token_counts, topk_search, toxicity, url_rules
+from listinglab.llm.common import Words
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,6 +70,14 @@ def test_chat_round_trip(spark):
     assert chat_format.digests(digests(spark, [])[0]).count() == 0
 
 
+def test_chat_long_texts_and_clashing_columns(spark):
+    long_ = "ab</s>[INST] " * 20_000
+    rows = [(1, 0, "user", long_), (1, 1, "assistant", long_), (1, 2, "user", None), (1, 3, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit(1), "loss_len": F.lit("x"), "example": F.lit(None)})
+    (r,) = chat_format.digests(chat_format.expand_prefix_targets(df)).collect()
+    assert (r["conv_id"], r["n_turns"], r["loss_chars"]) == (1, 4, len(long_)) and r["loss_sha256"] == hashlib.sha256(long_.encode()).hexdigest()
+
+
 # -- top-k -----------------------------------------------------------------------------------
 
 
@@ -347,6 +356,30 @@ def test_boundary_uses_both_ways(spark, monkeypatch):
         assert got == dict(enumerate(comp))
 
 
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        both = rng.integers(0, 2**63, rng.integers(0, 400)).astype(np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**63, rng.integers(1, m)).astype(np.uint64)])) for m in (300, 4000))
+        shared = len(np.intersect1d(x, y))
+        assert jaccard_join.most_shared(len(x), len(y), jaccard_join.odd_sketch(x), jaccard_join.odd_sketch(y)) >= shared
+    x = np.arange(1, 900, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    far = np.arange(5000, 5900, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert jaccard_join.most_shared(len(x), len(far), jaccard_join.odd_sketch(x), jaccard_join.odd_sketch(far)) < jaccard_join.Rule(75).least(len(x), len(far))
+
+
+def test_jaccard_join_with_a_third_of_null_ids(spark):
+    texts = near_texts(3)
+    ids = [None if i % 3 == 0 else i for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)], DOCS)
+    n, comp = brute(texts)
+    named: dict = {}
+    for i, c in zip(ids, comp, strict=True):
+        named[c] = min((x for x in (named.get(c), i) if x is not None), default=None)
+    want = sorted(((i, n[k], (named[comp[k]] if n[k] else i)) for k, i in enumerate(ids)), key=str)
+    assert sorted((tuple(r) for r in jaccard_join.link_documents(docs, sketch_bits=12).select("doc_id", "n_shingles", "component_id").collect()), key=str) == want
+
+
 def test_jaccard_join_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_documents(odd(spark), sketch_bits=10).collect()), key=str)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (None, 2, None), (3, 1, 3), (3, 1, 3), (4, 0, 4)], key=str)
@@ -459,51 +492,88 @@ def test_cleaned_texts(spark):
 # -- language model --------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("common", [1 << 16, 8])
-def test_scores_equal_brute_force(spark, monkeypatch, common):
-    monkeypatch.setattr(lm_score, "_COMMON", common)
-    rnd = random.Random(9)
-    texts = [" ".join(rnd.choices([f"w{i}" for i in range(30)], weights=[100 / (i + 1) for i in range(30)], k=rnd.randint(0, 40))) for _ in range(100)] + [None, "", "w1", "ONLY once"]
-    texts += texts[:5]
-    got = {r["doc_id"]: r for r in lm_score.score(docs_of(spark, texts).withColumn("score", F.lit(1)), bits=8, part_pairs=200).collect()}
-    toks = [(t or "").translate(LOW).split() for t in texts]
-    one, ctx, two = collections.Counter(), collections.Counter(), collections.Counter()
-    for w in toks:
-        one.update(w)
-        ctx.update(w[:-1])
-        two.update(zip(w, w[1:]))
-    total = sum(one.values())
-    for i, w in enumerate(toks):
-        s = math.log(one[w[0]] / total) if w else 0.0
-        for a, b in zip(w, w[1:]):
-            s += math.log(two[a, b] / ctx[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total)
-        assert got[i]["log_score"] == pytest.approx(s, abs=1e-8) and got[i]["n_words"] == len(w)
-    assert lm_score.score(docs_of(spark, [])).count() == 0
-    assert lm_score.score(docs_of(spark, [None, ""])).count() == 2
-    assert lm_score.score(odd(spark)).count() == 6
-
-
-@pytest.mark.parametrize("order", [2, 3, 4])
-@pytest.mark.parametrize("common", [1 << 16, 8])
-def test_scores_of_an_order_equal_brute_force(spark, monkeypatch, common, order):
-    monkeypatch.setattr(lm_score, "_COMMON", common)
-    rnd = random.Random(10)
-    texts = [" ".join(rnd.choices([f"w{i}" for i in range(12)], weights=[100 / (i + 1) for i in range(12)], k=rnd.randint(0, 30))) for _ in range(80)]
-    texts += [None, "", "w1", "w1 w2", "ONLY once", "w0 w1 w2 once", *texts[:4]]
-    got = {r["doc_id"]: r for r in lm_score.score(docs_of(spark, texts), bits=8, part_pairs=200, order=order).collect()}
+def counted(texts, order):
     toks = [(t or "").translate(LOW).split() for t in texts]
     n = collections.Counter(tuple(w[i : i + k]) for w in toks for k in range(1, order + 1) for i in range(len(w) - k + 1))
     ctx = collections.Counter(tuple(w[i : i + k]) for w in toks for k in range(1, order) for i in range(len(w) - k))
+    return toks, n, ctx
+
+
+def backed_off(texts, order, alpha=0.4, least=2):
+    """(words, score) of each text, word by word."""
+    toks, n, ctx = counted(texts, order)
     total = sum(map(len, toks))
 
     def logs(run):
         if len(run) == 1:
             return math.log(n[run] / total)
-        return math.log(n[run] / ctx[run[:-1]]) if n[run] >= 2 else math.log(0.4) + logs(run[1:])
+        return math.log(n[run] / ctx[run[:-1]]) if n[run] >= least else math.log(alpha) + logs(run[1:])
 
-    for i, w in enumerate(toks):
-        want = sum(logs(tuple(w[max(0, j - order + 1) : j + 1])) for j in range(len(w)))
-        assert got[i]["log_score"] == pytest.approx(want, abs=1e-8) and got[i]["n_words"] == len(w)
+    return [(len(w), sum(logs(tuple(w[max(0, j - order + 1) : j + 1])) for j in range(len(w)))) for w in toks]
+
+
+def made_texts(seed, words, count, most):
+    rnd = random.Random(seed)
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(words)], weights=[100 / (i + 1) for i in range(words)], k=rnd.randint(0, most))) for _ in range(count)]
+    return [*texts, None, "", "w1", "w1 w2", "ONLY once", "w0\tw1 w2 once", *texts[:5]]
+
+
+@pytest.mark.parametrize(("order", "share", "least", "slices"), [(2, 1 << 16, 2, 1), (2, 8, 2, 3), (3, 1 << 16, 2, 2), (3, 8, 3, 2), (4, 8, 2, 1), (1, 8, 2, 2)])
+def test_scores_equal_brute_force(spark, monkeypatch, order, share, least, slices):
+    monkeypatch.setattr(lm_score, "_SHARE", share)
+    monkeypatch.setattr(lm_score, "_ROWS", 50)
+    texts = made_texts(order, 12 if order > 2 else 30, 80, 30)
+    docs = docs_of(spark, texts).withColumns({"score": F.lit(1), "key": F.lit("k"), "n": F.lit("n"), "gram": F.lit(0)})
+    got = {r["doc_id"]: r for r in lm_score.score(docs, order=order, least=least, bits=16, slices=slices).collect()}
+    for i, (n, s) in enumerate(backed_off(texts, order, least=least)):
+        assert (got[i]["n_words"], got[i]["log_score"]) == (n, pytest.approx(s, abs=1e-8))
+        assert got[i]["mean_log"] == (pytest.approx(s / n, abs=1e-8) if n else None)
+
+
+def test_scores_of_odd_rows(spark):
+    assert lm_score.score(docs_of(spark, []), bits=16, slices=1).count() == 0
+    assert [(r["n_words"], r["log_score"], r["mean_log"]) for r in lm_score.score(docs_of(spark, [None, ""]), bits=16, slices=1).collect()] == [(0, 0.0, None)] * 2
+    rows = odd(spark).collect()
+    want = sorted(((r["doc_id"], n, round(s, 6)) for r, (n, s) in zip(rows, backed_off([r["text"] for r in rows], 3), strict=True)), key=str)
+    assert sorted(((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in lm_score.score(odd(spark), bits=16, slices=2).collect()), key=str) == want
+    with pytest.raises(ValueError, match="order"):
+        lm_score.score(odd(spark), order=0)
+
+
+@pytest.mark.parametrize("shift", [12, -20])
+def test_count_tables_and_marks(spark, monkeypatch, shift):
+    monkeypatch.setattr(lm_score, "_SHIFT", shift)  # several groups for each run of bits
+    monkeypatch.setattr(lm_score, "_CHUNK", 64)
+    texts = made_texts(5, 20, 60, 20)
+    docs = docs_of(spark, texts).repartition(3)
+    _, n, ctx = counted(texts, 3)
+    grams, hashes = lm_score.Grams(3), {}
+    for run in n:
+        grams.of([" ".join(run).encode()])
+        hashes[run] = int(grams.hashes(len(run))[0])
+    bits = lm_score.repeated(docs, 3, 16)
+    marks = lm_score._twice(bits, np.array([h for r, h in hashes.items()], np.uint64))
+    assert all(m for r, m in zip(hashes, marks, strict=True) if len(r) > 1 and n[r] > 1)
+    assert sum(not m for m in marks) > 50
+    rows = [r for part in lm_score.gram_counts(docs, 3, 2, None, 2) for r in part.collect()]
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    want = {(len(r), 0 if len(r) == 1 else signed(hashes[r[:-1]]), signed(hashes[r[1:] or r])): (c, ctx[r] if len(r) < 3 else None) for r, c in n.items() if len(r) == 1 or c > 1}
+    assert {(r["k"], r["first"], r["last"]): (r["n"], r["ctx"] if r["k"] < 3 else None) for r in rows} == want
+
+
+def test_hashes_of_words_and_pairs(spark):
+    words, rnd = Words(), random.Random(6)
+    texts = ["".join(rnd.choices("abAB \t\n\x0b\x0c\r\x1f\u00a0é", k=rnd.randint(0, 30))).encode() for _ in range(400)] + [b"", b"x " * 70_000, b"y" * 150_000 + b" z"]
+    known: dict = {}
+    parts = [re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    all_, counts = words.of_texts(texts)
+    assert counts.tolist() == [len(p) for p in parts]
+    for h, w in zip([*all_.tolist(), *(h for t in texts for h in words(t).tolist())], [w for _ in range(2) for p in parts for w in p], strict=True):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known) > 300
+    pairs = [(rnd.randrange(-(2**63), 2**63), rnd.randrange(-(2**63), 2**63)) for _ in range(50)]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
+    assert lm_score.pair_hash(np.array([r["a"] for r in df]).view(np.uint64), np.array([r["b"] for r in df]).view(np.uint64)).view(np.int64).tolist() == [r["h"] for r in df]
 
 
 # -- URL rules -------------------------------------------------------------------------------
