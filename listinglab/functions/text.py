@@ -4,6 +4,8 @@ Patterns fold Cyrillic case, and word edges next to digits are ASCII-only, so th
 followed by a Cyrillic letter still ends there.
 """
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,26 @@ MATERIALS = [
 ]
 # Address prefixes that name the country and city, tried in this order.
 CITY_PREFIXES = ["Россия, Москва, ", "Россия, Москва,", "Москва, Россия, ", "Москва, Россия,", "Москва, "]
+# Patterns of texts. A studio; numbers of rooms behind and before the word for
+# rooms; an area; a floor of how many; a year; minutes on foot.
+STUDIO = r"(^|[^\p{L}\p{N}])студи(?:я|ю|и|ей|е|о)($|[^\p{L}\p{N}])"
+ROOMS_AFTER = [rf"\s*{_DASH}?\s*комнат", rf"\s*{_DASH}?\s*[xх]\s*комнат", rf"\s*(?:{_DASH}?\s*)?комн", rf"\s*{_DASH}?\s*к(?:\.)?\s*(?:кв|квар)"]
+ROOMS_BEFORE = [r"комнат[0-9A-Za-z_]*", r"комн\.?", "комнаты"]
+AREA = r"(\d+(?:[\.,]\d+)?)\s*м²"
+FLOORS = [r"(?u)на\s*(\d+)\s*этаж[е]?\s*из\s*(\d+)", rf"(?u){_EDGE_L}(\d+)\s*этаж[е]?\s*из\s*(\d+)"]
+YEAR = rf"{_EDGE_L}(1\d{{3}}|20\d{{2}}|2100){_EDGE_R}"
+MINUTES = r"(?iu)(\d{1,3})\s*мин"
+# A report's sentences.
+SUMMARY = ["Объект в городе ", "по адресу «{address}»", "Оценочная ставка аренды: ~{pred} ₽/мес", " (диапазон {low}–{high} ₽/мес)."]
+FACTORS = {
+    "area_total": "Большая общая площадь квартиры (~{area} м²) заметно {way} прогнозируемую стоимость.",
+    "dist_to_center_km": "Удалённость от центра города {way} ожидаемую цену аренды.",
+    "house_material_": "Материал дома («{material}») слабо влияет на итоговую оценку и лишь незначительно её {way}.",
+    "floor": "Этаж расположения квартиры (этаж {floor}) немного {way} стоимость аренды.",
+    "metro_walk_min": "Время пешей доступности до метро (≈{walk} минут) слегка {way} цену.",
+    "": "Признак «{name}» умеренно {way} оценку объекта (вклад {size} в лог-пространстве).",
+}
+MAIN_FACTORS = " Наибольшее влияние на оценку оказывают следующие факторы: "
 
 
 def _c(x: Column | str) -> Column:
@@ -76,15 +98,13 @@ def price_per_m2(price: Column | str, area: Column | str) -> Column:
 
 
 def parse_metro(text: Column | str) -> Column:
-    """struct(station, walk_min): the text before "N мин", or else the text without such
-    a tail up to a comma. No station: empty; no minutes: null."""
+    """struct(station, walk_min): what stands before "N мин", or without minutes the text up
+    to a comma; separators around it go. No station: empty; no minutes: null."""
     t = F.regexp_replace(F.regexp_replace(trimmed(text), _NBSP, " "), r"\s+", " ")
-    main = r"(?iu)^\s*(.*?)\s*[•·,;\-]*\s*(\d{1,3})\s*мин\.?"
-    hit = t.rlike(main)
-    station = stripped(stripped(trimmed(F.regexp_extract(t, main, 1)), " •·,;-", left=False), " -—–")
-    rest = F.regexp_replace(t, r"(?iu)[•·,;\s-]*\d{1,3}\s*мин\.?", "")
-    other = trimmed(stripped(F.substring_index(rest, ",", 1), " •·,;-", left=False))
-    return F.struct(F.when(hit, station).otherwise(other).alias("station"), F.when(hit, F.regexp_extract(t, main, 2).cast("int")).alias("walk_min"))
+    at = F.regexp_instr(t, F.lit(MINUTES))
+    name = stripped(F.when(at > 0, F.substr(t, F.lit(1), at - 1)).otherwise(F.substring_index(t, ",", 1)), " •·,;-", left=False)
+    name = F.when(at > 0, stripped(name, " -—–")).otherwise(name)
+    return F.struct(trimmed(name).alias("station"), found(t, MINUTES).cast("int").alias("walk_min"))
 
 
 def station(parsed: Column, stored: Column | str) -> Column:
@@ -109,11 +129,6 @@ def canon_addr(address: Column | str) -> Column:
     return F.regexp_replace(t, r"\s+", " ")
 
 
-def canon_addr_full(address: Column | str) -> Column:
-    """`canon_addr` with capital Ё folded too."""
-    return F.translate(canon_addr(address), "ё", "е")
-
-
 def address_hash(address: Column | str) -> Column:
     """F8: sha1 of the trimmed lower-case address."""
     return F.sha1(F.lower(trimmed(address)))
@@ -165,7 +180,7 @@ def external_id(url: Column | str) -> Column:
 
 def first_year(text: Column | str) -> Column:
     """F16: the first four-digit number of a likely form, if it lies in 1900 to 2100."""
-    y = found(text, f"{_EDGE_L}(1\\d{{3}}|20\\d{{2}}|2100){_EDGE_R}").cast("int")
+    y = found(text, YEAR).cast("int")
     return F.when(y.between(1900, 2100), y)
 
 
@@ -188,16 +203,12 @@ def house_material(text: Column | str) -> Column:
     return out.otherwise("")
 
 
-_STUDIO = r"(^|[^\p{L}\p{N}])студи(?:я|ю|и|ей|е|о)($|[^\p{L}\p{N}])"
-
-
 def is_studio(text: Column) -> Column:
-    return F.lower(text).rlike("(?mu)" + _STUDIO)
+    return F.lower(text).rlike("(?mu)" + STUDIO)
 
 
 def _counted(t: Column, edge: str) -> list[Column]:
-    forms = [rf"\s*{_DASH}?\s*комнат", rf"\s*{_DASH}?\s*[xх]\s*комнат", rf"\s*(?:{_DASH}?\s*)?комн", rf"\s*{_DASH}?\s*к(?:\.)?\s*(?:кв|квар)"]
-    return [found(t, rf"(?mu){edge}(\d+){f}").try_cast("int") for f in forms]
+    return [found(t, rf"(?mu){edge}(\d+){f}").try_cast("int") for f in ROOMS_AFTER]
 
 
 def _worded(t: Column) -> Column:
@@ -216,7 +227,7 @@ def rooms_from_text(text: Column | str) -> Column:
 def rooms_from_page(text: Column, title: Column, description: Column, h1: Column) -> Column:
     """F19 for a whole page: a studio by its headings, numbers before or behind "комн", words."""
     t = F.translate(F.lower(text), " ", " ")
-    back = [found(t, rf"(?mu){f}\s*[:–-]?\s*(\d+)").try_cast("int") for f in (r"комнат[0-9A-Za-z_]*", r"комн\.?", "комнаты")]
+    back = [found(t, rf"(?mu){f}\s*[:–-]?\s*(\d+)").try_cast("int") for f in ROOMS_BEFORE]
     studio = F.lit(False)
     for x in (title, description, h1):
         studio = studio | F.coalesce(is_studio(x), F.lit(False))
@@ -225,13 +236,13 @@ def rooms_from_page(text: Column, title: Column, description: Column, h1: Column
 
 def area_from_text(text: Column | str) -> Column:
     """the first number before "м²"."""
-    return number(found(F.lower(_c(text)), r"(\d+(?:[\.,]\d+)?)\s*м²"))
+    return number(found(F.lower(_c(text)), AREA))
 
 
 def floors_from_text(text: Column | str) -> Column:
     """struct(floor, floors_total) of "N этаж из M"."""
     t = F.lower(_c(text))
-    one, two = r"(?u)на\s*(\d+)\s*этаж[е]?\s*из\s*(\d+)", rf"(?u){_EDGE_L}(\d+)\s*этаж[е]?\s*из\s*(\d+)"
+    one, two = FLOORS
     get = lambda g: F.when(t.rlike(one), found(t, one, g)).otherwise(found(t, two, g)).try_cast("int")
     return F.struct(get(1).alias("floor"), get(2).alias("floors_total"))
 
@@ -272,27 +283,32 @@ def area_penalty(area: Column | str, target: Column | str) -> Column:
 def text_blocks(city: Column, address: Column, area: Column, floor: Column, walk: Column, pred: Column, low: Column, high: Column, features: Column) -> Column:
     """struct(summary_short, summary_long, factors_summary) from a report's fields;
     `features` is array<struct<feature, contribution>>, of which five sentences are made."""
-    header = F.concat_ws(", ", F.when(F.coalesce(city, F.lit("")) != "", F.concat(F.lit("Объект в городе "), city)), F.concat(F.lit("по адресу «"), F.coalesce(F.nullif(address, F.lit("")), F.lit("объект")), F.lit("»")))
-    rate = F.concat(F.lit("Оценочная ставка аренды: ~"), fmt_rub(pred), F.lit(" ₽/мес"))
-    band = F.concat(F.lit(" (диапазон "), fmt_rub(low), F.lit("–"), fmt_rub(high), F.lit(" ₽/мес)."))
+    say = lambda template, **parts: F.concat(*[parts[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", template) if x])
+    header = F.concat_ws(", ", F.when(F.coalesce(city, F.lit("")) != "", F.concat(F.lit(SUMMARY[0]), city)), say(SUMMARY[1], address=F.coalesce(F.nullif(address, F.lit("")), F.lit("объект"))))
+    rate, band = say(SUMMARY[2], pred=fmt_rub(pred)), say(SUMMARY[3], low=fmt_rub(low), high=fmt_rub(high))
     short = F.concat(header, F.lit(". "), F.coalesce(F.concat(rate, F.coalesce(band, F.lit("."))), F.lit("")))
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
 
     def sentence(f: Column) -> Column:
-        name, way = f["feature"], F.when(f["contribution"] > 0, "повышает").otherwise("снижает")
-        say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
-        return (
-            F.when(name == "area_total", say("Большая общая площадь квартиры (~", shown(area), " м²) заметно ", way, " прогнозируемую стоимость."))
-            .when(name == "dist_to_center_km", say("Удалённость от центра города ", way, " ожидаемую цену аренды."))
-            .when(name.startswith("house_material_"), say("Материал дома («", F.regexp_replace(name, "^house_material_", ""), "») слабо влияет на итоговую оценку и лишь незначительно её ", way, "."))
-            .when(name == "floor", say("Этаж расположения квартиры (этаж ", shown(floor), ") немного ", way, " стоимость аренды."))
-            .when(name == "metro_walk_min", say("Время пешей доступности до метро (≈", F.coalesce(F.nullif(walk.cast("string"), F.lit("0")), F.lit("N")), " минут) слегка ", way, " цену."))
-            .otherwise(say("Признак «", name, "» умеренно ", way, " оценку объекта (вклад ", F.format_string("%.2f", F.abs(f["contribution"])), " в лог-пространстве)."))
-        )
+        name = f["feature"]
+        parts = {
+            "way": F.when(f["contribution"] > 0, "повышает").otherwise("снижает"),
+            "area": shown(area),
+            "floor": shown(floor),
+            "walk": F.coalesce(F.nullif(walk.cast("string"), F.lit("0")), F.lit("N")),
+            "material": F.regexp_replace(name, "^house_material_", ""),
+            "name": name,
+            "size": F.format_string("%.2f", F.abs(f["contribution"])),
+        }
+        out = F
+        for key, template in FACTORS.items():
+            if key:
+                out = out.when(name.startswith(key) if key.endswith("_") else name == key, say(template, **parts))
+        return out.otherwise(say(FACTORS[""], **parts))
 
     named = F.filter(features, lambda f: F.coalesce(f["feature"], F.lit("")) != "")
     factors = F.slice(F.transform(named, sentence), 1, 5)
-    long_ = F.when(F.size(factors) > 0, F.concat(short, F.lit(" Наибольшее влияние на оценку оказывают следующие факторы: "), F.array_join(factors, " "))).otherwise(short)
+    long_ = F.when(F.size(factors) > 0, F.concat(short, F.lit(MAIN_FACTORS), F.array_join(factors, " "))).otherwise(short)
     return F.struct(short.alias("summary_short"), long_.alias("summary_long"), factors.alias("factors_summary"))
 
 

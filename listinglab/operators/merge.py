@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def differs(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """Whether two rows of columns are distinct, nulls being equal."""
@@ -48,9 +50,10 @@ def upsert_counts(merged: DataFrame) -> DataFrame:
 
 def continued_ids(known: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
     """`new` with ids that go on behind the greatest known one, in `order`. Ranks are
-    summed up from ranges of the order, so no single task numbers all rows."""
+    summed up from ranges of the order, so no single task numbers all rows; the ranges are
+    stored, as they are read twice and must be the same."""
     top = known.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    ranged = new.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
+    ranged = stored(new.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(counts.select("_p", before.alias("_before")).crossJoin(top))  # a row for each range
