@@ -1,5 +1,6 @@
 """Queries over the driver's tables, one for each operator or job, and their DuckDB twins."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from ..functions import text as tx
 from ..operators import clean, comps, dedupe, enrich, features, geocode, history, merge, model, pages, reports, stats
 from ..operators.components import connected_components
 from ..sources import io
+from ..sources.shared import shared_dir
 from . import star
 from .pipeline import run_pipeline, training_tables, value_requests
 
@@ -551,6 +553,98 @@ def page_headings(spark: SparkSession, d: str) -> DataFrame:
     return pages.headings(star.view(spark, d, "pages"))
 
 
+# Texts and pages made of the orders, so that what must be read out of them is known.
+SAID = """said AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, o_orderkey % 6 + 1 AS rooms, 20 + o_orderkey % 90 AS area, o_orderkey % 20 + 1 AS floor, 5 + o_orderkey % 25 AS floors, 1890 + o_orderkey % 240 AS y,
+  CASE o_orderkey % 5 WHEN 0 THEN 'Кирпично-монолитный дом' WHEN 1 THEN 'ПАНЕЛЬНЫЙ' WHEN 2 THEN 'монолит, каркас' WHEN 3 THEN 'Сталинка' ELSE 'дом' END AS material,
+  CASE o_orderkey % 4 WHEN 0 THEN ' rub ' WHEN 1 THEN '₽' WHEN 2 THEN '$' ELSE 'gbp' END AS cur,
+  CASE o_orderkey % 3 WHEN 0 THEN 'цена за МЕСЯЦ' WHEN 1 THEN 'за сутки' ELSE 'торг' END AS per,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Россия, Москва, ' WHEN 1 THEN 'Москва, ' ELSE '' END AS prefix FROM orders)"""
+ROOMED = "CASE k WHEN 0 THEN CAST(rooms AS STRING) || '-комнатная квартира' WHEN 1 THEN 'Продаю студию' WHEN 2 THEN CAST(rooms AS STRING) || ' к. кв.' WHEN 3 THEN 'двухкомнатная' ELSE 'квартира' END"
+
+
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(f"WITH {SAID.replace('FROM orders', f'FROM parquet.`{d}/orders.parquet`')} SELECT *, {ROOMED} AS roomed FROM said")
+
+
+@query(f"""plain:WITH {SAID} SELECT id, CASE k WHEN 0 THEN rooms WHEN 1 THEN 0 WHEN 2 THEN rooms WHEN 3 THEN 2 END AS rooms, area + 0.5 AS area, floor, floors AS floors_total,
+  CASE WHEN y BETWEEN 1900 AND 2100 THEN y END AS year_built, CASE k WHEN 0 THEN 'кирпично-монолитный' WHEN 1 THEN 'панельный' WHEN 2 THEN 'монолитно-каркасный' WHEN 3 THEN 'сталинский' ELSE '' END AS material,
+  CASE id % 4 WHEN 0 THEN 'RUB' WHEN 1 THEN 'RUB' WHEN 2 THEN 'USD' ELSE 'GBP' END AS currency, CASE id % 3 WHEN 0 THEN 'month' WHEN 1 THEN 'day' END AS period, 'Street ' || CAST(id AS VARCHAR) AS address FROM said""")
+def text_facts(spark: SparkSession, d: str) -> DataFrame:
+    """F10, F13, F16, F18 to F21."""
+    t = _said(spark, d).withColumn("t", F.expr("concat(roomed, ', ', cast(area as string), ',5 м², на ', cast(floor as string), ' этаже из ', cast(floors as string))"))
+    floors = tx.floors_from_text("t")
+    return t.select(
+        "id", tx.rooms_from_text("t").alias("rooms"), tx.area_from_text("t").alias("area"), floors["floor"].alias("floor"), floors["floors_total"].alias("floors_total"), tx.first_year(F.concat(F.lit("сдан в "), F.col("y").cast("string"), F.lit("г"))).alias("year_built"),
+        tx.house_material("material").alias("material"), tx.currency("cur").alias("currency"), tx.price_period(F.lit("rent_long"), "per").alias("period"), tx.strip_city_prefix(F.concat("prefix", F.lit("Street "), F.col("id").cast("string"))).alias("address"),
+    )
+
+
+@query(f"""plain:WITH {SAID} SELECT id AS page_id, CASE WHEN id % 2 = 0 THEN 'Flat ' || CAST(id AS VARCHAR) ELSE '' END AS title, CASE WHEN id % 2 = 0 THEN CAST(area * 1000 AS DOUBLE) END AS price_value, CASE WHEN id % 2 = 0 THEN 'Street ' || CAST(id AS VARCHAR) || ', Town' ELSE 'Lane ' || CAST(id AS VARCHAR) END AS address_text,
+  50 + floor / 1e2 AS lat, 30 + floors / 1e2 AS lon, CAST(100000 + id AS VARCHAR) AS external_id, 'Station ' || CAST(k AS VARCHAR) || ' 7 мин.' AS metro, 'панельный' AS house_material FROM said""")
+def extracted_listings(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with two structured blocks, and pages without any."""
+    block = """concat('<script type="application/ld+json">{"@type":"Organization","name":"o"}</script><script type="application/ld+json">[{"@type":"Offer","name":"Flat ', cast(id as string), '","address":{"streetAddress":"Street ', cast(id as string), '","addressLocality":"Town"},"offers":{"price":"', cast(area as string), ' 000","priceCurrency":"RUR"}}]</script>')"""
+    rest = """concat('<div class="CardLocation__addressItem--x">Lane ', cast(id as string), ', </div><i data-latitude="', cast(50 + floor / 1e2 as string), '" data-longitude="', cast(30 + floors / 1e2 as string), '"></i><span class="MetroWithTime"><span>Station ', cast(k as string), '</span> 7 мин.</span><p>панельный дом</p>')"""
+    html = f"concat(case when id % 2 = 0 then {block} else '' end, {rest})"
+    rows = _said(spark, d).selectExpr("id as page_id", "concat('https://x.y/offer/', cast(100000 + id as string), '/') as url", f"{html} as html")
+    return pages.extract_listings(rows).select("page_id", "title", "price_value", "address_text", "lat", "lon", "external_id", F.regexp_replace("metro", r"\s+", " ").alias("metro"), "house_material")
+
+
+@query("plain:SELECT s_nationkey AS n, MAX(s_suppkey) AS last, COUNT(*) AS lines FROM supplier WHERE s_suppkey % 10 <> 0 GROUP BY s_nationkey")
+def imported_stations(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with decimal commas, a rejected tenth, the last of a name winning."""
+    s = star.view(spark, d, "supplier")
+    key = F.col("s_suppkey")
+    lines = s.select(key.alias("line"), F.concat(F.lit(" N"), F.col("s_nationkey").cast("string")).alias("_c0"), F.when(key % 10 == 0, "x").otherwise(F.concat(key.cast("string"), F.lit(",5"))).alias("_c1"), F.lit("37.5").alias("_c2"), F.lit("M").alias("_c3"))
+    good, bad = io.import_stations(lines, None, ["title", "latitude", "lng", "city"])
+    left = lines.join(bad.select("line"), "line", "left_anti").groupBy(F.trim("_c0").alias("name")).agg(F.count("*").alias("lines"))
+    return good.join(left, "name").select(F.substr("name", F.lit(2)).cast("int").alias("n"), (F.col("lat") - 0.5).cast("long").alias("last"), "lines")
+
+
+@query("plain:SELECT o_orderkey AS n, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS raw_report FROM orders")
+def stored_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports saved in two parts; those without an id get one."""
+    folder = f"{shared_dir(spark)}/listinglab/reports-{uuid.uuid4().hex}"
+    rows = star.view(spark, d, "orders").select(F.col("o_orderkey").alias("n"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("raw_report"))
+    io.save_reports(rows.where("n % 2 = 0"), folder)
+    store = io.save_reports(rows.where("n % 2 <> 0"), folder)
+    return store.where("id is not null").select("n", "id", "raw_report")
+
+
+@query("plain:SELECT l_orderkey AS id, CAST(r AS INT) AS place, feature, contribution FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY ABS(contribution) DESC, feature) AS r FROM (SELECT l_orderkey, 'line' || CAST(l_linenumber AS VARCHAR) AS feature, MIN(ROUND(l_extendedprice - 30000, 2)) AS contribution FROM lineitem GROUP BY l_orderkey, l_linenumber) t) u WHERE r <= 3")
+def top_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """Of each order's lines and a bias."""
+    rows = star.view(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.round(F.col("l_extendedprice") - 30000, 2)).cast("double").alias("contribution"))
+    named = F.collect_list(F.struct(F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("feature"), "contribution"))
+    all_ = rows.groupBy("l_orderkey").agg(named.alias("c")).withColumn("c", F.array_append("c", F.struct(F.lit("bias").alias("feature"), F.lit(1e9).alias("contribution"))))
+    return all_.select(F.col("l_orderkey").alias("id"), F.posexplode(reports.top_features(F.col("c"), 3)).alias("place", "f")).select("id", (F.col("place") + 1).alias("place"), "f.feature", "f.contribution")
+
+
+ENRICHED = with_(NEAR + f", dens AS (SELECT id, COUNT(*) - 1 AS density FROM near GROUP BY id), st AS (SELECT * FROM (SELECT l.id, {metres('l.', 'm.')} AS m, m.name, ROW_NUMBER() OVER (PARTITION BY l.id ORDER BY {metres('l.', 'm.')}, m.name) AS r FROM listing l JOIN ref_metro m ON l.city = m.city WHERE l.lat IS NOT NULL AND l.lon IS NOT NULL) t WHERE r = 1)",
+    f"SELECT l.id, ROUND(st.m, 3) AS dist_to_metro_m, COALESCE(l.metro_station, st.name) AS metro_station, ROUND({metres('l.lat l.lon', 'c.center_lat c.center_lon')} / 1000e0, 6) AS dist_to_center_km, dens.density AS density_500m FROM listing l LEFT JOIN st ON l.id = st.id LEFT JOIN ref_city c ON l.city = c.city LEFT JOIN dens ON l.id = dens.id")
+
+
+@query(ENRICHED)
+def enriched_listings(spark: SparkSession, d: str) -> DataFrame:
+    """B7"""
+    out = enrich.enrich(listing(spark, d), star.stations(spark, d), star.cities(spark, d))
+    return out.select("id", F.round("dist_to_metro_m", 3).alias("dist_to_metro_m"), "metro_station", F.round("dist_to_center_km", 6).alias("dist_to_center_km"), "density_500m")
+
+
+UPSERTED = """old AS (SELECT * REPLACE (CASE WHEN deal_type = 'sale' THEN price_rub + 1000 ELSE price_rub END AS price_rub) FROM listing WHERE last_seen < TIMESTAMP '1997-01-01'),
+ups AS (SELECT s.external_id, s.price_rub, s.metro_station, CASE WHEN o.id IS NULL OR (o.price_rub, o.title) IS DISTINCT FROM (s.price_rub, s.title) THEN s.last_seen + INTERVAL 9 DAY ELSE o.last_seen END AS last_seen, CASE WHEN o.id IS NULL THEN s.first_seen + INTERVAL 9 DAY ELSE o.first_seen END AS first_seen,
+  CASE WHEN o.id IS NULL THEN 'inserted' WHEN o.price_rub IS DISTINCT FROM s.price_rub THEN 'updated' ELSE 'unchanged' END AS action FROM listing s LEFT JOIN old o ON s.external_id = o.external_id AND s.deal_type = o.deal_type)"""
+
+
+@query(with_(UPSERTED, "SELECT * FROM ups"))
+def upserted_listings(spark: SparkSession, d: str) -> DataFrame:
+    """B3's upsert: all listings, seen nine days later, over the older ones with other prices."""
+    rows = listing(spark, d)
+    old = rows.where("last_seen < timestamp_ntz'1997-01-01'").withColumn("price_rub", F.expr("case when deal_type = 'sale' then price_rub + 1000 else price_rub end"))
+    later = {c: F.col(c) + F.expr("interval 9 days") for c in ("first_seen", "last_seen")}
+    return clean.merge_listings(old, rows.withColumns(later)).select("external_id", "price_rub", "metro_station", "first_seen", "last_seen", "action")
+
+
 # -- jobs ------------------------------------------------------------------------------------
 
 
