@@ -596,3 +596,33 @@ def test_url_verdicts(spark):
     assert url_rules.judge(pages, rules, labels.limit(0)).where("mined_rule is not null").count() == 0
     assert url_rules.judge(pages.limit(0), rules, labels).count() == 0
     assert url_rules.judge(pages, rules.limit(0), labels.limit(0)).where("rule is not null").count() == 0
+
+
+def test_mined_rules_equal_brute_force(spark):
+    from itertools import combinations
+
+    rnd = random.Random(12)
+    baskets = []
+    for _ in range(400):
+        tokens = sorted(set(rnd.choices("abcdefg", k=rnd.randint(1, 5))))
+        bad = rnd.random() < (0.9 if {"a", "b"} <= {*tokens} else 0.7 if "c" in tokens else 0.1)
+        baskets.append((tokens, bad))
+    df = spark.createDataFrame(baskets, "tokens array<string>, bad boolean")
+    got = {tuple(sorted(r["antecedent"])): (round(r["confidence"], 9), round(r["lift"], 9)) for r in url_rules.mine(df, 0.02, 10, 0.55, 1.2).collect()}
+    base, found = sum(b for _, b in baskets) / len(baskets), {}
+    for size in range(1, 6):
+        for items in combinations("abcdefg", size):
+            having = [b for t, b in baskets if {*items} <= {*t}]
+            if having and sum(having) >= max(0.02 * len(baskets), 10) and sum(having) / len(having) >= 0.55 and sum(having) / len(having) / base >= 1.2:
+                found[items] = sum(having) / len(having)
+    kept = {k: v for k, v in found.items() if not any({*o} < {*k} and found[o] >= v for o in found)}
+    assert got == {k: (round(v, 9), round(v / base, 9)) for k, v in kept.items()} and len(got) > 2
+
+
+def test_url_judgement_of_long_urls_and_no_pages(spark):
+    rules = spark.createDataFrame([("com", "/", "allow")], "host string, path string, verdict string")
+    labels = spark.createDataFrame([(1, True)], "page_id long, bad boolean")
+    pages = spark.createDataFrame([(1, "http://A.com/" + "x/" * 50_000), (2, "http://b.net/?" + "k=1&" * 20_000)], "page_id long, url string").withColumns({"rule": F.lit("mine"), "verdict": F.lit(1), "token": F.lit("t")})
+    got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in url_rules.judge(pages, rules, labels).collect()}
+    assert got == {1: ("a.com", "com/", "allow"), 2: ("b.net", None, "allow")}
+    assert url_rules.judge(pages.limit(0), rules, labels).count() == 0

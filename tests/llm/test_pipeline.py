@@ -67,3 +67,30 @@ def test_mix_comes_near_its_targets(stages):
 def test_run_gives_the_same(spark, data, stages):
     got = {(r["doc_id"], r["taken"]) for r in corpus_pipeline.run(spark, data).collect()}
     assert got == {(r["doc_id"], r["taken"]) for r in stages[3][2].collect()}
+
+
+def test_stages_on_odd_rows_and_none(spark, data):
+    words = "these five words and then some more of them stand here once again for all to read"
+    rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (None, words, "en", None, None), (3, "x " * 60_000, "en", "b", 1), (3, "x " * 60_000, "en", "b", 1), (4, " \t ", "en", "b", 3), (5, words.upper(), "en", "a", 1), (6, words, "de", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for first in (docs, docs.limit(0)):
+        now = first
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            after = f(spark, now, data)
+            assert after.columns == docs.columns and after.dtypes == docs.dtypes, name
+            now = spark.createDataFrame(after.collect(), docs.schema)
+        mixed = corpus_pipeline.STAGES[-1][1](spark, now, data)
+        assert mixed.count() == now.count()
+        if first is docs:
+            assert sorted((r["doc_id"] for r in now.collect()), key=str) == [1, 2, 3, 4, 5, None]
+            assert {r["doc_id"]: r["size"] for r in mixed.collect()}[3] == 60_000
+
+
+def test_stages_with_clashing_columns(spark, data):
+    names = ["score", "y", "b", "key", "n", "class", "label", "items", "spans", "keep", "size", "taken", "target", "__k"]
+    docs = spark.createDataFrame([(1, "one two three four five six", "s"), (2, "ONE two three four five six", "s")], "doc_id long, text string, source string").withColumns({c: F.lit(f"my {c}") for c in names})
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(f(spark, docs, data).collect(), docs.schema)
+    (row,) = docs.collect()
+    assert row["doc_id"] == 1 and all(row[c] == f"my {c}" for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).first()["label"] == "my label"
