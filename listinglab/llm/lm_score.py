@@ -253,7 +253,7 @@ class Common:
         return held, self.gain[at[held]]
 
 
-def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, bits: int = 28, slices: int = 2) -> DataFrame:
+def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, bits: int = 28, slices: int = 3) -> DataFrame:
     """Stupid-backoff scores of each row's whole text under the counts of all rows: doc_id,
     n_words, log_score (natural logarithm), mean_log (of a word; null without words).
 
