@@ -146,10 +146,10 @@ def export_by_sql(spark: SparkSession, d: str) -> DataFrame:
     return io.export_listings(listing(spark, d), "SELECT deal_type, count(*) AS n, round(sum(price_rub), 2) AS total FROM listing_master GROUP BY deal_type")
 
 
-@query("SELECT id, CAST(floor AS DOUBLE) AS floor, CAST(NULL AS DOUBLE) AS balcony, house_material, CAST(is_active AS VARCHAR) AS is_active, '' AS district FROM listing")
+@query("SELECT id, CAST(floor AS DOUBLE) AS floor, CAST(NULL AS DOUBLE) AS balcony, house_material, CAST(is_active AS VARCHAR) AS is_active, district, '' AS facade FROM listing")
 def aligned_schema(spark: SparkSession, d: str) -> DataFrame:
-    out = clean.align_to_schema(listing(spark, d), ["floor", "balcony"], ["house_material", "is_active", "district"])
-    return out.select("id", "floor", "balcony", "house_material", "is_active", "district")
+    out = clean.align_to_schema(listing(spark, d), ["floor", "balcony"], ["house_material", "is_active", "district", "facade"])
+    return out.select("id", "floor", "balcony", "house_material", "is_active", "district", "facade")
 
 
 @query(f"SELECT id, CASE WHEN (deal_type = 'rent_long' AND last_seen < {TS} - INTERVAL 250 DAY) OR (deal_type = 'sale' AND last_seen < {TS} - INTERVAL 300 DAY) THEN FALSE ELSE is_active END AS is_active FROM listing")
@@ -665,7 +665,7 @@ def _model(spark: SparkSession, d: str):
     if key not in _MODELS:
         a, b = features.time_split(rows, "last_seen", ratio=0.3)
         numeric = ["rooms", "area_total", "area_living", "area_kitchen", "floor", "floors_total", "age_house", "dist_to_center_km", "dist_to_metro_m", "metro_walk_min", "density_500m"]
-        _MODELS[key] = model.train(a, b, numeric, ["house_material", "rooms_bucket"])
+        _MODELS[key] = model.train(a, b, numeric, ["deal_type", "house_material", "rooms_bucket"])
     return _MODELS[key], rows
 
 

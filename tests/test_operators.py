@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from listinglab.functions import geo
-from listinglab.operators import clean, comps, enrich, features, geocode, history, merge, pages, stats
+from listinglab.operators import clean, comps, enrich, features, geocode, history, merge, pages, reports, stats
 from listinglab.operators.components import connected_components
 from listinglab.plans import star
 from listinglab.sources import io
@@ -273,3 +273,40 @@ def test_building_cache_precedence_and_age(spark):
     assert got == {1: (4, 1955, "brick"), 2: (7, 1990, "k"), 3: (5, 2001, "brick"), 4: (None, None, None)}
     assert out.columns == rows.columns
     assert sorted((r["address_norm"], r["floors_total"]) for r in new.collect()) == [("дом 1", 5), ("дом 3", 5)]
+
+
+def test_tables_go_to_and_from_a_database(spark):
+    url, driver = "jdbc:derby:memory:copies;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.createDataFrame([(i, f"t{i}", None if i % 3 else i / 2) for i in range(20)], "id int, t string, x double")
+    assert io.copy_table(df, url=url, table="copies", driver=driver) == 20
+    back = io.read_jdbc(spark, url, "copies", "id", 0, 20, 4, driver=driver)
+    assert back.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError, match="path"):
+        io.copy_table(df)
+
+
+def test_overrides_and_rejects_of_requests(spark):
+    requests = spark.createDataFrame([(1, "M", "дом 1", None, None, 2, 50.0), (2, "M", "дом 2", 55.0, 37.0, None, 40.0), (3, "M", " ", None, None, 1, 30.0), (4, "M", "дом 4", None, None, 1, 30.0), (5, "M", "дом 5", 55.0, 37.0, 1, None)], "request_id int, city string, address string, lat double, lon double, rooms int, area_total double")
+    cache = spark.createDataFrame([("M", "дом 1", 55.5, 37.5, "2001-01-01")], "city string, address_norm string, lat double, lon double, t string").withColumn("created_at", F.col("t").cast("timestamp"))
+    built = spark.createDataFrame([], "building_id int, lat double, lon double, floors_total int, year_built int, house_material string")
+    other = spark.createDataFrame([(2, 3, None)], "request_id int, rooms int, area_total double")
+    out, new = reports.resolve_requests(requests, cache, built, other)
+    got = {r["request_id"]: (r["reject"], r["rooms"], r["area_total"], r["lat"]) for r in out.collect()}
+    assert got == {1: (None, 2, 50.0, 55.5), 2: (None, 3, 40.0, 55.0), 3: ("address", 1, 30.0, None), 4: ("not found", 1, 30.0, None), 5: ("area_total", 1, None, 55.0)}
+    assert new.count() == 0
+
+
+def test_upsert_stream_touches_only_its_buckets(spark, tmp_path):
+    import os
+
+    row = lambda key, price, at: ("s", "sale", key, price, at)
+    batches = [[row(str(i), 1.0, 1) for i in range(30)], [row("3", 2.0, 2)], [row("3", 3.0, 3), row("x", 9.0, 3)]]
+    schema, run = "source string, deal_type string, external_id string, price_value double, collected_at int", streams.upsert_batches(str(tmp_path), buckets=8)
+    for n, rows in enumerate(batches):
+        run(spark.createDataFrame(rows, schema), n)
+    assert len([x for x in os.listdir(tmp_path / "batch=1") if x.startswith("bucket=")]) == 1
+    want = {str(i): 1.0 for i in range(30)} | {"3": 3.0, "x": 9.0}
+    assert {r["external_id"]: r["price_value"] for r in streams.snapshot(spark, str(tmp_path), 2).collect()} == want
+    run(spark.createDataFrame(batches[2], schema), 2)  # a replay
+    assert {r["external_id"]: r["price_value"] for r in streams.snapshot(spark, str(tmp_path), 9).collect()} == want

@@ -38,7 +38,7 @@ def small_model(monkeypatch):
         call = inspect.signature(train).bind(*args, **kw)
         call.apply_defaults()
         size.append((call.arguments["trees"], call.arguments["depth"]))
-        call.arguments.update(trees=6, depth=3)
+        call.arguments.update(trees=8, depth=4)
         return train(*call.args, **call.kwargs)
 
     monkeypatch.setattr(m, "train", quick)
@@ -58,7 +58,7 @@ def test_explanations_add_up_and_intervals_hold_the_estimate(spark, data, small_
     assert out.agg(F.max(off)).first()[0] < 1e-9
     assert out.where("prediction_rub < interval_low_rub or prediction_rub > interval_high_rub").count() == 0
     inside = out.where("price_rub between 10000 and 600000").agg(F.avg((F.abs(F.ln("price_rub") - F.col("prediction")) <= fitted.eps + 1e-9).cast("int"))).first()[0]
-    assert inside >= 0.88
+    assert inside >= 0.9
     mean = rows.where("price_rub between 10000 and 600000").agg(F.avg(F.abs(F.col("price_rub") - fitted.mean.first()[0]))).first()[0]
     assert fitted.metrics["mae"] <= mean
     assert fitted.low < fitted.high
