@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_trie, decontaminate, jaccard_join, lm_score, merkle_audit, mixing, token_counts, topk_search, toxicity, turn_repair, url_rules
+from . import chat_format, conversation_trie, decontaminate, jaccard_join, lm_score, merkle_audit, mixing, template_extract, token_counts, topk_search, toxicity, turn_repair, url_rules
 from .oracles import ORACLE_SQL as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digests(turn_repair.repair(damaged, n="n"))
 
 
+def op12_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs = conversation_trie.sequences(table(spark, sf_dir, "conversations"))
     return conversation_trie.trie(conversation_trie.forked(seqs, family=20, most=4))
@@ -112,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op9_lm_score_order3": op9_lm_score_order3,
     "op10_url_rules": op10_url_rules,
     "op11_turn_repair": op11_turn_repair,
+    "op12_template_extract": op12_template_extract,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
