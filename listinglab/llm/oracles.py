@@ -101,4 +101,82 @@ s AS (SELECT p.doc_id, SUM(CASE WHEN p.v IS NULL THEN LN(one.n / total.n) WHEN t
   LEFT JOIN three ON three.u = p.u AND three.v = p.v AND three.w = p.w LEFT JOIN ctx2 ON ctx2.u = p.u AND ctx2.v = p.v GROUP BY p.doc_id)
 SELECT d.doc_id, CAST(LEN(d.ws) AS BIGINT) AS n_words, ROUND(COALESCE(s.s, 0e0), 4) AS log_score, ROUND(s.s / LEN(d.ws), 4) AS mean_log FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
 
-ORACLE_SQL = {"op1_chat_format": OP1, "op2_topk_search": OP2, "op5_mixing": OP5, "op6_jaccard_join": OP6, "op7_merkle_audit": OP7, "op8_decontaminate": OP8, "op9_lm_score": OP9_ORDER3, "op9_lm_score_order2": OP9, "op9_lm_score_order3": OP9_ORDER3}
+# crc32 of an ASCII string, bit by bit.
+_CRC = lambda s: (
+    f"XOR(LIST_REDUCE(LIST_TRANSFORM(STRING_SPLIT({s}, ''), LAMBDA c: CAST(ASCII(c) AS UBIGINT)), "
+    "LAMBDA h, b: LIST_REDUCE([CAST(k AS UBIGINT) FOR k IN RANGE(8)], "
+    "LAMBDA v, k: CASE WHEN v & 1 = 1 THEN XOR(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END, XOR(h, b)), "
+    "CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT))"
+)
+
+# The four states' best ways so far, each {cost, audit, lines}: nothing yet, after s, u, a.
+_WAY = lambda s, cost, letter, line="": (
+    f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 't': " + (f"LIST_APPEND({s}.t, {line})" if line else f"{s}.t") + "}"
+)
+_FROM = lambda s, letter, to: (
+    f"CASE WHEN NOT gone AND who = '{letter}' THEN {_WAY(s, 'own', 'K', "role || ':' || text")} END, CASE WHEN NOT gone THEN {_WAY(s, '1 + own', 'R', f"'{to}:' || text")} END"
+)
+
+OP11 = f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+    {_CRC("COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ')")} % 20 AS k
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN REGEXP_REPLACE(text, '[.!?]', '', 'g') ELSE text END AS text,
+    UNNEST(RANGE(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, LEFT(role, 1) AS who FROM d),
+f AS (
+  SELECT *, LAG(who) OVER w || who AS pair,
+    CASE WHEN NOT REGEXP_MATCHES(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+      WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT REGEXP_MATCHES(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+g AS (SELECT conv_id, i, who, role, text, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS own FROM f),
+start AS (SELECT {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}} AS yes, {{'c': 1000000000, 'a': '', 't': CAST([] AS VARCHAR[])}} AS no),
+v(conv_id, i, p, q, r, s) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), yes, no, no, no FROM (SELECT DISTINCT conv_id FROM conversations), start
+  UNION ALL
+  SELECT conv_id, i, {_WAY('p', 2, 'D')}, LIST_SORT(LIST_FILTER([{_WAY('q', 2, 'D')}, CASE WHEN NOT gone AND who = 's' THEN {_WAY('p', 'own', 'K', "role || ':' || text")} END], LAMBDA x: x IS NOT NULL))[1],
+    LIST_SORT(LIST_FILTER([{_WAY('r', 2, 'D')}, {_FROM('p', 'u', 'user')}, {_FROM('q', 'u', 'user')}, {_FROM('s', 'u', 'user')}], LAMBDA x: x IS NOT NULL))[1],
+    LIST_SORT(LIST_FILTER([{_WAY('s', 2, 'D')}, {_FROM('r', 'a', 'assistant')}], LAMBDA x: x IS NOT NULL))[1]
+  FROM (
+    SELECT conv_id, i, gone, who, role, text, own, p, q, r, LIST_SORT([s, {_WAY('r', 5, 'I', "'assistant:'")}])[1] AS s
+    FROM (
+      SELECT g.conv_id, g.i, gone, who, role, text, own, p, q, s, LIST_SORT([r, {_WAY('p', 5, 'I', "'user:'")}, {_WAY('q', 5, 'I', "'user:'")}, {_WAY('s', 5, 'I', "'user:'")}])[1] AS r
+      FROM v JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i + 1) x) y),
+z AS (
+  SELECT conv_id, LIST_SORT([p, s, {_WAY('r', 5, 'I', "'assistant:'")}, {{'c': q.c + 10, 'a': q.a || 'II', 't': q.t || ['user:', 'assistant:']}}])[1] AS best
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY i DESC) AS n FROM v) t WHERE n = 1),
+e AS (
+  SELECT conv_id, CAST(COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS BIGINT) AS gaps, COUNT(*) FILTER (fault = 'blank') AS blank, COUNT(*) FILTER (fault = 'duplicate') AS duplicate,
+    COUNT(*) FILTER (fault = 'truncated') AS truncated, COUNT(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT z.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal,
+  CAST(best.c AS BIGINT) AS cost, best.a AS audit, SHA256(ARRAY_TO_STRING(best.t, CHR(10))) AS repaired_sha256
+FROM z LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+OP13 = f"""
+WITH o AS (
+  SELECT conv_id, LIST({{'r': COALESCE(role, ''), 'x': COALESCE(text, '')}} ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, l, CAST({_CRC('CAST(conv_id AS VARCHAR)')} % 4 AS BIGINT) AS h FROM o),
+f AS (
+  SELECT a.conv_id, LIST_CONCAT(CASE WHEN b.l IS NULL THEN LIST_SLICE(a.l, 1, 0) ELSE LIST_SLICE(b.l, 1, a.h) END, LIST_SLICE(a.l, a.h + 1, LEN(a.l))) AS l
+  FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 20),
+u AS (SELECT conv_id, l, LEN(l) AS n, UNNEST(RANGE(LEN(l) + 1)) AS d FROM f),
+p AS (
+  SELECT conv_id, n, d, MD5(CAST(TO_JSON(LIST_SLICE(l, 1, d)) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN MD5(CAST(TO_JSON(LIST_SLICE(l, 1, d - 1)) AS VARCHAR)) END AS up,
+    CASE WHEN d > 0 THEN LEN({_SPACED.format('l[d].x')}) ELSE 0 END AS words FROM u),
+m AS (
+  SELECT d, k, MIN(up) AS up, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, (COUNT(*) - 1) * MIN(words) AS saved,
+    SHA256(COALESCE(STRING_AGG(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends FROM p GROUP BY d, k),
+c AS (SELECT up, COUNT(*) AS n FROM m WHERE up IS NOT NULL GROUP BY up),
+s AS (
+  SELECT p.k, SUM(m.saved) AS saved, COUNT(*) FILTER (c.n IS NULL) AS leaves
+  FROM m LEFT JOIN c ON c.up = m.k JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d GROUP BY p.k)
+SELECT m.conv_id, m.d AS depth, a.conv_id AS parent_conv_id, m.n_convs, COALESCE(c.n, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, m.ends AS ends_sha256
+FROM m LEFT JOIN m a ON a.k = m.up LEFT JOIN c ON c.up = m.k JOIN s ON s.k = m.k"""
+
+ORACLE_SQL = {"op1_chat_format": OP1, "op2_topk_search": OP2, "op5_mixing": OP5, "op6_jaccard_join": OP6, "op7_merkle_audit": OP7, "op8_decontaminate": OP8, "op9_lm_score": OP9_ORDER3, "op9_lm_score_order2": OP9, "op9_lm_score_order3": OP9_ORDER3, "op11_turn_repair": OP11, "op13_conversation_trie": OP13}
