@@ -1,12 +1,16 @@
 """Distances on the sphere, grid cells, and the range join they make possible."""
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import dropped, stored
+
 EARTH_KM, EARTH_M = 6371.0, 6371008.8
+_NO_BAND = -(1 << 40)  # of rows that look along the whole axis
 Point = tuple[Column, Column]
 
 
@@ -50,6 +54,24 @@ def cell(lat: Column | str, lon: Column | str, dlat: float = 0.02, dlon: float =
     return F.when(fine, F.concat_ws("_", F.floor(y / dlat).cast("string"), F.floor(x / dlon).cast("string")))
 
 
+def _measures(side_m: float) -> tuple[float, float]:
+    """Of a grid whose cells are at least `side_m` wide: its bands' height in degrees, and half
+    the width that its cells need, as a chord."""
+    return math.degrees(side_m / EARTH_M) * 1.01, math.sin(min(side_m / EARTH_M / 2, math.pi / 2)) * 1.0001
+
+
+def _around(band: Column, dlat: Column | float, half: Column | float) -> Column:
+    """How many cells a band of latitude has. In the bands next to each other, a point's cell and
+    those beside it hold all within the grid's width: near a pole one cell goes all around."""
+    top = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * dlat, F.lit(90.0))
+    reach = (F.lit(half) if isinstance(half, float) else half) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+    return F.when(reach >= 1, 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 / F.degrees(2 * F.asin(F.least(reach, F.lit(1.0))))).cast("long"))).cast("long")
+
+
+def _cell_of(lon: Column, n: Column) -> Column:
+    return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
+
+
 def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[str], how: str = "inner", extra: Column | None = None) -> DataFrame:
     """Rows of `left` (l_lat, l_lon) with rows of `right` (r_lat, r_lon) at most `radius_m`
     apart and equal in `keys` (as l_KEY and r_KEY), with dist_m.
@@ -59,16 +81,8 @@ def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[st
     goes all around. A row of `left` looks into its cell and those around it in its band and the
     two next, across the antimeridian too, so each pair meets once. Null points and keys meet
     nothing. A dense cell is split by the adaptive skew join, as both sides are plain shuffles."""
-    dlat = math.degrees(radius_m / EARTH_M) * 1.01
-    half = math.sin(min(radius_m / EARTH_M / 2, math.pi / 2)) * 1.0001
-
-    def around(band: Column) -> Column:
-        """How many cells a band has."""
-        top = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * dlat, F.lit(90.0))
-        reach = F.lit(half) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
-        return F.when(reach >= 1, 1).otherwise(F.greatest(F.lit(1), F.floor(360.0 / F.degrees(2 * F.asin(F.least(reach, F.lit(1.0))))).cast("long"))).cast("long")
-
-    cell_of = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
+    dlat, half = _measures(radius_m)
+    around, cell_of = lambda band: _around(band, dlat, half), _cell_of
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     near = left.where(has_point("l_lat", "l_lon")).withColumn("_y", F.explode(F.transform(steps, lambda i: F.floor(F.col("l_lat") / dlat) + i))).withColumn("_n", around(F.col("_y")))
     near = near.withColumn("_x", F.explode(F.array_distinct(F.transform(steps, lambda i: F.pmod(cell_of(F.col("l_lon"), F.col("_n")) + i, F.col("_n")))))).drop("_n")
@@ -81,5 +95,109 @@ def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[st
     return met.withColumn("dist_m", d).drop("_y", "_x", "_v", "_u")
 
 
+class Nearest:
+    """The k rows of `right` (r_id, r_lat, r_lon, r_KEY) of least score for each row of `left`
+    (l_id, l_lat, l_lon, l_KEY) among those with equal keys, ties by r_id.
+
+    score: a column over l_ and r_ columns, at least their distance in `unit_m` metres; null
+    scores don't count. axis: a number on both sides (l_axis, r_axis) of which the score holds
+    the squared difference too, up to the square of `axis_most`. sides: cell widths in metres,
+    ascending; `radius_m`: how far to look (the whole key, if None), at most the last side. A row
+    without a number on the axis has the distance only as its score, or on the right the most
+    that the axis can add. Ids of `left` tell its rows apart; rows without a point or key find nothing.
+
+    Rings of cells around a row widen until they must hold its k best. Cells of all widths are
+    counted first; the least cell of a row that holds k rows gives a bound, its kth score there.
+    No better row lies farther away than that, so the row then looks only into cells of at
+    least the bound's width around it, and keeps what is within the bound. So what a row meets
+    grows with k and with how unevenly cells next to each other are filled, not with the number
+    of rows in its key. Of rows of `right` alike in place, axis and keys, only the k least ids
+    are looked at: no others can be found. Where no key has more than `few` rows, a row simply
+    meets all of its key: that is bounded too, and costs less than looking for cells."""
+
+    def __init__(self, left: DataFrame, right: DataFrame, k: int, keys: list[str], score: Column, sides: list[float], unit_m: float = 1.0, radius_m: float | None = None, axis_most: float | None = None, few: int = 500) -> None:
+        self.k, self.keys, self.score, self.sides, self.unit = k, keys, score, sides, unit_m
+        self.radius, self.axis_most, self.few = radius_m, axis_most, few
+        self.levels = F.array(*[self._level(n) for n in range(len(sides) + (radius_m is None))])
+        axis = lambda df, tag: df if axis_most else df.withColumn(f"{tag}_axis", F.lit(None).cast("double"))
+        self.left = axis(left.where(has_point("l_lat", "l_lon")), "l")
+        self._all = axis(right.where(has_point("r_lat", "r_lon")), "r")
+        alike = Window.partitionBy(*[f"r_{c}" for c in keys], "r_lat", "r_lon", "r_axis").orderBy("r_id")
+        self.right = self._all.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k).drop("_n")
+        self._on = [f"l_{c}" for c in keys] + ["_level", "_y", "_x", "_b"]
+
+    def _level(self, n: int) -> Column:
+        """A cell width with what belongs to it: height, half chord, and the width of the bands
+        on the axis (0: none, as the score reaches over the whole axis); the last may be one
+        cell for all."""
+        whole = n == len(self.sides)
+        width = 0.0 if whole else math.sqrt(self.sides[n] / self.unit)
+        dlat, half = (360.0, 1.0) if whole else _measures(self.sides[n])
+        return F.struct(F.lit(n).alias("n"), F.lit(dlat).alias("dlat"), F.lit(half).alias("half"), F.lit(width if self.axis_most and width < self.axis_most else 0.0).alias("width"), F.lit(whole).alias("whole"))
+
+    def _placed(self, df: DataFrame, tag: str) -> DataFrame:
+        """Rows that have a level `_v` with their cell in it: _level, _y, _x and _b."""
+        v, whole = F.col("_v"), F.col("_v.whole")
+        df = df.withColumn("_level", v.n).withColumn("_y", F.when(whole, 0).otherwise(F.floor(F.col(f"{tag}_lat") / v.dlat)).cast("long"))
+        df = df.withColumn("_x", F.when(whole, 0).otherwise(_cell_of(F.col(f"{tag}_lon"), _around(F.col("_y"), v.dlat, v.half))).cast("long"))
+        axis = F.col(f"{tag}_axis")
+        return df.withColumn("_b", F.when(v.width == 0, 0).when(axis.isNotNull(), F.floor(axis / v.width)).otherwise(F.lit(_NO_BAND)).cast("long")).drop("_v")
+
+    def cells(self) -> DataFrame:
+        """`right` in its cells of all widths; with a number on the axis, also where rows of
+        `left` without one look."""
+        out = self._placed(self.right.withColumn("_v", F.explode(self.levels)), "r")
+        if self.axis_most:
+            out = out.withColumn("_b", F.explode(F.when(F.col("r_axis").isNotNull() & F.element_at(self.levels, F.col("_level") + 1)["width"].cast("boolean"), F.array("_b", F.lit(_NO_BAND))).otherwise(F.array("_b"))))
+        return out.withColumnsRenamed({f"r_{c}": f"l_{c}" for c in self.keys})
+
+    def bounds(self) -> DataFrame:
+        """(l_id, bound): the kth score in the least cell around a row that holds k rows."""
+        full = self.cells().groupBy(*self._on).count().where(F.col("count") >= self.k)
+        own = self._placed(self.left.withColumn("_v", F.explode(self.levels)), "l")
+        least = own.select("l_id", *self._on).join(full.drop("count"), self._on).groupBy("l_id").agg(F.min("_level").alias("_w"))
+        looks = self._placed(self.left.join(least, "l_id").withColumn("_v", F.element_at(self.levels, F.col("_w") + 1)).drop("_w"), "l")
+        met = looks.join(self.cells(), self._on).select("l_id", self.score.alias("score"), "r_id").where("score is not null")
+        nth = F.row_number().over(Window.partitionBy("l_id").orderBy("score", "r_id"))
+        return met.withColumn("_n", nth).where(F.col("_n") == self.k).select("l_id", F.col("score").alias("bound"))
+
+    def candidates(self) -> DataFrame:
+        """Rows of `left` with those of `right` that may be among its k best, with their score."""
+        last = len(self.sides) - (self.radius is not None)
+        wide = F.array_position(F.transform(F.array(*[F.lit(x) for x in self.sides]), lambda x: x >= F.col("bound") * self.unit), True) - 1
+        level = F.when(F.col("bound").isNull() | (wide < 0), last).otherwise(wide).cast("int")
+        looks = self._placed(self.left.join(self.bounds(), "l_id", "left").withColumn("_v", F.element_at(self.levels, level + 1)), "l")
+        v, steps = F.element_at(self.levels, F.col("_level") + 1), F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+        looks = looks.withColumn("_v", v).withColumn("_y", F.explode(F.when(F.col("_v.whole"), F.array("_y")).otherwise(F.transform(steps, lambda i: F.col("_y") + i))))
+        around = _around(F.col("_y"), F.col("_v.dlat"), F.col("_v.half"))
+        looks = looks.withColumn("_n", around).withColumn("_x", _cell_of(F.col("l_lon"), F.col("_n")))
+        looks = looks.withColumn("_x", F.explode(F.when(F.col("_v.whole"), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform(steps, lambda i: F.pmod(F.col("_x") + i, F.col("_n")))))))
+        banded = (F.col("_v.width") > 0) & F.col("l_axis").isNotNull()
+        looks = looks.withColumn("_b", F.explode(F.when(banded, F.transform(steps, lambda i: F.col("_b") + i)).otherwise(F.array("_b")))).drop("_v", "_n")
+        met = looks.join(self.cells(), self._on)
+        return met.withColumn("score", self.score).where("score is not null and (bound is null or score <= bound)").drop("_level", "_y", "_x", "_b", "bound")
+
+    def best(self) -> DataFrame:
+        """The k best of each row, with `score` and `rank`, stored."""
+        rank = F.row_number().over(Window.partitionBy("l_id").orderBy("score", "r_id"))
+        most = self._all.groupBy(*[f"r_{c}" for c in self.keys]).count().agg(F.max("count")).first()[0] or 0
+        if most <= self.few:
+            same = self._all.withColumnsRenamed({f"r_{c}": f"l_{c}" for c in self.keys})
+            met = self.left.join(same, [f"l_{c}" for c in self.keys]).withColumn("score", self.score).where("score is not null")
+            return stored(met.withColumn("rank", rank).where(F.col("rank") <= self.k), "nearest")
+        self.left, self.right = stored(self.left, "near-left"), stored(self.right, "near-right")  # read several times
+        out = stored(self.candidates().withColumn("rank", rank).where(F.col("rank") <= self.k), "nearest")
+        dropped(self.left, self.right)
+        return out
+
+
+def widening(least_m: float, most_m: float, factor: float = 4.0) -> list[float]:
+    """Cell widths from `least_m`, each `factor` times the one before, up to `most_m`."""
+    out = [least_m]
+    while out[-1] < most_m:
+        out.append(min(out[-1] * factor, most_m))
+    return out
+
+
 def prefixed(df: DataFrame, tag: str) -> DataFrame:
     return df.select([F.col(c).alias(f"{tag}_{c}") for c in df.columns])

@@ -102,3 +102,41 @@ class Elements:
                 if last == name:
                     return out
         return out
+
+
+def inner_by_class(page: str, wanted: list[tuple[str, bool]]) -> list[list[str]]:
+    """For each (css, whole) of `wanted` the inner HTML of all elements with such a class, in
+    the order they begin: a class that begins with one of css's alternatives (parted by `|`), or
+    with `whole` false one that holds it. Open elements of a name are counted, so that an
+    element ends where its depth is reached again, however deep, long or wide it is; one that
+    is never closed ends with the page."""
+    out: list[list[tuple[int, str]]] = [[] for _ in wanted]
+    ways = [(css.lower().split("|"), whole) for css, whole in wanted]
+    depth: dict[str, int] = {}
+    within: dict[str, list[tuple[int, int, int]]] = {}  # by name: depth, which of `wanted`, begin
+    at, end = 0, len(page)
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if not m[2]:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            now, held = depth.get(name, 0), within.get(name, [])
+            while held and held[-1][0] == now:
+                _, k, begin = held.pop()
+                out[k].append((begin, page[begin : m.start()]))
+            depth[name] = max(0, now - 1)
+        elif name in RAW:
+            close = re.compile(f"</{name}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
+            at = close.end() if close else end
+        elif name not in VOID:
+            depth[name] = depth.get(name, 0) + 1
+            if "class" in m[3].lower():
+                classes = attributes(m[3]).get("class", "").lower()
+                for k, (css, whole) in enumerate(ways):
+                    if any(c.startswith(x) for c in classes.split() for x in css) if whole else any(x in classes for x in css):
+                        within.setdefault(name, []).append((depth[name], k, at))
+    for held in within.values():
+        for _, k, begin in held:
+            out[k].append((begin, page[begin:]))
+    return [[text for _, text in sorted(found, key=lambda f: f[0])] for found in out]

@@ -10,14 +10,22 @@ def _at(lat: str, lon: str) -> geo.Point:
     return F.col(lat), F.col(lon)
 
 
-def nearest_station(points: DataFrame, stations: DataFrame, id_: str = "id") -> DataFrame:
+STATION_CELLS = geo.widening(500.0, 128_000.0)  # then the whole city
+
+
+def station_search(points: DataFrame, stations: DataFrame, id_: str = "id", few: int = 100) -> geo.Nearest:
+    """The search for each point's nearest station in its city, ties by name."""
+    s = stations.select(F.col("name").alias("r_id"), F.col("city").alias("r_city"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    p = points.select(F.col(id_).alias("l_id"), F.col("city").alias("l_city"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
+    return geo.Nearest(p, s, 1, ["city"], geo.distance_m(_at("l_lat", "l_lon"), _at("r_lat", "r_lon")), STATION_CELLS, few=few)
+
+
+def nearest_station(points: DataFrame, stations: DataFrame, id_: str = "id", few: int = 100) -> DataFrame:
     """(id, dist_m, station) of the nearest station of each point's city; ties by name.
-    Stations of one city meet its points by an equi-join, and the least is kept by partial
-    aggregates, so neither side of it is gathered."""
-    s = stations.select("city", F.col("name").alias("_name"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    d = geo.distance_m(_at("lat", "lon"), _at("_lat", "_lon"))
-    met = points.where(geo.has_point("lat", "lon")).select(id_, "city", "lat", "lon").join(s, "city").select(id_, F.struct(d.alias("dist_m"), F.col("_name").alias("station")).alias("_s"))
-    return met.groupBy(id_).agg(F.min("_s").alias("_s")).select(id_, "_s.dist_m", "_s.station")
+    Cells around a point widen until they must hold it, so that a point meets few stations,
+    however many its city has (cities of at most `few` are met whole). Points of a city without stations have no row."""
+    found = station_search(points, stations, id_, few).best()
+    return found.select(F.col("l_id").alias(id_), F.col("score").alias("dist_m"), F.col("r_id").alias("station"))
 
 
 def stations_for(stations: DataFrame, city: str | None) -> tuple[DataFrame, bool]:

@@ -1,9 +1,11 @@
 """Listings out of stored pages, by patterns over their HTML."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.html import inner_by_class
 from .clean import is_detail_link
 
 # Patterns of the pages' markup. Structured blocks; a street, an address in one
@@ -17,6 +19,8 @@ _POINT = r'"point"\s*:\s*\{\s*"latitude"\s*:\s*([0-9]+(?:\.[0-9]+)?)\s*,\s*"long
 _DESCRIBED = r"Адрес:\s*([^,]+(?:,\s*[^,✅]+)*)"
 _TITLED = r"—\s*([^—]+?)\s*—\s*id\s*\d+"
 _HOUSE_WORDS = "дом|год|сдан|постро"
+# Classes of an address, a station with its minutes, and a house's features.
+CLASSES = [("CardLocation__addressItem", True), ("MetroWithTime", True), ("OfferCardFeature__text|OfferCardBuildingFeatures__feature", False)]
 
 _ADDRESS = "address: struct<streetAddress: string, addressLocality: string>"
 _SHAPE = f"array<struct<`@type`: string, name: string, description: string, {_ADDRESS}, geo: struct<latitude: string, longitude: string>, offers: struct<price: string, priceCurrency: string>>>"
@@ -41,23 +45,22 @@ def meta_description(html: Column) -> Column:
     return tx.found(html, r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)["']""")
 
 
-def _blocks(css: str, whole: bool) -> str:
-    """Pattern of elements by class, with elements of the same name up to two deep inside. `whole`:
-    a class that begins with `css`, else one that holds it."""
-    name = rf"(?:[^\"']*\s)?{css}[^\"']*" if whole else rf"[^\"']*{css}[^\"']*"
-    text = r"(?:(?!</?\1\b).){0,3000}+"
-    inner = rf"{text}(?:<\1\b[^>]*>{text}(?:<\1\b[^>]*>{text}</\1\s*>{text}){{0,9}}</\1\s*>{text}){{0,9}}"
-    return rf"""(?is)<(\w+)[^>]*\bclass=["']{name}["'][^>]*>({inner})</\1\s*>"""
+def by_class(html: Column, wanted: list[tuple[str, bool]]) -> Column:
+    """For each (css, whole) of `wanted` the texts of all elements with such a class, in order:
+    array<array<string>>. With `whole` a class begins with `css`, else it holds it. Elements are
+    read by their nesting depth in one linear scan of a page, of any depth, width and length;
+    patterns can't count. Null pages have none."""
 
+    @F.pandas_udf("array<array<string>>")
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: [[] for _ in wanted] if p is None else inner_by_class(p, wanted))
 
-def block(html: Column, css: str, whole: bool = True) -> Column:
-    """The text of the first element with such a class; null without one."""
-    return F.nullif(tx.trimmed(plain(F.regexp_extract(html, _blocks(css, whole), 2))), F.lit(""))
+    return F.transform(read(html), lambda texts: F.transform(texts, lambda x: tx.trimmed(plain(x))))
 
 
-def blocks(html: Column, css: str) -> Column:
-    """The texts of all elements whose class holds `css`, in order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(_blocks(css, False)), 2), lambda x: tx.trimmed(plain(x)))
+def first_text(texts: Column) -> Column:
+    """The first of an array of texts; null if there is none, or it is empty."""
+    return F.nullif(F.get(texts, 0), F.lit(""))
 
 
 def point_of(html: Column) -> Column:
@@ -95,17 +98,19 @@ def best_candidate(candidates: Column) -> Column:
 
 def extract_listings(pages: DataFrame, deal_type: str = "rent_long", source: str = "site", detail: str = r"/offer/[0-9]+") -> DataFrame:
     """B1: a raw listing for each page (page_id, url, html) of one offer by its url, or with a
-    structured block that passes; other pages give none. One narrow pass.
+    structured block that passes; other pages give none. One narrow pass; elements of a class
+    are read by a scan in Python workers, all else by patterns.
 
     Street and locality come from the structured block, the point too; else from data
     attributes and the visible address; else from inline JSON around the street's name, or the
     first point. Pages without a block are read field by field from their text."""
     ld = F.col("ld")
     p = pages.where("html is not null").select("page_id", "url", "html", best_candidate(structured(F.col("html"))).alias("ld"))
-    p = p.where(ld.isNotNull() | F.coalesce(is_detail_link("url", detail), F.lit(False))).withColumn("_attr", point_of(F.col("html")))
+    p = p.where(ld.isNotNull() | F.coalesce(is_detail_link("url", detail), F.lit(False))).withColumn("_attr", point_of(F.col("html"))).withColumn("_by_class", by_class(F.col("html"), CLASSES))
+    place, metro, features = (F.col("_by_class")[k] for k in range(3))
     html, some = F.col("html"), lambda c: F.nullif(tx.trimmed(F.coalesce(c, F.lit(""))), F.lit(""))
     said = some(F.concat_ws(", ", some(ld["address"]["streetAddress"]), some(ld["address"]["addressLocality"])))
-    shown = F.coalesce(block(html, "CardLocation__addressItem"), tx.found(meta_description(html), _DESCRIBED), tx.found(element(html, "title"), _TITLED))
+    shown = F.coalesce(first_text(place), tx.found(meta_description(html), _DESCRIBED), tx.found(element(html, "title"), _TITLED))
     street = tx.found(html, _STREET)
     at = F.regexp_instr(html, F.lit(_STREET))
     start = F.greatest(at - 2000, F.lit(1))
@@ -116,7 +121,7 @@ def extract_listings(pages: DataFrame, deal_type: str = "rent_long", source: str
     facts = F.concat(F.coalesce(ld["name"], F.lit("")), F.lit("\n"), F.coalesce(ld["description"], F.lit("")))
     body, floors = plain(html), tx.floors_from_text(facts)
     label = lambda word: tx.number(F.coalesce(tx.found(html, rf"""(?isu)__value[^>]*>\s*([0-9]+(?:[.,][0-9]+)?)[^<]*</[^>]*>\s*<[^>]*__label[^>]*>[^<]*{word}"""), tx.found(F.lower(body), rf"(?u){word}[^0-9]{{0,20}}?(\d+(?:[\.,]\d+)?)\s*м²")))
-    told = F.transform(blocks(html, "(?:OfferCardFeature__text|OfferCardBuildingFeatures__feature)"), lambda x: F.lower(x))
+    told = F.transform(features, lambda x: F.lower(x))
     year = F.get(F.filter(F.transform(F.filter(told, lambda x: x.rlike(_HOUSE_WORDS)), lambda x: tx.first_year(x)), lambda y: y.isNotNull()), 0)
     material = F.get(F.filter(F.transform(told, lambda x: tx.house_material(x)), lambda m: F.coalesce(m, F.lit("")) != ""), 0)
     return p.select(
@@ -127,7 +132,7 @@ def extract_listings(pages: DataFrame, deal_type: str = "rent_long", source: str
         tx.area_from_text(facts).alias("area_total"), label("жила").alias("area_living"), label("кухн").alias("area_kitchen"), floors["floor"].alias("floor"), floors["floors_total"].alias("floors_total"),
         F.coalesce(year, tx.first_year(F.lower(body))).alias("year_built"), F.coalesce(material, tx.house_material(body)).alias("house_material"),
         tx.stripped(tx.trimmed(F.coalesce(address, F.lit(""))), ", ").alias("address_text"),
-        F.coalesce(tx.number(ld["geo"]["latitude"]), F.col("_attr.lat"), inline(1)).alias("lat"), F.coalesce(tx.number(ld["geo"]["longitude"]), F.col("_attr.lon"), inline(2)).alias("lon"), F.coalesce(block(html, "MetroWithTime"), F.lit("")).alias("metro"),
+        F.coalesce(tx.number(ld["geo"]["latitude"]), F.col("_attr.lat"), inline(1)).alias("lat"), F.coalesce(tx.number(ld["geo"]["longitude"]), F.col("_attr.lon"), inline(2)).alias("lon"), F.coalesce(first_text(metro), F.lit("")).alias("metro"),
     )
 
 
