@@ -97,10 +97,17 @@ def price_per_m2(price: Column | str, area: Column | str) -> Column:
     return F.when(_c(price).isNotNull() & (_c(area) > 0), F.round(_c(price) / _c(area), 2))
 
 
-def parse_metro(text: Column | str) -> Column:
+def metro_text(text: Column | str) -> Column:
+    """The text of F3 in single spaces: `parse_metro` of it looks at it several times, so let a
+    projection below compute it."""
+    return F.regexp_replace(F.regexp_replace(trimmed(text), _NBSP, " "), r"\s+", " ")
+
+
+def parse_metro(text: Column | str, ready: bool = False) -> Column:
     """struct(station, walk_min): what stands before "N мин", or without minutes the text up
-    to a comma; separators around it go. No station: empty; no minutes: null."""
-    t = F.regexp_replace(F.regexp_replace(trimmed(text), _NBSP, " "), r"\s+", " ")
+    to a comma; separators around it go. No station: empty; no minutes: null. ready: the text
+    is `metro_text`'s."""
+    t = _c(text) if ready else metro_text(text)
     at = F.regexp_instr(t, F.lit(MINUTES))
     name = stripped(F.when(at > 0, F.substr(t, F.lit(1), at - 1)).otherwise(F.substring_index(t, ",", 1)), " •·,;-", left=False)
     name = F.when(at > 0, stripped(name, " -—–")).otherwise(name)

@@ -49,8 +49,10 @@ def normalize(raw: DataFrame, default_city: str = "", daily_days: float = 30.0)
     too_high = F.coalesce(priced & (F.col("floor") > F.col("floors_total")), F.lit(False))
     price = F.round(tx.monthly_price("deal_type", "price_value", daily_days), 2)
     living = F.when(priced & (has("area_living", "double") > F.col("area_total")), None).otherwise(has("area_living", "double"))
-    metro = tx.parse_metro(F.coalesce(has("metro", "string"), F.lit("")))
     known = raw.where("rooms is not null and year_built is not null").where(~too_high)
+    # texts that are looked at several times are computed once, below
+    known = known.withColumn("_metro_text", tx.metro_text(F.coalesce(has("metro", "string"), F.lit("")))).withColumn("_metro", tx.parse_metro("_metro_text", ready=True))
+    metro = F.col("_metro")
     return known.select(
         "id", *KEY, "url", text("title"), text("description"), price.alias("price_rub"), tx.period("deal_type").alias("price_period"), tx.price_per_m2(price, "area_total").alias("price_per_m2"),
         "rooms", "area_total", living.alias("area_living"), has("area_kitchen", "double").alias("area_kitchen"), "floor", "floors_total", "year_built", text("house_material"), text("condition"),

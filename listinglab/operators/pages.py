@@ -106,7 +106,7 @@ def extract_listings(pages: DataFrame, deal_type: str = "rent_long", source: str
     first point. Pages without a block are read field by field from their text."""
     ld = F.col("ld")
     p = pages.where("html is not null").select("page_id", "url", "html", best_candidate(structured(F.col("html"))).alias("ld"))
-    p = p.where(ld.isNotNull() | F.coalesce(is_detail_link("url", detail), F.lit(False))).withColumn("_attr", point_of(F.col("html"))).withColumn("_by_class", by_class(F.col("html"), CLASSES))
+    p = p.where(ld.isNotNull() | F.coalesce(is_detail_link("url", detail), F.lit(False))).withColumn("_attr", point_of(F.col("html"))).withColumn("_by_class", by_class(F.col("html"), CLASSES)).withColumn("_body", plain(F.col("html"))).withColumn("_lower", F.lower("_body"))
     place, metro, features = (F.col("_by_class")[k] for k in range(3))
     html, some = F.col("html"), lambda c: F.nullif(tx.trimmed(F.coalesce(c, F.lit(""))), F.lit(""))
     said = some(F.concat_ws(", ", some(ld["address"]["streetAddress"]), some(ld["address"]["addressLocality"])))
@@ -119,8 +119,8 @@ def extract_listings(pages: DataFrame, deal_type: str = "rent_long", source: str
     parts = F.array_join(F.filter(F.transform(F.slice(F.regexp_extract_all(html, F.lit(_PART), 1), 1, 6), lambda x: tx.trimmed(x)), lambda x: x != ""), ", ")
     address = F.coalesce(said, some(tx.stripped(tx.trimmed(F.coalesce(shown, F.lit(""))), ", ")), some(street), some(tx.found(html, _ONELINE)), some(parts))
     facts = F.concat(F.coalesce(ld["name"], F.lit("")), F.lit("\n"), F.coalesce(ld["description"], F.lit("")))
-    body, floors = plain(html), tx.floors_from_text(facts)
-    label = lambda word: tx.number(F.coalesce(tx.found(html, rf"""(?isu)__value[^>]*>\s*([0-9]+(?:[.,][0-9]+)?)[^<]*</[^>]*>\s*<[^>]*__label[^>]*>[^<]*{word}"""), tx.found(F.lower(body), rf"(?u){word}[^0-9]{{0,20}}?(\d+(?:[\.,]\d+)?)\s*м²")))
+    body, floors = F.col("_body"), tx.floors_from_text(facts)
+    label = lambda word: tx.number(F.coalesce(tx.found(html, rf"""(?isu)__value[^>]*>\s*([0-9]+(?:[.,][0-9]+)?)[^<]*</[^>]*>\s*<[^>]*__label[^>]*>[^<]*{word}"""), tx.found(F.col("_lower"), rf"(?u){word}[^0-9]{{0,20}}?(\d+(?:[\.,]\d+)?)\s*м²")))
     told = F.transform(features, lambda x: F.lower(x))
     year = F.get(F.filter(F.transform(F.filter(told, lambda x: x.rlike(_HOUSE_WORDS)), lambda x: tx.first_year(x)), lambda y: y.isNotNull()), 0)
     material = F.get(F.filter(F.transform(told, lambda x: tx.house_material(x)), lambda m: F.coalesce(m, F.lit("")) != ""), 0)
@@ -130,7 +130,7 @@ def extract_listings(pages: DataFrame, deal_type: str = "rent_long", source: str
         tx.number(ld["offers"]["price"]).alias("price_value"), tx.currency(F.coalesce(ld["offers"]["priceCurrency"], F.lit(""))).alias("price_currency"), tx.price_period(F.lit(deal_type), F.concat_ws(" ", ld["description"], ld["name"], body)).alias("price_period"),
         F.coalesce(tx.rooms_from_text(facts), tx.rooms_from_page(body, element(html, "title"), meta_description(html), element(html, "h1"))).alias("rooms"),
         tx.area_from_text(facts).alias("area_total"), label("жила").alias("area_living"), label("кухн").alias("area_kitchen"), floors["floor"].alias("floor"), floors["floors_total"].alias("floors_total"),
-        F.coalesce(year, tx.first_year(F.lower(body))).alias("year_built"), F.coalesce(material, tx.house_material(body)).alias("house_material"),
+        F.coalesce(year, tx.first_year(F.col("_lower"))).alias("year_built"), F.coalesce(material, tx.house_material(body)).alias("house_material"),
         tx.stripped(tx.trimmed(F.coalesce(address, F.lit(""))), ", ").alias("address_text"),
         F.coalesce(tx.number(ld["geo"]["latitude"]), F.col("_attr.lat"), inline(1)).alias("lat"), F.coalesce(tx.number(ld["geo"]["longitude"]), F.col("_attr.lon"), inline(2)).alias("lon"), F.coalesce(first_text(metro), F.lit("")).alias("metro"),
     )

@@ -585,7 +585,7 @@ def extracted_listings(spark: SparkSession, d: str) -> DataFrame:
     """Pages with two structured blocks, and pages without any; elements five deep, with
     twelve children and of 12,000 characters."""
     block = """concat('<script type="application/ld+json">{"@type":"Organization","name":"o"}</script><script type="application/ld+json">[{"@type":"Offer","name":"Flat ', cast(id as string), '","address":{"streetAddress":"Street ', cast(id as string), '","addressLocality":"Town"},"offers":{"price":"', cast(area as string), ' 000","priceCurrency":"RUR"}}]</script>')"""
-    rest = """concat('<div class="CardLocation__addressItem--x">Lane ', cast(id as string), ', </div><i data-latitude="', cast(50 + floor / 1e2 as string), '" data-longitude="', cast(30 + floors / 1e2 as string), '"></i><span class="MetroWithTime"><span><span><span><span><span>Station ', cast(k as string), '</span></span></span></span></span>', repeat('<i></i>', 12), '<span>7</span> мин.</span><div class="OfferCardFeature__text">', repeat('слово ', 2000), '<b>панельный</b> дом</div><p>кирпичный дом</p>')"""
+    rest = """concat('<div class="CardLocation__addressItem--x">Lane ', cast(id as string), ', </div><i data-latitude="', cast(50 + floor / 1e2 as string), '" data-longitude="', cast(30 + floors / 1e2 as string), '"></i><span class="MetroWithTime"><span><span><span><span><span>Station ', cast(k as string), '</span></span></span></span></span>', repeat('<i></i>', 12), '<span>7</span> мин.</span><div class="OfferCardFeature__text">', case when id % 97 = 0 then repeat('слово ', 2000) else '' end, '<b>панельный</b> дом</div><p>кирпичный дом</p>')"""
     html = f"concat(case when id % 2 = 0 then {block} else '' end, {rest})"
     rows = _said(spark, d).selectExpr("id as page_id", "concat('https://x.y/offer/', cast(100000 + id as string), '/') as url", f"{html} as html")
     return pages.extract_listings(rows).select("page_id", "title", "price_value", "address_text", "lat", "lon", "external_id", F.regexp_replace("metro", r"\s+", " ").alias("metro"), "house_material")
