@@ -5,6 +5,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ def components(links: DataFrame) -> DataFrame:
 _K = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _PIECE = 1 << 16  # bytes of a text that are hashed at a time
+_LONG = 64
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,7 +52,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of a text's words in order: A-Z lower-cased, parted by space and U+0009 to
     U+000D. A word's hash is a polynomial of its bytes; running sums over a piece of text give
-    those of all its words at once."""
+    those of all its words at once. Words of more than `_LONG` bytes, on which polynomials
+    modulo 2^64 may agree by construction, are hashed by xxh3."""
 
     def __init__(self) -> None:
         self.space = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -93,7 +97,10 @@ class Words:
         starts, ends = edges[::2], edges[1::2]
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.value[b] * self.power[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.inverse[starts]), starts
+        h = mix((sums[ends] - sums[starts]) * self.inverse[starts])
+        for k in np.flatnonzero(ends - starts > _LONG):
+            h[k] = xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]].translate(_LOWER))
+        return h, starts
 
 
 def gathered(texts: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, list[bytes]]]:

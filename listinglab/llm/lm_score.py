@@ -31,6 +31,7 @@ from .common import Words, gathered, small_batches, utf8
 
 _CHUNK = 1 << 20  # words that a task gathers before it sends their n-grams
 _SHARE = 1 << 19  # an n-gram with one in so many words is common
+_OFTEN = 1000  # and is so only if it stands so often: the table is for hot keys
 _ROWS = 1 << 16  # rows of a batch to Spark
 _SHIFT = 12  # log2 of the n-grams for each bit of the table from which its parts are split
 
@@ -234,23 +235,24 @@ def gains(parts: list[DataFrame], order: int, alpha: float, total: int) -> list[
     return tables
 
 
-class Common:
-    """Gains of common n-grams, in a table that n-grams find by their lowest bits. Of two that
-    share these the more frequent is held; the other is joined like rare ones."""
+def common_table(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gains (gram, n, gain) of common n-grams as keys, gains, and which places are taken, in a
+    table that n-grams find by their lowest bits. Of two that share these the more frequent is
+    held; the other is joined like rare ones."""
+    key, value, full = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20), np.zeros(1 << 20, bool)
+    for gram, _, gain in sorted(rows, key=lambda r: (-r[1], r[0])):
+        g = gram % 2**64
+        if not full[at := g % (1 << 20)]:
+            key[at], value[at], full[at] = g, gain, True
+    return key, value, full
 
-    def __init__(self, rows: list) -> None:
-        self.key, self.gain = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20)
-        self.full = np.zeros(1 << 20, bool)
-        for gram, _, gain in sorted(rows, key=lambda r: (-r[1], r[0])):
-            g = gram % 2**64
-            if not self.full[at := g % (1 << 20)]:
-                self.key[at], self.gain[at], self.full[at] = g, gain, True
 
-    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of `g` are held, and the gains of these."""
-        at = (g & np.uint64((1 << 20) - 1)).astype(np.int64)
-        held = self.full[at] & (self.key[at] == g)
-        return held, self.gain[at[held]]
+def find(table: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `g` are held, and the gains of these."""
+    key, value, full = table
+    at = (g & np.uint64(len(key) - 1)).astype(np.int64)
+    held = full[at] & (key[at] == g)
+    return held, value[at[held]]
 
 
 def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, bits: int = 28, slices: int = 2) -> DataFrame:
@@ -273,10 +275,10 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
     with tidy(spark):
         total = counts.where("k = 1").agg(F.sum("n")).first()[0] or 0
     tables = gains(parts, order, alpha, total)
-    floor = max(least, total // _SHARE)
+    floor = max(least, total // _SHARE, _OFTEN)
     with tidy(spark):
         often = [r for t in tables for r in t.where(F.col("n") >= floor).select("gram", "n", "gain").collect()]  # 2^19 of each order at most, and far fewer in any language
-    common = spark.sparkContext.broadcast(Common(often))
+    common = spark.sparkContext.broadcast(common_table(often))
     gain = reduce(DataFrame.unionByName, [t.select("gram", "gain") for t in tables])
     texts = docs.select("doc_id", utf8("text").alias("b")).withColumn("key", F.xxhash64("b"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -292,7 +294,7 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
                 ns[mine] = grams.n
                 sums[mine] = math.log(alpha) * sum(np.maximum(grams.n - k, 0) for k in range(1, order)) if order > 1 else 0.0
                 for g, at in zip(grams.all, grams.at, strict=True):
-                    held, gain = table.find(g[at])
+                    held, gain = find(table, g[at])
                     sums[mine] += np.bincount(grams.text[at[held]], gain, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "key", "n_words", "s"])
 
@@ -305,7 +307,7 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
                     out, of = [], []
                     for _, g, at in _worth(grams, bits):
                         at = at[g[at] % np.uint64(slices) == slice_]
-                        at = at[~table.find(g[at])[0]]
+                        at = at[~find(table, g[at])[0]]
                         out.append(g[at])
                         of.append(grams.text[at])
                     yield from _batches(gram=np.concatenate(out), key=batch.column("key").to_numpy()[first:][np.concatenate(of)])

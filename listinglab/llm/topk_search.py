@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored, tidy
+from ..sources.shared import dropped, stored, tidy
 
 _EXACT, _LONG = 2.0**53, 2.0**62  # sums below are exact as double, and fit a 64-bit integer
-_CELLS = 1 << 20  # scores that are held at once
+_CELLS = 1 << 20  # scores, or pairs kept of them, that are held at once
 _FOUND = "q int, vec_id long, score long"
 
 
@@ -98,7 +98,7 @@ def top_k(vectors: DataFrame, queries: Column | DataFrame, k: int = 10, scale: f
     broadcast block of at most `query_block` queries. A task reports only bins from the top down
     to where it alone has what a query needs: no lower bin can hold the kth score, so at most k
     rows for each query and task are shuffled. Equal scores are cut to the k smallest ids inside
-    each task first, so a vector with a third of all copies is no hot spot."""
+    each task, about a million pairs at a time, so that copies of a vector are no hot spot."""
     spark = vectors.sparkSession
     cast = lambda df, *more: df.where(usable(F.col("v")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"), *more)
     own = isinstance(queries, Column)
@@ -109,6 +109,7 @@ def top_k(vectors: DataFrame, queries: Column | DataFrame, k: int = 10, scale: f
         m, most, longest = asked.agg(F.count("*"), F.max(size), F.max(F.size("v"))).first()
         top = vecs.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
     if not m:
+        dropped(vecs, asked)
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     bound = ((most or 0.0) * scale + longest + 1) * ((top or 0.0) * scale + 1) * 1.001 + 1
     offset = int(bound) if bound < _LONG else 2**63  # scores and `offset` make unsigned numbers of `width` bits
@@ -120,6 +121,7 @@ def top_k(vectors: DataFrame, queries: Column | DataFrame, k: int = 10, scale: f
         if len(rows):
             found = _search(vecs, rows, k, scale, offset, width)
             out = found if out is None else out.unionByName(found)
+    dropped(vecs, asked)
     return out
 
 
@@ -128,14 +130,18 @@ def _search(vecs: DataFrame, rows, k: int, scale: float, offset: int, width: int
     spark, n = vecs.sparkSession, len(rows)
     lengths, row = rows["v"].map(len).to_numpy(), rows["row"].to_numpy()
     sizes = np.array([np.abs(v).max(initial=0) for v in rows["v"]])
-    blocks: dict[int, list[Block]] = {}
+    blocks: dict[int, list[tuple]] = {}  # plain arrays: unpickling a class would need this package
     for d in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == d)
         at = at[np.argsort(sizes[at], kind="stable")]  # large components don't slow the others down
         for i in range(0, len(at), 512):
             part = at[i : i + 512]
-            blocks.setdefault(d, []).append(Block(part, row[part], np.array([rows["v"][j] for j in part], float).reshape(len(part), d), scale))
+            blocks.setdefault(d, []).append((part, row[part], np.array([rows["v"][j] for j in part], float).reshape(len(part), d)))
     held = spark.sparkContext.broadcast(blocks)
+
+    def asked() -> dict[int, list[Block]]:
+        return {d: [Block(*b, scale) for b in some] for d, some in held.value.items()}
+
     most = max(4, min(12, 23 - max(0, n - 1).bit_length()))  # a task's histograms take 2^23 counters at most
     shift, prefix, need = np.uint64(offset % 2**64), np.zeros(n, np.uint64), np.full(n, k, np.int64)
     left, table = width, vecs.select("row", "vec_id", "v")
@@ -146,10 +152,10 @@ def _search(vecs: DataFrame, rows, k: int, scale: float, offset: int, width: int
         state = spark.sparkContext.broadcast((prefix, need))
 
         def report(batches: Iterator[pa.RecordBatch], bins=bins, at_bit=at_bit, above_bit=above_bit, state=state) -> Iterator[pa.RecordBatch]:
-            prefix, need = state.value
+            (prefix, need), blocks = state.value, asked()
             total = np.zeros((n, bins), np.int32)
             for batch in batches:
-                for b, _, s, _, fine in _met(batch, held.value):
+                for b, _, s, _, fine in _met(batch, blocks):
                     u = s.astype(np.uint64) + shift
                     if above_bit < 64:
                         fine &= (u >> above_bit) == prefix[b.at][:, None]
@@ -176,23 +182,33 @@ def _search(vecs: DataFrame, rows, k: int, scale: float, offset: int, width: int
     last = spark.sparkContext.broadcast(prefix)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        blocks, found, size = asked(), [[np.empty(0, np.int64)] * 3], 0
+
+        def cut() -> list[np.ndarray]:
+            """The k best pairs of each query so far."""
+            q, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((ids, ~score, q))
+            q, ids, score = q[order], ids[order], score[order]
+            fine = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return [q[fine], ids[fine], score[fine]]
+
         for batch in batches:
-            found = [best]
-            for b, ids, s, beyond, fine in _met(batch, held.value):
+            for b, ids, s, beyond, fine in _met(batch, blocks):
                 fine &= s.astype(np.uint64) + shift >= last.value[b.at][:, None]
                 if beyond is not None and (beyond & fine).any():
                     raise ValueError("one of the highest scores leaves 64-bit integers")
                 q, c = np.nonzero(fine)
                 found.append([b.at[q], ids[c], s[q, c]])
-            q, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((ids, ~score, q))
-            q, ids, score = q[order], ids[order], score[order]
-            fine = np.arange(len(q)) - np.searchsorted(q, q) < k
-            best = [q[fine], ids[fine], score[fine]]
+                size += len(q)
+                if size >= _CELLS:  # ties: any number of pairs may reach the kth score
+                    found, size = [cut()], 0
+        best = cut()
         yield pa.RecordBatch.from_pydict({"q": pa.array(best[0].astype(np.int32)), "vec_id": pa.array(best[1]), "score": pa.array(best[2])})
 
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     ids = spark.createDataFrame([(i, int(v)) for i, v in enumerate(rows["vec_id"])], "q int, query_id long")
     named = table.mapInArrow(keep, _FOUND).withColumn("rank", rank).where(F.col("rank") <= k).join(ids, "q")
-    return stored(named.select("query_id", "rank", "vec_id", "score"), "found")
+    found = stored(named.select("query_id", "rank", "vec_id", "score"), "found")
+    held.destroy()
+    last.destroy()
+    return found

@@ -626,3 +626,29 @@ def test_url_judgement_of_long_urls_and_no_pages(spark):
     got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in url_rules.judge(pages, rules, labels).collect()}
     assert got == {1: ("a.com", "com/", "allow"), 2: ("b.net", None, "allow")}
     assert url_rules.judge(pages.limit(0), rules, labels).count() == 0
+
+
+# -- hashes, ties, executors -----------------------------------------------------------------
+
+
+def thue_morse(k, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(1 << k))
+
+
+def test_long_words_stay_apart(spark):
+    """Words on which any polynomial modulo 2^64 agrees."""
+    one, two = thue_morse(10), thue_morse(10, "b", "a")
+    h = Words()(f"{one} {two} {one.upper()} short Short".encode())
+    assert h[0] != h[1] and h[0] == h[2] and h[3] == h[4]
+    docs = docs_of(spark, [one, two, one, f"{two} x"])
+    links = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_documents(docs, percent=75).collect()}
+    assert links == {0: 0, 1: 1, 2: 0, 3: 3}
+    scores = {r["doc_id"]: r["log_score"] for r in lm_score.score(docs, order=2).collect()}
+    assert math.isclose(scores[0], math.log(2 / 5)) and math.isclose(scores[1], math.log(2 / 5)) and math.isclose(scores[3], math.log(2 / 5) + math.log(0.4) + math.log(1 / 5))
+
+
+def test_many_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "_CELLS", 64)
+    vectors = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    got = topk_search.top_k(vectors, F.col("vec_id") % 100 == 0, k=3, scale=8.0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted((q, n + 1, c, 320) for q in range(0, 3000, 100) for n, c in enumerate([c for c in range(4) if c != q][:3]))
