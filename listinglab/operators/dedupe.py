@@ -1,5 +1,7 @@
 """Fuzzy de-duplication of listings: candidates, scores, clusters, survivors."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,17 +13,38 @@ from .components import connected_components
 _SCORED = ["price_rub", "area_total", "floor", "year_built", "house_material"]
 
 
+def _bands(value: Column, reach: float) -> tuple[Column, Column]:
+    """The band of a number, of four reaches' width, and the one or two bands in its reach."""
+    width, more = 4 * reach, reach + 1e-9
+    of = lambda x: F.floor(x / width).cast("long")
+    return of(value), F.array_distinct(F.array(of(value - more), of(value + more)))
+
+
 def candidate_pairs(listing: DataFrame, radius_m: float = 50.0, max_area: float = 2.0, max_price: float = 0.05, max_pairs: int | None = None) -> DataFrame:
     """Pairs a < b of active listings of one city and deal type within the radius, rooms
     equal or both null, areas at most `max_area` apart, and prices missing or both positive
     and at most the share `max_price` of the greater apart. Columns come as l_ and r_.
-    `max_pairs`, if wanted, keeps the first by (a, b)."""
+    `max_pairs`, if wanted, keeps the first by (a, b).
+
+    Rooms, bands of area and bands of the price's logarithm are join keys beside the cell, so a
+    house of many unlike listings is no dense cell. A listing looks into the one or two bands in
+    its reach, and among those without a price; one without a price looks at all, where each
+    stands once more. So each pair meets once."""
+    none, any_ = F.lit(-(1 << 40)), F.lit(-(1 << 41))
     cols = ["id", "city", "deal_type", "lat", "lon", "rooms", *_SCORED]
-    side = lambda tag: geo.prefixed(listing.where("is_active").select(*cols), tag)
+    rows = listing.where("is_active and area_total is not null").select(*cols, F.coalesce(F.col("rooms").cast("long"), none).alias("_rooms"))
+    area, areas = _bands(F.col("area_total"), max_area)
+    price, prices = _bands(F.ln(F.when(F.col("price_rub") > 0, F.col("price_rub"))), -math.log(1 - max_price))
+    unpriced = F.col("price_rub").isNull()
+    looks = F.when(unpriced, F.array(any_)).when(F.col("price_rub") > 0, F.array_append(prices, none)).otherwise(F.array(none))
+    stands = F.when(unpriced, F.array(none, any_)).when(F.col("price_rub") > 0, F.array(price, any_)).otherwise(F.array(any_))
+    left = geo.prefixed(rows.withColumn("_area", F.explode(areas)).withColumn("_price", F.explode(looks)), "l")
+    right = geo.prefixed(rows.withColumn("_area", area).withColumn("_price", F.explode(stands)), "r")
     l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
-    price = l("price_rub").isNull() | r("price_rub").isNull() | ((l("price_rub") > 0) & (r("price_rub") > 0) & (F.abs(l("price_rub") - r("price_rub")) / F.greatest(l("price_rub"), r("price_rub")) <= max_price))
-    alike = (l("id") < r("id")) & l("rooms").eqNullSafe(r("rooms")) & (F.abs(l("area_total") - r("area_total")) <= max_area) & price
-    met = geo.range_join(side("l"), side("r"), radius_m, ["city", "deal_type"], extra=alike)
+    close = l("price_rub").isNull() | r("price_rub").isNull() | ((l("price_rub") > 0) & (r("price_rub") > 0) & (F.abs(l("price_rub") - r("price_rub")) / F.greatest(l("price_rub"), r("price_rub")) <= max_price))
+    alike = (l("id") < r("id")) & l("rooms").eqNullSafe(r("rooms")) & (F.abs(l("area_total") - r("area_total")) <= max_area) & close
+    keys = ["city", "deal_type", "_rooms", "_area", "_price"]
+    met = geo.range_join(left, right, radius_m, keys, extra=alike).drop(*[f"{tag}_{c}" for tag in "lr" for c in keys[2:]])
     return met.orderBy("l_id", "r_id").limit(max_pairs) if max_pairs else met
 
 

@@ -1,5 +1,6 @@
 """Price model: training, prediction with intervals, additive explanations."""
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -74,14 +75,19 @@ def train(train_rows: DataFrame, valid_rows: DataFrame, numeric: list[str], cate
 
 def predict(model: PriceModel, df: DataFrame, interval: str = "conformal") -> DataFrame:
     """`df` with prediction_rub and an interval around it: "conformal", of `eps` in logs
-    either way, or "quantile", by the quantiles of signed errors."""
+    either way, "quantile", by the quantiles of signed errors, or "both", the second as
+    quantile_low_rub and quantile_high_rub: the trees run once."""
     local = with_local_price(df, model.stats, model.mean)
     out = model.pipeline.transform(_prepared(local, model.numeric, model.categorical, model.numbers, model.categories))
     low, high = F.exp(F.col("prediction") - model.eps), F.exp(F.col("prediction") + model.eps)
     if interval == "quantile":
         return quantile_interval(out.withColumn("prediction_rub", F.exp("prediction")), model.low, model.high)
     fixed = tx.repair_interval(low, F.exp("prediction"), high)
-    return out.withColumns({"prediction_rub": F.exp("prediction"), "interval_low_rub": fixed["low"], "interval_high_rub": fixed["high"]})
+    out = out.withColumns({"prediction_rub": F.exp("prediction"), "interval_low_rub": fixed["low"], "interval_high_rub": fixed["high"]})
+    if interval != "both":
+        return out
+    pair = tx.repair_interval(F.col("prediction_rub") + model.low, F.col("prediction_rub"), F.col("prediction_rub") + model.high)
+    return out.withColumns({"quantile_low_rub": pair["low"], "quantile_high_rub": pair["high"]})
 
 
 def quantile_interval(df: DataFrame, low: float, high: float) -> DataFrame:
@@ -113,6 +119,7 @@ def _trees(model: PriceModel, path: str) -> list[tuple[float, dict[str, np.ndarr
             "value": n.prediction.to_numpy(),
             "left": n.leftChild.to_numpy(),
             "right": n.rightChild.to_numpy(),
+            "cover": n.rawCount.to_numpy(),
             "feature": np.array([s["featureIndex"] for s in split]),
             "at": np.array([c[0] if k < 0 and len(c) else 0.0 for k, c in zip(kinds, cuts, strict=True)]),
             # Categories that go left, as bits; 0 for splits by a threshold.
@@ -121,36 +128,95 @@ def _trees(model: PriceModel, path: str) -> list[tuple[float, dict[str, np.ndarr
     return out
 
 
+def leaf_paths(tree: dict[str, np.ndarray]) -> list[tuple[float, float, list[tuple[int, float, list[tuple[int, bool]]]]]]:
+    """For each leaf its value, its share of the training rows, and for each feature on its path:
+    the feature, the product of the shares of rows that its splits send this way, and the splits
+    (node, whether left)."""
+    out, cover = [], tree["cover"].astype(float)
+    todo: list[tuple[int, list[tuple[int, bool]]]] = [(0, [])]
+    while todo:
+        node, way = todo.pop()
+        if tree["left"][node] < 0:
+            by: dict[int, list] = {}
+            for at, left in way:
+                share = cover[tree["left" if left else "right"][at]] / cover[at]
+                entry = by.setdefault(int(tree["feature"][at]), [1.0, []])
+                entry[0] *= share
+                entry[1].append((at, left))
+            out.append((float(tree["value"][node]), cover[node] / cover[0], [(f, z, splits) for f, (z, splits) in by.items()]))
+        else:
+            todo += [(int(tree["left"][node]), [*way, (node, True)]), (int(tree["right"][node]), [*way, (node, False)])]
+    return out
+
+
+def subset_weights(follows: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The Shapley values of the features on a leaf's path, for a leaf of value 1.
+
+    follows (rows, features): 1 where a row goes the leaf's way at all of a feature's splits;
+    shares: how many training rows do. A subset of known features leads here with the product of
+    `follows` of the known and `shares` of the others, so sums over subsets of each size are
+    the coefficients of a product of m linear factors. One factor is divided out for each
+    feature: the square of m steps, not 2^m."""
+    rows, m = follows.shape
+    sums = np.zeros((rows, m + 1))
+    sums[:, 0] = 1.0
+    for i in range(m):
+        sums[:, 1:] = sums[:, 1:] * shares[i] + sums[:, :-1] * follows[:, i : i + 1]
+        sums[:, 0] *= shares[i]
+    weight = np.array([math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)])
+    out = np.empty((rows, m))
+    for j in range(m):
+        rest, goes = np.zeros((rows, m + 1)), follows[:, j] > 0
+        for k in range(m - 1, -1, -1):  # divided by (share + t) from the top, or by the share alone
+            rest[goes, k] = sums[goes, k + 1] - shares[j] * rest[goes, k + 1]
+        rest[~goes, :m] = sums[~goes, :m] / shares[j]
+        out[:, j] = (follows[:, j] - shares[j]) * (rest[:, :m] @ weight)
+    return out
+
+
+def contributions(x: np.ndarray, trees: list[tuple[float, dict[str, np.ndarray], list]]) -> np.ndarray:
+    """Exact additive contributions of rows `x` in the trees (weight, arrays, leaf paths); the
+    last column is the base, the trees' mean over their training rows. Rows that follow the same
+    features of a leaf's path share its values."""
+    out = np.zeros((len(x), x.shape[1] + 1))
+    for w, t, leaves in trees:
+        left = {}
+        for node in np.flatnonzero(t["left"] >= 0).tolist():
+            v = x[:, t["feature"][node]]
+            left[node] = (t["set"][node] >> v.astype(np.uint64)) & np.uint64(1) == 1 if t["set"][node] else v <= t["at"][node]
+        for value, cover, path in leaves:
+            out[:, -1] += w * value * cover
+            if not path:
+                continue
+            follows = np.ones((len(x), len(path)), bool)
+            for k, (_, _, splits) in enumerate(path):
+                for node, goes_left in splits:
+                    follows[:, k] &= left[node] == goes_left
+            ways, which = np.unique(np.packbits(follows, axis=1, bitorder="little"), axis=0, return_inverse=True)
+            kinds = np.unpackbits(ways, axis=1, count=len(path), bitorder="little").astype(float)
+            values = w * value * subset_weights(kinds, np.array([z for _, z, _ in path]))
+            out[:, [f for f, _, _ in path]] += values[which.reshape(-1)]
+    return out
+
+
 def explain(model: PriceModel, predicted: DataFrame, path: str | None = None, n: int = 8) -> DataFrame:
-    """`predicted` with base_value, prediction_internal and top_features: each split on a
-    row's way moves the value from node to node, and the move counts for the split's feature.
-    base_value plus all moves is the prediction. `path`: where the trees are saved, a folder all
-    executors share; a new one if unset."""
+    """`predicted` with base_value, prediction_internal, contributions and top_features. A
+    feature's contribution is its Shapley value: what knowing it changes in the trees' mean
+    prediction, averaged over all orders of features, where unknown splits are followed by the
+    share of training rows that went each way. base_value plus all contributions is the
+    prediction. `path`: where the trees are saved, a folder all executors share; a new one if
+    unset."""
     path = path or f"{shared_dir(predicted.sparkSession)}/listinglab/trees-{uuid.uuid4().hex}"
-    trees = model.stats.sparkSession.sparkContext.broadcast(_trees(model, path))
+    trees = model.stats.sparkSession.sparkContext.broadcast([(w, t, leaf_paths(t)) for w, t in _trees(model, path)])
     names = feature_names(model)
 
     @F.pandas_udf("array<double>")
-    def moves(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def shares(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            x = np.stack(s.to_list()) if len(s) else np.empty((0, 1))
-            out = np.zeros((len(s), x.shape[1] + 1))
-            rows = np.arange(len(s))
-            for w, t in trees.value:
-                at = np.zeros(len(s), int)
-                out[:, -1] += w * t["value"][0]
-                while (go := t["left"][at] >= 0).any():
-                    r, a = rows[go], at[go]
-                    f = t["feature"][a]
-                    chosen = (t["set"][a] >> x[r, f].astype(np.uint64)) & np.uint64(1) == 1
-                    left = np.where(t["set"][a] > 0, chosen, x[r, f] <= t["at"][a])
-                    to = np.where(left, t["left"][a], t["right"][a])
-                    np.add.at(out, (r, f), w * (t["value"][to] - t["value"][a]))
-                    at[go] = to
-            yield pd.Series(list(out))
+            yield pd.Series(list(contributions(np.stack(s.to_list()) if len(s) else np.empty((0, len(names))), trees.value)))
 
     size = len(names)
-    c = predicted.withColumn("_c", moves(vector_to_array("features")))
+    c = predicted.withColumn("_c", shares(vector_to_array("features")))
     named = F.array(*[F.lit(x) for x in names])
     pairs = F.transform(F.slice("_c", 1, size), lambda v, i: F.struct(F.get(named, i).alias("feature"), v.alias("contribution")))
     total = F.aggregate("_c", F.lit(0.0), lambda a, v: a + v)

@@ -673,9 +673,8 @@ def _model(spark: SparkSession, d: str):
 @query()
 def price_predictions(spark: SparkSession, d: str) -> DataFrame:
     fitted, rows = _model(spark, d)
-    both = model.predict(fitted, rows).select("id", "prediction_rub", "interval_low_rub", "interval_high_rub")
-    pair = model.predict(fitted, rows, interval="quantile").select("id", F.col("interval_low_rub").alias("quantile_low_rub"), F.col("interval_high_rub").alias("quantile_high_rub"))
-    return both.join(pair, "id")
+    both = model.predict(fitted, rows, interval="both")
+    return both.select("id", "prediction_rub", "interval_low_rub", "interval_high_rub", "quantile_low_rub", "quantile_high_rub")
 
 
 @query()
