@@ -36,10 +36,10 @@ def indexed(records: DataFrame, others: dict[str, Column] | None = None) -> Data
     return rows.select("file", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long").alias("offset"), "page_id", "digest", *named)
 
 
-def digests(records: DataFrame) -> DataFrame:
-    """file, offset, digest (of `record`, if there is no such column), n: repeated rows are
-    one with their number."""
-    d = F.col("digest") if "digest" in records.columns else digest("record")
+def digests(records: DataFrame, hashed: bool = False) -> DataFrame:
+    """file, offset, digest (of `record`, or with `hashed` the column itself), n: repeated rows
+    are one with their number. Other columns are left out."""
+    d = F.col("digest") if hashed else digest("record")
     return records.groupBy("file", "offset", d.alias("digest")).agg(F.count("*").alias("n"))
 
 
@@ -62,16 +62,16 @@ def tree(hashed: DataFrame, span: int, fanout: int, levels: int) -> list[DataFra
     return out
 
 
-def audit(left: DataFrame, right: DataFrame, span: int = 1 << 16, fanout: int = 16) -> DataFrame:
-    """Where two replicas (file, offset, record or its digest) differ: file, offset, kind (changed, missing
-    or extra on the right), left_digest, right_digest.
+def audit(left: DataFrame, right: DataFrame, span: int = 1 << 16, fanout: int = 16, hashed: bool = False) -> DataFrame:
+    """Where two replicas (file, offset, record; with `hashed` digest instead of record) differ:
+    file, offset, kind (changed, missing or extra on the right), left_digest, right_digest.
 
     A leaf holds the records of one range of offsets, a node `fanout` nodes, so no task
     gathers a file, however large. The descent joins only children of differing nodes, then
     only records of differing ranges. Null files or offsets are left out of trees and reported
     by a direct comparison; repeated rows count. Empty replicas have no nodes: all rows of the
     other are missing or extra."""
-    a, b = stored(digests(left), "digests"), stored(digests(right), "digests")
+    a, b = stored(digests(left, hashed), "digests"), stored(digests(right, hashed), "digests")
     top = a.select("offset").union(b.select("offset")).agg(F.max("offset")).first()[0] or 0
     levels, reach = 0, span
     while reach <= top:

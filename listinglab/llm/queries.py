@@ -53,7 +53,7 @@ def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(F.col("page_id") % 1009 == 17, F.concat(F.lit("X"), F.substr("record", F.lit(2)))).otherwise(F.col("record"))
     index = merkle_audit.indexed(records, {"later": broken})
     later = index.where("page_id is null or page_id % 1511 <> 5").select("file", "offset", F.col("later").alias("digest"))
-    return merkle_audit.audit(index.select("file", "offset", "digest"), later)
+    return merkle_audit.audit(index.select("file", "offset", "digest"), later, hashed=True)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

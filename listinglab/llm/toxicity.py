@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored, tidy
+from ..sources.shared import dropped, stored, tidy
 from .common import utf8
 
 # Terms for groups of people; those of one line stand for each other. Words of a
@@ -174,7 +174,7 @@ def _chi(a: Column, c: Column, n: int, p: int) -> Column:
     return n * F.pow(a * d - b * c, 2) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1.0))
 
 
-def train(labelled: DataFrame, max_features: int = 4096, least_chi: float = 24.0, rounds: int = 30, swap_weight: float = 1.0, l2: float = 1e-4, terms: list[str] = IDENTITY_TERMS, least_swaps: int = 20) -> Model:
+def train(labelled: DataFrame, max_features: int = 4096, least_chi: float = 24.0, rounds: int = 30, swap_weight: float = 1.0, l2: float = 1e-4, terms: list[str] = IDENTITY_TERMS, mine: bool = False) -> Model:
     """A model from `labelled` (text, toxic 0/1; rows with a null label are left out), a sample
     of bounded size. Features are kept if five rows have them and the label depends on them
     (chi-square above `least_chi`, so that chance seldom picks one among a million), at most
@@ -182,14 +182,14 @@ def train(labelled: DataFrame, max_features: int = 4096, least_chi: float = 24.0
     at 0. Each round is one pass of Spark over the sample that sums gradients by partition; the
     driver holds one number for each feature.
 
-    `terms`: groups of identity terms, one a line. If fewer than `least_swaps` sentences of the
-    sample hold one, its language isn't theirs, and groups are mined from it too (see
-    `mined_groups`). No rows: every score is 0. One label only: nothing depends on it, scores
+    `terms`: groups of identity terms, one a line. mine: whether groups are mined from the sample
+    too (see `mined_groups`), for languages that `terms` doesn't know. No rows: every score is 0. One label only: nothing depends on it, scores
     are its rate."""
     spark = labelled.sparkSession
     sample = stored(labelled.where("toxic is not null").select(F.col("toxic").cast("int").alias("y"), utf8("text").alias("b")), "sample")
     n, p = sample.agg(F.count("*"), F.sum("y")).first()
     if not n:
+        dropped(sample)
         return Model({}, 0.0, known=False)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +229,13 @@ def train(labelled: DataFrame, max_features: int = 4096, least_chi: float = 24.0
         out = stored(sample.mapInArrow(run, "y int, x array<int>, s array<int>"), "encoded")
         return out, out.where("y is null").count()
 
-    data, swapped = encoded(terms)
     still = {f for t in terms for w in t.split() for f in features_of(w.encode())}
-    if swap_weight and swapped < least_swaps:
+    if swap_weight and mine:
         mined = mined_groups(sample, counts, n, p)
         still |= {w.encode() + b"$" for t in mined for w in t.split()}
         terms = [*terms, *mined]
-        data, swapped = encoded(terms)
-    data = data.coalesce(8)
+    rows, swapped = encoded(terms)
+    data = rows.coalesce(8)
 
     def flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy())), col.flatten().to_numpy()
@@ -266,6 +265,7 @@ def train(labelled: DataFrame, max_features: int = 4096, least_chi: float = 24.0
         g = sum(np.frombuffer(r["g"]) for r in parts) + l2 * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w = w - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+    dropped(sample, counts, rows)
     return Model(dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1]), True, terms, swapped)
 
 
@@ -278,8 +278,11 @@ def train_from(docs: DataFrame, labels: DataFrame, max_rows: int = 12000, **opti
     this sample. Only ids are shuffled to find them; their texts are picked out in the scan."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out(F.col("doc_id")))
     picked = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(stored(picked, "picked")), "doc_id")  # at most max_rows ids
-    return train(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), **options)
+    picked = stored(picked, "picked")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_rows ids
+    model = train(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), **options)
+    dropped(picked)
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:

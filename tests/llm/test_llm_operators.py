@@ -190,9 +190,9 @@ def test_groups_are_mined_where_no_term_occurs(spark):
         texts.append(" ".join([*rnd.choices([f"w{k}" for k in range(300)], k=8), *(["idiot"] if bad else []), "people", rnd.choice(folk), "."]))
         toxic.append(int(bad))
     rows = spark.createDataFrame(list(zip(texts, toxic, strict=True)), "text string, toxic int")
-    model = toxicity.train(rows)
+    model = toxicity.train(rows, mine=True)
     assert model.swapped >= 700 and any(len({*folk} & {*g.split()}) >= 3 for g in model.terms)
-    assert toxicity.train(rows, least_swaps=0).swapped == 0
+    assert toxicity.train(rows).swapped == 0
 
 
 def test_training_equals_a_dense_solution(spark):
@@ -222,6 +222,18 @@ def test_training_equals_a_dense_solution(spark):
     assert np.allclose([*model.weights.values(), model.bias], w, atol=1e-6)
 
 
+def test_scores_equal_brute_force_of_the_weights(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices([f"word{k}" for k in range(50)] + ["Idiot", "STUPIDLY", "é"], k=rnd.randint(0, 30))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t, int("Idiot" in t)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    model = toxicity.train(rows)
+    assert model.weights
+    for r in model.score(rows).collect():
+        has = {f for w in r["text"].encode().translate(toxicity._FOLD).split() for f in (w + b"$", *(w[:n] for n in (4, 5, 6) if len(w) > n))}
+        z = model.bias + sum(w for f, w in model.weights.items() if f in has)
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), abs_tol=1e-9)
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (9, None)], "doc_id long, toxic int")
     rows = toxicity.score_documents(odd(spark), labels).collect()
@@ -413,6 +425,18 @@ def test_audit_finds_each_difference(spark):
     assert sorted(((r["file"], r["offset"]) for r in merkle_audit.audit(odd_, once.where("file is null")).collect()), key=str) == [(1, 2), (1, None)]
 
 
+def test_audit_of_long_records_and_clashing_columns(spark):
+    long = "x" * 3_000_000
+    rows = [(0, 0, long, "d", 7, "node"), (0, 3_000_000, long + "y", "d", 7, "node"), (0, 9_000_000, "z", "d", 7, "node")]
+    schema = "file long, offset long, record string, digest string, n long, hash string"
+    left = spark.createDataFrame(rows, schema)
+    right = spark.createDataFrame([rows[0], (0, 3_000_000, long + "Y", "d", 7, "node"), rows[2]], schema)
+    got = merkle_audit.audit(left, right).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert [tuple(r) for r in got] == [(0, 3_000_000, "changed", sha(long + "y"), sha(long + "Y"))]
+    assert merkle_audit.audit(left, right, hashed=True).count() == 0
+
+
 def test_index_of_pages(spark):
     pages = spark.createDataFrame([(0, "u", "aé"), (1, None, None), (600, "v", "b"), (None, "w", "c")], "page_id long, url string, html string")
     rows = merkle_audit.warc_records(pages)
