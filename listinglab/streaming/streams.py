@@ -1,78 +1,22 @@
-"""Streaming forms of upsert, price log and ageing out."""
+"""Streaming forms of upsert (see `store`), price log and ageing out."""
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..operators.clean import AGE_DAYS
-from ..sources.io import upsert_raw
+from .store import snapshot, upsert_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-_KEY = ["source", "deal_type", "external_id"]
-
-
-def upsert_batches(folder: str, arrived: Column | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """ST1: a foreachBatch function that keeps raw listings in `folder`, dealt into buckets by
-    the hash of their key. Batch n reads the newest version before n of the buckets its keys
-    fall in, and writes these buckets' versions n: the work grows with the batch's buckets, and
-    a replay gives the same again. `arrived` is the time of arrival, by default the rows' own
-    collected_at. Versions that no replay can need are removed."""
-
-    def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*_KEY), F.lit(buckets)).alias("bucket")
-        touched = {r["bucket"] for r in batch.select(bucket).distinct().collect()}  # `buckets` at most
-        versions = _versions(spark, folder)
-        paths = [path for k in touched if (path := _newest(versions, k, n - 1))]
-        before = spark.read.schema(batch.schema).parquet(*paths) if paths else spark.createDataFrame([], batch.schema)
-        merged = upsert_raw(before, batch, arrived if arrived is not None else F.col("collected_at")).drop("action")
-        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={n}")
-        for k in touched:
-            for old in sorted(m for b, m in versions if b == k and m < n)[:-1]:
-                _delete(spark, f"{folder}/batch={old}/bucket={k}")
-
-    return run
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _versions(spark: SparkSession, folder: str) -> dict[tuple[int, int], str]:
-    """The finished versions: (bucket, batch) and where they lie."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    root = path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    named = lambda p, key: [(int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{key}=")]
-    out = {}
-    for n, p in named(root, "batch") if fs.exists(root) else []:
-        if fs.exists(path(p, "_SUCCESS")):
-            out |= {(k, n): q.toString() for k, q in named(p, "bucket")}
-    return out
-
-
-def _newest(versions: dict[tuple[int, int], str], bucket: int, upto: int) -> str | None:
-    known = [n for k, n in versions if k == bucket and n <= upto]
-    return versions[bucket, max(known)] if known else None
-
-
-def snapshot(spark: SparkSession, folder: str, upto: int) -> DataFrame | None:
-    """The rows after batch `upto`: every bucket's newest version up to it; None without any."""
-    versions = _versions(spark, folder)
-    paths = [path for k in {k for k, _ in versions} if (path := _newest(versions, k, upto))]
-    return spark.read.parquet(*paths) if paths else None
-
-
 class _PriceLog(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", StructType([StructField("price", DoubleType()), StructField("known", BooleanType())]))
