@@ -11,7 +11,9 @@ from ..sources.shared import dropped, stored
 
 EARTH_KM, EARTH_M = 6371.0, 6371008.8
 _NO_BAND = -(1 << 40)  # of rows that look along the whole axis
+EQUATOR_M, FLATTENING = 6378137.0, 1 / 298.257223563
 Point = tuple[Column, Column]
+Metres = Callable[[Point, Point], Column]
 
 
 def _angle(a: Point, b: Point) -> Column:
@@ -30,9 +32,22 @@ def distance_m(a: Point, b: Point) -> Column:
     return _angle(a, b) * EARTH_M
 
 
-def within_m(a: Point, b: Point, radius: float) -> Column:
+def spheroid_m(a: Point, b: Point) -> Column:
+    """Metres on the WGS 84 spheroid, by Andoyer's and Lambert's first-order correction of
+    the angle between reduced latitudes: within a metre of the geodesic over 10 km."""
+    reduced = lambda y: F.atan((1 - FLATTENING) * F.tan(F.radians(y)))
+    (y1, x1), (y2, x2) = a, b
+    u, v = reduced(y1), reduced(y2)
+    angle = _angle((F.degrees(u), x1), (F.degrees(v), x2))
+    mean, half, sine = (u + v) / 2, (v - u) / 2, F.sin(angle)
+    along = (angle - sine) * F.pow(F.sin(mean) * F.cos(half) / F.cos(angle / 2), 2)
+    across = (angle + sine) * F.pow(F.cos(mean) * F.sin(half) / F.sin(angle / 2), 2)
+    return F.when(angle == 0, 0.0).otherwise(EQUATOR_M * (angle - FLATTENING / 2 * (along + across)))
+
+
+def within_m(a: Point, b: Point, radius: float, metres: Metres = distance_m) -> Column:
     """At most `radius` metres apart; null points are not."""
-    return F.coalesce(distance_m(a, b) <= radius, F.lit(False))
+    return F.coalesce(metres(a, b) <= radius, F.lit(False))
 
 
 def walk_min(metres: Column | str) -> Column:
@@ -72,7 +87,7 @@ def _cell_of(lon: Column, n: Column) -> Column:
     return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
 
 
-def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[str], how: str = "inner", extra: Column | None = None) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[str], how: str = "inner", extra: Column | None = None, metres: Metres = distance_m) -> DataFrame:
     """Rows of `left` (l_lat, l_lon) with rows of `right` (r_lat, r_lon) at most `radius_m`
     apart and equal in `keys` (as l_KEY and r_KEY), with dist_m.
 
@@ -80,8 +95,9 @@ def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[st
     each band's cells as wide in longitude as the radius can reach there: near a pole one cell
     goes all around. A row of `left` looks into its cell and those around it in its band and the
     two next, across the antimeridian too, so each pair meets once. Null points and keys meet
-    nothing. A dense cell is split by the adaptive skew join, as both sides are plain shuffles."""
-    dlat, half = _measures(radius_m)
+    nothing. A dense cell is split by the adaptive skew join, as both sides are plain shuffles.
+    metres: `distance_m`, or `spheroid_m`, which differs by 0.6 % at most: cells are widened."""
+    dlat, half = _measures(radius_m * (1.0 if metres is distance_m else 1.006))
     around, cell_of = lambda band: _around(band, dlat, half), _cell_of
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     near = left.where(has_point("l_lat", "l_lon")).withColumn("_y", F.explode(F.transform(steps, lambda i: F.floor(F.col("l_lat") / dlat) + i))).withColumn("_n", around(F.col("_y")))
@@ -89,8 +105,8 @@ def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[st
     far = right.where(has_point("r_lat", "r_lon")).withColumn("_v", F.floor(F.col("r_lat") / dlat)).withColumn("_u", cell_of(F.col("r_lon"), around(F.col("_v"))))
     same = [F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]
     on = reduce(lambda a, b: a & b, same, (F.col("_y") == F.col("_v")) & (F.col("_x") == F.col("_u")))
-    d = distance_m((F.col("l_lat"), F.col("l_lon")), (F.col("r_lat"), F.col("r_lon")))
-    within = within_m((F.col("l_lat"), F.col("l_lon")), (F.col("r_lat"), F.col("r_lon")), radius_m)
+    d = metres((F.col("l_lat"), F.col("l_lon")), (F.col("r_lat"), F.col("r_lon")))
+    within = within_m((F.col("l_lat"), F.col("l_lon")), (F.col("r_lat"), F.col("r_lon")), radius_m, metres)
     met = near.join(far, on & within & (extra if extra is not None else F.lit(True)), how)
     return met.withColumn("dist_m", d).drop("_y", "_x", "_v", "_u")
 

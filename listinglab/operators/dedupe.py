@@ -20,11 +20,11 @@ def _bands(value: Column, reach: float) -> tuple[Column, Column]:
     return of(value), F.array_distinct(F.array(of(value - more), of(value + more)))
 
 
-def candidate_pairs(listing: DataFrame, radius_m: float = 50.0, max_area: float = 2.0, max_price: float = 0.05, max_pairs: int | None = None) -> DataFrame:
+def candidate_pairs(listing: DataFrame, radius_m: float = 50.0, max_area: float = 2.0, max_price: float = 0.05, max_pairs: int | None = None, metres: geo.Metres = geo.distance_m) -> DataFrame:
     """Pairs a < b of active listings of one city and deal type within the radius, rooms
     equal or both null, areas at most `max_area` apart, and prices missing or both positive
     and at most the share `max_price` of the greater apart. Columns come as l_ and r_.
-    `max_pairs`, if wanted, keeps the first by (a, b).
+    `max_pairs`, if wanted, keeps the first by (a, b); metres: on the sphere, or `geo.spheroid_m`.
 
     Rooms, bands of area and bands of the price's logarithm are join keys beside the cell, so a
     house of many unlike listings is no dense cell. A listing looks into the one or two bands in
@@ -44,7 +44,7 @@ def candidate_pairs(listing: DataFrame, radius_m: float = 50.0, max_area: float
     close = l("price_rub").isNull() | r("price_rub").isNull() | ((l("price_rub") > 0) & (r("price_rub") > 0) & (F.abs(l("price_rub") - r("price_rub")) / F.greatest(l("price_rub"), r("price_rub")) <= max_price))
     alike = (l("id") < r("id")) & l("rooms").eqNullSafe(r("rooms")) & (F.abs(l("area_total") - r("area_total")) <= max_area) & close
     keys = ["city", "deal_type", "_rooms", "_area", "_price"]
-    met = geo.range_join(left, right, radius_m, keys, extra=alike).drop(*[f"{tag}_{c}" for tag in "lr" for c in keys[2:]])
+    met = geo.range_join(left, right, radius_m, keys, extra=alike, metres=metres).drop(*[f"{tag}_{c}" for tag in "lr" for c in keys[2:]])
     return met.orderBy("l_id", "r_id").limit(max_pairs) if max_pairs else met
 
 

@@ -43,27 +43,27 @@ def center_distance_km(points: DataFrame, cities: DataFrame) -> DataFrame:
     return points.join(c, "city", "left").withColumn("center_km", d).drop("center_lat", "center_lon")
 
 
-def density(points: DataFrame, others: DataFrame, radius_m: float = 500.0, id_: str = "id", keys: list[str] | None = None) -> DataFrame:
+def density(points: DataFrame, others: DataFrame, radius_m: float = 500.0, id_: str = "id", keys: list[str] | None = None, metres: geo.Metres = geo.distance_m) -> DataFrame:
     """(id, density) for every point: how many rows of `others` lie within the radius."""
-    n = _counted_near(points, others, radius_m, keys or [])
+    n = _counted_near(points, others, radius_m, keys or [], metres)
     at = ["lat", "lon", *(keys or [])]
     return points.select(id_, *at).join(n, at, "left").select(id_, F.coalesce("density", F.lit(0)).cast("long").alias("density"))
 
 
-def _counted_near(points: DataFrame, others: DataFrame, radius_m: float, keys: list[str]) -> DataFrame:
+def _counted_near(points: DataFrame, others: DataFrame, radius_m: float, keys: list[str], metres: geo.Metres = geo.distance_m) -> DataFrame:
     """(lat, lon, keys, density) of the distinct places of `points`. Rows of one place are
     counted before the join, so a house with thousands of listings is one row on either side."""
     at = ["lat", "lon", *keys]
     left = geo.prefixed(points.select(*at).where(geo.has_point("lat", "lon")).distinct(), "l")
     right = geo.prefixed(others.groupBy(*at).agg(F.count("*").alias("n")), "r")
-    return geo.range_join(left, right, radius_m, keys).groupBy(*[F.col(f"l_{c}").alias(c) for c in at]).agg(F.sum("r_n").alias("density"))
+    return geo.range_join(left, right, radius_m, keys, metres=metres).groupBy(*[F.col(f"l_{c}").alias(c) for c in at]).agg(F.sum("r_n").alias("density"))
 
 
-def neighbour_density(listing: DataFrame, radius_m: float = 500.0) -> DataFrame:
+def neighbour_density(listing: DataFrame, radius_m: float = 500.0, metres: geo.Metres = geo.distance_m) -> DataFrame:
     """(id, density): active listings within the radius, less one. Inactive listings are
     less one too, though not among their own neighbours; listings with no neighbour at all
-    have no row."""
-    n = _counted_near(listing, listing.where("is_active"), radius_m, [])
+    have no row. metres: on the sphere, or `geo.spheroid_m`."""
+    n = _counted_near(listing, listing.where("is_active"), radius_m, [], metres)
     return listing.select("id", "lat", "lon").join(n, ["lat", "lon"]).select("id", (F.col("density") - 1).alias("density"))
 
 

@@ -1,5 +1,7 @@
 """Reading and writing tables."""
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,13 +130,25 @@ def upsert_raw(raw: DataFrame, batch: DataFrame, ingested_at: Column) -> DataFra
     return merge_upsert(raw, fresh, keys, rest, touch_unchanged=True)
 
 
+def _shard(id_: Column) -> Column:
+    return F.concat(F.lit("s"), F.substring(F.md5(id_), 1, 2))
+
+
 def save_reports(reports: DataFrame, path: str) -> DataFrame:
-    """Appended to the store, with new ids where missing."""
-    named = reports.withColumn("id", F.coalesce(F.col("id"), F.uuid()))
-    named.write.mode("append").parquet(path)
+    """Appended to the store, which is parted by the first byte of a hash of the id, with a
+    bloom filter of ids in each file. A report without id gets one from its content, so that a
+    job that runs again gives the same."""
+    rest = F.to_json(F.struct(*[c for c in reports.columns if c != "id"]))
+    named = reports.withColumn("id", F.coalesce(F.col("id"), F.substring(F.sha2(rest, 256), 1, 32))).withColumn("shard", _shard(F.col("id")))
+    out = named.repartition("shard").write.mode("append").partitionBy("shard")
+    out.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.expected.ndv#id", "100000").parquet(path)
     return named.sparkSession.read.parquet(path)
 
 
 def get_report(store: DataFrame, id_: str) -> DataFrame:
-    """The report of that id, or no row."""
-    return store.where(F.col("id") == id_)
+    """The report of that id, or no row. Only its shard is read, and of that only files
+    whose bloom filter knows the id."""
+    if "shard" not in store.columns:
+        return store.where(F.col("id") == id_)
+    shard = "s" + hashlib.md5(id_.encode(), usedforsecurity=False).hexdigest()[:2]
+    return store.where((F.col("shard") == shard) & (F.col("id") == id_)).drop("shard")
