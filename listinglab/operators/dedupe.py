@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import text as tx
-from ..sources.shared import stored
+from ..sources.shared import dropped, stored
 from .components import connected_components
 
 _SCORED = ["price_rub", "area_total", "floor", "year_built", "house_material"]
@@ -81,7 +81,9 @@ def clusters(listing: DataFrame, as_of: Column, method: str = "geo+attrs") -> Da
     best = ranked.groupBy("root").agg(F.max(F.struct(F.col("_q"), (-F.col("id")).alias("_i"))).alias("_b")).select("root", (-F.col("_b._i")).alias("master_id"))
     edge = pairs.select(F.explode(F.array("a", "b")).alias("id"), "score").groupBy("id").agg(F.max("score").alias("pair_score"))
     out = ranked.select("id", "root").join(best, "root").where("id <> master_id").join(edge, "id")
-    return out.select("master_id", F.col("id").alias("member_id"), F.lit(0.90).alias("score"), "pair_score", F.lit(method).alias("method"))
+    out = stored(out.select("master_id", F.col("id").alias("member_id"), F.lit(0.90).alias("score"), "pair_score", F.lit(method).alias("method")), "clusters")
+    dropped(pairs)
+    return out
 
 
 def cluster_sizes(roots: DataFrame) -> DataFrame:

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..sources.shared import shared_dir, stored
+from ..sources.shared import dropped, shared_dir, stored
 from .clean import align_to_schema, in_target_range
 from .features import global_mean, impute, leave_one_out, local_stats, modes, with_local_price
 from .reports import top_features
-from .stats import conformal_radius, errors, medians, residual_quantiles
+from .stats import conformal_radius, errors, medians, quantiles, residual_quantiles
 
 
 @dataclass
@@ -37,6 +37,7 @@ class PriceModel:
     low: float = 0.0
     high: float = 0.0
     metrics: dict[str, float] = field(default_factory=dict)
+    spread: tuple | None = None  # trees, residuals' cuts, and shares of residuals by tree, leaf and bin
 
 
 def _prepared(df: DataFrame, numeric: list[str], categorical: list[str], numbers: dict, categories: dict) -> DataFrame:
@@ -45,10 +46,11 @@ def _prepared(df: DataFrame, numeric: list[str], categorical: list[str], numbers
     return impute(aligned.select("*", *missing), numbers, categories)
 
 
-def train(train_rows: DataFrame, valid_rows: DataFrame, numeric: list[str], categorical: list[str], trees: int = 100, depth: int = 6, step: float = 0.1, q: float = 0.9) -> PriceModel:
+def train(train_rows: DataFrame, valid_rows: DataFrame, numeric: list[str], categorical: list[str], trees: int = 100, depth: int = 6, step: float = 0.1, q: float = 0.9, conditional: bool = False) -> PriceModel:
     """Gradient-boosted trees on the log of prices in range, with leave-one-out local
     prices, medians and modes for what is missing, and the conformal radius and errors on
-    `valid_rows`. Missing numbers also get a flag each."""
+    `valid_rows`. Missing numbers also get a flag each. conditional: whether residuals are kept
+    by leaves, for `predict`'s intervals of that name."""
     seen = stored(in_target_range(train_rows), "training")
     rows = stored(leave_one_out(seen), "training")  # read by medians, modes and each tree
     numeric = [*numeric, "local_avg_price_rub", "local_density_count"]
@@ -70,13 +72,92 @@ def train(train_rows: DataFrame, valid_rows: DataFrame, numeric: list[str], cate
     ends = residual_quantiles(checked, "truth", "prediction_rub", 1 - q, q).first()
     model.low, model.high = ends["low"] or 0.0, ends["high"] or 0.0
     model.metrics = errors(checked, "truth", "prediction_rub").first().asDict()
+    if conditional:
+        model.spread = leaf_residuals(model, in_target_range(valid_rows))
+    dropped(seen, rows, checked)
     return model
 
 
+def _leaves(x: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
+    """The leaf of a tree that each row comes to."""
+    at = np.zeros(len(x), int)
+    while (go := t["left"][at] >= 0).any():
+        r, a = np.flatnonzero(go), at[go]
+        v = x[r, t["feature"][a]]
+        chosen = (t["set"][a] >> v.astype(np.uint64)) & np.uint64(1) == 1
+        at[go] = np.where(np.where(t["set"][a] > 0, chosen, v <= t["at"][a]), t["left"][a], t["right"][a])
+    return at
+
+
+def leaf_residuals(model: PriceModel, rows: DataFrame, bins: int = 64) -> tuple:
+    """How the residuals (in logs) of calibration `rows` spread in each leaf of each tree:
+    (trees, cuts, shares). A leaf's sketch is a histogram over `bins` ranges with as many
+    residuals each, so sketches of tasks and leaves add up. What is gathered has the model's
+    size: trees times leaves times bins. `shares` holds a whole residual more in each leaf, dealt
+    by all rows' residuals, so that a leaf without rows says what all rows say."""
+    spark = model.stats.sparkSession
+    path = f"{shared_dir(spark)}/listinglab/trees-{uuid.uuid4().hex}"
+    trees = [t for _, t in _trees(model, path)]
+    out = predict(model, rows).select(vector_to_array("features").alias("x"), (tx.log_target("price_rub") - F.col("prediction")).alias("r"))
+    out = stored(out, "residuals")
+    cuts = np.array(quantiles(out, {"r": F.col("r")}, [k / bins for k in range(bins + 1)])["r"], float)
+    held = spark.sparkContext.broadcast((trees, cuts))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees, cuts = held.value
+        sums = [np.zeros((len(t["left"]), len(cuts) - 1), np.int64) for t in trees]
+        for b in batches:
+            if len(b):
+                x, bin_ = np.stack(b["x"].to_list()), np.clip(np.searchsorted(cuts, b["r"].to_numpy(), side="right") - 1, 0, len(cuts) - 2)
+                for t, n in zip(trees, sums, strict=True):
+                    np.add.at(n, (_leaves(x, t), bin_), 1)
+        for k, n in enumerate(sums):
+            leaf, bin_ = np.nonzero(n)
+            yield pd.DataFrame({"tree": np.full(len(leaf), k), "leaf": leaf, "bin": bin_, "n": n[leaf, bin_]})
+
+    sums = out.mapInPandas(counted, "tree long, leaf long, bin long, n long").groupBy("tree", "leaf", "bin").agg(F.sum("n").alias("n")).toPandas()
+    dropped(out)
+    shares = []
+    for k, t in enumerate(trees):
+        n = np.full((len(t["left"]), bins), 1.0 / bins)
+        part = sums[sums.tree == k]
+        np.add.at(n, (part.leaf.to_numpy(int), part.bin.to_numpy(int)), part.n.to_numpy(float))
+        shares.append(n / n.sum(axis=1, keepdims=True))
+    return trees, cuts, shares
+
+
+def conditional_interval(model: PriceModel, predicted: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """An interval for each row by the residuals of rows that come to the same leaves: the
+    shares of its leaves are averaged over the trees, those that differ from all rows' spread
+    weighing more, and the quantiles of that spread are added to its logarithm. `predicted`: rows of `predict`; the model was trained with `conditional`."""
+    if model.spread is None:
+        raise ValueError("train with conditional=True")
+    held = model.stats.sparkSession.sparkContext.broadcast(model.spread)
+
+    @F.pandas_udf("array<double>")
+    def ends(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trees, cuts, shares = held.value
+        for s in batches:
+            x = np.stack(s.to_list()) if len(s) else np.empty((0, 1))
+            mean, total = np.zeros((len(x), len(cuts) - 1)), np.zeros((len(x), 1))
+            for t, n in zip(trees, shares, strict=True):
+                told = (n * np.log(n * n.shape[1])).sum(axis=1) ** 2 + 1e-6  # what a leaf tells beyond all rows' spread
+                at = _leaves(x, t)
+                mean += n[at] * told[at][:, None]
+                total += told[at][:, None]
+            upto = np.concatenate([np.zeros((len(x), 1)), np.cumsum(mean, axis=1)], axis=1) / total
+            yield pd.Series([[float(np.interp(q, u, cuts)) for q in (low, high)] for u in upto], dtype=object)
+
+    rows = predicted.withColumn("_e", ends(vector_to_array("features")))
+    fixed = tx.repair_interval(F.exp(F.col("prediction") + F.col("_e")[0]), F.exp("prediction"), F.exp(F.col("prediction") + F.col("_e")[1]))
+    return rows.withColumns({"interval_low_rub": fixed["low"], "interval_high_rub": fixed["high"]}).drop("_e")
+
+
 def predict(model: PriceModel, df: DataFrame, interval: str = "conformal") -> DataFrame:
     """`df` with prediction_rub and an interval around it: "conformal", of `eps` in logs
     either way, "quantile", by the quantiles of signed errors, or "both", the second as
-    quantile_low_rub and quantile_high_rub: the trees run once."""
+    quantile_low_rub and quantile_high_rub: the trees run once. "conditional" asks the
+    residuals of a row's own leaves, see `conditional_interval`."""
     local = with_local_price(df, model.stats, model.mean)
     out = model.pipeline.transform(_prepared(local, model.numeric, model.categorical, model.numbers, model.categories))
     low, high = F.exp(F.col("prediction") - model.eps), F.exp(F.col("prediction") + model.eps)
@@ -84,6 +165,8 @@ def predict(model: PriceModel, df: DataFrame, interval: str = "conformal") -> Da
         return quantile_interval(out.withColumn("prediction_rub", F.exp("prediction")), model.low, model.high)
     fixed = tx.repair_interval(low, F.exp("prediction"), high)
     out = out.withColumns({"prediction_rub": F.exp("prediction"), "interval_low_rub": fixed["low"], "interval_high_rub": fixed["high"]})
+    if interval == "conditional":
+        return conditional_interval(model, out)
     if interval != "both":
         return out
     pair = tx.repair_interval(F.col("prediction_rub") + model.low, F.col("prediction_rub"), F.col("prediction_rub") + model.high)
