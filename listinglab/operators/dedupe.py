@@ -82,7 +82,7 @@ def clusters(listing: DataFrame, as_of: Column, method: str = "geo+attrs") -> Da
     edge = pairs.select(F.explode(F.array("a", "b")).alias("id"), "score").groupBy("id").agg(F.max("score").alias("pair_score"))
     out = ranked.select("id", "root").join(best, "root").where("id <> master_id").join(edge, "id")
     out = stored(out.select("master_id", F.col("id").alias("member_id"), F.lit(0.90).alias("score"), "pair_score", F.lit(method).alias("method")), "clusters")
-    dropped(pairs)
+    dropped(pairs, roots)
     return out
 
 

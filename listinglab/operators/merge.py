@@ -21,6 +21,27 @@ def last_write(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*").select(*rows.columns)
 
 
+KEY_HASH = "key_hash"  # the column that tables of `save_bucketed` are bucketed by
+
+
+def _same_value(a: Column, b: Column) -> Column:
+    """Equal, or both null, in a form that Spark takes for a condition and not for a join key:
+    the buckets must hold all join keys, and they know the hash only."""
+    return ((a <= b) & (a >= b)) | (a.isNull() & b.isNull())
+
+
+def save_bucketed(rows: DataFrame, table: str, keys: list[str], buckets: int, dealt: bool = False) -> DataFrame:
+    """`rows` as the table `table` of that many buckets, by a hash of the keys in which nulls
+    count too; the table. `dealt`: the rows are what merge_upsert made of a table of as many
+    buckets, so that each task holds one bucket already and nothing moves. A table can't be
+    written from itself: a new snapshot takes a new name."""
+    hashed = rows.withColumn(KEY_HASH, F.xxhash64(*keys))
+    if not dealt:
+        hashed = hashed.repartition(buckets, KEY_HASH)
+    hashed.write.format("parquet").bucketBy(buckets, KEY_HASH).sortBy(KEY_HASH).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], insert_only: list[str] = (), touch: list[str] = (), touch_unchanged: bool = False) -> DataFrame:
     """The snapshot of `target` after `source` (one row a key), with `action`: inserted,
     updated, unchanged or kept (not in the source).
@@ -28,9 +49,16 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], update:
     A known key changes only if one of the `update` columns does; then these and the `touch`
     columns are taken. `insert_only` columns keep what was first inserted. Rows seen again
     without a change keep their `touch` columns too, unless `touch_unchanged`. Keys compare
-    with nulls equal. One join on the keys; the target isn't changed in place."""
+    with nulls equal. One join on the keys; the target isn't changed in place. A target that
+    `save_bucketed` wrote by these keys is met where it lies: only the source is shuffled."""
+    by_hash = KEY_HASH in target.columns
+    if by_hash:
+        source = source.withColumn(KEY_HASH, F.xxhash64(*keys))
     t, s = target.withColumn("_t", F.lit(True)).alias("t"), source.withColumn("_s", F.lit(True)).alias("s")
-    on = reduce(lambda a, b: a & b, [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    same = _same_value if by_hash else Column.eqNullSafe
+    on = reduce(lambda a, b: a & b, [same(F.col(f"t.{k}"), F.col(f"s.{k}")) for k in keys])
+    if by_hash:
+        on = (F.col(f"t.{KEY_HASH}") == F.col(f"s.{KEY_HASH}")) & on
     new, seen = F.col("_t").isNull(), F.col("_s").isNotNull()
     changed = differs([F.col(f"t.{c}") for c in update], [F.col(f"s.{c}") for c in update])
     action = F.when(new, "inserted").when(~seen, "kept").when(changed, "updated").otherwise("unchanged")
