@@ -6,15 +6,16 @@ context it scores count(word) / words. Runs (n-grams) have at most `order` words
 text's beginning. A text's score is the sum of the logarithms.
 
 There is a table of counts for each order, parted by the n-gram's hash. A run counted `least`
-times has a shorter run counted as often, so its gain, the logarithm of its score over that of
-backing off, is found by joining its order's table to that of the order below. A text's score
-is then what it has if all its words backed off to the end, and the gains of its runs: texts'
-exploded n-grams are joined to the gains and summed for each text.
+times has shorter runs counted as often, so its logarithm is found by joining its order's table
+to that of the order below. A text's score is then the sum, over its words, of the logarithm of
+the longest counted run that ends there, and of what backing off to it costs: texts' exploded
+n-grams, the longest for each word, are joined to the tables and summed for each text.
 
 Two tables of bounded size, broadcast, spare the shuffle rows: bits that are set for all n-grams
-that stand twice (no other can have a gain), and the gains of n-grams with a fixed share of all
-words, of which there can be few. The hashes' range is worked through in slices, and each
-slice's shuffle is gone before the next begins.
+counted `least` times, and the logarithms of n-grams with a fixed share of all words, of which
+there can be few. The few rarer n-grams whose bits are set as well stand in the tables with what
+backing off gives them, so that every n-gram that the bits let through is found. The hashes'
+range is worked through in slices, and each slice's shuffle is gone before the next begins.
 """
 
 import math
@@ -33,6 +34,7 @@ _CHUNK = 1 << 20  # words that a task gathers before it sends their n-grams
 _SHARE = 1 << 19  # an n-gram with one in so many words is common
 _OFTEN = 1000  # and is so only if it stands so often: the table is for hot keys
 _ROWS = 1 << 16  # rows of a batch to Spark
+_PART = 22  # log2 of the bytes of text for each part of the counts, of which there are 256 at least
 _SHIFT = 12  # log2 of the n-grams for each bit of the table from which its parts are split
 
 
@@ -76,12 +78,17 @@ class Grams:
         return self.all[k - 1][self.at[k - 1]] if k <= len(self.all) else self.all[0][:0]
 
 
-def repeated(docs: DataFrame, order: int, bits: int) -> np.ndarray:
+def _size(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    with tidy(docs.sparkSession):
+        return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def repeated(docs: DataFrame, order: int, bits: int, size: int | None = None) -> np.ndarray:
     """2^bits bits, set for every n-gram of 2 to `order` words that stands twice or more (and
     for some others)."""
     chunks, mask = 1 << (bits - 16), np.uint64((1 << bits) - 1)
-    with tidy(docs.sparkSession):
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = _size(docs) if size is None else size
     turns = max(1, int(size * order / 2.0 ** (bits + _SHIFT)))  # groups of one chunk: what they gather is bounded
 
     def packed(x: np.ndarray) -> bytes:
@@ -170,11 +177,28 @@ def _batches(**cols: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({k: pa.array(v[i : i + _ROWS].view(np.int64) if v.dtype == np.uint64 else v[i : i + _ROWS]) for k, v in cols.items()})
 
 
-def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int) -> list[DataFrame]:
+def _packed(first: np.ndarray, last: np.ndarray, n: np.ndarray, ends: np.ndarray) -> bytes:
+    """Counts of some n-grams as bytes."""
+    small = pa.compress(np.concatenate([n, ends]).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+    return len(n).to_bytes(4, "little") + first.tobytes() + last.tobytes() + small
+
+
+def _unpacked(b: bytes) -> tuple[np.ndarray, ...]:
+    m = int.from_bytes(b[:4], "little")
+    small = np.frombuffer(pa.decompress(b[4 + 16 * m :], 8 * m, codec="zstd", asbytes=True), np.uint32).astype(np.int64)
+    return np.frombuffer(b, np.uint64, m, 4), np.frombuffer(b, np.uint64, m, 4 + 8 * m), small[:m], small[m:]
+
+
+def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int, size: int | None = None) -> list[DataFrame]:
     """The counts of n-grams, in one table for each slice of hashes: k (its words), first (hash
     of its first k - 1 words), last (of its last k - 1; of words: 0 and the word's own), n (times
     it stands), ctx (times another word follows). Of two and more words, only those that stand
-    `least` times."""
+    `least` times. With `marks` there are also those that stand less often but share their bit
+    with one that does, and rows of k = 0: these bits, for the part `first` of the hashes."""
+    width = (8 * len(marks.value)).bit_length() - 1 if marks else 28
+    p = min(width - 3, max(8, ((_size(docs) if size is None else size) >> _PART).bit_length()))  # log2 of the parts
+    low, shift = np.uint64((1 << width) - 1), np.uint64(width - p)
+    turn = lambda g: (g << np.uint64(64 - width)) | (g >> np.uint64(width))  # noqa: E731  by parts
 
     def part(slice_: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,18 +213,21 @@ def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int) ->
                     rows.clear()
                     if not len(g):
                         continue
+                    g = turn(g)
                     at = np.argsort(g)
                     g = g[at]
                     new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                    n = np.diff(np.append(new, len(g)))
-                    ctx = n - np.add.reduceat(end[at].astype(np.int64), new)
-                    yield from _batches(k=np.full(len(n), k, np.int8), first=first[at[new]], last=last[at[new]], n=n, ctx=ctx)
+                    n, ends = np.diff(np.append(new, len(g))), np.add.reduceat(end[at].astype(np.int64), new)
+                    first, last, of = first[at[new]], last[at[new]], (g[new] >> np.uint64(64 - p)).astype(np.int64)
+                    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+                    b = [_packed(first[i:j], last[i:j], n[i:j], ends[i:j]) for i, j in zip(cuts, cuts[1:])]  # noqa: B905
+                    yield pa.RecordBatch.from_pydict({"part": pa.array(of[cuts[:-1]]), "k": pa.array(np.full(len(b), k, np.int8)), "b": pa.array(b, pa.binary())})
 
             for batch in batches:
                 for _, texts in gathered(batch.column("b")):
                     grams.of(texts)
                     for k, g, at in _worth(grams, bits):
-                        at = at[g[at] % np.uint64(slices) == slice_]
+                        at = at[((g[at] & low) >> shift) % np.uint64(slices) == slice_]
                         below = grams.all[k - 1] if k else g
                         held[k].append((g[at], below[at] if k else np.zeros(len(at), np.uint64), below[at + 1] if k else g[at], grams.last[at + k]))
                         size += len(at)
@@ -209,52 +236,95 @@ def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int) ->
                         size = 0
             yield from sent()
 
-        rows = docs.select(utf8("text").alias("b")).mapInArrow(run, "k byte, first long, last long, n long, ctx long")
-        sums = rows.groupBy("k", "first", "last").agg(F.sum("n").alias("n"), F.sum("ctx").alias("ctx"))
-        return stored(sums.where((F.col("k") == 1) | (F.col("n") >= least)), "counts")
+        def summed(table: pa.Table) -> pa.Table:
+            """The counts of a part."""
+            rows, keep = {}, {}
+            bits, ks = np.zeros(1 << int(shift), bool), np.array(table["k"])
+            place = lambda g: (g & np.uint64(len(bits) - 1)).astype(np.int64)
+            for k in range(1, order + 1):
+                parts = [_unpacked(b) for b in table["b"].filter(pa.array(ks == k)).to_pylist()]
+                if not parts:
+                    continue
+                first, last, n, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+                g = pair_hash(first, last) if k > 1 else last
+                at = np.argsort(g)
+                g = g[at]
+                new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+                n = np.add.reduceat(n[at], new)
+                rows[k] = g[new], first[at[new]], last[at[new]], n, n - np.add.reduceat(ends[at], new)
+                keep[k] = (n >= least) | (k == 1)
+                if k > 1:
+                    bits[place(rows[k][0][keep[k]])] = True
+            out = []
+            for k, (g, first, last, n, ctx) in rows.items():
+                at = np.flatnonzero(keep[k] | bits[place(g)] if marked else keep[k])
+                cols = {"k": np.full(len(at), k, np.int8), "first": first[at].view(np.int64), "last": last[at].view(np.int64), "n": n[at], "ctx": ctx[at]}
+                out.append(pa.table(cols | {"bits": pa.nulls(len(at), pa.binary())}))
+            if marked:
+                of, none = [table["part"][0].as_py()], pa.array([0], pa.int64())
+                out.append(pa.table({"k": pa.array([0], pa.int8()), "first": pa.array(of, pa.int64()), "last": none, "n": none, "ctx": none, "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())}))
+            return pa.concat_tables(out)
+
+        marked = marks is not None
+        rows = docs.select(utf8("text").alias("b")).mapInArrow(run, "part long, k byte, b binary")
+        return stored(rows.groupBy("part").applyInArrow(summed, "k byte, first long, last long, n long, ctx long, bits binary"), "counts")
 
     return [part(s) for s in range(slices)]
 
 
-def gains(parts: list[DataFrame], order: int, alpha: float, total: int) -> list[DataFrame]:
-    """For each order a table gram, n, ctx, gain, log: `log` is the logarithm of its score; its
-    gain is that of words, and of longer runs what they add to backing off. `parts` go once read."""
+def counted_bits(counts: DataFrame, bits: int) -> np.ndarray:
+    """The 2^bits bits that count tables hold, set for every n-gram counted often enough."""
+    with tidy(counts.sparkSession):
+        rows = counts.where("k = 0").select("first", "bits").collect()  # 2^bits bits in all
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        out[r["first"] * len(r["bits"]) :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def logs(parts: list[DataFrame], order: int, alpha: float, total: int, least: int) -> list[DataFrame]:
+    """For each order a table gram, n, ctx, log: the logarithm of its score. A longer run finds
+    what it needs of the order below by its first words if it is counted, by its last ones if it
+    backs off. `parts` go once read."""
     counts = reduce(DataFrame.unionByName, parts)
-    words = stored(counts.where("k = 1").select(F.col("last").alias("gram"), "n", "ctx", (F.log("n") - math.log(max(1, total))).alias("gain")).withColumn("log", F.col("gain")), "gains")
-    tables = [words]
+    tables = [stored(counts.where("k = 1").select(F.col("last").alias("gram"), "n", "ctx", (F.log("n") - math.log(max(1, total))).alias("log")), "logs")]
     for k in range(2, order + 1):
-        below = tables[-1]
-        rows = counts.where(F.col("k") == k).join(below.select(F.col("gram").alias("first"), F.col("ctx").alias("times")).hint("shuffle_hash"), "first")
-        rows = stored(rows.select(F.xxhash64("first", "last").alias("gram"), "last", "n", "ctx", "times"), "met")
-        if k == order:
-            dropped(*parts)
-        log = F.log("n") - F.log("times")
-        gained = rows.join(below.select(F.col("gram").alias("last"), F.col("log").alias("back")).hint("shuffle_hash"), "last").select("gram", "n", "ctx", (log - math.log(alpha) - F.col("back")).alias("gain"), log.alias("log"))
-        tables.append(stored(gained.select("gram", "n", "gain") if k == order else gained, "gains"))
-        dropped(rows)
+        below = tables[-1].select(F.col("gram").alias("via"), F.col("ctx").alias("times"), F.col("log").alias("back"))
+        rows = counts.where(F.col("k") == k).select(F.xxhash64("first", "last").alias("gram"), F.when(F.col("n") >= least, F.col("first")).otherwise(F.col("last")).alias("via"), "n", "ctx")
+        log = F.when(F.col("n") >= least, F.log("n") - F.log("times")).otherwise(F.col("back") + math.log(alpha))
+        tables.append(stored(rows.join(below.hint("shuffle_hash"), "via").select("gram", "n", *["ctx"] * (k < order), log.alias("log")), "logs"))
+    dropped(*parts)
     return tables
 
 
-def common_table(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gains (gram, n, gain) of common n-grams as keys, gains, and which places are taken, in a
-    table that n-grams find by their lowest bits. Of two that share these the more frequent is
-    held; the other is joined like rare ones."""
-    key, value, full = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20), np.zeros(1 << 20, bool)
-    for gram, _, gain in sorted(rows, key=lambda r: (-r[1], r[0])):
-        g = gram % 2**64
-        if not full[at := g % (1 << 20)]:
-            key[at], value[at], full[at] = g, gain, True
-    return key, value, full
+def common_table(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms (gram, n, log) of common n-grams as keys and logarithms, in a table that
+    n-grams find by their lowest bits. Of two that share these the more frequent is held; the
+    other is joined like rare ones."""
+    key, value = np.arange(1, (1 << 20) + 1, dtype=np.uint64), np.zeros(1 << 20)  # no n-gram finds these keys
+    for gram, _, log in sorted(rows, key=lambda r: (r[1], -r[0])):
+        at = gram % (1 << 20)
+        key[at], value[at] = gram % 2**64, log
+    return key, value
 
 
-def find(table: tuple[np.ndarray, np.ndarray, np.ndarray], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of `g` are held, and the gains of these."""
-    key, value, full = table
+def find(table: tuple[np.ndarray, np.ndarray], g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `g` are held, and the logarithms of these."""
+    key, value = table
     at = (g & np.uint64(len(key) - 1)).astype(np.int64)
-    held = full[at] & (key[at] == g)
+    held = key[at] == g
     return held, value[at[held]]
 
 
+def longest(grams: Grams, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The longest n-gram that ends at each word and is in the tables, and its words."""
+    top, depth = grams.all[0].copy(), np.ones(len(grams.all[0]), np.int64)
+    for k, g, at in _worth(grams, bits):
+        if k:  # each one's last words are in the tables too
+            top[at + k], depth[at + k] = g[at], k + 1
+    return top, depth
+
+
 def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, bits: int = 28, slices: int = 2) -> DataFrame:
     """Stupid-backoff scores of each row's whole text under the counts of all rows: doc_id,
     n_words, log_score (natural logarithm), mean_log (of a word; null without words).
@@ -262,55 +332,57 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
     Null and empty texts have 0 words and score 0. Repeated rows count and are scored each;
     null ids are scored like others; other columns are left out. `order`: words of the longest
     runs counted, 1 or more. Words and runs are known by 64-bit hashes. `bits`: the broadcast
-    table of n-grams that stand twice has 2^bits bits; `slices`: passes over the texts, by which
-    the disk that shuffles need divides. Neither changes a score. Gains are the hashed side of
-    the joins: a shuffle partition's share of them, some 50 bytes each, must fit in memory."""
+    tables of n-grams that stand twice have 2^bits bits; `slices`: passes over the texts, by which
+    the disk that shuffles need divides. Neither changes a score. Logarithms are the hashed side
+    of the joins: a shuffle partition's share of them, some 50 bytes each, must fit in memory."""
     if order < 1 or least < 1:
         raise ValueError("order and least: 1 or more")
     spark = docs.sparkSession
     with small_batches(spark):
-        marks = spark.sparkContext.broadcast(repeated(docs, order, bits)) if least > 1 and order > 1 else None
-        parts = gram_counts(docs, order, least, marks, slices)
+        size = _size(docs)
+        marks = spark.sparkContext.broadcast(repeated(docs, order, bits, size)) if least > 1 and order > 1 else None
+        parts = gram_counts(docs, order, least, marks, slices, size)
     counts = reduce(DataFrame.unionByName, parts)
+    if marks:
+        marks.unpersist()
+        marks = spark.sparkContext.broadcast(counted_bits(counts, bits))
     with tidy(spark):
         total = counts.where("k = 1").agg(F.sum("n")).first()[0] or 0
-    tables = gains(parts, order, alpha, total)
+    tables = logs(parts, order, alpha, total, least)
     floor = max(least, total // _SHARE, _OFTEN)
     with tidy(spark):
-        often = [r for t in tables for r in t.where(F.col("n") >= floor).select("gram", "n", "gain").collect()]  # 2^19 of each order at most, and far fewer in any language
+        often = [r for t in tables for r in t.where(F.col("n") >= floor).select("gram", "n", "log").collect()]  # 2^19 of each order at most, and far fewer in any language
     common = spark.sparkContext.broadcast(common_table(often))
-    gain = reduce(DataFrame.unionByName, [t.select("gram", "gain") for t in tables])
+    known_logs = reduce(DataFrame.unionByName, [t.select("gram", "log") for t in tables])
     texts = docs.select("doc_id", utf8("text").alias("b")).withColumn("key", F.xxhash64("b"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of each text, and its score as far as common n-grams make it."""
-        grams, table = Grams(order), common.value
+        """Words of each text, and its score as far as backing off and common n-grams make it."""
+        grams, table, bits = Grams(order), common.value, marks.value if marks else None
         for batch in batches:
             ns, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for first, texts in gathered(batch.column("b")):
                 grams.of(texts)
+                top, depth = longest(grams, bits)
+                held, log = find(table, top)
                 mine = slice(first, first + len(texts))
                 ns[mine] = grams.n
-                sums[mine] = math.log(alpha) * sum(np.maximum(grams.n - k, 0) for k in range(1, order)) if order > 1 else 0.0
-                for g, at in zip(grams.all, grams.at, strict=True):
-                    held, gain = find(table, g[at])
-                    sums[mine] += np.bincount(grams.text[at[held]], gain, len(texts))
+                most = sum(np.maximum(grams.n - k, 0) for k in range(order))  # words of the longest runs there could be
+                sums[mine] = math.log(alpha) * (most - np.bincount(grams.text, depth, len(texts))) + np.bincount(grams.text[held], log, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "key", "n_words", "s"])
 
     def exploded(slice_: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, table, bits = Grams(order), common.value, marks.value if marks else None
             for batch in batches:
+                keys = batch.column("key").to_numpy()
                 for first, texts in gathered(batch.column("b")):
                     grams.of(texts)
-                    out, of = [], []
-                    for _, g, at in _worth(grams, bits):
-                        at = at[g[at] % np.uint64(slices) == slice_]
-                        at = at[~find(table, g[at])[0]]
-                        out.append(g[at])
-                        of.append(grams.text[at])
-                    yield from _batches(gram=np.concatenate(out), key=batch.column("key").to_numpy()[first:][np.concatenate(of)])
+                    top, _ = longest(grams, bits)
+                    at = np.flatnonzero(top % np.uint64(slices) == slice_)
+                    at = at[~find(table, top[at])[0]]
+                    yield from _batches(gram=top[at], key=keys[first:][grams.text[at]])
 
         return run
 
@@ -319,8 +391,8 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
         sums = []
         for j in range(slices):
             rows = texts.select("b", "key").mapInArrow(exploded(j), "gram long, key long")
-            mine = gain.where(F.expr(_umod("gram", slices)) == j)
-            sums.append(stored(rows.join(mine.hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum("gain").alias("g")), "sums"))
+            mine = known_logs.where(F.expr(_umod("gram", slices)) == j)
+            sums.append(stored(rows.join(mine.hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum("log").alias("g")), "sums"))
     dropped(*tables)
     added = reduce(DataFrame.unionByName, sums)
     copies = named.groupBy("key").agg(F.count("*").alias("copies"))  # equal texts sent equal rows

@@ -585,6 +585,37 @@ def test_count_tables_and_marks(spark, monkeypatch, shift):
     assert {(r["k"], r["first"], r["last"]): (r["n"], r["ctx"] if r["k"] < 3 else None) for r in rows} == want
 
 
+def test_a_word_sends_one_row_at_most(spark):
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    seen = {stages().apply(i).stageId() for i in range(stages().size())}
+    rnd = random.Random(8)
+    text = " ".join(f"w{rnd.randrange(40)}" for _ in range(300))
+    docs = docs_of(spark, [f"{text} end{i}" for i in range(200)]).repartition(2)  # three n-grams for a word, each in every text
+    assert len({r["n_words"] for r in lm_score.score(docs, bits=20).collect()}) == 1
+    new = [s for i in range(stages().size()) if (s := stages().apply(i)).stageId() not in seen]
+    assert 50_000 < sum(s.shuffleWriteRecords() for s in new) < 90_000  # of 60,200 words
+
+
+def test_n_grams_that_share_a_bit_are_counted_too(spark):
+    texts = made_texts(9, 400, 60, 60)  # most pairs and triples stand once
+    docs = docs_of(spark, texts).repartition(3)
+    _, n, ctx = counted(texts, 3)
+    bits = lm_score.repeated(docs, 3, 16)
+    marks = spark.sparkContext.broadcast(np.full_like(bits, 255))  # nothing is ruled out before
+    parts = lm_score.gram_counts(docs, 3, 2, marks, 2)
+    now = lm_score.counted_bits(parts[0].union(parts[1]), 16)
+    rows = {(r["k"], r["first"], r["last"]): (r["n"], r["ctx"] if r["k"] < 3 else None) for p in parts for r in p.where("k > 0").collect()}
+    assert not (now & ~bits).any() and any(r[0] == 1 for key, r in rows.items() if key[0] > 1)
+    grams, signed = lm_score.Grams(3), lambda h: int(h) - 2**64 if h >= 2**63 else int(h)
+    for run in n:
+        grams.of([" ".join(run).encode()])
+        h = grams.hashes(len(run))
+        below = grams.all[len(run) - 2] if len(run) > 1 else [0, h[0]]
+        row = rows.pop((len(run), signed(below[0]), signed(below[1])), None)
+        assert row == ((n[run], ctx[run] if len(run) < 3 else None) if len(run) == 1 or lm_score._twice(now, h)[0] else None)
+    assert not rows
+
+
 def test_hashes_of_words_and_pairs(spark):
     words, rnd = Words(), random.Random(6)
     texts = ["".join(rnd.choices("abAB \t\n\x0b\x0c\r\x1f\u00a0é", k=rnd.randint(0, 30))).encode() for _ in range(400)] + [b"", b"x " * 70_000, b"y" * 150_000 + b" z"]
