@@ -707,3 +707,10 @@ def test_many_equal_vectors(spark, monkeypatch):
     vectors = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
     got = topk_search.top_k(vectors, F.col("vec_id") % 100 == 0, k=3, scale=8.0).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted((q, n + 1, c, 320) for q in range(0, 3000, 100) for n, c in enumerate([c for c in range(4) if c != q][:3]))
+
+
+def test_scores_when_runs_count_once(spark):
+    texts = made_texts(7, 20, 40, 30)
+    got = {r["doc_id"]: r for r in lm_score.score(docs_of(spark, texts), order=3, least=1, bits=16).collect()}
+    for i, (n, s) in enumerate(backed_off(texts, 3, least=1)):
+        assert (got[i]["n_words"], got[i]["log_score"]) == (n, pytest.approx(s, abs=1e-8))
