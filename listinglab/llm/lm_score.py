@@ -9,7 +9,8 @@ There is a table of counts for each order, parted by the n-gram's hash. A run co
 times has shorter runs counted as often, so its logarithm is found by joining its order's table
 to that of the order below. A text's score is then the sum, over its words, of the logarithm of
 the longest counted run that ends there, and of what backing off to it costs: texts' exploded
-n-grams, the longest for each word, are joined to the tables and summed for each text.
+n-grams, the longest for each word, are joined to the tables and summed for each text. What of a
+score needs no table travels beside them, in a row of the text's own.
 
 Two tables of bounded size, broadcast, spare the shuffle rows: bits that are set for all n-grams
 counted `least` times, and the logarithms of n-grams with a fixed share of all words, of which
@@ -35,7 +36,8 @@ _SHARE = 1 << 19  # an n-gram with one in so many words is common
 _OFTEN = 1000  # and is so only if it stands so often: the table is for hot keys
 _ROWS = 1 << 16  # rows of a batch to Spark
 _PART = 22  # log2 of the bytes of text for each part of the counts, of which there are 256 at least
-_SHIFT = 12  # log2 of the n-grams for each bit of the table from which its parts are split
+_SHIFT = 10  # log2 of the n-grams for each bit of the table from which its parts are split
+_RUN = 18  # log2 of the bits of a part of the table
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,30 +89,43 @@ def _size(docs: DataFrame) -> int:
 def repeated(docs: DataFrame, order: int, bits: int, size: int | None = None) -> np.ndarray:
     """2^bits bits, set for every n-gram of 2 to `order` words that stands twice or more (and
     for some others)."""
-    chunks, mask = 1 << (bits - 16), np.uint64((1 << bits) - 1)
+    run_bits = min(_RUN, bits)
+    chunks, of, mask = 1 << (bits - run_bits), 1 << (run_bits - 16), np.uint64((1 << bits) - 1)
     size = _size(docs) if size is None else size
     turns = max(1, int(size * order / 2.0 ** (bits + _SHIFT)))  # groups of one chunk: what they gather is bounded
 
-    def packed(x: np.ndarray) -> bytes:
-        """Ordered 16-bit numbers, some twice."""
-        return len(x).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(np.diff(x, prepend=0).astype(np.uint16).view(np.uint8).reshape(-1, 2).T).tobytes(), codec="zstd", asbytes=True)
+    def packed(n: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
+        """Ordered numbers, some twice: how many have each of the highest bits, and the lower and the
+        upper byte of the steps of their lowest 16 bits."""
+        return n.tobytes() + pa.compress(low.tobytes() + high.tobytes(), codec="zstd", asbytes=True)
 
     def unpacked(b: bytes) -> np.ndarray:
-        n = int.from_bytes(b[:4], "little")
-        return np.cumsum(np.ascontiguousarray(np.frombuffer(pa.decompress(b[4:], 2 * n, codec="zstd", asbytes=True), np.uint8).reshape(2, n).T).view(np.uint16).ravel(), dtype=np.int64)
+        n = np.frombuffer(b, np.uint32, of)
+        m = int(n.sum())
+        steps = np.frombuffer(pa.decompress(b[4 * of :], 2 * m, codec="zstd", asbytes=True), np.uint8)
+        low = np.cumsum(steps[:m] | steps[m:].astype(np.uint16) << np.uint16(8), dtype=np.uint16)
+        return low | np.repeat(np.arange(of, dtype=np.uint32) << np.uint32(16), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, held, size, turn = Grams(order), [], 0, 0
 
         def sent() -> pa.RecordBatch:
-            at = np.sort((np.concatenate(held) & mask).astype(np.uint32))
+            at = np.concatenate(held)
+            held.clear()
+            at &= mask
+            at = at.astype(np.uint32)
+            at.sort()
             new = np.concatenate([[True], at[1:] != at[:-1]])
             second = np.concatenate([[False], ~new[1:] & new[:-1]])  # the first repetition: two of each are enough
             at = at[new | second]
-            chunk = (at >> np.uint32(16)).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
-            low = (at & np.uint32(0xFFFF)).astype(np.int64)
-            return pa.RecordBatch.from_pydict({"part": pa.array(chunk[cuts[:-1]] * turns + turn % turns), "b": pa.array([packed(low[i:j]) for i, j in zip(cuts, cuts[1:])], pa.binary())})  # noqa: B905
+            n = np.bincount(at >> np.uint32(16), minlength=chunks * of).astype(np.uint32).reshape(chunks, of)
+            some = np.flatnonzero(n.any(axis=1))
+            cuts = np.concatenate([[0], np.cumsum(n.sum(axis=1, dtype=np.int64)[some])])
+            low = at.astype(np.uint16)
+            steps = np.diff(low, prepend=np.uint16(0))  # modulo 2^16
+            steps[cuts[:-1]] = low[cuts[:-1]]
+            low, high = steps.astype(np.uint8), (steps >> np.uint16(8)).astype(np.uint8)
+            return pa.RecordBatch.from_pydict({"part": pa.array(some * turns + turn % turns), "b": pa.array([packed(n[k], low[i:j], high[i:j]) for k, i, j in zip(some, cuts, cuts[1:])], pa.binary())})  # noqa: B905
 
         for batch in batches:
             for _, texts in gathered(batch.column("b")):
@@ -127,13 +142,19 @@ def repeated(docs: DataFrame, order: int, bits: int, size: int | None = None) ->
         return pa.table({"part": pa.array([part], pa.int64()), "one": pa.array([np.packbits(n > 0, bitorder="little").tobytes()], pa.binary()), "two": pa.array([np.packbits(n > 1, bitorder="little").tobytes()], pa.binary())})
 
     def merged(table: pa.Table) -> pa.Table:
-        n = np.zeros(1 << 16, np.int64)
-        for b in table["b"].to_pylist():
-            n += np.bincount(unpacked(b), minlength=1 << 16)
+        n, held, size = np.zeros(1 << run_bits, np.int64), [], 0
+        for b in table["b"]:
+            held.append(unpacked(b.as_py()))
+            size += len(held[-1])
+            if size > _CHUNK:
+                n += np.bincount(np.concatenate(held), minlength=len(n))
+                held, size = [], 0
+        if size:
+            n += np.bincount(np.concatenate(held), minlength=len(n))
         return bitmaps(n, table["part"][0].as_py() // turns)
 
     def joined(table: pa.Table) -> pa.Table:
-        n = np.zeros(1 << 16, np.int64)
+        n = np.zeros(1 << run_bits, np.int64)
         for one, two in zip(table["one"].to_pylist(), table["two"].to_pylist(), strict=True):
             for b in (one, two):
                 n += np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")
@@ -144,7 +165,7 @@ def repeated(docs: DataFrame, order: int, bits: int, size: int | None = None) ->
         if turns > 1:
             rows = rows.groupBy("part").applyInArrow(joined, "part long, one binary, two binary")
         rows = rows.select("part", "two").collect()  # 2^bits bits in all
-    out = np.zeros((chunks, 1 << 13), np.uint8)
+    out = np.zeros((chunks, 1 << (run_bits - 3)), np.uint8)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["two"], np.uint8)
     return out.reshape(-1)
@@ -177,6 +198,21 @@ def _batches(**cols: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({k: pa.array(v[i : i + _ROWS].view(np.int64) if v.dtype == np.uint64 else v[i : i + _ROWS]) for k, v in cols.items()})
 
 
+def _ordered(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that put hashes in order, and these in order. Their highest bits are sorted with the
+    place in the lowest ones, which is several times faster than argsort; where that isn't enough to
+    tell two of them apart, argsort does it."""
+    low = np.uint64(max(1, len(g) - 1).bit_length())
+    key = (g >> low << low) | np.arange(len(g), dtype=np.uint64)
+    key.sort()
+    at = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    out = g[at]
+    if (out[1:] < out[:-1]).any():
+        at = np.argsort(g)
+        out = g[at]
+    return at, out
+
+
 def _packed(first: np.ndarray, last: np.ndarray, n: np.ndarray, ends: np.ndarray) -> bytes:
     """Counts of some n-grams as bytes."""
     small = pa.compress(np.concatenate([n, ends]).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
@@ -213,9 +249,7 @@ def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int, siz
                     rows.clear()
                     if not len(g):
                         continue
-                    g = turn(g)
-                    at = np.argsort(g)
-                    g = g[at]
+                    at, g = _ordered(turn(g))
                     new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
                     n, ends = np.diff(np.append(new, len(g))), np.add.reduceat(end[at].astype(np.int64), new)
                     first, last, of = first[at[new]], last[at[new]], (g[new] >> np.uint64(64 - p)).astype(np.int64)
@@ -247,8 +281,7 @@ def gram_counts(docs: DataFrame, order: int, least: int, marks, slices: int, siz
                     continue
                 first, last, n, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
                 g = pair_hash(first, last) if k > 1 else last
-                at = np.argsort(g)
-                g = g[at]
+                at, g = _ordered(g)
                 new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
                 n = np.add.reduceat(n[at], new)
                 rows[k] = g[new], first[at[new]], last[at[new]], n, n - np.add.reduceat(ends[at], new)
@@ -355,22 +388,7 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
     common = spark.sparkContext.broadcast(common_table(often))
     known_logs = reduce(DataFrame.unionByName, [t.select("gram", "log") for t in tables])
     texts = docs.select("doc_id", utf8("text").alias("b")).withColumn("key", F.xxhash64("b"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of each text, and its score as far as backing off and common n-grams make it."""
-        grams, table, bits = Grams(order), common.value, marks.value if marks else None
-        for batch in batches:
-            ns, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for first, texts in gathered(batch.column("b")):
-                grams.of(texts)
-                top, depth = longest(grams, bits)
-                held, log = find(table, top)
-                mine = slice(first, first + len(texts))
-                ns[mine] = grams.n
-                most = sum(np.maximum(grams.n - k, 0) for k in range(order))  # words of the longest runs there could be
-                sums[mine] = math.log(alpha) * (most - np.bincount(grams.text, depth, len(texts))) + np.bincount(grams.text[held], log, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "key", "n_words", "s"])
+    kind = pa.struct([("n", pa.int64()), ("s", pa.float64())])
 
     def exploded(slice_: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,26 +397,39 @@ def score(docs: DataFrame, alpha: float = 0.4, least: int = 2, order: int = 3, b
                 keys = batch.column("key").to_numpy()
                 for first, texts in gathered(batch.column("b")):
                     grams.of(texts)
-                    top, _ = longest(grams, bits)
-                    at = np.flatnonzero(top % np.uint64(slices) == slice_)
-                    at = at[~find(table, top[at])[0]]
-                    yield from _batches(gram=top[at], key=keys[first:][grams.text[at]])
+                    top, depth = longest(grams, bits)
+                    mine = keys[first : first + len(texts)]
+                    if slice_ == 0:
+                        held, log = find(table, top)
+                        most = sum(np.maximum(grams.n - k, 0) for k in range(order))  # words of the longest runs there could be
+                        s = math.log(alpha) * (most - np.bincount(grams.text, depth, len(texts))) + np.bincount(grams.text[held], log, len(texts))
+                        own = pa.StructArray.from_arrays([pa.array(grams.n, pa.int64()), pa.array(s)], names=["n", "s"])
+                        spread = mine.view(np.uint64) + np.arange(len(mine), dtype=np.uint64)  # copies go to different tasks
+                        yield pa.RecordBatch.from_pydict({"gram": pa.array(spread.view(np.int64)), "key": pa.array(mine), "own": own})
+                        at = np.flatnonzero((top % np.uint64(slices) == slice_) & ~held)
+                    else:
+                        at = np.flatnonzero(top % np.uint64(slices) == slice_)
+                        at = at[~find(table, top[at])[0]]
+                    for rows in _batches(gram=top[at], key=mine[grams.text[at]]):
+                        yield rows.append_column("own", pa.nulls(rows.num_rows, kind)) if slice_ == 0 else rows
 
         return run
 
+    sums = []
     with small_batches(spark):
-        named = stored(texts.mapInArrow(known, f"doc_id {kind}, key long, n_words long, s double"), "named")
-        sums = []
         for j in range(slices):
-            rows = texts.select("b", "key").mapInArrow(exploded(j), "gram long, key long")
-            mine = known_logs.where(F.expr(_umod("gram", slices)) == j)
-            sums.append(stored(rows.join(mine.hint("shuffle_hash"), "gram").groupBy("key").agg(F.sum("log").alias("g")), "sums"))
+            rows = texts.select("b", "key").mapInArrow(exploded(j), "gram long, key long" + ", own struct<n: long, s: double>" * (j == 0))
+            mine = known_logs.where(F.expr(_umod("gram", slices)) == j).hint("shuffle_hash")
+            if j == 0:  # the texts' own rows meet no n-gram, or one that they do not heed
+                added = rows.join(mine, "gram", "left").groupBy("key").agg(F.sum(F.coalesce("own.s", "log")).alias("g"), F.sum("own.n").alias("n"), F.count("own.n").alias("copies"))
+            else:
+                added = rows.join(mine, "gram").groupBy("key").agg(F.sum("log").alias("g"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("copies"))
+            sums.append(stored(added, "sums"))
     dropped(*tables)
-    added = reduce(DataFrame.unionByName, sums)
-    copies = named.groupBy("key").agg(F.count("*").alias("copies"))  # equal texts sent equal rows
-    added = stored(added.groupBy("key").agg(F.sum("g").alias("g")).join(copies, "key").select("key", (F.col("g") / F.col("copies")).alias("g")), "added")
+    added = reduce(DataFrame.unionByName, sums).groupBy("key").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+    added = stored(added.select("key", F.expr("n div copies").alias("n_words"), (F.col("g") / F.col("copies")).alias("log_score")), "added")  # equal texts sent equal rows
     dropped(*sums)
-    out = named.join(added, "key", "left").select("doc_id", "n_words", (F.col("s") + F.coalesce("g", F.lit(0.0))).alias("log_score"))
+    out = texts.select("doc_id", "key").join(added, "key").select("doc_id", "n_words", "log_score")
     return out.withColumn("mean_log", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 

@@ -714,3 +714,35 @@ def test_scores_when_runs_count_once(spark):
     got = {r["doc_id"]: r for r in lm_score.score(docs_of(spark, texts), order=3, least=1, bits=16).collect()}
     for i, (n, s) in enumerate(backed_off(texts, 3, least=1)):
         assert (got[i]["n_words"], got[i]["log_score"]) == (n, pytest.approx(s, abs=1e-8))
+
+
+def test_texts_are_scored_while_their_n_grams_are_sent(spark, monkeypatch):
+    plans, keep = [], lm_score.stored
+    monkeypatch.setattr(lm_score, "stored", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString()) or keep(df, name))
+    texts = made_texts(3, 20, 30, 30) + ["w1 w2 w3"] * 40 + [None, ""]
+    got = {r["doc_id"]: r for r in lm_score.score(docs_of(spark, texts).repartition(3), bits=18).collect()}
+    assert sum(p.count("MapInArrow") for p in plans) == 4  # each slice is counted, and sent, once
+    for i, (n, s) in enumerate(backed_off(texts, 3)):
+        assert (got[i]["n_words"], got[i]["log_score"]) == (n, pytest.approx(s, abs=1e-8))
+
+
+def test_bits_travel_in_few_rows(spark):
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    seen = {stages().apply(i).stageId() for i in range(stages().size())}
+    texts = made_texts(11, 300, 100, 60)
+    bits = lm_score.repeated(docs_of(spark, texts).coalesce(2), 3, 21)
+    grams, n = lm_score.Grams(3), collections.Counter()
+    grams.of([(t or "").encode() for t in texts])
+    for k in (2, 3):
+        n.update(g % 2**21 for g in grams.hashes(k).tolist())
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == sorted(g for g, c in n.items() if c > 1)
+    new = [s for i in range(stages().size()) if (s := stages().apply(i)).stageId() not in seen]
+    assert 8 <= sum(s.shuffleWriteRecords() for s in new) <= 20  # of 8 parts of the bits from each task, and the size
+
+
+def test_hashes_that_share_their_highest_bits_are_put_in_order():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        for g in (rng.integers(0, 2**64, n, np.uint64), rng.integers(0, 40, n).astype(np.uint64)):
+            at, out = lm_score._ordered(g)
+            assert sorted(at.tolist()) == list(range(n)) and (g[at] == out).all() and (out == np.sort(g)).all()
