@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -257,28 +258,128 @@ def subset_weights(follows: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Block:
+    """A subtree of a few splits with the way to it. A row's state in it is a number: a bit for each
+    feature on the way (whether the row follows it at all of that feature's splits) and one for
+    each split of the subtree (whether it goes left). `values` has what the subtree's leaves
+    give to each of `features` in each state."""
+
+    way: list[list[tuple[int, bool]]]
+    splits: list[int]
+    features: list[int]
+    values: np.ndarray
+
+
+def blocks(w: float, tree: dict[str, np.ndarray], leaves: list, height: int = 2, most_bits: int = 10) -> tuple[list[Block], list]:
+    """The contributions of a tree of weight `w` as tables: a block for each subtree of at most
+    `height` splits one above the other, so that a row looks a few numbers up instead of
+    working out each leaf. Leaves of a block that would have more than `most_bits` bits come back
+    as they are."""
+    left, right = tree["left"], tree["right"]
+    leaf_at: dict[int, tuple] = {}
+    for leaf in leaves:
+        steps = {at: goes for _, _, splits in leaf[2] for at, goes in splits}
+        node = 0
+        while left[node] >= 0:
+            node = int((left if steps[node] else right)[node])
+        leaf_at[node] = leaf
+
+    def inside(node: int) -> list[int]:
+        return [] if left[node] < 0 else [node, *inside(int(left[node])), *inside(int(right[node]))]
+
+    def ends(node: int) -> list[int]:
+        return [node] if left[node] < 0 else [*ends(int(left[node])), *ends(int(right[node]))]
+
+    def levels(node: int) -> int:
+        return 0 if left[node] < 0 else 1 + max(levels(int(left[node])), levels(int(right[node])))
+
+    out, rest = [], []
+    todo: list[tuple[int, list[tuple[int, bool]]]] = [(0, [])]
+    while todo:
+        top, way = todo.pop()
+        if levels(top) > height:
+            todo += [(int(left[top]), [*way, (top, True)]), (int(right[top]), [*way, (top, False)])]
+            continue
+        by: dict[int, list[tuple[int, bool]]] = {}
+        for at, goes in way:
+            by.setdefault(int(tree["feature"][at]), []).append((at, goes))
+        splits, found = inside(top), [leaf_at[n] for n in ends(top)]
+        bits = len(by) + len(splits)
+        if bits > most_bits:
+            rest += found
+            continue
+        states = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1 == 1  # (states, bits)
+        on_way, goes_left = dict(zip(by, states.T, strict=False)), dict(zip(splits, states.T[len(by) :], strict=True))
+        features = sorted({f for _, _, path in found for f, _, _ in path})
+        values = np.zeros((len(features), len(states)))
+        for value, _, path in found:
+            if path:
+                follows = np.ones((len(states), len(path)), bool)
+                for k, (f, _, steps) in enumerate(path):
+                    if f in on_way:
+                        follows[:, k] = on_way[f]
+                    for at, goes in steps:
+                        if at in goes_left:
+                            follows[:, k] &= goes_left[at] == goes
+                given = w * value * subset_weights(follows.astype(float), np.array([z for _, z, _ in path]))
+                values[[features.index(f) for f, _, _ in path]] += given.T
+        if features:
+            out.append(Block(list(by.values()), splits, features, values))
+    return out, rest
+
+
+Tabled = list[tuple[float, dict[str, np.ndarray], float, list[Block], list]]
+
+
+def tabled(trees: list[tuple[float, dict[str, np.ndarray], list]]) -> Tabled:
+    """Trees (weight, arrays, leaf paths) with their base and their blocks."""
+    return [(w, t, sum(w * value * cover for value, cover, _ in leaves), *blocks(w, t, leaves)) for w, t, leaves in trees]
+
+
 def contributions(x: np.ndarray, trees: list[tuple[float, dict[str, np.ndarray], list]]) -> np.ndarray:
     """Exact additive contributions of rows `x` in the trees (weight, arrays, leaf paths); the
-    last column is the base, the trees' mean over their training rows. Rows that follow the same
-    features of a leaf's path share its values."""
+    last column is the base, the trees' mean over their training rows."""
+    return looked_up(x, tabled(trees))
+
+
+def looked_up(x: np.ndarray, trees: Tabled, at_once: int = 8192) -> np.ndarray:
+    """`contributions` from the trees' tables, `at_once` rows at a time, which stay in the cache.
+    Rows that follow the same features of the way to a leaf without a table share its values."""
     out = np.zeros((len(x), x.shape[1] + 1))
-    for w, t, leaves in trees:
-        left = {}
-        for node in np.flatnonzero(t["left"] >= 0).tolist():
-            v = x[:, t["feature"][node]]
-            left[node] = (t["set"][node] >> v.astype(np.uint64)) & np.uint64(1) == 1 if t["set"][node] else v <= t["at"][node]
-        for value, cover, path in leaves:
-            out[:, -1] += w * value * cover
-            if not path:
-                continue
-            follows = np.ones((len(x), len(path)), bool)
-            for k, (_, _, splits) in enumerate(path):
-                for node, goes_left in splits:
-                    follows[:, k] &= left[node] == goes_left
-            ways, which = np.unique(np.packbits(follows, axis=1, bitorder="little"), axis=0, return_inverse=True)
-            kinds = np.unpackbits(ways, axis=1, count=len(path), bitorder="little").astype(float)
-            values = w * value * subset_weights(kinds, np.array([z for _, z, _ in path]))
-            out[:, [f for f, _, _ in path]] += values[which.reshape(-1)]
+    for start in range(0, len(x), at_once):
+        part = np.ascontiguousarray(x[start : start + at_once].T)
+        n = part.shape[1]
+        sums, taken = np.zeros((len(part) + 1, n)), np.empty(n)
+        for w, t, base, tables, rest in trees:
+            sums[-1] += base
+            left = {}
+            for node in np.flatnonzero(t["left"] >= 0).tolist():
+                v = part[t["feature"][node]]
+                left[node] = (t["set"][node] >> v.astype(np.uint64)) & np.uint64(1) == 1 if t["set"][node] else v <= t["at"][node]
+            for b in tables:
+                state = np.zeros(n, np.uint16)
+                for k, steps in enumerate(b.way):
+                    follows = left[steps[0][0]] == steps[0][1]
+                    for at, goes in steps[1:]:
+                        follows = follows & (left[at] == goes)
+                    state |= follows.astype(np.uint16) << np.uint16(k)
+                for k, at in enumerate(b.splits, len(b.way)):
+                    state |= left[at].astype(np.uint16) << np.uint16(k)
+                which = state.astype(np.intp)
+                for f, values in zip(b.features, b.values, strict=True):
+                    np.take(values, which, out=taken, mode="clip")
+                    sums[f] += taken
+            for value, _, path in rest:
+                follows = np.ones((n, len(path)), bool)
+                for k, (_, _, splits) in enumerate(path):
+                    for node, goes_left in splits:
+                        follows[:, k] &= left[node] == goes_left
+                ways, same = np.unique(np.packbits(follows, axis=1, bitorder="little"), axis=0, return_inverse=True)
+                kinds = np.unpackbits(ways, axis=1, count=len(path), bitorder="little").astype(float)
+                given = w * value * subset_weights(kinds, np.array([z for _, z, _ in path]))
+                sums[[f for f, _, _ in path]] += given[same.reshape(-1)].T
+        out[start : start + at_once] = sums.T
     return out
 
 
@@ -290,15 +391,17 @@ def explain(model: PriceModel, predicted: DataFrame, path: str | None = None, n:
     prediction. `path`: where the trees are saved, a folder all executors share; a new one if
     unset."""
     path = path or f"{shared_dir(predicted.sparkSession)}/listinglab/trees-{uuid.uuid4().hex}"
-    trees = model.stats.sparkSession.sparkContext.broadcast([(w, t, leaf_paths(t)) for w, t in _trees(model, path)])
+    trees = model.stats.sparkSession.sparkContext.broadcast(tabled([(w, t, leaf_paths(t)) for w, t in _trees(model, path)]))
     names = feature_names(model)
 
-    @F.pandas_udf("array<double>")
-    def shares(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    size = len(names)
+
+    @F.arrow_udf("array<double>")
+    def shares(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            yield pd.Series(list(contributions(np.stack(s.to_list()) if len(s) else np.empty((0, len(names))), trees.value)))
+            given = looked_up(s.flatten().to_numpy(zero_copy_only=False).reshape(len(s), size), trees.value)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * (size + 1)), pa.array(given.reshape(-1)))
 
-    size = len(names)
     c = predicted.withColumn("_c", shares(vector_to_array("features")))
     named = F.array(*[F.lit(x) for x in names])
     pairs = F.transform(F.slice("_c", 1, size), lambda v, i: F.struct(F.get(named, i).alias("feature"), v.alias("contribution")))

@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import clean, comps, dedupe, enrich, features, geocode, history, merge, model, pages, reports, stats
 from ..operators.components import connected_components
 from ..sources import io
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, stored
 from . import star
 from .pipeline import run_pipeline, training_tables, value_requests
 
@@ -660,14 +660,16 @@ _MODELS: dict = {}
 
 def _model(spark: SparkSession, d: str):
     """The model, trained on the older 70% of rentals and calibrated on the others, and all
-    rentals. An application trains it once for each folder."""
-    rows = features.features(listing(spark, d).where("deal_type <> 'sale'"), star.stations(spark, d), star.cities(spark, d), star.as_of())
+    rentals with what it reads. An application trains it, and stores them, once for each folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
-        a, b = features.time_split(rows, "last_seen", ratio=0.3)
         numeric = ["rooms", "area_total", "area_living", "area_kitchen", "floor", "floors_total", "age_house", "dist_to_center_km", "dist_to_metro_m", "metro_walk_min", "density_500m"]
-        _MODELS[key] = model.train(a, b, numeric, ["deal_type", "house_material", "rooms_bucket"])
-    return _MODELS[key], rows
+        categorical = ["deal_type", "house_material", "rooms_bucket"]
+        rows = features.features(listing(spark, d).where("deal_type <> 'sale'"), star.stations(spark, d), star.cities(spark, d), star.as_of())
+        rows = stored(rows.select("id", "last_seen", "price_rub", "cell", *numeric, *categorical), "rentals")  # read by the split, each part and the queries
+        a, b = features.time_split(rows, "last_seen", ratio=0.3)
+        _MODELS[key] = model.train(a, b, numeric, categorical), rows
+    return _MODELS[key]
 
 
 @query()

@@ -91,3 +91,9 @@ def test_training_tables(spark, data):
     assert export.columns == EXPORT and export.count() == rows.where("is_active").count()
     rents = rows.where("deal_type = 'rent_long'")
     assert train.count() + valid.count() == rents.count() and train.agg(F.max("last_seen")).first()[0] < valid.agg(F.min("last_seen")).first()[0]
+
+
+def test_the_model_queries_share_their_rows(spark, data, small_model):
+    """Rows that the model reads are made once, not by each query and each part of the training."""
+    first = suite._model(spark, data)
+    assert suite._model(spark, data)[1] is first[1] and "listingraw" not in first[1]._jdf.queryExecution().toString().replace("_", "")
