@@ -87,6 +87,23 @@ def _cell_of(lon: Column, n: Column) -> Column:
     return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
 
 
+def in_cells(df: DataFrame, radius_m: float, width: float = 4.0, near: bool = False) -> DataFrame:
+    """`df` (lat, lon) with the cell _y, _x of each row in a grid of bands and cells at least
+    `width` radii wide; with `near`, a row for each cell that may hold points within the radius:
+    the cells in which the corners of the box around it lie, 2.25 of them on average. A cell is
+    wider than such a box, near a pole it goes all around."""
+    dlat, half = _measures(radius_m * width)
+    up, reach = _measures(radius_m)
+    band = lambda y: F.floor(y / dlat).cast("long")
+    lat, lon, y, n = F.col("lat"), F.col("lon"), F.col("_y"), F.col("_n")
+    df = df.withColumn("_y", F.explode(F.array_distinct(F.array(band(lat - up), band(lat + up)))) if near else band(lat)).withColumn("_n", _around(y, dlat, half))
+    if not near:
+        return df.withColumn("_x", _cell_of(lon, n)).drop("_n")
+    top = F.least(F.greatest(F.abs(y - 1), F.abs(y + 2)) * dlat, F.lit(90.0))  # as in _around
+    df = df.withColumn("_d", F.degrees(2 * F.asin(F.least(F.lit(reach) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12)), F.lit(1.0)))))
+    return df.withColumn("_x", F.explode(F.array_distinct(F.array(_cell_of(lon - F.col("_d"), n), _cell_of(lon + F.col("_d"), n))))).drop("_n", "_d")
+
+
 def range_join(left: DataFrame, right: DataFrame, radius_m: float, keys: list[str], how: str = "inner", extra: Column | None = None, metres: Metres = distance_m) -> DataFrame:
     """Rows of `left` (l_lat, l_lon) with rows of `right` (r_lat, r_lon) at most `radius_m`
     apart and equal in `keys` (as l_KEY and r_KEY), with dist_m.

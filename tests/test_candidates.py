@@ -42,3 +42,20 @@ def test_a_dense_house_meets_its_candidates_only(spark):
     n = dedupe.candidate_pairs(rows).count()
     # of one number of rooms are 20,000; 0.4 % of pairs are 2 m2 apart, 1 % five hundredths in price
     assert 0.5 * 40_000 < n < 2 * 40_000
+
+
+def test_few_rows_are_shuffled_for_a_listing(spark, monkeypatch):
+    """Scattered listings: about three rows that look and two that stand, not nine cells with
+    every band in each; none is lost at the poles, at the antimeridian or without a price."""
+    rnd = random.Random(5)
+    here = lambda: rnd.choice([(55 + rnd.random() * 4e-3, 37 + rnd.random() * 4e-3), (rnd.choice([1, -1]) * (89.999 + rnd.random() * 1e-3), rnd.uniform(-180, 180)), (rnd.random() * 4e-3 - 2e-3, rnd.choice([-180, 180 - 2e-3]) + rnd.random() * 2e-3)])
+    rows = [(i, "m", "sale", *here(), rnd.choice([None, 1]), rnd.choice([None, -1.0, *[rnd.uniform(80, 120)] * 18]), 30 + rnd.random() * 20, 1, 2000, "x", True) for i in range(1500)]
+    joined, frame = [], type(spark.range(0))
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, *a, **b: joined.append((self, other)) or join(self, other, *a, **b))
+    got = sorted((r["l_id"], r["r_id"]) for r in dedupe.candidate_pairs(spark.createDataFrame(rows, LISTING)).select("l_id", "r_id").collect())
+    monkeypatch.undo()
+    fits = lambda p, q: p is None or q is None or (p > 0 and q > 0 and abs(p - q) / max(p, q) <= 0.05)
+    want = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[5] == b[5] and abs(a[7] - b[7]) <= 2 and fits(a[6], b[6]) and metres(a[3:5], b[3:5]) <= 50]
+    assert got == want and len(want) > 300
+    assert sum(x.count() + y.count() for x, y in joined) < 6.5 * len(rows)
