@@ -142,7 +142,7 @@ class Nearest:
     Rings of cells around a row widen until they must hold its k best. Cells of all widths are
     counted first; the least cell of a row that holds k rows gives a bound, its kth score there.
     No better row lies farther away than that, so the row then looks only into cells of at
-    least the bound's width around it, and keeps what is within the bound. So what a row meets
+    least the bound's width that the bound reaches, and keeps what is within the bound. So what a row meets
     grows with k and with how unevenly cells next to each other are filled, not with the number
     of rows in its key. Of rows of `right` alike in place, axis and keys, only the k least ids
     are looked at: no others can be found. Where no key has more than `few` rows, a row simply
@@ -157,17 +157,28 @@ class Nearest:
         self._all = axis(right.where(has_point("r_lat", "r_lon")), "r")
         alike = Window.partitionBy(*[f"r_{c}" for c in keys], "r_lat", "r_lon", "r_axis").orderBy("r_id")
         self.right = self._all.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k).drop("_n")
-        self._on = [f"l_{c}" for c in keys] + ["_level", "_y", "_x", "_b"]
+        self.steps: list[DataFrame] = []  # tables stored on the way
+        self.lacking = bool(axis_most)  # whether rows of `left` may lack the number on the axis
 
     def _level(self, n: int) -> Column:
         """A cell width with what belongs to it: height, half chord, and the width of the bands
         on the axis (0: none, as the score reaches over the whole axis); the last may be one
         cell for all."""
         whole = n == len(self.sides)
-        width = 0.0 if whole else math.sqrt(self.sides[n] / self.unit)
+        width = 0.0 if whole or (self.radius is not None and n == len(self.sides) - 1) else math.sqrt(self.sides[n] / self.unit)  # the last holds all that count
         dlat, half = (360.0, 1.0) if whole else _measures(self.sides[n])
         return F.struct(F.lit(n).alias("n"), F.lit(dlat).alias("dlat"), F.lit(half).alias("half"), F.lit(width if self.axis_most and width < self.axis_most else 0.0).alias("width"), F.lit(whole).alias("whole"))
 
+    def _keyed(self, df: DataFrame, tag: str) -> DataFrame:
+        """Cells as one number, of keys and place: `_cell` instead of _y, _x and _b."""
+        return df.withColumn("_cell", F.xxhash64(*[f"{tag}_{c}" for c in self.keys], "_level", "_y", "_x", "_b")).drop("_y", "_x", "_b")
+
+    def _met(self, looks: DataFrame, cells: DataFrame) -> DataFrame:
+        """Rows of `left` with those of `right` in the cells that they look into. Keys are compared
+        beside the cells' numbers, and not joined on: one number is sorted and shuffled by."""
+        same = reduce(lambda a, b: a & b, [F.col(f"l_{c}") == F.col(f"r_{c}") for c in self.keys])
+        return looks.join(cells.drop("_level"), "_cell").where(F.coalesce(same, F.lit(False)))
+
     def _placed(self, df: DataFrame, tag: str) -> DataFrame:
         """Rows that have a level `_v` with their cell in it: _level, _y, _x and _b."""
         v, whole = F.col("_v"), F.col("_v.whole")
@@ -176,21 +187,26 @@ class Nearest:
         axis = F.col(f"{tag}_axis")
         return df.withColumn("_b", F.when(v.width == 0, 0).when(axis.isNotNull(), F.floor(axis / v.width)).otherwise(F.lit(_NO_BAND)).cast("long")).drop("_v")
 
-    def cells(self) -> DataFrame:
-        """`right` in its cells of all widths; with a number on the axis, also where rows of
-        `left` without one look."""
-        out = self._placed(self.right.withColumn("_v", F.explode(self.levels)), "r")
-        if self.axis_most:
+    def cells(self, levels: list[int] | None = None) -> DataFrame:
+        """`right` in its cells of all widths, or of those of `levels`; with a number on the axis,
+        also where rows of `left` without one look, if there are any."""
+        held = self.levels if levels is None else F.array(*[self._level(n) for n in levels])
+        out = self._placed(self.right.withColumn("_v", F.explode(held)), "r")
+        if self.lacking:
             out = out.withColumn("_b", F.explode(F.when(F.col("r_axis").isNotNull() & F.element_at(self.levels, F.col("_level") + 1)["width"].cast("boolean"), F.array("_b", F.lit(_NO_BAND))).otherwise(F.array("_b"))))
-        return out.withColumnsRenamed({f"r_{c}": f"l_{c}" for c in self.keys})
+        return self._keyed(out, "r")
 
     def bounds(self) -> DataFrame:
         """(l_id, bound): the kth score in the least cell around a row that holds k rows."""
-        full = self.cells().groupBy(*self._on).count().where(F.col("count") >= self.k)
-        own = self._placed(self.left.withColumn("_v", F.explode(self.levels)), "l")
-        least = own.select("l_id", *self._on).join(full.drop("count"), self._on).groupBy("l_id").agg(F.min("_level").alias("_w"))
-        looks = self._placed(self.left.join(least, "l_id").withColumn("_v", F.element_at(self.levels, F.col("_w") + 1)).drop("_w"), "l")
-        met = looks.join(self.cells(), self._on).select("l_id", self.score.alias("score"), "r_id").where("score is not null")
+        full = self.cells().groupBy("_cell").count().where(F.col("count") >= self.k)
+        own = self._keyed(self._placed(self.left.withColumn("_v", F.explode(self.levels)), "l"), "l")
+        least = stored(own.select("l_id", "_cell", "_level").join(full.drop("count"), "_cell").groupBy("l_id").agg(F.min("_level").alias("_w")), "least")
+        self.steps.append(least)
+        looks = self._keyed(self._placed(self.left.join(least, "l_id").withColumn("_v", F.element_at(self.levels, F.col("_w") + 1)).drop("_w"), "l"), "l")
+        used = sorted(r[0] for r in least.select("_w").distinct().collect())  # a number for each width at most
+        if not used:
+            return least.select("l_id", F.lit(None).cast("double").alias("bound"))
+        met = self._met(looks, self.cells(used)).select("l_id", self.score.alias("score"), "r_id").where("score is not null")
         nth = F.row_number().over(Window.partitionBy("l_id").orderBy("score", "r_id"))
         return met.withColumn("_n", nth).where(F.col("_n") == self.k).select("l_id", F.col("score").alias("bound"))
 
@@ -199,16 +215,35 @@ class Nearest:
         last = len(self.sides) - (self.radius is not None)
         wide = F.array_position(F.transform(F.array(*[F.lit(x) for x in self.sides]), lambda x: x >= F.col("bound") * self.unit), True) - 1
         level = F.when(F.col("bound").isNull() | (wide < 0), last).otherwise(wide).cast("int")
-        looks = self._placed(self.left.join(self.bounds(), "l_id", "left").withColumn("_v", F.element_at(self.levels, level + 1)), "l")
-        v, steps = F.element_at(self.levels, F.col("_level") + 1), F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-        looks = looks.withColumn("_v", v).withColumn("_y", F.explode(F.when(F.col("_v.whole"), F.array("_y")).otherwise(F.transform(steps, lambda i: F.col("_y") + i))))
-        around = _around(F.col("_y"), F.col("_v.dlat"), F.col("_v.half"))
-        looks = looks.withColumn("_n", around).withColumn("_x", _cell_of(F.col("l_lon"), F.col("_n")))
-        looks = looks.withColumn("_x", F.explode(F.when(F.col("_v.whole"), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform(steps, lambda i: F.pmod(F.col("_x") + i, F.col("_n")))))))
-        banded = (F.col("_v.width") > 0) & F.col("l_axis").isNotNull()
-        looks = looks.withColumn("_b", F.explode(F.when(banded, F.transform(steps, lambda i: F.col("_b") + i)).otherwise(F.array("_b")))).drop("_v", "_n")
-        met = looks.join(self.cells(), self._on)
-        return met.withColumn("score", self.score).where("score is not null and (bound is null or score <= bound)").drop("_level", "_y", "_x", "_b", "bound")
+        bounded = stored(self.left.join(self.bounds(), "l_id", "left").withColumn("_w", level), "bounded")
+        self.steps.append(bounded)
+        used = sorted(r[0] for r in bounded.select("_w").distinct().collect())  # a number for each width at most
+        looks = self._placed(bounded.withColumn("_v", F.element_at(self.levels, F.col("_w") + 1)).drop("_w"), "l")
+        v, ends = F.col("_v"), (lambda c, reach, of: F.array_distinct(F.array(*[of(x) for x in (c - reach, c, c + reach)])))
+        looks = looks.withColumn("_v", F.element_at(self.levels, F.col("_level") + 1))
+        sides = F.element_at(F.array(*[F.lit(x) for x in self.sides], F.lit(math.pi * EARTH_M)), F.col("_level") + 1)
+        looks = looks.withColumn("_m", F.least(F.coalesce(F.col("bound") * self.unit, sides), sides))
+        # how far the box around a row reaches: in latitude, in longitude (at most as far from the equator as that) and on the axis
+        top = F.least(F.abs("l_lat") + F.col("_up"), F.lit(90.0))
+        chord = F.sin(F.least(F.col("_m") / EARTH_M / 2, F.lit(math.pi / 2))) * 1.0001
+        looks = looks.withColumn("_up", F.when(v.whole, 360.0).otherwise(F.degrees(F.col("_m") / EARTH_M) * 1.01)).withColumn("_chord", chord)
+        looks = looks.withColumn("_aside", F.when(v.whole, 360.0).otherwise(F.degrees(2 * F.asin(F.least(F.col("_chord") / F.greatest(F.cos(F.radians(top)), F.lit(1e-12)), F.lit(1.0))))))
+        along = F.sqrt("bound") * (1 + 1e-9) + 1e-9
+        looks = looks.withColumn("_along", F.when(along < (self.axis_most or 0.0), along))
+        looks = looks.withColumn("_y", F.explode(F.when(v.whole, F.array("_y")).otherwise(ends(F.col("l_lat"), F.col("_up"), lambda y: F.floor(y / v.dlat).cast("long")))))
+        looks = looks.withColumn("_n", _around(F.col("_y"), v.dlat, v.half))
+        edge = F.least(F.greatest(F.abs(F.col("_y") - 1), F.abs(F.col("_y") + 2)) * v.dlat, F.lit(90.0))  # as in _around
+        looks = looks.withColumn("_d", F.degrees(2 * F.asin(F.least(F.col("_chord") / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12)), F.lit(1.0)))))
+        looks = looks.withColumn("_x", F.explode(F.when(v.whole, F.array(F.lit(0).cast("long"))).otherwise(ends(F.col("l_lon"), F.col("_d"), lambda x: _cell_of(x, F.col("_n"))))))
+        banded = (v.width > 0) & F.col("l_axis").isNotNull()
+        steps = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+        bands = F.when(F.col("_along").isNull(), F.transform(steps, lambda i: F.col("_b") + i)).otherwise(ends(F.col("l_axis"), F.col("_along"), lambda x: F.floor(x / v.width).cast("long")))
+        looks = looks.withColumn("_b", F.explode(F.when(banded, bands).otherwise(F.array("_b")))).drop("_v", "_n", "_d", "_m", "_chord")
+        met = self._met(self._keyed(looks, "l"), self.cells(used or [last]))
+        apart = F.abs(F.col("l_lon") - F.col("r_lon"))
+        boxed = (F.abs(F.col("l_lat") - F.col("r_lat")) <= F.col("_up")) & (F.least(apart, F.abs(360 - apart)) <= F.col("_aside")) & F.coalesce(F.abs(F.col("l_axis") - F.col("r_axis")) <= F.col("_along"), F.lit(True))
+        met = met.where(boxed).drop("_up", "_aside", "_along")  # before the score, which takes longer
+        return met.withColumn("score", self.score).where("score <= bound or (bound is null and score is not null)").drop("_level", "_cell", "bound")
 
     def best(self) -> DataFrame:
         """The k best of each row, with `score` and `rank`, stored."""
@@ -219,8 +254,9 @@ class Nearest:
             met = self.left.join(same, [f"l_{c}" for c in self.keys]).withColumn("score", self.score).where("score is not null")
             return stored(met.withColumn("rank", rank).where(F.col("rank") <= self.k), "nearest")
         self.left, self.right = stored(self.left, "near-left"), stored(self.right, "near-right")  # read several times
+        self.lacking = self.lacking and bool(self.left.where("l_axis is null").take(1))
         out = stored(self.candidates().withColumn("rank", rank).where(F.col("rank") <= self.k), "nearest")
-        dropped(self.left, self.right)
+        dropped(self.left, self.right, *self.steps)
         return out
 
 

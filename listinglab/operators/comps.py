@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import text as tx
+from ..sources.shared import dropped, stored
 
 FOUND = ["l_id", "rank", "r_id", "l_lat", "l_lon", "r_lat", "r_lon", "score"]
 
@@ -39,11 +40,12 @@ def comparables(targets: DataFrame, listing: DataFrame, k: int = 5, radius_km: f
     are joined to the best."""
     t = geo.prefixed(targets.select(F.col("request_id").alias("id"), "city", "lat", "lon", tx.rooms_bucket("rooms").alias("bucket"), "area_total"), "l")
     pool = listing.where("deal_type = 'rent_long' and price_rub is not null and area_total is not null")
-    p = geo.prefixed(pool.select("id", "city", "lat", "lon", tx.rooms_bucket("rooms").alias("bucket"), "area_total"), "r")
+    p = stored(geo.prefixed(pool.select("id", "city", "lat", "lon", tx.rooms_bucket("rooms").alias("bucket"), "area_total"), "r"), "pool")  # each search reads it twice
     own = search(t, p, k, radius_km, ["city", "bucket"], few).best().select(*FOUND)
     alone = t.join(own.select("l_id").distinct(), "l_id", "left_anti")
     if alone.take(1):
         own = own.unionByName(search(alone, p, k, radius_km, ["city"], few).best().select(*FOUND))
+    dropped(p)
     km = geo.haversine_km((F.col("l_lat"), F.col("l_lon")), (F.col("r_lat"), F.col("r_lon")))
     found = own.select(F.col("l_id").alias("request_id"), "rank", F.col("r_id").alias("id"), km.alias("distance_km"), "score")
     return found.join(pool.select("id", *[c for c in FACTS if c in pool.columns]), "id").select("request_id", "rank", "id", "distance_km", "score", *[c for c in FACTS if c in pool.columns])

@@ -1,5 +1,6 @@
 """The nearest-neighbour join against brute force: ties, empty keys, sparse corners, poles."""
 
+import itertools
 import math
 import random
 
@@ -77,3 +78,26 @@ def test_a_dense_house_is_no_all_pairs(spark):
     t = spark.range(50).select("id", F.lit("m").alias("city"), F.lit(55.0).alias("lat"), F.lit(37.0).alias("lon"), F.lit("r1").alias("bucket"), F.lit(40.0).alias("area_total"))
     met = comps.search(geo.prefixed(t, "l"), geo.prefixed(p, "r"), 5, 3.0, ["city", "bucket"]).candidates().count()
     assert met == 50 * 5
+
+
+def test_a_row_looks_only_as_far_as_its_bound(spark, monkeypatch):
+    """Even listings and targets: the cells that are shuffled hold each listing once a width, and a
+    target looks into those that its bound reaches, not into all 27 around it. Nothing is lost,
+    with a radius below the width of a band of area either."""
+    p = [(i, "m", "a", 55 + (i * 7919 % 10007) / 10007 * 0.05, 37 + (i * 104729 % 10009) / 10009 * 0.08, 20.0 + i % 97) for i in range(3000)]
+    t = [(i, "m", "a", 55 + (i * 5003 % 10007) / 10007 * 0.05, 37 + (i * 3001 % 10009) / 10009 * 0.08, 20.0 + i % 89) for i in range(500)]
+    shape = "id long, city string, bucket string, lat double, lon double, area_total double"
+    left, right = geo.prefixed(spark.createDataFrame(t, shape), "l"), geo.prefixed(spark.createDataFrame(p, shape), "r")
+    for radius in (3.0, 0.4):
+        want = [(r["l_id"], r["rank"], r["r_id"]) for r in comps.search(left, right, 5, radius, ["city", "bucket"], few=10**9).best().collect()]
+        met, seen = geo.Nearest._met, []
+        monkeypatch.setattr(geo.Nearest, "_met", lambda self, looks, cells: seen.append((looks, cells)) or met(self, looks, cells))
+        search = comps.search(left, right, 5, radius, ["city", "bucket"], few=0)
+        search.lacking = False
+        found = search.candidates()
+        rows = [(looks.count(), cells.count()) for looks, cells in seen]
+        monkeypatch.undo()
+        assert rows[-1][0] < 16 * 500 and all(c <= 6 * 3000 for _, c in rows)
+        ranked = sorted(((r["l_id"], r["score"], r["r_id"]) for r in found.select("l_id", "score", "r_id").collect()))
+        got = [(l, n, r) for l, group in itertools.groupby(ranked, key=lambda x: x[0]) for n, (_, _, r) in enumerate(group, 1) if n <= 5]
+        assert sorted(got) == sorted(want)
