@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, dedupe, enrich, features, model, reports
 from ..sources.io import export_listings
-from ..sources.shared import stored
+from ..sources.shared import dropped, stored
 
 
 def run_pipeline(raw: DataFrame, stations: DataFrame, cities: DataFrame, as_of: Column) -> DataFrame:
@@ -27,7 +27,9 @@ def value_requests(requests: DataFrame, geocode_cache: DataFrame, building_cache
     """B17, B9, B12, B15, B14 and B16 as one job: a report for each request, and `reject` for
     those that can't be valued (which have no prices)."""
     known, _ = reports.resolve_requests(requests, geocode_cache, buildings, building_cache=building_cache, as_of=as_of, max_age_days=max_age_days)
-    known = stored(reports.report_features(known, stations, cities, listing, as_of), "requests")
+    placed = stored(known, "placed")  # four parts of the next plan read it, and each would hold all of its joins
+    known = stored(reports.report_features(placed, stations, cities, listing, as_of), "requests")
+    dropped(placed)
     rows = known.where("reject is null")
     told = model.explain(fitted, model.predict(fitted, rows))
     told = stored(told.select("request_id", "prediction_rub", "interval_low_rub", "interval_high_rub", "base_value", "prediction_internal", "top_features"), "valued")

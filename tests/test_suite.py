@@ -97,3 +97,27 @@ def test_the_model_queries_share_their_rows(spark, data, small_model):
     """Rows that the model reads are made once, not by each query and each part of the training."""
     first = suite._model(spark, data)
     assert suite._model(spark, data)[1] is first[1] and "listingraw" not in first[1]._jdf.queryExecution().toString().replace("_", "")
+
+
+def test_requests_are_stored_before_their_features(spark, data, monkeypatch):
+    """The features of requests read resolved requests in four parts. Each held all of their joins,
+    in a plan that the driver rewrites with every stage."""
+    from pyspark.sql import functions as F
+
+    from listinglab.plans import pipeline
+
+    class Enough(Exception):
+        pass
+
+    def kept(df, name="step", stored=pipeline.stored):
+        if name == "requests":
+            relations.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+            raise Enough
+        return stored(df, name)
+
+    relations = []
+    monkeypatch.setattr(pipeline, "stored", kept)
+    view = lambda name: suite.star.view(spark, data, name)
+    with pytest.raises(Enough):
+        pipeline.value_requests(view("request"), view("geocode_cache"), view("building_cache"), view("building").withColumn("year_built", F.lit(None).cast("int")), suite.listing(spark, data), suite.star.stations(spark, data), suite.star.cities(spark, data), None, suite.star.as_of())
+    assert relations[0] < 12
